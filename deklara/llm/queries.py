@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deklara.llm import packing, pieces
+from deklara.llm import minhash, packing, pieces
 from deklara.llm.common import table
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -18,8 +22,38 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words are runs of anything but ASCII white space; lower() folds A-Z alone.
+_SHINGLES = r"""
+words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingles as (
+  select distinct doc_id, case when len(w) < 5 then w else w[i : i + 4] end as s
+  from words, lateral (select unnest(range(1, greatest(2, len(w) - 3))) as i) where len(w) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * k >= 75 * (x.n + y.n - k)),
+edges as (select a, b from links union all select b, a from links)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": f"""
+with recursive {_SHINGLES},
+reach as (
+  select doc_id, doc_id as r from documents
+  union
+  select reach.doc_id, edges.b from reach join edges on edges.a = reach.r)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join sizes s using (doc_id)
+join (select doc_id, min(r) as component_id from reach group by doc_id) c using (doc_id)
+""",
+}
