@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deklara.llm import additive_quality, boosted_rules, minhash, packing, pieces
+from deklara.llm import additive_quality, boosted_rules, languages, minhash, packing, pieces, toxicity
 from deklara.llm.common import table
 
 
@@ -18,6 +18,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_rules.judge(docs, boosted_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return languages.identify(docs, *languages.fit(docs))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -34,6 +44,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
