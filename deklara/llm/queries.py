@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deklara.llm import additive_quality, boosted_rules, languages, minhash, packing, pieces, toxicity
-from deklara.llm.common import table
+from deklara.llm import additive_quality, boosted_rules, languages, media, minhash, packing, pieces, toxicity
+from deklara.llm.common import scratch_path, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_rules.judge(docs, boosted_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "media")
+    media.store(table(spark, sf_dir, "documents"), root)
+    return media.digests(spark, root)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return languages.identify(docs, *languages.fit(docs))
@@ -44,6 +50,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_media_chunks": op3_media_chunks,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
