@@ -6,6 +6,10 @@ round proposes one partner per thing (its key's leader), verifies these, and mer
 of copies fall together in the first rounds.  A last step then takes *every* pair that shares a
 key and still lies in two groups, so no link between groups is lost, whatever the rounds found.
 
+A large group of copies also has outliers, too much changed to be linked to any of it, which would
+meet all its members in the last step.  They are told by what they share with the others at most:
+a node's parts that no other candidate holds bound its similarity to every one of them.
+
 All steps are aggregations and equi-joins.  Leaders, counts and majorities are partial
 aggregates; the joins back to the rows of a hot key are plain sort-merge joins, which adaptive
 execution splits.  Every round ends in a written table, so a lost executor costs one round at most.
@@ -15,12 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deklara.llm.common import materialise, remove
 
 Verify = Callable[[DataFrame], DataFrame]
+Weigh = Callable[[DataFrame], DataFrame]
+Possible = Callable[[Column, Column, Column, Column], Column]
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -61,11 +67,14 @@ def _canonical(edges: DataFrame) -> DataFrame:
     )
 
 
-def groups(keys: DataFrame, verify: Verify, rounds: int = 4) -> DataFrame:
+def groups(keys: DataFrame, verify: Verify, weigh: Weigh | None = None, possible: Possible | None = None, rounds: int = 2) -> DataFrame:
     """(node, component) of all nodes linked to another one; ``keys`` has (node, key).
 
-    ``verify`` takes pairs (a, b) with a < b and returns those that are linked.  ``rounds`` bounds
-    the leader rounds, which only make the last, complete step small; no pair depends on it.
+    ``verify`` takes pairs (a, b) with a < b and returns those that are linked.  ``weigh`` gives the
+    nodes that it is asked for a size and a count ``common`` (what of the node is found in any other
+    of them), and ``possible(size, common, size, common)`` says whether two nodes so weighed can be
+    linked at all: it must hold for every linked pair.  ``rounds`` bounds the leader rounds, which
+    only make the last, complete step small; no pair depends on it.
     """
     spark = keys.sparkSession
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
@@ -73,54 +82,56 @@ def groups(keys: DataFrame, verify: Verify, rounds: int = 4) -> DataFrame:
     nearest = shared.groupBy("node").agg(F.min("leader").alias("a")).where("a < node")
     links, links_path = materialise(verify(nearest.select("a", F.col("node").alias("b"))), "links")
     members = connected(links)
-    for turn in range(rounds):
-        placed, placed_path = materialise(_placed(shared, members, turn), "placed")
-        totals = placed.agg(
-            F.sum("key_rows").alias("pairs"), F.count("*").alias("rows"), F.countDistinct("node").alias("nodes")
-        ).first()
-        if not totals["rows"]:
+    rows, weights, paths = shared.select("key", "node"), None, [shared_path, links_path]
+    for turn in range(rounds + 1):
+        rows, path = materialise(_undecided(rows, members), "undecided")
+        paths.append(path)
+        if rows.isEmpty():
             break
-        last = turn + 1 == rounds or totals["pairs"] <= 8 * totals["rows"]
-        if last:
-            others = _with_groups(shared.join(placed.select("key").distinct(), "key", "left_semi"), members)
-            proposed = (
-                placed.select("key", "node", "component")
-                .join(others.select("key", F.col("node").alias("other"), F.col("component").alias("theirs")), "key")
-                .where("component <> theirs")
-                .select(F.col("node").alias("a"), F.col("other").alias("b"))
-            )
+        if weights is None:
+            involved = rows.select("node").distinct()
+            weights = weigh(involved) if weigh else involved.select("node", F.lit(1).alias("size"), F.lit(1).alias("common"))
+            weights, path = materialise(weights, "weights")
+            paths.append(path)
+        weighed = rows.join(weights, "node")
+        heads = weighed.groupBy("key").agg(
+            F.max(F.when(F.col("main"), F.struct((F.col("common") / F.col("size")).alias("share"), F.hash("node", F.lit(turn)).alias("any"), "node"))).alias("head"),
+            F.min("size").alias("least"),
+            F.max("common").alias("most"),
+        )
+        minor = weighed.where("not main").join(heads, "key")
+        if possible is not None:
+            minor = minor.where(possible(F.col("size"), F.col("common"), F.col("least"), F.col("most")))
+        if turn < rounds:
+            best = minor.groupBy("node").agg(F.max("head").alias("head"))
+            proposed = best.select(F.col("node").alias("a"), F.col("head.node").alias("b"))
         else:
-            proposed = placed.groupBy("node").agg(
-                F.min_by("other", F.xxhash64("other", F.lit(turn))).alias("other")
-            ).select(F.col("node").alias("a"), F.col("other").alias("b"))
-        found, found_path = materialise(verify(_canonical(proposed)), "links")
+            others = weighed.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "size", "common")))
+            met = F.col("component") != F.col("other_component")
+            if possible is not None:
+                met = met & possible(F.col("size"), F.col("common"), F.col("other_size"), F.col("other_common"))
+            proposed = minor.join(others, "key").where(met).select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+        found, path = materialise(verify(_canonical(proposed)), "links")
+        paths.append(path)
         stars = members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         members = connected(stars.unionAll(found))
-        remove(spark, placed_path, found_path)
-        if last:
-            break
-    remove(spark, shared_path, links_path)
+    remove(spark, *paths)
     return members
 
 
-def _with_groups(shared: DataFrame, members: DataFrame) -> DataFrame:
-    return shared.join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def _placed(shared: DataFrame, members: DataFrame, turn: int) -> DataFrame:
-    """Rows of keys that hold more than one group, but for each key's largest group: with a member
-    of that group (``other``) and the number of the key's rows."""
-    own = _with_groups(shared, members)
-    sizes = own.groupBy("key", "component").agg(
-        F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("other")
+def _undecided(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows (key, node) of keys that hold more than one group, each with its group and whether
+    that is the key's largest (``main``)."""
+    own = (
+        rows.select("key", "node")
+        .join(members, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
     )
-    major = sizes.groupBy("key").agg(
-        F.max(F.struct("n", "component", "other")).alias("top"),
-        F.sum("n").alias("key_rows"),
-        F.count("*").alias("groups"),
-    ).where("groups > 1")
-    return (
-        own.join(major.select("key", "key_rows", "top.other", F.col("top.component").alias("main")), "key")
-        .where("component <> main")
-        .select("key", "node", "component", "other", "key_rows")
+    sizes = own.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = (
+        sizes.groupBy("key")
+        .agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("groups"))
+        .where("groups > 1")
+        .select("key", F.col("top.component").alias("largest"))
     )
+    return own.join(main, "key").select("key", "node", "component", (F.col("component") == F.col("largest")).alias("main"))

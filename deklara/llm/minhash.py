@@ -28,7 +28,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deklara.llm import linkage
@@ -136,6 +136,15 @@ def _linked(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        for first in range(0, len(ids), 256):
+            sets = [shingle_set(t.as_py()).view(np.int64) for t in texts[first : first + 256]]
+            nodes = np.repeat(np.array(ids[first : first + 256], np.int64), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets))], names=["node", "shingle"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 40, rows: int = 4) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -184,7 +193,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 40, rows: i
             .mapInArrow(partial(_linked, percent), "a bigint, b bigint")
         )
 
-    members = linkage.groups(keys, verify)
+    def weigh(wanted: DataFrame) -> DataFrame:
+        """Set sizes, and how many of a set's shingles another of the wanted documents holds too."""
+        own = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        alone = (
+            own.mapInArrow(_shingles, "node bigint, shingle bigint")
+            .groupBy("shingle")
+            .agg(F.count("*").alias("n"), F.max("node").alias("node"))
+            .where("n = 1")
+            .groupBy("node")
+            .agg(F.count("*").alias("alone"))
+        )
+        return (
+            wanted.join(nodes.select("node", F.col("n").alias("size")), "node")
+            .join(alone, "node", "left")
+            .select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+        )
+
+    def possible(size: Column, common: Column, other_size: Column, other_common: Column) -> Column:
+        """100 * shared >= percent * (sizes - shared), with at most the smaller ``common`` shared."""
+        return (100 + percent) * F.least(common, other_common) >= percent * (size + other_size)
+
+    members = linkage.groups(keys, verify, weigh, possible)
     classes = named.join(members, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component")
     )
