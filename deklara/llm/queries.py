@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from deklara.llm import additive_quality, boosted_rules, languages, media, minhash, packing, pieces, toxicity
-from deklara.llm.common import scratch_path, table
+from deklara.llm import additive_quality, boosted_rules, languages, media, minhash, packing, pieces, rollups, toxicity
+from deklara.llm.common import materialise, scratch_path, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,27 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: all are counted; those that a review marked as of low quality
+    are deleted; the rest of all but the English ones is counted anew by a later tokenizer version.
+    Two batches are sent twice, and the rollup is compacted between."""
+    docs = table(spark, sf_dir, "documents")
+    both = docs.select("doc_id", "source", "lang", *(rollups.tokens(docs["text"], v).alias(v) for v in rollups.COUNTERS))
+    both, _ = materialise(both, "token-counts")
+    low = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
+    first = rollups.signed(both, "words-1")
+    deleted = rollups.signed(both.join(low, "doc_id", "left_semi"), "words-1", -1)
+    rest = both.join(low, "doc_id", "left_anti").where("lang <> 'en'")
+    revised = rollups.revised(rollups.signed(rest, "words-1"), rollups.signed(rest, "letters-2"))
+    rollup = rollups.Rollup(spark, scratch_path(spark, "rollup"))
+    for name, rows in (("count-1", first), ("review-1", deleted), ("review-1", deleted)):
+        rollup.add(name, rows)
+    rollup.compact()
+    for name, rows in (("count-1", first), ("recount-1", revised)):
+        rollup.add(name, rows)
+    return rollup.totals()
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -53,6 +75,7 @@ QUERIES = {
     "op3_media_chunks": op3_media_chunks,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_token_rollups": op6_token_rollups,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
@@ -77,6 +100,17 @@ edges as (select a, b from links union all select b, a from links)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_token_rollups": r"""
+with counts as (
+  select doc_id, source, lang,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as words,
+    coalesce(len(regexp_extract_all(text, '\p{L}+|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]')), 0) as letters
+  from documents),
+kept as (select * from counts where doc_id not in (select doc_id from labels where quality = 0))
+select source, lang, case when lang = 'en' then 'words-1' else 'letters-2' end as tokenizer,
+  count(*)::bigint as documents, sum(case when lang = 'en' then words else letters end)::bigint as tokens
+from kept group by 1, 2, 3
+""",
     "op1_minhash_near_dedup": f"""
 with recursive {_SHINGLES},
 reach as (
