@@ -18,17 +18,13 @@ execution splits.  Every round ends in a written table, so a lost executor costs
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deklara.llm.common import materialise, remove
 
-Verify = Callable[[DataFrame], DataFrame]
-Weigh = Callable[[DataFrame], DataFrame]
-Possible = Callable[[Column, Column, Column, Column], Column]
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the smallest node reachable.
 
@@ -67,18 +63,33 @@ def _canonical(edges: DataFrame) -> DataFrame:
     )
 
 
-def groups(keys: DataFrame, verify: Verify, weigh: Weigh | None = None, possible: Possible | None = None, rounds: int = 2) -> DataFrame:
-    """(node, component) of all nodes linked to another one; ``keys`` has (node, key).
+@dataclass
+class Rule:
+    """What links two nodes.
 
     ``verify`` takes pairs (a, b) with a < b and returns those that are linked.  ``weigh`` gives the
     nodes that it is asked for a size and a count ``common`` (what of the node is found in any other
     of them), and ``possible(size, common, size, common)`` says whether two nodes so weighed can be
-    linked at all: it must hold for every linked pair.  ``rounds`` bounds the leader rounds, which
-    only make the last, complete step small; no pair depends on it.
+    linked at all: it must hold for every linked pair.
+    """
+
+    verify: Callable[[DataFrame], DataFrame]
+    weigh: Callable[[DataFrame], DataFrame] | None = None
+    possible: Callable[[Column, Column, Column, Column], Column] | None = None
+
+
+def groups(keys: DataFrame, rule_for: Callable[[DataFrame], Rule], rounds: int = 2) -> DataFrame:
+    """(node, component) of all nodes linked to another one; ``keys`` has (node, key).
+
+    ``rule_for`` is called once with all nodes that share a key with another one, so that it can
+    fetch what it needs of them, and gives the rule.  ``rounds`` bounds the leader rounds, which only
+    make the last, complete step small; no pair depends on it.
     """
     spark = keys.sparkSession
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     shared, shared_path = materialise(keys.join(shared.select("key", "leader"), "key"), "shared-keys")
+    rule = rule_for(shared.select("node").distinct())
+    verify, weigh, possible = rule.verify, rule.weigh, rule.possible
     nearest = shared.groupBy("node").agg(F.min("leader").alias("a")).where("a < node")
     links, links_path = materialise(verify(nearest.select("a", F.col("node").alias("b"))), "links")
     members = connected(links)

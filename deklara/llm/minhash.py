@@ -176,45 +176,48 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 40, rows: i
         .select("node", F.xxhash64("band.i", "band.r").alias("key"))
     )
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        def side(s: str) -> DataFrame:
-            return nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(
-            partial(_likely, percent / 100, buckets), "a bigint, b bigint"
-        )
-        likely, _ = materialise(likely, "likely")
-        wanted = likely.select(F.col("a").alias("doc_id")).unionAll(likely.select("b")).distinct()
+    def rule_for(candidates: DataFrame) -> linkage.Rule:
+        wanted = candidates.select(F.col("node").alias("doc_id"))
         texts, _ = materialise(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        return (
-            likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b")
-            .mapInArrow(partial(_linked, percent), "a bigint, b bigint")
-        )
-
-    def weigh(wanted: DataFrame) -> DataFrame:
-        """Set sizes, and how many of a set's shingles another of the wanted documents holds too."""
-        own = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        alone = (
-            own.mapInArrow(_shingles, "node bigint, shingle bigint")
-            .groupBy("shingle")
-            .agg(F.count("*").alias("n"), F.max("node").alias("node"))
-            .where("n = 1")
-            .groupBy("node")
-            .agg(F.count("*").alias("alone"))
-        )
-        return (
-            wanted.join(nodes.select("node", F.col("n").alias("size")), "node")
-            .join(alone, "node", "left")
-            .select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
-        )
-
-    def possible(size: Column, common: Column, other_size: Column, other_common: Column) -> Column:
-        """100 * shared >= percent * (sizes - shared), with at most the smaller ``common`` shared."""
-        return (100 + percent) * F.least(common, other_common) >= percent * (size + other_size)
-
-    members = linkage.groups(keys, verify, weigh, possible)
+        own, _ = materialise(nodes.join(candidates, "node", "left_semi"), "candidates")
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            def sketch(s: str) -> DataFrame:
+                return own.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+
+            def text(s: str) -> DataFrame:
+                return texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
+
+            likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(
+                partial(_likely, percent / 100, buckets), "a bigint, b bigint"
+            )
+            both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+            return both.mapInArrow(partial(_linked, percent), "a bigint, b bigint")
+
+        def weigh(nodes: DataFrame) -> DataFrame:
+            """Set sizes, and how many of a set's shingles another of the nodes holds too."""
+            asked = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+            alone = (
+                asked.mapInArrow(_shingles, "node bigint, shingle bigint")
+                .groupBy("shingle")
+                .agg(F.count("*").alias("n"), F.max("node").alias("node"))
+                .where("n = 1")
+                .groupBy("node")
+                .agg(F.count("*").alias("alone"))
+            )
+            return (
+                nodes.join(own.select("node", F.col("n").alias("size")), "node")
+                .join(alone, "node", "left")
+                .select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+            )
+
+        def possible(size: Column, common: Column, other_size: Column, other_common: Column) -> Column:
+            """100 * shared >= percent * (sizes - shared), with at most the smaller ``common`` shared."""
+            return (100 + percent) * F.least(common, other_common) >= percent * (size + other_size)
+
+        return linkage.Rule(verify, weigh, possible)
+
+    members = linkage.groups(keys, rule_for)
     classes = named.join(members, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component")
     )
