@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deklara.llm import additive_quality, boosted_rules, languages, media, minhash, packing, pieces, rollups, toxicity
+from deklara.llm import additive_quality, boosted_rules, languages, lines, media, minhash, packing, pieces, rollups, toxicity
 from deklara.llm.common import materialise, scratch_path, table
 
 
@@ -60,6 +60,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.deduplicated(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", "n_lines", "n_removed", F.length(text).cast("bigint").alias("chars_left"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return additive_quality.score(docs, additive_quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -77,6 +83,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_token_rollups": op6_token_rollups,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
 }
