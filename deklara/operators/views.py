@@ -82,7 +82,8 @@ def predicate(layout: Layout, f: Filter) -> Column:
         return there
     if f.comparison == "between":
         low, high = f.values
-        bounds = [q >= _literal(low, kind)] * (low is not None) + [q <= _literal(high, kind)] * (high is not None)
+        bounds = [] if low is None else [q >= _literal(low, kind)]
+        bounds += [] if high is None else [q <= _literal(high, kind)]
         return reduce(Column.__and__, bounds, there)
     if not f.values or any(v is None for v in f.values):
         raise ValueError(f"{f.comparison} needs a value")

@@ -38,6 +38,8 @@ def lines(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
         decoded(F.col("value"), layout).alias("value"),
+        (F.octet_length("value") + len(layout.record_delimiter.encode())).alias("bytes"),
+        F.col("_metadata.file_size").alias("size"),
     )
     return written(rows, "lines")
 
@@ -81,7 +83,7 @@ def numbered_lines(raw: DataFrame, layout: Layout) -> DataFrame:
     rows = rows.withColumn("fixed", fixed).withColumn("last", F.last("fixed", True).over(before))
     # A split as a function: its last fixing line and the flips behind it, or all its flips.
     splits = rows.groupBy("path", "block").agg(
-        F.max_by("fixed", F.when(F.col("fixed").isNotNull(), F.col("at"))).alias("fixed"), F.sum(flip).alias("all"), F.count("*").alias("n")
+        F.max_by("fixed", F.when(F.col("fixed").isNotNull(), F.col("at"))).alias("fixed"), F.sum(flip).alias("all"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("size").alias("size")
     )
     splits = splits.withColumn("bit", F.when(F.col("fixed").isNotNull(), (F.col("fixed.bit") + F.col("all") - F.col("fixed.flips")) % 2))
     files = Window.partitionBy("path").orderBy("block")
@@ -89,8 +91,9 @@ def numbered_lines(raw: DataFrame, layout: Layout) -> DataFrame:
     splits = splits.withColumn("flips", F.coalesce(F.sum("all").over(earlier), F.lit(0)))
     splits = splits.withColumn("known", F.last(F.when(F.col("bit").isNotNull(), F.struct("bit", (F.col("flips") + F.col("all")).alias("flips"))), True).over(earlier))
     entry = F.when(F.col("known").isNotNull(), (F.col("known.bit") + F.col("flips") - F.col("known.flips")) % 2).otherwise(F.col("flips") % 2)
+    ends = F.sum("bytes").over(Window.partitionBy("path")) == F.col("size")  # whether a delimiter ends the file
     delivery = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
-    splits = splits.select("path", "block", entry.alias("entry"), F.coalesce(F.sum("n").over(delivery), F.lit(0)).alias("first_line"))
+    splits = splits.select("path", "block", entry.alias("entry"), F.coalesce(F.sum("n").over(delivery), F.lit(0)).alias("first_line"), ends.alias("ends"))
     rows = rows.join(splits, ["path", "block"])
     at_entry = F.when(F.col("last").isNotNull(), (F.col("last.bit") + F.col("flips") - F.col("last.flips")) % 2).otherwise((F.col("entry") + F.col("flips")) % 2)
     rows = rows.withColumn("inside", at_entry == 1)
@@ -103,24 +106,28 @@ def numbered_lines(raw: DataFrame, layout: Layout) -> DataFrame:
         rows.join(counts, ["path", "block"])
         .withColumn("record", F.col("first_record") + F.sum(start).over(upto))
         .withColumn("line", F.col("first_line") + F.row_number().over(own))
-        .select("path", "record", "line", "inside", "leaves", "value")
+        .select("path", "record", "line", "inside", "leaves", "ends", "value")
     )
 
 
 def stitched(numbered: DataFrame, layout: Layout) -> DataFrame:
     """One row per record: (path, _ordinal, value, unterminated).  Only lines of records that span
-    several are shuffled."""
+    several are shuffled.  A value that the file never closes keeps the delimiter that ends the file."""
     alone = ~F.col("inside") & ~F.col("leaves")
     single = numbered.where(alone).select("path", F.col("record").alias("_ordinal"), "value", F.lit(False).alias("unterminated"))
     several = (
         numbered.where(~alone)
         .groupBy("path", "record")
-        .agg(F.sort_array(F.collect_list(F.struct("line", "value", "leaves"))).alias("parts"))
+        .agg(F.sort_array(F.collect_list(F.struct("line", "value", "leaves"))).alias("parts"), F.max("ends").alias("ends"))
+        .withColumn("open", F.element_at("parts.leaves", -1))
         .select(
             "path",
             F.col("record").alias("_ordinal"),
-            F.array_join(F.col("parts.value"), layout.record_delimiter).alias("value"),
-            F.element_at("parts.leaves", -1).alias("unterminated"),
+            F.concat(
+                F.array_join(F.col("parts.value"), layout.record_delimiter),
+                F.when(F.col("open") & F.col("ends"), F.lit(layout.record_delimiter)).otherwise(F.lit("")),
+            ).alias("value"),
+            F.col("open").alias("unterminated"),
         )
     )
     return single.unionByName(several)
