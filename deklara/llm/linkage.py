@@ -1,18 +1,18 @@
 """Groups of similar things from candidate keys, without all pairs of a group.
 
 Things that share a key are candidates; ``verify`` says which candidate pairs are linked.  Only the
-connected groups are wanted, so a pair within one group already found need not be looked at.  Each
-round proposes one partner per thing (its key's leader), verifies these, and merges; large groups
-of copies fall together in the first rounds.  A last step then takes *every* pair that shares a
-key and still lies in two groups, so no link between groups is lost, whatever the rounds found.
+connected groups are wanted, so a pair within one group already found need not be looked at.  First
+each thing is held against one leader, and large groups of copies fall together; a last step takes
+*every* pair that shares a key and still lies in two groups, so no link between groups is lost.
 
 A large group of copies also has outliers, too much changed to be linked to any of it, which would
-meet all its members in the last step.  They are told by what they share with the others at most:
-a node's parts that no other candidate holds bound its similarity to every one of them.
+meet all its members in the last step.  They are told by what they share with the others at most (a
+node's parts that no other candidate holds bound its similarity to every one of them) and by sketches,
+both within the join.
 
 All steps are aggregations and equi-joins.  Leaders, counts and majorities are partial
 aggregates; the joins back to the rows of a hot key are plain sort-merge joins, which adaptive
-execution splits.  Every round ends in a written table, so a lost executor costs one round at most.
+execution splits.  Every step ends in a written table, so a lost executor costs one step at most.
 """
 
 from __future__ import annotations
@@ -26,35 +26,41 @@ from pyspark.sql import functions as F
 from deklara.llm.common import materialise, remove
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b): the smallest node reachable.
+    """(node, component) of every node of ``edges`` (a, b): one node of each component names it.
 
-    Alternating stars: each pass hangs the larger neighbours of a node, then the smaller ones, on
-    the smallest; what is left at the end are stars.  The number of passes grows with the
-    logarithm of the longest path.
+    Every node hooks to its smallest neighbour if that is smaller; the hooks are a forest, whose roots
+    pointer jumping finds; the edges are drawn anew between roots.  Copies hang on one leader, so one
+    turn is the rule; long chains take a logarithmic number.
     """
     spark = edges.sparkSession
-    now, path = materialise(_canonical(edges), "edges")
-    seen = None
-    while True:
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b")
-        large = _canonical(large)
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(least, "b")
-        small = joined.select(F.col("m").alias("a"), "b").unionAll(
-            joined.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        )
-        after, after_path = materialise(_canonical(small), "edges")
-        mark = after.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("bigint")).alias("h")).first()
-        remove(spark, path)
-        now, path = after, after_path
-        if mark == seen:
-            break
-        seen = mark
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(
-        now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    )
+    left, path = materialise(_canonical(edges), "edges")
+    members = None
+    while not left.isEmpty():
+        both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
+        roots, roots_path = materialise(hooks, "roots")
+        while True:
+            up = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped = roots.join(up, "root").select("node", F.col("next").alias("root"), (F.col("root") != F.col("next")).alias("moved"))
+            after, after_path = materialise(jumped, "roots")
+            remove(spark, roots_path)
+            roots, roots_path = after.select("node", "root"), after_path
+            if after.where("moved").isEmpty():
+                break
+        ends = roots.select(F.col("node").alias("a"), F.col("root").alias("x"))
+        other = roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        rest = left.join(ends, "a").join(other, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        now, now_path = materialise(_canonical(rest), "edges")
+        if members is None:
+            members = roots.withColumnRenamed("root", "component")
+        else:
+            moved = roots.select(F.col("node").alias("component"), "root")
+            members = members.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        members, _ = materialise(members, "members")
+        remove(spark, path, roots_path)
+        left, path = now, now_path
+    remove(spark, path)
+    return left.select(F.col("a").alias("node"), F.col("b").alias("component")) if members is None else members
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
@@ -68,64 +74,63 @@ class Rule:
     """What links two nodes.
 
     ``verify`` takes pairs (a, b) with a < b and returns those that are linked.  ``weigh`` gives the
-    nodes that it is asked for a size and a count ``common`` (what of the node is found in any other
-    of them), and ``possible(size, common, size, common)`` says whether two nodes so weighed can be
-    linked at all: it must hold for every linked pair.
+    nodes that it is asked for a ``size``, a count ``common`` (what of the node is found in any other of
+    them), and a ``sketch``.  ``possible`` says of two nodes' sizes and counts whether they can be linked
+    at all, and ``alike`` of their sizes and sketches whether they are worth verifying.
     """
 
     verify: Callable[[DataFrame], DataFrame]
     weigh: Callable[[DataFrame], DataFrame] | None = None
     possible: Callable[[Column, Column, Column, Column], Column] | None = None
+    alike: Callable[[Column, Column, Column, Column], Column] | None = None
 
 
-def groups(keys: DataFrame, rule_for: Callable[[DataFrame], Rule], rounds: int = 2) -> DataFrame:
+def groups(keys: DataFrame, rule_for: Callable[[DataFrame], Rule]) -> DataFrame:
     """(node, component) of all nodes linked to another one; ``keys`` has (node, key).
 
     ``rule_for`` is called once with all nodes that share a key with another one, so that it can
-    fetch what it needs of them, and gives the rule.  ``rounds`` bounds the leader rounds, which only
-    make the last, complete step small; no pair depends on it.
+    fetch what it needs of them, and gives the rule.
+
+    First each node is held against one other: of the nodes that share a key with it, the one that meets
+    most others, which in a group of copies is the least changed.  What is linked so is merged.  Then
+    every pair that shares a key and still lies in two groups follows.
     """
     spark = keys.sparkSession
-    shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    shared, shared_path = materialise(keys.join(shared.select("key", "leader"), "key"), "shared-keys")
-    rule = rule_for(shared.select("node").distinct())
-    verify, weigh, possible = rule.verify, rule.weigh, rule.possible
-    nearest = shared.groupBy("node").agg(F.min("leader").alias("a")).where("a < node")
-    links, links_path = materialise(verify(nearest.select("a", F.col("node").alias("b"))), "links")
+    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared, shared_path = materialise(keys.join(counts, "key"), "shared-keys")
+    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    met, met_path = materialise(met, "met")
+    rule = rule_for(met.select("node"))
+    ranked = shared.join(met, "node")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("leader"))
+    nearest = shared.join(leaders, "key").groupBy("node").agg(F.max("leader").alias("leader"))
+    proposed = nearest.select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
+    links, links_path = materialise(rule.verify(_canonical(proposed)), "links")
     members = connected(links)
-    rows, weights, paths = shared.select("key", "node"), None, [shared_path, links_path]
-    for turn in range(rounds + 1):
-        rows, path = materialise(_undecided(rows, members), "undecided")
-        paths.append(path)
-        if rows.isEmpty():
-            break
-        if weights is None:
-            involved = rows.select("node").distinct()
-            weights = weigh(involved) if weigh else involved.select("node", F.lit(1).alias("size"), F.lit(1).alias("common"))
-            weights, path = materialise(weights, "weights")
+    rows, rows_path = materialise(_undecided(shared, members), "undecided")
+    paths = [shared_path, met_path, links_path, rows_path]
+    if not rows.isEmpty():
+        weighed = rows
+        if rule.weigh is not None:
+            weights, path = materialise(rule.weigh(rows.select("node").distinct()), "weights")
             paths.append(path)
-        weighed = rows.join(weights, "node")
-        heads = weighed.groupBy("key").agg(
-            F.max(F.when(F.col("main"), F.struct((F.col("common") / F.col("size")).alias("share"), F.hash("node", F.lit(turn)).alias("any"), "node"))).alias("head"),
-            F.min("size").alias("least"),
-            F.max("common").alias("most"),
-        )
-        minor = weighed.where("not main").join(heads, "key")
-        if possible is not None:
-            minor = minor.where(possible(F.col("size"), F.col("common"), F.col("least"), F.col("most")))
-        if turn < rounds:
-            best = minor.groupBy("node").agg(F.max("head").alias("head"))
-            proposed = best.select(F.col("node").alias("a"), F.col("head.node").alias("b"))
-        else:
-            others = weighed.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "size", "common")))
-            met = F.col("component") != F.col("other_component")
-            if possible is not None:
-                met = met & possible(F.col("size"), F.col("common"), F.col("other_size"), F.col("other_common"))
-            proposed = minor.join(others, "key").where(met).select(F.col("node").alias("a"), F.col("other_node").alias("b"))
-        found, path = materialise(verify(_canonical(proposed)), "links")
+            weighed = rows.join(weights, "node")
+        minor = weighed.where("not main")
+        others = weighed.select("key", *(F.col(c).alias(f"other_{c}") for c in weighed.columns if c not in ("key", "main")))
+        pair = F.col("component") != F.col("other_component")
+        if rule.possible is not None:
+            limits = weighed.groupBy("key").agg(F.min("size").alias("least"), F.max("common").alias("most"))
+            minor = minor.join(limits, "key").where(rule.possible(F.col("size"), F.col("common"), F.col("least"), F.col("most")))
+            pair = pair & rule.possible(F.col("size"), F.col("common"), F.col("other_size"), F.col("other_common"))
+        if rule.alike is not None:
+            pair = pair & rule.alike(F.col("size"), F.col("sketch"), F.col("other_size"), F.col("other_sketch"))
+        minor = minor.withColumnRenamed("key", "own_key")
+        met_again = minor.join(others, (F.col("own_key") == F.col("key")) & pair)
+        found, path = materialise(rule.verify(_canonical(met_again.select(F.col("node").alias("a"), F.col("other_node").alias("b")))), "links")
         paths.append(path)
-        stars = members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        members = connected(stars.unionAll(found))
+        if not found.isEmpty():
+            stars = members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            members = connected(stars.unionAll(found))
     remove(spark, *paths)
     return members
 

@@ -3,15 +3,15 @@
 A document is the set of its distinct shingles of five words (lower-cased A-Z; with fewer words
 the whole sequence is one shingle).  The sketch has ``bands * rows`` buckets.  A shingle's 64-bit
 hash falls into one bucket, and of a bucket's smallest hash the register keeps the number of
-leading zeros and ten bits of mantissa: 16 bits.  Registers are read in bands of ``rows``; two
-documents that agree in a band are candidates.  A pair is estimated from all its registers (share
-of equal ones among those filled on either side, less the share that agrees by chance), and, unless
-the estimate lies more than six standard errors under the threshold, verified on the full sets.
+leading zeros and 26 bits of mantissa.  Registers are read in bands of ``rows``; two documents that
+agree in a band are candidates.  Folded to a byte each, the registers estimate a pair: the share of
+equal ones among those filled on either side, less the share that agrees by chance.  Unless the
+estimate lies more than 5.5 standard errors under the threshold, the pair is verified on full sets.
 
-With 40 bands of 4, a pair at a similarity of exactly 0.75 is missed by the bands with a
-probability under 3e-7, at 0.8 under 1e-9.  Sets of few shingles leave registers empty; an empty
-register equals an empty register, and a band of empty registers proposes nothing, so small sets
-that share most shingles still meet.
+With 64 bands of 5, a pair at a similarity of exactly 0.75 is missed by the bands with a
+probability of 3e-8, at 0.8 of 6e-12.  Sets of few shingles leave registers empty; an empty register
+equals an empty register, and a band of empty registers proposes nothing, so small sets that share
+most shingles still meet.
 
 Texts with equal sets are one class and one node; copies are never expanded into pairs.
 
@@ -23,7 +23,7 @@ name; a class of only such rows is linked to nothing.  An empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,10 @@ from deklara.llm import linkage
 from deklara.llm.common import materialise
 
 WIDTH = 5
-MANTISSA = 10
+MANTISSA = 26
+#: Chance that two different registers fold to one byte, and how far an estimate may err.
+CHANCE = 1 / 255
+DEVIATIONS = 5.5
 #: Odd 64-bit multipliers, one for each word of a shingle.
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"word", i) | 1 for i in range(WIDTH)], dtype=np.uint64)
 
@@ -61,57 +64,84 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def registers(shingles: np.ndarray, buckets: int) -> np.ndarray:
-    """One 16-bit register per bucket: 1 + leading zeros, and the mantissa; 0 for an empty bucket.
+    """One 32-bit register per bucket: 1 + leading zeros, and the mantissa; 0 for an empty bucket.
 
     Buckets are equal slices of the hash range, so in a sorted set the first hash of a slice is
     its smallest.
     """
-    borders = np.array([-(-(i << 64) // buckets) for i in range(buckets)], dtype=np.uint64)
-    first = np.searchsorted(shingles, borders)
+    first = np.searchsorted(shingles, _borders(buckets))
     filled = first < np.append(first[1:], len(shingles))
-    out = np.zeros(buckets, np.uint16)
+    out = np.zeros(buckets, np.uint64)
     place = shingles[first[filled]] * np.uint64(buckets)  # place within the slice, over 2**64
     zeros = (53 - np.frexp((place >> np.uint64(11)).astype(np.float64))[1]).astype(np.uint64)
     mantissa = (place << zeros << np.uint64(1)) >> np.uint64(64 - MANTISSA)
-    out[filled] = (((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
+    out[filled] = ((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | mantissa
     return out
 
 
-def _sketches(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@cache
+def _borders(buckets: int) -> np.ndarray:
+    return np.array([-(-(i << 64) // buckets) for i in range(buckets)], dtype=np.uint64)
+
+
+def folded(register: np.ndarray) -> np.ndarray:
+    """Registers as one byte each, 0 for an empty one: what pairs are estimated from."""
+    return np.where(register > 0, 1 + _mixed(register) % np.uint64(255), 0).astype(np.uint8)
+
+
+def band_keys(register: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band that is not empty."""
+    bands = register.reshape(-1, rows)
+    number = np.arange(1, len(bands) + 1, dtype=np.uint64)
+    total = _mixed(number)
+    for j in range(rows):
+        total = _mixed(total + bands[:, j] * _FACTORS[j % WIDTH])
+    return total[bands.any(axis=1)].view(np.int64)
+
+
+def _sketches(buckets: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, digests, sketches = [], [], []
+        sizes, digests, sketches, keys = [], [], [], []
         for text in batch.column(1):
             shingles = shingle_set(text.as_py())
+            register = registers(shingles, buckets)
             sizes.append(len(shingles))
             digests.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
-            sketches.append(registers(shingles, buckets).tobytes() if len(shingles) else None)
+            sketches.append(folded(register).view(np.int64))
+            keys.append(band_keys(register, rows))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n_shingles", "digest", "sketch"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "digest", "sketch", "keys"],
         )
 
 
-def _chance(n: np.ndarray, buckets: int) -> np.ndarray:
-    """Share of a filled register's values by leading zeros, for sets of n shingles: [pairs, 40]."""
-    edges = 0.5 ** np.arange(41)
-    above = np.exp(np.maximum(n, 1)[:, None] / buckets * np.log1p(-np.minimum(edges, 1 - 1e-12))[None, :])
-    return np.diff(above, axis=1)
+def _empty_bytes(words: Column) -> Column:
+    """How many bytes of an array of 64-bit words are zero."""
 
+    def count(total: Column, v: Column) -> Column:
+        for k in (4, 2, 1):
+            v = v.bitwiseOR(F.shiftrightunsigned(v, k))
+        return total + 8 - F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
 
-def estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard estimates of pairs of sketches, and the registers they rest on."""
-    used = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
-    equal = ((a == b) & (a > 0)).sum(axis=1)
-    chance = (_chance(n_a, a.shape[1]) * _chance(n_b, a.shape[1])).sum(axis=1) / (1 << MANTISSA)
-    return (equal / used - chance) / (1 - chance), used
+    return F.aggregate(words, F.lit(0), count)
 
 
-def _likely(least: float, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, buckets) for c in ("sketch_a", "sketch_b"))
-        guess, used = estimated(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-        keep = pa.array(guess >= least - 6 * np.sqrt(least * (1 - least) / used))
-        yield batch.select(["a", "b"]).filter(keep)
+def estimate(sketch: Column, other: Column) -> tuple[Column, Column]:
+    """Collision-corrected Jaccard estimate of two folded sketches, and the registers it rests on."""
+    neither = _empty_bytes(F.zip_with(sketch, other, lambda a, b: a.bitwiseOR(b)))
+    equal = _empty_bytes(F.zip_with(sketch, other, lambda a, b: a.bitwiseXOR(b))) - neither
+    used = F.greatest(8 * F.size(sketch) - neither, F.lit(1))
+    return (equal / used - CHANCE) / (1 - CHANCE), used
+
+
+def alike(percent: int, size: Column, sketch: Column, other_size: Column, other: Column) -> Column:
+    """Whether the estimate lies at most ``DEVIATIONS`` standard errors under the threshold.  Registers
+    sample the union without replacement, which small sets exhaust."""
+    least = percent / 100
+    guess, used = estimate(sketch, other)
+    union = (size + other_size) / (1 + least)
+    error = F.sqrt(least * (1 - least) / used * F.greatest(1 - used / union, F.lit(0.1)))
+    return guess >= least - DEVIATIONS * error - 1 / used
 
 
 def _linked(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,52 +175,44 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets))], names=["node", "shingle"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 40, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 64, rows: int = 5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the smallest doc_id that links reach; ``kept`` says that it is the row's own.
+    ``bands * rows`` must divide by 8.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    buckets = bands * rows
     sketches, _ = materialise(
-        docs.mapInArrow(partial(_sketches, buckets), "doc_id bigint, n_shingles bigint, digest binary, sketch binary"),
+        docs.mapInArrow(
+            partial(_sketches, bands * rows, rows),
+            "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>, keys array<bigint>",
+        ),
         "sketches",
     )
     named = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    named, _ = materialise(named, "classes")
     nodes = (
         sketches.join(named, (sketches["digest"] == named["digest"]) & (sketches["doc_id"] == named["node"]))
-        .select("node", F.col("n_shingles").alias("n"), "sketch")
+        .select("node", F.col("n_shingles").alias("size"), "sketch", "keys")
         .dropDuplicates(["node"])
     )
     nodes, _ = materialise(nodes, "nodes")
-    wide = 2 * rows
-    band = F.explode(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(bands - 1)),
-            lambda i: F.struct(i.alias("i"), F.substring("sketch", i * wide + 1, F.lit(wide)).alias("r")),
-        )
-    ).alias("band")
-    keys = (
-        nodes.select("node", band)
-        .where(F.col("band.r") != F.lit(bytes(wide)))
-        .select("node", F.xxhash64("band.i", "band.r").alias("key"))
-    )
+    keys = nodes.select("node", F.explode("keys").alias("key"))
 
     def rule_for(candidates: DataFrame) -> linkage.Rule:
         wanted = candidates.select(F.col("node").alias("doc_id"))
         texts, _ = materialise(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        own, _ = materialise(nodes.join(candidates, "node", "left_semi"), "candidates")
+        own, _ = materialise(nodes.select("node", "size", "sketch").join(candidates, "node", "left_semi"), "candidates")
 
         def verify(pairs: DataFrame) -> DataFrame:
             def sketch(s: str) -> DataFrame:
-                return own.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+                return own.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "sketch")))
 
             def text(s: str) -> DataFrame:
                 return texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
 
-            likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(
-                partial(_likely, percent / 100, buckets), "a bigint, b bigint"
-            )
+            likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
+            likely = likely.where(alike(percent, *(F.col(c) for c in ("size_a", "sketch_a", "size_b", "sketch_b")))).select("a", "b")
             both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
             return both.mapInArrow(partial(_linked, percent), "a bigint, b bigint")
 
@@ -206,21 +228,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 40, rows: i
                 .agg(F.count("*").alias("alone"))
             )
             return (
-                nodes.join(own.select("node", F.col("n").alias("size")), "node")
+                own.join(nodes, "node", "left_semi")
                 .join(alone, "node", "left")
-                .select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+                .select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"), "sketch")
             )
 
         def possible(size: Column, common: Column, other_size: Column, other_common: Column) -> Column:
             """100 * shared >= percent * (sizes - shared), with at most the smaller ``common`` shared."""
             return (100 + percent) * F.least(common, other_common) >= percent * (size + other_size)
 
-        return linkage.Rule(verify, weigh, possible)
+        return linkage.Rule(verify, weigh, possible, partial(alike, percent))
 
     members = linkage.groups(keys, rule_for)
-    classes = named.join(members, "node", "left").select(
-        "digest", F.coalesce("component", "node").alias("component")
-    )
+    placed = named.join(members, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("group"))
+    smallest = placed.groupBy("group").agg(F.min("node").alias("component"))
+    classes = placed.join(smallest, placed["group"].eqNullSafe(smallest["group"]), "left").select("digest", "component")
     return (
         sketches.select("doc_id", "n_shingles", "digest")
         .join(classes, "digest", "left")
