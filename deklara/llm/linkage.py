@@ -59,8 +59,10 @@ def connected(edges: DataFrame) -> DataFrame:
         members, _ = materialise(members, "members")
         remove(spark, path, roots_path)
         left, path = now, now_path
+    if members is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     remove(spark, path)
-    return left.select(F.col("a").alias("node"), F.col("b").alias("component")) if members is None else members
+    return members
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
