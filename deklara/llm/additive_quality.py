@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deklara.llm.boosted_rules import bin_borders
-from deklara.llm.common import crc_fold
+from deklara.llm.common import crc_fold, row_of, row_schema
 from deklara.llm.docstats import batch_statistics, labelled_sample
 
 COARSE = 12
@@ -167,7 +167,6 @@ def score(docs: DataFrame, model: Additive, least: float = 0.3) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Additive, least: float = 0.3) -> DataFrame:
     """The documents that score ``least`` or more, with their own columns."""
-    own = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    kind = docs.schema.simpleString()
-    kept = own.mapInArrow(partial(_scores, model, least), f"text string, row {kind}, score double, predicted int")
+    own = docs.select(row_of(docs), "text")
+    kept = own.mapInArrow(partial(_scores, model, least), row_schema(docs, text="string", score="double", predicted="int"))
     return kept.where("predicted = 1").select("row.*")

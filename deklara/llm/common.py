@@ -12,9 +12,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-#: ASCII white space as the contracts define it; bytes.split() without arguments uses the same set.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
+_KINDS = {"string": StringType(), "double": DoubleType(), "int": IntegerType(), "bigint": LongType()}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -45,6 +45,21 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that none can clash with an operator's own."""
+    return F.struct(*(column(c) for c in df.columns)).alias("row")
+
+
+def row_schema(df: DataFrame, **more: str) -> StructType:
+    """The schema of ``row`` and further columns, given by their types."""
+    return StructType([StructField("row", df.schema), *(StructField(n, _KINDS[t]) for n, t in more.items())])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

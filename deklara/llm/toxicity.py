@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deklara.llm.common import crc_fold, hash_share, materialise, remove
+from deklara.llm.common import crc_fold, hash_share, materialise, remove, row_of, row_schema
 from deklara.llm.minhash import shingle_set
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -209,8 +209,6 @@ def score(docs: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
     """The documents that score under ``least``, with their own columns."""
-    own = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    kept = own.mapInArrow(
-        partial(_scores, model, least), f"text string, row {docs.schema.simpleString()}, score double, predicted int"
-    )
+    own = docs.select(row_of(docs), "text")
+    kept = own.mapInArrow(partial(_scores, model, least), row_schema(docs, text="string", score="double", predicted="int"))
     return kept.where("predicted = 0").select("row.*")

@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from deklara.llm import additive_quality, boosted_rules, docstats, languages, toxicity
+from deklara.llm import additive_quality, boosted_rules, docstats, languages, lines, toxicity
 from deklara.llm.docstats import FEATURES
 
 SF = "/root/testdata/sf0.01"
@@ -90,6 +91,9 @@ def test_models_on_edge_rows(spark):
         assert len(got) == len(EDGE) and all(0 <= r["score"] <= 1 for r in got) and {r["held_out"] for r in got} <= {True, False}
     assert additive_quality.accepted(docs, additive_quality.fit(docs, none)).columns == docs.columns
     assert toxicity.accepted(docs, toxicity.fit(docs, none)).count() == len(EDGE)
+    odd = docs.toDF("doc_id", "text", "a b`c").withColumn("row", F.lit("r"))
+    assert toxicity.accepted(odd, toxicity.Scorer()).columns == odd.columns == lines.deduplicated(odd, counts=False).columns
+    assert lines.deduplicated(odd, counts=False).count() == len(EDGE)
     assert boosted_rules.judge(docs.limit(0), boosted_rules.fit(docs, none)).count() == 0
 
 
