@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-equal lines one occurrence stays; all documents stay, with what is left of their text."""
-    return lines.deduplicated(docs).select(*(f"`{c}`" for c in docs.columns))
+    return lines.deduplicated(docs, counts=False)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
