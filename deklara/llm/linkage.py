@@ -77,7 +77,7 @@ class Rule:
 
     ``verify`` takes pairs (a, b) with a < b and returns those that are linked.  ``weigh`` gives the
     nodes that it is asked for a ``size``, a count ``common`` (what of the node is found in any other of
-    them), and a ``sketch``.  ``possible`` says of two nodes' sizes and counts whether they can be linked
+    them), a ``sketch``, and the array of all its ``keys``.  ``possible`` says of two nodes' sizes and counts whether they can be linked
     at all, and ``alike`` of their sizes and sketches whether they are worth verifying.
     """
 
@@ -124,6 +124,8 @@ def groups(keys: DataFrame, rule_for: Callable[[DataFrame], Rule]) -> DataFrame:
             limits = weighed.groupBy("key").agg(F.min("size").alias("least"), F.max("common").alias("most"))
             minor = minor.join(limits, "key").where(rule.possible(F.col("size"), F.col("common"), F.col("least"), F.col("most")))
             pair = pair & rule.possible(F.col("size"), F.col("common"), F.col("other_size"), F.col("other_common"))
+        if rule.weigh is not None:  # of the keys that two nodes share, one yields the pair
+            pair = pair & (F.array_min(F.array_intersect("keys", "other_keys")) == F.col("own_key"))
         if rule.alike is not None:
             pair = pair & rule.alike(F.col("size"), F.col("sketch"), F.col("other_size"), F.col("other_sketch"))
         minor = minor.withColumnRenamed("key", "own_key")
