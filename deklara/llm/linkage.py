@@ -118,8 +118,8 @@ def groups(keys: DataFrame, rule_for: Callable[[DataFrame], Rule]) -> DataFrame:
             paths.append(path)
             weighed = rows.join(weights, "node")
         minor = weighed.where("not main")
-        others = weighed.select("key", *(F.col(c).alias(f"other_{c}") for c in weighed.columns if c not in ("key", "main")))
-        pair = F.col("component") != F.col("other_component")
+        others = weighed.select("key", *(F.col(c).alias(f"other_{c}") for c in weighed.columns if c != "key"))
+        pair = (F.col("component") != F.col("other_component")) & (F.col("other_main") | (F.col("node") < F.col("other_node")))
         if rule.possible is not None:
             limits = weighed.groupBy("key").agg(F.min("size").alias("least"), F.max("common").alias("most"))
             minor = minor.join(limits, "key").where(rule.possible(F.col("size"), F.col("common"), F.col("least"), F.col("most")))
