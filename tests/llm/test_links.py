@@ -112,9 +112,10 @@ def test_lines_against_brute_force(spark, line_rows):
     forms = {(i, n): form for i, t in docs.items() for n, form in enumerate(lines.forms(t))}
     classes = sorted({" ".join(f) for f in forms.values() if f})
     blocks = dict(zip(classes, lines.simhashes([c.split(" ") for c in classes]).tolist(), strict=True))
+    far = lambda a, b: sum(((x ^ y) & 0xFFFFFFFF).bit_count() for x, y in zip(blocks[a], blocks[b], strict=True)) > lines.MOST_BITS
     links = [
         (a, b) for a in classes for b in classes
-        if a < b and any(x == y for x, y in zip(blocks[a], blocks[b], strict=True)) and edit_distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)
+        if a < b and not far(a, b) and any(x == y for x, y in zip(blocks[a], blocks[b], strict=True)) and edit_distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)
     ]
     group = components(classes, links)
     seen, gone = set(), set()
