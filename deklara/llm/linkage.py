@@ -94,8 +94,9 @@ def groups(keys: DataFrame, rule_for: Callable[[DataFrame], Rule]) -> DataFrame:
     fetch what it needs of them, and gives the rule.
 
     First each node is held against one other: of the nodes that share a key with it, the one that meets
-    most others, which in a group of copies is the least changed.  What is linked so is merged.  Then
-    every pair that shares a key and still lies in two groups follows.
+    most others, which in a group of copies is among the least changed.  What is linked so is merged.
+    If nodes are weighed, those left apart are held against one more.  Then every pair that shares a key
+    and still lies in two groups follows.
     """
     spark = keys.sparkSession
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -111,34 +112,61 @@ def groups(keys: DataFrame, rule_for: Callable[[DataFrame], Rule]) -> DataFrame:
     members = connected(links)
     rows, rows_path = materialise(_undecided(shared, members), "undecided")
     paths = [shared_path, met_path, links_path, rows_path]
-    if not rows.isEmpty():
-        weighed = rows
-        if rule.weigh is not None:
-            weights, path = materialise(rule.weigh(rows.select("node").distinct()), "weights")
-            paths.append(path)
-            weighed = rows.join(weights, "node")
-        minor = weighed.where("not main")
-        others = weighed.select("key", *(F.col(c).alias(f"other_{c}") for c in weighed.columns if c != "key"))
-        pair = (F.col("component") != F.col("other_component")) & (F.col("other_main") | (F.col("node") < F.col("other_node")))
-        if rule.possible is not None:
-            limits = weighed.groupBy("key").agg(F.min("size").alias("least"), F.max("common").alias("most"))
-            minor = minor.join(limits, "key").where(rule.possible(F.col("size"), F.col("common"), F.col("least"), F.col("most")))
-            pair = pair & rule.possible(F.col("size"), F.col("common"), F.col("other_size"), F.col("other_common"))
-        if rule.weigh is not None:  # of the keys that two nodes share, one yields the pair
-            pair = pair & (F.array_min(F.array_intersect("keys", "other_keys")) == F.col("own_key"))
-        if rule.alike is not None:
-            pair = pair & rule.alike(F.col("size"), F.col("sketch"), F.col("other_size"), F.col("other_sketch"))
-        minor = minor.withColumnRenamed("key", "own_key")
-        met_again = minor.join(others, (F.col("own_key") == F.col("key")) & pair)
-        found, path = materialise(rule.verify(_canonical(met_again.select(F.col("node").alias("a"), F.col("other_node").alias("b")))), "links")
+    if rows.isEmpty():
+        remove(spark, *paths)
+        return members
+    weights = None
+    if rule.weigh is not None:
+        weights, path = materialise(rule.weigh(rows.select("node").distinct()), "weights")
         paths.append(path)
-        if not found.isEmpty():
-            stars = members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-            members = connected(stars.unionAll(found))
-    remove(spark, *paths)
+        # Once more against one other: the member of a key's largest group that shares most of itself.
+        weighed = rows.join(weights.select("node", "size", "common"), "node")
+        minor = _open(weighed, rule)
+        share = F.struct((F.col("common") / F.col("size")).alias("share"), "size", "node")
+        heads = weighed.where("main").groupBy("key").agg(F.max(share).alias("head"))
+        best = minor.join(heads, "key").groupBy("node").agg(F.max("head").alias("head"))
+        found, path = materialise(rule.verify(_canonical(best.select(F.col("node").alias("a"), F.col("head.node").alias("b")))), "links")
+        members = _merged(members, found)
+        rows, rows_path = materialise(_undecided(rows, members), "undecided")
+        paths += [path, rows_path]
+    found, path = materialise(rule.verify(_canonical(_remaining(rows, weights, rule))), "links")
+    members = _merged(members, found)
+    remove(spark, *paths, path)
     return members
 
 
+def _merged(members: DataFrame, found: DataFrame) -> DataFrame:
+    if found.isEmpty():
+        return members
+    stars = members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return connected(stars.unionAll(found))
+
+
+def _open(weighed: DataFrame, rule: Rule) -> DataFrame:
+    """Rows outside their key's largest group that can be linked to any of the key's nodes."""
+    minor = weighed.where("not main")
+    if rule.possible is None:
+        return minor
+    limits = weighed.groupBy("key").agg(F.min("size").alias("least"), F.max("common").alias("most"))
+    return minor.join(limits, "key").where(rule.possible(F.col("size"), F.col("common"), F.col("least"), F.col("most"))).drop("least", "most")
+
+
+def _remaining(rows: DataFrame, weights: DataFrame | None, rule: Rule) -> DataFrame:
+    """Every pair (a, b) of nodes that share a key and lie in two groups."""
+    weighed = rows if weights is None else rows.join(weights, "node")
+    others = weighed.select("key", *(F.col(c).alias(f"other_{c}") for c in weighed.columns if c != "key"))
+    pair = (F.col("component") != F.col("other_component")) & (F.col("other_main") | (F.col("node") < F.col("other_node")))
+    if rule.possible is not None:
+        pair = pair & rule.possible(F.col("size"), F.col("common"), F.col("other_size"), F.col("other_common"))
+    if rule.weigh is not None:  # of the keys that two nodes share, one yields the pair
+        pair = pair & (F.array_min(F.array_intersect("keys", "other_keys")) == F.col("own_key"))
+    if rule.alike is not None:
+        pair = pair & rule.alike(F.col("size"), F.col("sketch"), F.col("other_size"), F.col("other_sketch"))
+    minor = _open(weighed, rule).withColumnRenamed("key", "own_key")
+    met = minor.join(others, (F.col("own_key") == F.col("key")) & pair)
+    return met.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+
+
 def _undecided(rows: DataFrame, members: DataFrame) -> DataFrame:
     """The rows (key, node) of keys that hold more than one group, each with its group and whether
     that is the key's largest (``main``)."""
