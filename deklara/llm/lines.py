@@ -2,12 +2,12 @@
 
 A line is what stands between line feeds; its normal form is its letters and digits in lower case,
 the digits 1-9 as 0, other characters as one blank.  Lines without a letter or digit have no normal form and
-are never touched.  Lines of one normal form are one class.  A class has a SimHash of 128 bits over
-its distinct words, cut into ``BLOCKS`` blocks of 32 bits.  Two classes that agree in a block are candidates, so
-every pair within ``BLOCKS - 1`` bits of each other is one (the pigeonhole principle), and a good part of
-the pairs beyond; candidates within ``MOST_BITS`` bits are linked if the edit distance of their normal forms is at most
-``1 - similarity`` of the longer one's length.  Of each connected group the occurrence with the smallest
-(doc_id, line number) stays and all others go.
+are never touched.  Lines of one normal form are one class.  A class is the set of its padded runs of
+``GRAM`` characters, which a typo or a changed word barely moves, and has ``BANDS * ROWS`` minima of
+hashes of that set (MinHash).  Two classes that agree in a band of ``ROWS`` minima are candidates; a pair with a
+Jaccard similarity of j is one with a probability of ``1 - (1 - j**ROWS)**BANDS``.  Candidates are linked if the edit
+distance of their normal forms is at most ``1 - similarity`` of the longer one's length.  Of each connected group
+the occurrence with the smallest (doc_id, line number) stays and all others go.
 
 Lines are known by a 64-bit hash of the normal form while they are grouped; texts are fetched only of
 the candidates.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deklara.llm import linkage
+from deklara.llm import linkage, minhash
 from deklara.llm.common import materialise, remove, row_of, row_schema
 
 BLOCKS = 4
@@ -38,9 +38,16 @@ _ANY = re.compile(r"[^\W_]")
 _DIGIT = re.compile("[1-9]")
 #: Line hashes that a task remembers at most.
 MEMORY = 500_000
-#: Bits of two SimHashes that may differ; further off, a shared block is chance.
+GRAM, BANDS, ROWS = 6, 40, 3
+#: Standard errors that an estimate may lie under the least similarity that the edits allow.
+DEVIATIONS = 4
+#: Characters that are hashed at once.
+CHUNK = 1 << 19
+LINES = "doc_id bigint, line int, node bigint, chars int, sketch array<bigint>, keys array<bigint>"
+_FACTORS = np.array([xxhash.xxh64_intdigest(b"gram", i) | 1 for i in range(GRAM)], dtype=np.uint64)
+_MINIMA = np.array([xxhash.xxh32_intdigest(b"minimum", i) | 1 for i in range(BANDS * ROWS)], dtype=np.uint32)
+# Of the former candidates; read by test_lines_against_brute_force alone.
 MOST_BITS = 24
-LINES = "doc_id bigint, line int, node bigint, chars int, s0 int, s1 int, s2 int, s3 int"
 
 
 def forms(text: str | None) -> list[list[str]]:
@@ -71,27 +78,76 @@ def simhashes(lines: list[list[str]]) -> np.ndarray:
     return out.view("<i4").reshape(-1, BLOCKS)
 
 
+def minima(lines: list[str]) -> np.ndarray:
+    """[lines, BANDS * ROWS] minima of 32-bit hashes of each line's padded runs of ``GRAM`` characters."""
+    out = np.full((len(lines), len(_MINIMA)), 0xFFFFFFFF, np.uint32)
+    pad = "\0" * (GRAM - 1)
+    owners, parts, chars = [], [], 0
+
+    def settle() -> None:
+        nonlocal owners, parts, chars
+        if not parts:
+            return
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(p) for p in parts])
+        total = np.zeros(len(codes) - GRAM + 1, np.uint64)
+        for i, factor in enumerate(_FACTORS):
+            total += codes[i : i + len(total)] * factor
+        ends = np.cumsum(sizes)
+        within = np.arange(len(total)) <= np.repeat(ends - GRAM, sizes)[: len(total)]
+        grams = (minhash._mixed(total[within]) >> np.uint64(32)).astype(np.uint32)
+        starts = np.concatenate(([0], np.cumsum(sizes - GRAM + 1)[:-1]))
+        for i, factor in enumerate(_MINIMA):
+            np.minimum.at(out[:, i], owners, np.minimum.reduceat(grams * factor, starts))
+        owners, parts, chars = [], [], 0
+
+    for number, line in enumerate(lines):
+        padded = pad + line + pad
+        for first in range(0, len(padded) - GRAM + 1, CHUNK):
+            owners.append(number)
+            parts.append(padded[first : first + CHUNK + GRAM - 1])
+            chars += len(parts[-1])
+            if chars >= CHUNK:
+                settle()
+    settle()
+    return out
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """[lines, BANDS] keys of lines' minima."""
+    keys = minhash._mixed(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :]
+    for j in range(ROWS):
+        keys = minhash._mixed(keys + found[:, j::ROWS] * _FACTORS[j])
+    return keys.view(np.int64)
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All lines with a normal form; a task gives the SimHash of a form once, if memory allows."""
+    """All lines with a normal form; a task gives the sketch of a form once, if memory allows."""
     done: set[int] = set()
     for batch in batches:
-        docs, numbers, nodes, chars, fresh, new = [], [], [], [], [], []
+        docs, numbers, nodes, chars, fresh, new, sizes = [], [], [], [], [], [], []
 
         def full() -> pa.RecordBatch:
-            blocks = np.zeros((len(nodes), BLOCKS), np.int32)
-            if new:
-                blocks[fresh] = simhashes(new)
-            known = np.zeros(len(nodes), bool)
-            known[fresh] = True
+            found = minima(new)
+            # Forms of fewer than 9 characters can be linked to none but themselves.
+            long = np.array([n >= 9 for n in sizes], bool)
+            found = found[long].astype(np.uint64)
+
+            def lists(rows: np.ndarray) -> pa.Array:
+                counts = np.zeros(len(nodes) + 1, np.int32)
+                counts[1:][np.array(fresh, int)[long]] = rows.shape[1]
+                return pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(rows.ravel()))
+
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(docs, pa.int64()),
                     pa.array(numbers, pa.int32()),
                     pa.array(nodes, pa.int64()),
                     pa.array(chars, pa.int32()),
-                    *(pa.array(np.ascontiguousarray(b), mask=~known) for b in blocks.T),
+                    lists(minhash.folded(found + np.uint64(1)).view(np.int64)),
+                    lists(band_keys(found)),
                 ],
-                names=["doc_id", "line", "node", "chars", "s0", "s1", "s2", "s3"],
+                names=["doc_id", "line", "node", "chars", "sketch", "keys"],
             )
 
         words = 0
@@ -104,7 +160,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             done.clear()
                         done.add(node)
                         fresh.append(len(nodes))
-                        new.append(form)
+                        new.append(" ".join(form))
+                        sizes.append(len(new[-1]))
                         words += len(form)
                     docs.append(doc_id)
                     numbers.append(number)
@@ -112,17 +169,18 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     chars.append(sum(map(len, form)) + len(form) - 1)
                 if words > 50_000:
                     yield full()
-                    docs, numbers, nodes, chars, fresh, new, words = [], [], [], [], [], [], 0
+                    docs, numbers, nodes, chars, fresh, new, sizes, words = [], [], [], [], [], [], [], 0
         yield full()
 
 
-def alike(size: Column, sketch: Column, other_size: Column, other: Column) -> Column:
-    """Whether two SimHashes differ in at most ``MOST_BITS`` bits."""
-
-    def differ(a: Column, b: Column) -> Column:
-        return F.bit_count(a.bitwiseXOR(b).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))  # of 32 bits, not a sign's 64
-
-    return F.aggregate(F.zip_with(sketch, other, differ), F.lit(0), lambda total, n: total + n) <= MOST_BITS
+def alike(similarity: float, size: Column, sketch: Column, other_size: Column, other: Column) -> Column:
+    """Whether the estimate lies at most ``DEVIATIONS`` standard errors under the similarity that is left when
+    every edit changes ``GRAM`` runs."""
+    longer, shorter = F.greatest(size, other_size), F.least(size, other_size)
+    runs, lost = longer + GRAM - 1, GRAM * F.floor(longer * (1 - similarity) + 1e-9)
+    least = F.greatest((runs - lost) / (shorter + GRAM - 1 + lost), F.lit(0.0))
+    guess, used = minhash.estimate(sketch, other)
+    return guess >= least - DEVIATIONS * F.sqrt(F.greatest(least * (1 - least), F.lit(0.04)) / used)
 
 
 def _wanted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,12 +202,9 @@ def removed_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     lines, lines_path = materialise(docs.mapInArrow(_lines, LINES), "lines")
-    blocks = [f"s{i}" for i in range(BLOCKS)]
     classes = lines.groupBy("node").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("chars").alias("size"), *(F.min(c).alias(c) for c in blocks)
+        F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("chars").alias("size"), F.max("sketch").alias("sketch"), F.max("keys").alias("keys")
     )
-    block_keys = F.array(*(F.col(c).cast("bigint") + F.lit(i << 32) for i, c in enumerate(blocks)))
-    classes = classes.select("node", "n", "doc_id", "size", F.array(*blocks).alias("sketch"), block_keys.alias("keys"))
     classes, classes_path = materialise(classes, "line-classes")
     keys = classes.select("node", F.explode("keys").alias("key"))
 
@@ -168,7 +223,7 @@ def removed_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
 
             size_a, size_b = F.col("size_a"), F.col("size_b")
             near = pairs.join(side("a"), "a").join(side("b"), "b").where(possible(size_a, size_a, size_b, size_b))
-            near = near.where(alike(size_a, F.col("sketch_a"), size_b, F.col("sketch_b")))
+            near = near.where(alike(similarity, size_a, F.col("sketch_a"), size_b, F.col("sketch_b")))
             most = F.floor(F.greatest(size_a, size_b) * (1 - similarity) + 1e-9).cast("int")
             both = near.select("a", "b", most.alias("most")).join(form("a"), "a").join(form("b"), "b")
             return both.where("levenshtein(form_a, form_b, most) >= 0").select("a", "b")
@@ -176,7 +231,7 @@ def removed_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
         def weigh(nodes: DataFrame) -> DataFrame:
             return own.join(nodes, "node", "left_semi").select("node", "size", F.col("size").alias("common"), "sketch", "keys")
 
-        return linkage.Rule(verify, weigh, possible, alike)
+        return linkage.Rule(verify, weigh, possible, partial(alike, similarity))
 
     def possible(size: Column, common: Column, other_size: Column, other_common: Column) -> Column:
         """Lengths further apart than the edits allowed."""

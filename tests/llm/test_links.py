@@ -131,3 +131,48 @@ def test_lines_against_brute_force(spark, line_rows):
         left = None if text is None else "\n".join(line for n, line in enumerate(text.split("\n")) if (r["doc_id"], n) not in gone)
         assert r["text"] == left, r["doc_id"]
         assert r["n_removed"] == sum(1 for i, _ in gone if i == r["doc_id"])
+
+
+def test_changed_words_against_pure_edit_distance(spark):
+    """Candidates are no condition here: all pairs within the promised distance are linked."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice(string.ascii_lowercase) for _ in range(n))
+    texts = []
+    for length in (8, 10, 20, 30, 50, 100):
+        for _ in range(5):
+            base = [word(rng.randint(2, 7)) for _ in range(length)]
+            texts.append(" ".join(base))
+            for changed in (1, max(1, length // 16)):
+                own = list(base)
+                for at in rng.sample(range(length), changed):
+                    own[at] = word(len(own[at]))
+                texts.append(" ".join(own))
+            at = rng.randrange(len(texts[-3]))
+            texts.append(texts[-3][:at] + texts[-3][at + 1 :])
+    texts += ["repeated " * 40, "repeated " * 39 + "repeatxd", "abc", "abd", "größe übel ähnlich", "größe übel ähnlixh"]
+    form = {i: " ".join(*lines.forms(t)) for i, t in enumerate(texts)}
+    near = lambda a, b: abs(len(a) - len(b)) <= max(len(a), len(b)) * 0.1 and edit_distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)
+    group = components(form, [(a, b) for a in form for b in form if a < b and near(form[a], form[b])])
+    found = lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in found if not r["n_removed"]} == set(group.values())
+    long = "".join(rng.choice("abcde ") for _ in range(2000))
+    whole = lines.minima([long, "short"])
+    chunk, lines.CHUNK = lines.CHUNK, 300
+    try:
+        assert (lines.minima([long, "short"]) == whole).all()
+    finally:
+        lines.CHUNK = chunk
+
+
+def test_lines_against_pure_edit_distance(spark, line_rows):
+    docs = {i: t for i, t in line_rows}
+    forms = {(i, n): " ".join(form) for i, t in docs.items() for n, form in enumerate(lines.forms(t)) if form}
+    classes = sorted(set(forms.values()))
+    near = lambda a, b: abs(len(a) - len(b)) <= max(len(a), len(b)) * 0.1 and edit_distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)
+    group = components(classes, [(a, b) for a in classes for b in classes if a < b and near(a, b)])
+    seen, gone = set(), {i: 0 for i in docs}
+    for at in sorted(forms):
+        gone[at[0]] += group[forms[at]] in seen
+        seen.add(group[forms[at]])
+    found = lines.deduplicated(spark.createDataFrame(line_rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in found} == gone
