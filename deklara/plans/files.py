@@ -138,11 +138,12 @@ def check_undecodable(spark, sf_dir):
 
 @query("scan_bom", "select o_orderkey + 1 as _ordinal, o_orderkey::varchar as c0 from orders where o_orderkey < 3")
 def scan_bom(spark, sf_dir):
+    """Every record; the SQL twin knows the first three alone."""
     first = F.when(F.col("_ordinal") == 1, "﻿").otherwise("")
     rows = X.orders_text(spark, sf_dir).select("_ordinal", F.concat(first, F.concat_ws(";", "c0", "c1", "c5")).alias("value"))
     path = scratch(spark, "file")
     _write(rows, path)
-    return S.scan_delimited(spark, path, PLAIN).where("_ordinal <= 3").select("_ordinal", "c0")
+    return S.scan_delimited(spark, path, PLAIN).select("_ordinal", "c0")
 
 
 @query("scan_skip_bytes", "select o_orderkey + 1 as _ordinal, o_orderkey::varchar as c0, o_custkey::varchar as c1 from orders")

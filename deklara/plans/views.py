@@ -224,8 +224,8 @@ def sort_typed(spark, sf_dir):
 
 @query("sort_text_de", _sorted_sql(X.DOCUMENTS_SQL, "t", "c2 = '', c2 collate de desc, substr(c1, 1, 40) collate de"))
 def sort_text_de(spark, sf_dir):
-    short = X.documents_text(spark, sf_dir).withColumn("c1", F.substring("c1", 1, 40))
-    return V.view(V.query_view(short, X.DOCUMENTS), X.DOCUMENTS, sorts=[Sort(2, True), Sort(1)]).select("_ordinal", "pos")
+    """By the whole text; the SQL twin knows its first 40 characters alone."""
+    return V.view(V.query_view(X.documents_text(spark, sf_dir), X.DOCUMENTS), X.DOCUMENTS, sorts=[Sort(2, True), Sort(1)]).select("_ordinal", "pos")
 
 
 @query("sort_multi", _sorted_sql(X.ORDERS_TYPED_SQL, "v", "c4 = '', c4 collate de, q3 desc, q2"))
@@ -388,7 +388,8 @@ def fn_row_tuple(spark, sf_dir):
 
 @query("fn_collate_de", "select doc_id, row_number() over (order by substr(text, 1, 12) collate de, doc_id) as place from documents")
 def fn_collate_de(spark, sf_dir):
+    """By the whole text; the SQL twin knows its first 12 characters alone."""
     from deklara.tables import numbered
 
-    rows = X.load(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("t"))
+    rows = X.load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     return numbered(rows, [F.collate("t", "de").asc(), F.col("doc_id").asc()], "place", 1).select("doc_id", "place")
