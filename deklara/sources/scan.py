@@ -31,24 +31,58 @@ def entries(spark: SparkSession, root: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """The file's physical lines (path, block, at, value), where ``at`` orders the lines of one split."""
+    """The file's physical lines (path, block, at, value), where ``at`` orders the lines of one split; without
+    the bytes that the layout skips."""
     text = spark.read.option("lineSep", layout.record_delimiter).text(path)
     rows = text.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
-        decoded(F.col("value"), layout).alias("value"),
-        (F.octet_length("value") + len(layout.record_delimiter.encode())).alias("bytes"),
+        F.col("value").cast("binary").alias("value"),
+        (F.octet_length("value") + len(_delimiter(layout))).cast("bigint").alias("bytes"),
         F.col("_metadata.file_size").alias("size"),
     )
-    return written(rows, "lines")
+    if layout.skip_bytes:
+        rows = _skipped(_placed(written(rows, "raw-lines")), layout).drop("from")
+    return written(rows.withColumn("value", decoded(F.col("value"), layout)), "lines")
+
+
+def _delimiter(layout: Layout) -> bytes:
+    return layout.record_delimiter.encode()
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Lines with the byte of the file that they begin at (``from``): sums within splits and over splits."""
+    blocks = rows.groupBy("path", "block").agg(F.sum("bytes").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("within", F.coalesce(F.sum("bytes").over(own), F.lit(0))).join(blocks, ["path", "block"])
+    return rows.withColumn("from", F.col("before") + F.col("within")).drop("before", "within")
+
+
+def _skipped(rows: DataFrame, layout: Layout) -> DataFrame:
+    """Each file from byte ``skip_bytes`` on.  If that lies within a delimiter, what is left of it is text."""
+    skip, mark = layout.skip_bytes, _delimiter(layout)
+    start, end = F.col("from"), F.col("from") + F.col("bytes")
+    left = F.substring(F.lit(mark), len(mark) - (F.col("over") - 1), F.col("over"))
+    # The delimiter's bytes that are not skipped, for the line behind it or as a last line of their own.
+    rest = F.when((start > skip) & (start < skip + len(mark)), start - skip).otherwise(0)
+    last = (end == F.col("size")) & (end > skip) & (end < skip + len(mark))
+    rows = rows.where((end >= skip + len(mark)) | last).withColumn("over", F.when(last & (start <= skip), end - skip).otherwise(rest).cast("int"))
+    body = F.substring(F.col("value"), (F.greatest(F.lit(skip) - start, F.lit(0)) + 1).cast("int"), F.octet_length("value"))
+    rows = rows.withColumn("value", F.concat(F.when(F.col("over") > 0, left).otherwise(F.lit(b"")), body))
+    return rows.select(
+        "path", "block", "at", "value", (F.octet_length("value") + len(mark)).cast("bigint").alias("bytes"),
+        (F.col("size") - skip).alias("size"), F.greatest(start - skip - F.col("over"), F.lit(0)).alias("from"),
+    )
 
 
 def decoded(value: Column, layout: Layout) -> Column:
-    """Single-byte codepages are read split by split and decoded afterwards, as the text source keeps the
+    """Other codepages than UTF-8 are read split by split and decoded afterwards, as the text source keeps the
     bytes; bytes that the codepage does not know become U+FFFD."""
     charset = CODEPAGES[layout.codepage]
-    return value if charset == "UTF-8" else F.decode(value.cast("binary"), charset)
+    return value.cast("string") if charset == "UTF-8" else F.decode(value.cast("binary"), charset)
 
 
 def without_mark(value: Column, first: Column) -> Column:
@@ -187,17 +221,6 @@ def _plain(layout: Layout) -> Layout:
     return replace(layout, encapsulator="")
 
 
-def scan_skipping(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """Records of files whose first ``skip_bytes`` bytes are none: each file is read whole, as a skip
-    moves every delimiter.  For files of more than 2 GB there is no such reading."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.decode(F.expr(f"substring(content, {layout.skip_bytes + 1})"), CODEPAGES[layout.codepage])
-    body = F.regexp_replace(text, re.escape(layout.record_delimiter) + r"\z", "")
-    rows = files.select(F.posexplode(F.split(body, re.escape(layout.record_delimiter), -1)).alias("at", "value"))
-    records = rows.select((F.col("at") + 1).cast("bigint").alias("_ordinal"), "value")
-    return in_range(shaped(records, layout, split_record(F.col("value"), layout)), layout)
-
-
 def undecodable(records: DataFrame, layout: Layout) -> DataFrame:
     """Records with a replacement character, and the first column that has one."""
     columns = F.array(*(F.contains(f"c{i}", F.lit("�")) for i in range(len(layout.columns))))

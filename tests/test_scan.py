@@ -88,3 +88,39 @@ def test_unusable():
     from dataclasses import replace
 
     assert scan.unusable(LAYOUT) is None and scan.unusable(replace(LAYOUT, codepage="UTF7")) == "codepage"
+
+
+def scanned(spark, path, layout, block=None):
+    if block:
+        for key, v in (("maxPartitionBytes", block), ("openCostInBytes", 0), ("minPartitionNum", 1)):
+            spark.conf.set(f"spark.sql.files.{key}", v)
+    for key in ("javaCharsets", "codingErrorAction"):
+        spark.conf.set(f"spark.sql.legacy.{key}", "true")
+    try:
+        rows = scan.scan_delimited(spark, str(path), layout).orderBy("_ordinal").collect()
+    finally:
+        for key in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum") if block else ():
+            spark.conf.unset(f"spark.sql.files.{key}")
+        for key in ("javaCharsets", "codingErrorAction"):
+            spark.conf.unset(f"spark.sql.legacy.{key}")
+    assert [r["_ordinal"] for r in rows] == list(range(1, len(rows) + 1))
+    return [[r["c0"], r["c1"], r["c2"]] for r in rows]
+
+
+def shaped(records):
+    return [[*r, "", ""][:3] for r in records]
+
+
+@pytest.mark.parametrize("skip", [2, 5, 6, 7, 8, 9, 30, 1000])
+def test_skipped_bytes_of_several_files(spark, tmp_path, skip):
+    """Bytes go from each file; what is left is stitched and numbered over all files."""
+    from dataclasses import replace
+
+    texts = ['12345\r\n\r\n"a;\r\nb";c\r\nd;"e\r\n"\r\n', '#HEAD#x;"y\r\n\r\nz"\r\nlast;1']
+    for i, t in enumerate(texts):
+        (tmp_path / f"p{i}.txt").write_bytes(t.encode())
+    # The brute reader knows one character as delimiter; other line feeds are told apart from it.
+    bodies = [t[skip:].replace("\r\n", "\1").replace("\n", "\2").replace("\1", "\n") for t in texts]
+    expected = [[v.replace("\n", "\r\n").replace("\2", "\n") for v in r] for b in bodies for r in brute(b)]
+    for block in (None, 11):
+        assert scanned(spark, tmp_path, replace(LAYOUT, record_delimiter="\r\n", skip_bytes=skip), block) == shaped(expected)
