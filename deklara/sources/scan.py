@@ -33,7 +33,10 @@ def entries(spark: SparkSession, root: str) -> DataFrame:
 def lines(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     """The file's physical lines (path, block, at, value), where ``at`` orders the lines of one split; without
     the bytes that the layout skips."""
-    text = spark.read.option("lineSep", layout.record_delimiter).text(path)
+    charset = CODEPAGES[layout.codepage]
+    wide = charset.startswith("UTF-16")
+    reader = spark.read.option("lineSep", layout.record_delimiter)
+    text = (reader.option("encoding", charset) if wide else reader).text(path)
     rows = text.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -42,13 +45,16 @@ def lines(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
         (F.octet_length("value") + len(_delimiter(layout))).cast("bigint").alias("bytes"),
         F.col("_metadata.file_size").alias("size"),
     )
-    if layout.skip_bytes:
-        rows = _skipped(_placed(written(rows, "raw-lines")), layout).drop("from")
+    if layout.skip_bytes or wide:
+        rows = _placed(written(rows, "raw-lines"))
+        rows = _skipped(rows, layout) if layout.skip_bytes else rows
+        rows = (_aligned(rows, layout) if wide else rows).drop("from")
     return written(rows.withColumn("value", decoded(F.col("value"), layout)), "lines")
 
 
 def _delimiter(layout: Layout) -> bytes:
-    return layout.record_delimiter.encode()
+    charset = CODEPAGES[layout.codepage]
+    return layout.record_delimiter.encode("utf-16-le" if charset == "UTF-16LE" else "utf-8")
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -78,6 +84,20 @@ def _skipped(rows: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
+def _aligned(rows: DataFrame, layout: Layout) -> DataFrame:
+    """Lines of two-byte characters.  The bytes of a delimiter that begin at an odd place are halves of other
+    characters, so the lines on both sides of them are one.  Such lines alone are gathered, by file."""
+    whole = (F.col("from") % 2 == 0) & (F.col("bytes") % 2 == 0)
+    own = Window.partitionBy("path").orderBy("from")
+    parts = rows.where(~whole).withColumn("head", F.last(F.when(F.col("from") % 2 == 0, F.col("from")), True).over(own))
+    parts = parts.groupBy("path", "head").agg(F.sort_array(F.collect_list(F.struct("from", "block", "at", "value", "bytes", "size"))).alias("p"))
+    first = F.col("p")[0]
+    value = F.aggregate(F.slice("p.value", 2, F.greatest(F.size("p") - 1, F.lit(0))), first["value"], lambda t, v: F.concat(t, F.lit(_delimiter(layout)), v))
+    total = F.aggregate("p.bytes", F.lit(0).cast("bigint"), lambda t, n: t + n)
+    joined = parts.select("path", first["block"].alias("block"), first["at"].alias("at"), value.alias("value"), total.alias("bytes"), first["size"].alias("size"), first["from"].alias("from"))
+    return rows.where(whole).select(*joined.columns).unionAll(joined)
+
+
 def decoded(value: Column, layout: Layout) -> Column:
     """Other codepages than UTF-8 are read split by split and decoded afterwards, as the text source keeps the
     bytes; bytes that the codepage does not know become U+FFFD."""

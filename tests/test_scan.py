@@ -124,3 +124,23 @@ def test_skipped_bytes_of_several_files(spark, tmp_path, skip):
     expected = [[v.replace("\n", "\r\n").replace("\2", "\n") for v in r] for b in bodies for r in brute(b)]
     for block in (None, 11):
         assert scanned(spark, tmp_path, replace(LAYOUT, record_delimiter="\r\n", skip_bytes=skip), block) == shaped(expected)
+
+
+@pytest.mark.parametrize("delimiter", ["\n", "\r\n"])
+@pytest.mark.parametrize("block", [None, 13])
+def test_utf16(spark, tmp_path, delimiter, block):
+    """Halves of characters that look like a delimiter are none: \u0a05\u0100 holds the bytes 0A 00."""
+    from dataclasses import replace
+
+    text = '\ufeffGr\u00f6\u00dfe;"a\nb";1\n\u0a05\u0100;x\u0a85\u0a00\u2000;\u0d05\u0a00\u0100\n;\u20ac\nend;"\U0001f600\n\n"'
+    (tmp_path / "u.txt").write_bytes(text.replace("\n", delimiter).encode("utf-16-le"))
+    expected = [[v.replace("\n", delimiter) for v in r] for r in shaped(brute(text[1:]))]
+    assert scanned(spark, tmp_path / "u.txt", replace(LAYOUT, record_delimiter=delimiter, codepage="UTF16"), block) == expected
+
+
+@pytest.mark.parametrize(("codepage", "charset"), [("OEM", "cp850"), ("Macintosh", "mac-roman"), ("ANSI", "cp1252")])
+def test_single_byte_codepages(spark, tmp_path, codepage, charset):
+    from dataclasses import replace
+
+    (tmp_path / "s.txt").write_bytes('Größe;"ä\nß";é\n'.encode(charset))
+    assert scanned(spark, tmp_path / "s.txt", replace(LAYOUT, codepage=codepage)) == [["Größe", "ä\nß", "é"]]
