@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deklara.tables import numbered
+
 
 def _all(columns: list[Column]) -> Column:
     return reduce(Column.__and__, columns)
@@ -26,17 +28,20 @@ def incomplete(table: DataFrame, key: list[str]) -> DataFrame:
     return table.where(reduce(Column.__or__, (F.col(c) == "" for c in key)))
 
 
-def duplicates(table: DataFrame, key: list[str], ordinal: str = "_ordinal") -> DataFrame:
-    """Complete keys that more than one record carries: key, n, first record, all records in order.
+def duplicates(table: DataFrame, key: list[str], ordinal: str = "_ordinal", most: int = 10_000) -> DataFrame:
+    """Complete keys that more than one record carries: key, n, first record, all records in order.  A key of
+    more than ``most`` records has a row for each list of ``most``.
 
-    Only the records of repeated keys are gathered into lists: the keys are counted first."""
+    Only the records of repeated keys are gathered into lists: the keys are counted first.  The places
+    within a key come from a range-partitioned numbering, so no task holds all records of a key."""
     whole = table.where(_all([F.col(c) != "" for c in key]))
     repeated = whole.groupBy(*key).agg(F.count("*").alias("n"), F.min(ordinal).alias("first")).where("n > 1")
+    rows = numbered(whole.select(*key, F.col(ordinal).alias("_record")).join(repeated, key), [*(F.col(c) for c in key), F.col("_record")], "_pos")
+    starts = rows.groupBy(*key).agg(F.min("_pos").alias("_start"))
     return (
-        whole.select(*key, F.col(ordinal).alias("_at"))
-        .join(repeated, key)
-        .groupBy(*key)
-        .agg(F.max("n").alias("n"), F.max("first").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list("_at")), lambda o: o.cast("string")), ", ").alias("records"))
+        rows.join(starts, key)
+        .groupBy(*key, F.floor((F.col("_pos") - F.col("_start")) / most).alias("_list"))
+        .agg(F.max("n").alias("n"), F.max("first").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list("_record")), lambda o: o.cast("string")), ", ").alias("records"))
         .select(quoted(key).alias("key"), "n", "first", "records")
     )
 
