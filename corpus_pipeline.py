@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from deklara.llm import additive_quality, lines, minhash, packing, toxicity
 from deklara.llm.common import materialise, table
@@ -29,9 +30,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; rows that repeat it are the same document."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near copies stays; rows that repeat it are the same document.
+    Rows without an id repeat each other if their sets of shingles are equal."""
+    found, _ = materialise(minhash.near_duplicates(docs, digests=True).where("kept").select(F.col("doc_id").alias("kept_id"), F.hex("digest").alias("kept_digest")), "kept")
+    named = docs.where("doc_id is not null")
+    named = named.join(found, named["doc_id"] == found["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    # Without an id a row is known by its set of shingles; rows with an empty set are all kept.
+    unnamed, classes = minhash.with_digest(docs.where("doc_id is null")), found.where("kept_id is null and kept_digest is not null")
+    one = unnamed.join(classes, unnamed["digest"] == classes["kept_digest"], "left_semi").dropDuplicates(["digest"])
+    rows = one.unionByName(unnamed.where("digest is null")).select("row.*")
+    return named.unionByName(rows)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deklara.llm import linkage
-from deklara.llm.common import materialise
+from deklara.llm.common import materialise, row_of, row_schema
 
 WIDTH = 5
 MANTISSA = 26
@@ -175,8 +175,21 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets))], names=["node", "shingle"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 64, rows: int = 5) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = (shingle_set(t.as_py()) for t in batch.column("text"))
+        found = [xxhash.xxh3_128_digest(s.tobytes()).hex().upper() if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.string())], names=["row", "digest"])
+
+
+def with_digest(docs: DataFrame) -> DataFrame:
+    """(row, digest): the rows of ``docs`` and the name of each one's class, null for an empty set."""
+    return docs.select("text", row_of(docs)).mapInArrow(_digests, row_schema(docs, digest="string"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 64, rows: int = 5, digests: bool = False) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and with ``digests`` the
+    class's digest.
 
     ``component_id`` is the smallest doc_id that links reach; ``kept`` says that it is the row's own.
     ``bands * rows`` must divide by 8.
@@ -246,6 +259,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 64, rows: i
     return (
         sketches.select("doc_id", "n_shingles", "digest")
         .join(classes, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *(["digest"] if digests else []))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

@@ -176,3 +176,11 @@ def test_lines_against_pure_edit_distance(spark, line_rows):
         seen.add(group[forms[at]])
     found = lines.deduplicated(spark.createDataFrame(line_rows, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["n_removed"] for r in found} == gone
+
+
+def test_near_duplicate_stage_keeps_rows_without_an_id(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (None, "one two three four five"), (None, "six seven eight nine ten"), (None, "six seven eight nine ten"), (None, None), (None, " ")]
+    found = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert found.columns == ["doc_id", "text"]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [rows[0], rows[3], rows[4], rows[6], rows[7]]))
