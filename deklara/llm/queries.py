@@ -45,7 +45,7 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
     first = rollups.signed(both, "words-1")
     deleted = rollups.signed(both.join(low, "doc_id", "left_semi"), "words-1", -1)
-    rest = both.join(low, "doc_id", "left_anti").where("lang <> 'en'")
+    rest = both.join(low, "doc_id", "left_anti").where("not (lang <=> 'en')")
     revised = rollups.revised(rollups.signed(rest, "words-1"), rollups.signed(rest, "letters-2"))
     rollup = rollups.Rollup(spark, scratch_path(spark, "rollup"))
     for name, rows in (("count-1", first), ("review-1", deleted), ("review-1", deleted)):

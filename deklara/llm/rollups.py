@@ -69,19 +69,34 @@ class Rollup:
         self._files = self._path(self._root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _commit(self, name: str, content: str) -> bool:
-        """Create a commit file, which only one of several writers can; False if there is one."""
+        """Create a commit file, which only one of several writers can; False if there is one.  It is written
+        elsewhere and renamed, so a writer that dies leaves no commit; an empty one counts as none."""
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]*", name):
             raise ValueError(f"not a batch name: {name!r}")
+        if self._committed(name):
+            return False
+        draft, target = self._path(f"{self._root}/drafts/{name}-{uuid.uuid4().hex}"), self._path(f"{self._root}/commits/{name}")
+        out = self._files.create(draft, False)
+        out.write(bytearray(content.encode()))
+        out.close()
+        self._files.mkdirs(target.getParent())
+        hadoop, gateway = self._spark._jvm.org.apache.hadoop.fs, self._spark.sparkContext._gateway
+        rename = getattr(hadoop, "Options$Rename")
+        options = gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE if self._files.exists(target) else rename.NONE
         try:
-            out = self._files.create(self._path(f"{self._root}/commits/{name}"), False)
+            hadoop.FileContext.getFileContext(self._files.getUri(), self._spark._jsc.hadoopConfiguration()).rename(draft, target, options)
         except Py4JJavaError as e:
             if "AlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                self._files.delete(draft, False)
                 return False
             raise
-        out.write(bytearray(content.encode()))
-        out.close()
         return True
 
+    def _committed(self, name: str) -> bool:
+        path = self._path(f"{self._root}/commits/{name}")
+        return self._files.exists(path) and self._files.getFileStatus(path).getLen() > 0
+
     def _commits(self) -> dict[str, str]:
         path = self._path(f"{self._root}/commits")
         if not self._files.exists(path):
@@ -93,7 +108,7 @@ class Rollup:
 
     def add(self, batch: str, rows: DataFrame) -> bool:
         """Add a batch of signed rows once; False if a batch of this name was committed before."""
-        if self._files.exists(self._path(f"{self._root}/commits/{batch}")):
+        if self._committed(batch):
             return False
         attempt = f"sums/{batch}-{uuid.uuid4().hex}"
         summed(rows).write.parquet(f"{self._root}/{attempt}")
