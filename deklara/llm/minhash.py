@@ -6,7 +6,7 @@ hash falls into one bucket, and of a bucket's smallest hash the register keeps t
 leading zeros and 26 bits of mantissa.  Registers are read in bands of ``rows``; two documents that
 agree in a band are candidates.  Folded to a byte each, the registers estimate a pair: the share of
 equal ones among those filled on either side, less the share that agrees by chance.  Unless the
-estimate lies more than 4.5 standard errors under the threshold, the pair is verified on full sets.
+estimate lies more than 6 standard errors under the threshold, the pair is verified on full sets.
 
 With 64 bands of 5, a pair at a similarity of exactly 0.75 is missed by the bands with a
 probability of 3e-8, at 0.8 of 6e-12.  Sets of few shingles leave registers empty; an empty register
@@ -38,7 +38,7 @@ WIDTH = 5
 MANTISSA = 26
 #: Chance that two different registers fold to one byte, and how far an estimate may err.
 CHANCE = 1 / 255
-DEVIATIONS = 4.5
+DEVIATIONS = 6
 #: Odd 64-bit multipliers, one for each word of a shingle.
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"word", i) | 1 for i in range(WIDTH)], dtype=np.uint64)
 

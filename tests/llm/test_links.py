@@ -184,3 +184,13 @@ def test_near_duplicate_stage_keeps_rows_without_an_id(spark):
     found = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
     assert found.columns == ["doc_id", "text"]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [rows[0], rows[3], rows[4], rows[6], rows[7]]))
+
+
+def test_the_estimate_misses_fewer_pairs_than_the_bands():
+    """The chance that a pair at exactly 0.75 is filtered, all of 320 registers filled."""
+    from math import comb, sqrt
+
+    n, p = 320, 0.75 + 0.25 * minhash.CHANCE
+    least = 0.75 - minhash.DEVIATIONS * sqrt(0.75 * 0.25 / n) - 1 / n
+    missed = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if (k / n - minhash.CHANCE) / (1 - minhash.CHANCE) < least)
+    assert missed < (1 - 0.75**5) ** 64
