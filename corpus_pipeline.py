@@ -2,6 +2,11 @@
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as
 Parquet in the shared folder and reads it again as the next stage's documents.
+
+Defined results: a null or empty text is never rejected for its near copies and loses no line; the two
+models judge it like any other.  Rows may repeat an id: each row is judged by its own text, and exact repeats of
+id and text leave the near-duplicate stage once.  An empty table gives an empty result.  Further columns,
+whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deklara.llm import additive_quality, lines, minhash, packing, toxicity
-from deklara.llm.common import materialise, table
+from deklara.llm.common import materialise, remove, row_of, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +35,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; rows that repeat it are the same document.
-    Rows without an id repeat each other if their sets of shingles are equal."""
-    found, _ = materialise(minhash.near_duplicates(docs, digests=True).where("kept").select(F.col("doc_id").alias("kept_id"), F.hex("digest").alias("kept_digest")), "kept")
-    named = docs.where("doc_id is not null")
-    named = named.join(found, named["doc_id"] == found["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    # Without an id a row is known by its set of shingles; rows with an empty set are all kept.
-    unnamed, classes = minhash.with_digest(docs.where("doc_id is null")), found.where("kept_id is null and kept_digest is not null")
-    one = unnamed.join(classes, unnamed["digest"] == classes["kept_digest"], "left_semi").dropDuplicates(["digest"])
-    rows = one.unionByName(unnamed.where("digest is null")).select("row.*")
-    return named.unionByName(rows)
+    """One document of each group of near copies stays; rows that repeat its id and text are the same document.
+    Rows without an id repeat each other if their sets of shingles are equal; those with an empty set all stay."""
+    found, path = materialise(minhash.near_duplicates(docs, marks=True).where("kept").select("doc_id", "mark", "digest"), "kept")
+    named = found.where("doc_id is not null").select("doc_id", "mark")
+    # Of a class without a name one text stays; the mark tells which.
+    unnamed = found.where("doc_id is null and digest is not null").groupBy("digest").agg(F.min("mark").alias("mark"))
+    unnamed = found.where("doc_id is null").join(unnamed, ["digest", "mark"], "left_semi").select("doc_id", "mark")
+    staying = named.unionByName(unnamed).groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    staying, staying_path = materialise(staying.select(F.col("doc_id").alias("at"), F.col("mark").alias("marked"), "n"), "staying")
+    remove(spark, path)
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("mark"), row_of(docs))
+    kept = keyed.join(staying, keyed["id"].eqNullSafe(staying["at"]) & (keyed["mark"] == staying["marked"]))
+    once = kept.where("n = 1").select("row")
+    repeated = kept.where("n > 1").dropDuplicates(["id", "mark"]).select("row")
+    blank = docs.where("doc_id is null").where(F.coalesce(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))).select(row_of(docs))
+    return once.unionByName(repeated).unionByName(blank).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +71,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

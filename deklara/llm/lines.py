@@ -2,272 +2,161 @@
 
 A line is what stands between line feeds; its normal form is its letters and digits in lower case,
 the digits 1-9 as 0, other characters as one blank.  Lines without a letter or digit have no normal form and
-are never touched.  Lines of one normal form are one class.  A class is the set of its padded runs of
-``GRAM`` characters, which a typo or a changed word barely moves, and has ``BANDS * ROWS`` minima of
-hashes of that set (MinHash).  Two classes that agree in a band of ``ROWS`` minima are candidates; a pair with a
-Jaccard similarity of j is one with a probability of ``1 - (1 - j**ROWS)**BANDS``.  Candidates are linked if the edit
-distance of their normal forms is at most ``1 - similarity`` of the longer one's length.  Of each connected group
-the occurrence with the smallest (doc_id, line number) stays and all others go.
+are never touched.  Lines of one normal form are one class.  Classes that agree in a block of their SimHash
+(``lineblocks``) are candidates and are linked if the edit distance of their normal forms is at most
+``1 - similarity`` of the longer one's length.  Of each connected group the occurrence with the smallest
+(doc_id, line number) stays and all others go.
 
 Lines are known by a 64-bit hash of the normal form while they are grouped; texts are fetched only of
 the candidates.
 
 Defined results: null texts have no lines and stay null.  Texts that lose every line become empty, and
-their documents stay.  Rows that repeat a doc_id are rows of one document and lose the same lines.  A
-null doc_id is smaller than any other; its rows are treated as one document.
+their documents stay.  Rows that repeat a doc_id are one document: what is at the same line number in several of
+them is kept in all of them or in none.  A null doc_id is smaller than any other, and rows without an id are
+taken likewise.  No line goes but for one of its group that stays.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deklara.llm import linkage, minhash
+from deklara.llm import lineblocks, linkage
 from deklara.llm.common import materialise, remove, row_of, row_schema
 
-BLOCKS = 4
-_WORD = re.compile(r"[^\W_]+")
-_ANY = re.compile(r"[^\W_]")
-_DIGIT = re.compile("[1-9]")
 #: Line hashes that a task remembers at most.
 MEMORY = 500_000
-GRAM, BANDS, ROWS = 6, 40, 3
-#: Standard errors that an estimate may lie under the least similarity that the edits allow.
-DEVIATIONS = 4
-#: Characters that are hashed at once.
-CHUNK = 1 << 19
-LINES = "doc_id bigint, line int, node bigint, chars int, sketch array<bigint>, keys array<bigint>"
-_FACTORS = np.array([xxhash.xxh64_intdigest(b"gram", i) | 1 for i in range(GRAM)], dtype=np.uint64)
-_MINIMA = np.array([xxhash.xxh32_intdigest(b"minimum", i) | 1 for i in range(BANDS * ROWS)], dtype=np.uint32)
-# Of the former candidates; read by test_lines_against_brute_force alone.
-MOST_BITS = 24
+LINES = "doc_id bigint, line int, node bigint, chars int, keys array<bigint>"
 
 
-def forms(text: str | None) -> list[list[str]]:
-    """The words of the normal form of each line of a text."""
-    return [_WORD.findall(line) for line in _DIGIT.sub("0", (text or "").lower()).split("\n")]
-
-
-def line_hash(words: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
-
-
-def simhashes(lines: list[list[str]]) -> np.ndarray:
-    """[lines, 4] blocks of the 128-bit SimHash of each line's distinct words (none is empty): a word
-    that a line repeats again and again would outvote all others."""
-    lines = [list(dict.fromkeys(line)) for line in lines]
-    sizes = np.array([len(line) for line in lines])
-    out = np.empty((len(lines), 16), np.uint8)
-    # Votes of up to 255 words fit a byte, which is what makes the sums cheap.
-    for chosen, kind in ((np.flatnonzero(sizes <= 255), np.uint8), (np.flatnonzero(sizes > 255), np.int64)):
-        if not len(chosen):
-            continue
-        digests = b"".join([xxhash.xxh3_128_digest(w) for i in chosen for w in lines[i]])
-        bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1)
-        starts = np.concatenate(([0], np.cumsum(sizes[chosen])[:-1]))
-        sums = np.add.reduceat(bits, starts, axis=0, dtype=kind).astype(np.int64)
-        # Equal votes are broken by the bit's number, alike for all lines.
-        out[chosen] = np.packbits(4 * sums - 2 * sizes[chosen][:, None] + np.arange(128) % 2 > 0, axis=1)
-    return out.view("<i4").reshape(-1, BLOCKS)
-
-
-def minima(lines: list[str]) -> np.ndarray:
-    """[lines, BANDS * ROWS] minima of 32-bit hashes of each line's padded runs of ``GRAM`` characters."""
-    out = np.full((len(lines), len(_MINIMA)), 0xFFFFFFFF, np.uint32)
-    pad = "\0" * (GRAM - 1)
-    owners, parts, chars = [], [], 0
-
-    def settle() -> None:
-        nonlocal owners, parts, chars
-        if not parts:
-            return
-        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
-        sizes = np.array([len(p) for p in parts])
-        total = np.zeros(len(codes) - GRAM + 1, np.uint64)
-        for i, factor in enumerate(_FACTORS):
-            total += codes[i : i + len(total)] * factor
-        ends = np.cumsum(sizes)
-        within = np.arange(len(total)) <= np.repeat(ends - GRAM, sizes)[: len(total)]
-        grams = (minhash._mixed(total[within]) >> np.uint64(32)).astype(np.uint32)
-        starts = np.concatenate(([0], np.cumsum(sizes - GRAM + 1)[:-1]))
-        for i, factor in enumerate(_MINIMA):
-            np.minimum.at(out[:, i], owners, np.minimum.reduceat(grams * factor, starts))
-        owners, parts, chars = [], [], 0
-
-    for number, line in enumerate(lines):
-        padded = pad + line + pad
-        for first in range(0, len(padded) - GRAM + 1, CHUNK):
-            owners.append(number)
-            parts.append(padded[first : first + CHUNK + GRAM - 1])
-            chars += len(parts[-1])
-            if chars >= CHUNK:
-                settle()
-    settle()
-    return out
-
-
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """[lines, BANDS] keys of lines' minima."""
-    keys = minhash._mixed(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :]
-    for j in range(ROWS):
-        keys = minhash._mixed(keys + found[:, j::ROWS] * _FACTORS[j])
-    return keys.view(np.int64)
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All lines with a normal form; a task gives the sketch of a form once, if memory allows."""
+def _lines(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All lines with a normal form; a task gives the keys of a form once, if memory allows."""
     done: set[int] = set()
     for batch in batches:
-        docs, numbers, nodes, chars, fresh, new, sizes = [], [], [], [], [], [], []
-
-        def full() -> pa.RecordBatch:
-            found = minima(new)
-            # Forms of fewer than 9 characters can be linked to none but themselves.
-            long = np.array([n >= 9 for n in sizes], bool)
-            found = found[long].astype(np.uint64)
-
-            def lists(rows: np.ndarray) -> pa.Array:
-                counts = np.zeros(len(nodes) + 1, np.int32)
-                counts[1:][np.array(fresh, int)[long]] = rows.shape[1]
-                return pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(rows.ravel()))
-
-            return pa.RecordBatch.from_arrays(
+        for parts, rows, before in lineblocks.chunks(batch.column(1).to_pylist()):
+            lines, starts = lineblocks.read(parts)
+            part = np.searchsorted(starts, lines.number, "right") - 1
+            nodes, firsts = np.unique(lines.node, return_index=True)
+            fresh = np.sort([i for node, i in zip(nodes.tolist(), firsts.tolist(), strict=True) if node not in done]).astype(np.int64)
+            if len(done) >= MEMORY:
+                done.clear()
+            done.update(nodes.tolist())
+            owner, keys = lineblocks.band_keys(lines, fresh, similarity)
+            counts = np.zeros(len(lines.node) + 1, np.int32)
+            counts[1:] = np.bincount(fresh[owner], minlength=len(lines.node))
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(keys[np.argsort(owner, kind="stable")].view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(docs, pa.int64()),
-                    pa.array(numbers, pa.int32()),
-                    pa.array(nodes, pa.int64()),
-                    pa.array(chars, pa.int32()),
-                    lists(minhash.folded(found + np.uint64(1)).view(np.int64)),
-                    lists(band_keys(found)),
+                    batch.column(0).take(pa.array(np.array(rows, np.int64)[part])),
+                    pa.array((lines.number - starts[part] + np.array(before, np.int64)[part]).astype(np.int32)),
+                    pa.array(lines.node.view(np.int64)),
+                    pa.array(lines.chars.astype(np.int32)),
+                    listed,
                 ],
-                names=["doc_id", "line", "node", "chars", "sketch", "keys"],
+                names=["doc_id", "line", "node", "chars", "keys"],
             )
 
-        words = 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for number, form in enumerate(forms(text.as_py())):
-                if form:
-                    node = line_hash(form)
-                    if node not in done:
-                        if len(done) >= MEMORY:
-                            done.clear()
-                        done.add(node)
-                        fresh.append(len(nodes))
-                        new.append(" ".join(form))
-                        sizes.append(len(new[-1]))
-                        words += len(form)
-                    docs.append(doc_id)
-                    numbers.append(number)
-                    nodes.append(node)
-                    chars.append(sum(map(len, form)) + len(form) - 1)
-                if words > 50_000:
-                    yield full()
-                    docs, numbers, nodes, chars, fresh, new, sizes, words = [], [], [], [], [], [], [], 0
-        yield full()
-
-
-def alike(similarity: float, size: Column, sketch: Column, other_size: Column, other: Column) -> Column:
-    """Whether the estimate lies at most ``DEVIATIONS`` standard errors under the similarity that is left when
-    every edit changes ``GRAM`` runs."""
-    longer, shorter = F.greatest(size, other_size), F.least(size, other_size)
-    runs, lost = longer + GRAM - 1, GRAM * F.floor(longer * (1 - similarity) + 1e-9)
-    least = F.greatest((runs - lost) / (shorter + GRAM - 1 + lost), F.lit(0.0))
-    guess, used = minhash.estimate(sketch, other)
-    return guess >= least - DEVIATIONS * F.sqrt(F.greatest(least * (1 - least), F.lit(0.04)) / used)
-
 
 def _wanted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Normal forms of the wanted lines of a document."""
     for batch in batches:
-        nodes, found = [], []
-        for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-            wanted = set(wanted)
-            for form in forms(text.as_py()):
-                if form and (node := line_hash(form)) in wanted:
-                    wanted.discard(node)
-                    nodes.append(node)
-                    found.append(" ".join(form))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.string())], names=["node", "form"])
+        wanted = batch.column("wanted").to_pylist()
+        for parts, rows, _ in lineblocks.chunks(batch.column("text").to_pylist()):
+            lines, starts = lineblocks.read(parts)
+            asked = np.unique(np.concatenate([np.array(wanted[row], np.int64) for row in dict.fromkeys(rows)])).view(np.uint64)
+            found = np.flatnonzero(np.isin(lines.node, asked))
+            at = "\n".join(parts).split("\n")
+            texts = [" ".join(lineblocks.forms(at[n])[0]) for n in lines.number[found].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lines.node[found].view(np.int64)), pa.array(texts, pa.string())], names=["node", "form"])
+
+
+def near_lengths(similarity: float, size: Column, other: Column) -> Column:
+    """Lengths that are no further apart than the edits allowed."""
+    return (size >= other * similarity - 1e-6) & (other >= size * similarity - 1e-6)
 
 
 def removed_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
-    """(doc_id, removed): the numbers of the lines that go, for each document that loses any."""
+    """(doc_id, removed): the lines that go, as (line number, node), of each document that loses any."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    lines, lines_path = materialise(docs.mapInArrow(_lines, LINES), "lines")
+    lines, lines_path = materialise(docs.mapInArrow(partial(_lines, similarity), LINES), "lines")
     classes = lines.groupBy("node").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("chars").alias("size"), F.max("sketch").alias("sketch"), F.max("keys").alias("keys")
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"), F.min("chars").alias("size"), F.max("keys").alias("keys")
     )
     classes, classes_path = materialise(classes, "line-classes")
     keys = classes.select("node", F.explode("keys").alias("key"))
+    paths = [lines_path, classes_path]
 
     def rule_for(candidates: DataFrame) -> linkage.Rule:
-        own, _ = materialise(classes.join(candidates, "node", "left_semi"), "candidate-lines")
+        own, own_path = materialise(classes.join(candidates, "node", "left_semi").select("node", "size", F.col("first.doc_id").alias("doc_id")), "candidate-lines")
         wanted = own.groupBy("doc_id").agg(F.collect_set("node").alias("wanted"))
         texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted")
-        wanted_forms, _ = materialise(texts.mapInArrow(_wanted_forms, "node bigint, form string").dropDuplicates(["node"]), "forms")
+        forms, forms_path = materialise(texts.mapInArrow(_wanted_forms, "node bigint, form string").dropDuplicates(["node"]), "forms")
+        paths.extend([own_path, forms_path])
 
         def verify(pairs: DataFrame) -> DataFrame:
             def side(s: str) -> DataFrame:
-                return own.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "sketch")))
-
-            def form(s: str) -> DataFrame:
-                return wanted_forms.select(F.col("node").alias(s), F.col("form").alias(f"form_{s}"))
-
-            size_a, size_b = F.col("size_a"), F.col("size_b")
-            near = pairs.join(side("a"), "a").join(side("b"), "b").where(possible(size_a, size_a, size_b, size_b))
-            near = near.where(alike(similarity, size_a, F.col("sketch_a"), size_b, F.col("sketch_b")))
-            most = F.floor(F.greatest(size_a, size_b) * (1 - similarity) + 1e-9).cast("int")
-            both = near.select("a", "b", most.alias("most")).join(form("a"), "a").join(form("b"), "b")
-            return both.where("levenshtein(form_a, form_b, most) >= 0").select("a", "b")
+                return forms.select(F.col("node").alias(s), F.col("form").alias(f"form_{s}"))
 
-        def weigh(nodes: DataFrame) -> DataFrame:
-            return own.join(nodes, "node", "left_semi").select("node", "size", F.col("size").alias("common"), "sketch", "keys")
+            both = pairs.join(side("a"), "a").join(side("b"), "b")
+            most = F.floor(F.greatest(F.length("form_a"), F.length("form_b")) * (1 - similarity) + 1e-9).cast("int")
+            near = both.where(near_lengths(similarity, F.length("form_a"), F.length("form_b"))).withColumn("most", most)
+            return near.where("levenshtein(form_a, form_b, most) >= 0").select("a", "b")
 
-        return linkage.Rule(verify, weigh, possible, partial(alike, similarity))
+        def rest(rows: DataFrame) -> DataFrame:
+            """Every pair that shares a key, lies in two groups, and has near lengths."""
+            sized = rows.join(own.select("node", "size"), "node")
+            other = sized.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "main", "size")))
+            apart = (F.col("component") != F.col("other_component")) & (F.col("other_main") | (F.col("node") < F.col("other_node")))
+            pairs = sized.where("not main").join(other, "key").where(apart & near_lengths(similarity, F.col("size"), F.col("other_size")))
+            return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
 
-    def possible(size: Column, common: Column, other_size: Column, other_common: Column) -> Column:
-        """Lengths further apart than the edits allowed."""
-        return (common >= other_size * similarity - 1e-6) & (other_common >= size * similarity - 1e-6)
+        return linkage.Rule(verify, rest)
 
     members = linkage.groups(keys, rule_for)
-    groups = (
-        classes.select("node", "n")
+    placed = (
+        classes.select("node", "n", "first")
         .join(members, "node", "left")
         .where("n > 1 or component is not null")
-        .select("node", F.coalesce("component", "node").alias("component"))
+        .select("node", "first", F.coalesce("component", "node").alias("component"))
     )
-    occurrences, path = materialise(lines.select("doc_id", "line", "node").join(groups, "node").drop("node"), "occurrences")
-    kept = occurrences.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("kept"))
+    placed, placed_path = materialise(placed, "placed-lines")
+    kept, kept_path = materialise(placed.groupBy("component").agg(F.min("first").alias("kept")), "kept-lines")
+    staying, staying_path = materialise(placed.join(kept, "component").select("node", "kept"), "staying-lines")
     gone = (
-        occurrences.join(kept, "component")
+        lines.select("doc_id", "line", "node")
+        .join(staying, "node")
         .where(~F.struct("doc_id", "line").eqNullSafe(F.col("kept")))
         .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set("line")).alias("removed"))
+        .agg(F.collect_set(F.struct("line", "node")).alias("removed"))
     )
     gone, _ = materialise(gone, "removed-lines")
-    remove(spark, lines_path, classes_path, path)
+    remove(spark, *paths, placed_path, kept_path, staying_path)
     return gone
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, counts, gone_counts = [], [], []
-        for text, removed in zip(batch.column("text"), batch.column("removed").to_pylist(), strict=True):
-            text, gone = text.as_py(), set(removed or ())
-            lines = (text or "").split("\n")
-            counts.append(sum(1 for line in lines if _ANY.search(line)))
-            gone_counts.append(len(gone))
-            texts.append(text if not gone else "\n".join(line for i, line in enumerate(lines) if i not in gone))
+        texts, gone = batch.column("row").field("text").to_pylist(), batch.column("removed").to_pylist()
+        counts, drop = np.zeros(len(texts), np.int64), [set() for _ in texts]
+        for parts, rows, before in lineblocks.chunks(texts):
+            lines, starts = lineblocks.read(parts)
+            part = np.searchsorted(starts, lines.number, "right") - 1
+            row, number = np.array(rows, np.int64)[part], lines.number - starts[part] + np.array(before, np.int64)[part]
+            counts += np.bincount(row, minlength=len(texts))
+            bounds, nodes = np.searchsorted(row, np.arange(len(texts) + 1)), lines.node.view(np.int64)
+            for i in dict.fromkeys(rows):
+                if gone[i]:
+                    here = dict(zip(number[bounds[i] : bounds[i + 1]].tolist(), nodes[bounds[i] : bounds[i + 1]].tolist(), strict=True))
+                    drop[i].update(r["line"] for r in gone[i] if here.get(r["line"]) == r["node"])
+        clean = [text if not out else "\n".join(line for n, line in enumerate(text.split("\n")) if n not in out) for text, out in zip(texts, drop, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone_counts, pa.int64())],
+            [batch.column("row"), pa.array(clean, pa.string()), pa.array(counts), pa.array([len(out) for out in drop], pa.int64())],
             names=["row", "clean", "n_lines", "n_removed"],
         )
 
@@ -276,8 +165,8 @@ def deduplicated(docs: DataFrame, similarity: float = 0.9, counts: bool = True)
     """``docs`` with the texts that remain.  With ``counts`` it also has n_lines and n_removed, in the
     place of columns of these names if there are any."""
     gone = removed_lines(docs, similarity).withColumnRenamed("doc_id", "gone_from")
-    both = docs.select(F.col("doc_id").cast("bigint").alias("at"), "text", row_of(docs))
-    both = both.join(gone, both["at"].eqNullSafe(gone["gone_from"]), "left").select("row", "text", "removed")
+    both = docs.select(F.col("doc_id").cast("bigint").alias("at"), row_of(docs))
+    both = both.join(gone, both["at"].eqNullSafe(gone["gone_from"]), "left").select("row", "removed")
     clean = both.mapInArrow(_without, row_schema(docs, clean="string", n_lines="bigint", n_removed="bigint"))
     more = ["n_lines", "n_removed"] if counts else []
     own = [F.col("clean").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in more]

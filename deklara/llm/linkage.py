@@ -2,13 +2,9 @@
 
 Things that share a key are candidates; ``verify`` says which candidate pairs are linked.  Only the
 connected groups are wanted, so a pair within one group already found need not be looked at.  First
-each thing is held against one leader, and large groups of copies fall together; a last step takes
-*every* pair that shares a key and still lies in two groups, so no link between groups is lost.
-
-A large group of copies also has outliers, too much changed to be linked to any of it, which would
-meet all its members in the last step.  They are told by what they share with the others at most (a
-node's parts that no other candidate holds bound its similarity to every one of them) and by sketches,
-both within the join.
+each thing is held against one leader, and large groups of copies fall together; then ``rest`` names
+the pairs between groups that may still be linked.  It must miss no linked pair of two things that share
+a key, and is free to leave out what cannot be linked.
 
 All steps are aggregations and equi-joins.  Leaders, counts and majorities are partial
 aggregates; the joins back to the rows of a hot key are plain sort-merge joins, which adaptive
@@ -20,11 +16,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deklara.llm.common import materialise, remove
 
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): one node of each component names it.
 
@@ -75,16 +72,13 @@ def _canonical(edges: DataFrame) -> DataFrame:
 class Rule:
     """What links two nodes.
 
-    ``verify`` takes pairs (a, b) with a < b and returns those that are linked.  ``weigh`` gives the
-    nodes that it is asked for a ``size``, a count ``common`` (what of the node is found in any other of
-    them), a ``sketch``, and the array of all its ``keys``.  ``possible`` says of two nodes' sizes and counts whether they can be linked
-    at all, and ``alike`` of their sizes and sketches whether they are worth verifying.
+    ``verify`` takes pairs (a, b) with a < b and returns those that are linked.  ``rest`` takes the rows
+    (key, node, component, main) of keys that hold more than one group, ``main`` for the key's largest, and
+    returns pairs (a, b) of nodes in two groups.
     """
 
     verify: Callable[[DataFrame], DataFrame]
-    weigh: Callable[[DataFrame], DataFrame] | None = None
-    possible: Callable[[Column, Column, Column, Column], Column] | None = None
-    alike: Callable[[Column, Column, Column, Column], Column] | None = None
+    rest: Callable[[DataFrame], DataFrame]
 
 
 def groups(keys: DataFrame, rule_for: Callable[[DataFrame], Rule]) -> DataFrame:
@@ -95,43 +89,26 @@ def groups(keys: DataFrame, rule_for: Callable[[DataFrame], Rule]) -> DataFrame:
 
     First each node is held against one other: of the nodes that share a key with it, the one that meets
     most others, which in a group of copies is among the least changed.  What is linked so is merged.
-    If nodes are weighed, those left apart are held against one more.  Then every pair that shares a key
-    and still lies in two groups follows.
+    Then the rule's remaining pairs follow.
     """
     spark = keys.sparkSession
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared, shared_path = materialise(keys.join(counts, "key"), "shared-keys")
-    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
-    met, met_path = materialise(met, "met")
+    met, met_path = materialise(shared.groupBy("node").agg(F.sum("n").alias("met")), "met")
     rule = rule_for(met.select("node"))
-    ranked = shared.join(met, "node")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("leader"))
-    nearest = shared.join(leaders, "key").groupBy("node").agg(F.max("leader").alias("leader"))
+    ranked = shared.select("key", "node").join(met, "node")
+    leaders, leaders_path = materialise(ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("leader")), "leaders")
+    nearest = shared.select("key", "node").join(leaders, "key").groupBy("node").agg(F.max("leader").alias("leader"))
     proposed = nearest.select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
     links, links_path = materialise(rule.verify(_canonical(proposed)), "links")
     members = connected(links)
     rows, rows_path = materialise(_undecided(shared, members), "undecided")
-    paths = [shared_path, met_path, links_path, rows_path]
-    if rows.isEmpty():
-        remove(spark, *paths)
-        return members
-    weights = None
-    if rule.weigh is not None:
-        weights, path = materialise(rule.weigh(rows.select("node").distinct()), "weights")
-        paths.append(path)
-        # Once more against one other: the member of a key's largest group that shares most of itself.
-        weighed = rows.join(weights.select("node", "size", "common"), "node")
-        minor = _open(weighed, rule)
-        share = F.struct((F.col("common") / F.col("size")).alias("share"), "size", "node")
-        heads = weighed.where("main").groupBy("key").agg(F.max(share).alias("head"))
-        best = minor.join(heads, "key").groupBy("node").agg(F.max("head").alias("head"))
-        found, path = materialise(rule.verify(_canonical(best.select(F.col("node").alias("a"), F.col("head.node").alias("b")))), "links")
+    paths = [shared_path, met_path, leaders_path, links_path, rows_path]
+    if not rows.isEmpty():
+        found, found_path = materialise(rule.verify(_canonical(rule.rest(rows))), "links")
+        paths.append(found_path)
         members = _merged(members, found)
-        rows, rows_path = materialise(_undecided(rows, members), "undecided")
-        paths += [path, rows_path]
-    found, path = materialise(rule.verify(_canonical(_remaining(rows, weights, rule))), "links")
-    members = _merged(members, found)
-    remove(spark, *paths, path)
+    remove(spark, *paths)
     return members
 
 
@@ -142,31 +119,6 @@ def _merged(members: DataFrame, found: DataFrame) -> DataFrame:
     return connected(stars.unionAll(found))
 
 
-def _open(weighed: DataFrame, rule: Rule) -> DataFrame:
-    """Rows outside their key's largest group that can be linked to any of the key's nodes."""
-    minor = weighed.where("not main")
-    if rule.possible is None:
-        return minor
-    limits = weighed.groupBy("key").agg(F.min("size").alias("least"), F.max("common").alias("most"))
-    return minor.join(limits, "key").where(rule.possible(F.col("size"), F.col("common"), F.col("least"), F.col("most"))).drop("least", "most")
-
-
-def _remaining(rows: DataFrame, weights: DataFrame | None, rule: Rule) -> DataFrame:
-    """Every pair (a, b) of nodes that share a key and lie in two groups."""
-    weighed = rows if weights is None else rows.join(weights, "node")
-    others = weighed.select("key", *(F.col(c).alias(f"other_{c}") for c in weighed.columns if c != "key"))
-    pair = (F.col("component") != F.col("other_component")) & (F.col("other_main") | (F.col("node") < F.col("other_node")))
-    if rule.possible is not None:
-        pair = pair & rule.possible(F.col("size"), F.col("common"), F.col("other_size"), F.col("other_common"))
-    if rule.weigh is not None:  # of the keys that two nodes share, one yields the pair
-        pair = pair & (F.array_min(F.array_intersect("keys", "other_keys")) == F.col("own_key"))
-    if rule.alike is not None:
-        pair = pair & rule.alike(F.col("size"), F.col("sketch"), F.col("other_size"), F.col("other_sketch"))
-    minor = _open(weighed, rule).withColumnRenamed("key", "own_key")
-    met = minor.join(others, (F.col("own_key") == F.col("key")) & pair)
-    return met.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
-
-
 def _undecided(rows: DataFrame, members: DataFrame) -> DataFrame:
     """The rows (key, node) of keys that hold more than one group, each with its group and whether
     that is the key's largest (``main``)."""

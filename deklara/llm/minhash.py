@@ -1,22 +1,30 @@
 """Operator 1: near-duplicate documents by HyperMinHash.
 
 A document is the set of its distinct shingles of five words (lower-cased A-Z; with fewer words
-the whole sequence is one shingle).  The sketch has ``bands * rows`` buckets.  A shingle's 64-bit
-hash falls into one bucket, and of a bucket's smallest hash the register keeps the number of
-leading zeros and 26 bits of mantissa.  Registers are read in bands of ``rows``; two documents that
-agree in a band are candidates.  Folded to a byte each, the registers estimate a pair: the share of
-equal ones among those filled on either side, less the share that agrees by chance.  Unless the
-estimate lies more than 6 standard errors under the threshold, the pair is verified on full sets.
+the whole sequence is one shingle).  The sketch has ``bands * rows`` buckets, an equal share of them for each
+of ``REPLICAS`` permutations of the shingles' 64-bit hashes, so that sets of some twenty shingles fill most of
+them.  Of a bucket's smallest hash the register keeps the number of leading zeros and 26 bits of mantissa.
+Registers are read in bands of ``rows``; two documents that agree in a band are candidates.  Folded to a byte
+each, the registers estimate a pair: the share of equal ones among those filled on either side, less the share
+that agrees by chance.  Unless the estimate lies more than 6 standard errors under the threshold, the
+pair is verified on full sets.
 
 With 64 bands of 5, a pair at a similarity of exactly 0.75 is missed by the bands with a
-probability of 3e-8, at 0.8 of 6e-12.  Sets of few shingles leave registers empty; an empty register
+probability of 3e-8, at 0.8 of 6e-12.  Sets of very few shingles leave registers empty; an empty register
 equals an empty register, and a band of empty registers proposes nothing, so small sets that share
 most shingles still meet.
 
+Candidates are first held against one leader each (``linkage``).  Between what is then left in different groups
+a pair is looked at only if it can reach the threshold at all: in one order of all shingles, rarest
+first, two sets that share ``n`` of their ``a`` and ``b`` shingles have one in common among the first ``a - n + 1``
+and ``b - n + 1``.  The much changed members of a large group of copies, whose rare shingles are their own, so
+meet none of it, and nothing that could be linked is left out.
+
 Texts with equal sets are one class and one node; copies are never expanded into pairs.
 
 Defined results: null, empty and blank texts have an empty set, no link, and stand alone.  Repeated
-rows are rows of one document.  Rows with a null doc_id join their class but give no class its
+rows are rows of one document; of different texts under one doc_id one takes part, and the others
+are linked to their exact copies alone.  Rows with a null doc_id join their class but give no class its
 name; a class of only such rows is linked to nothing.  An empty table gives an empty result.
 """
 
@@ -28,39 +36,65 @@ from functools import cache, partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deklara.llm import linkage
-from deklara.llm.common import materialise, row_of, row_schema
+from deklara.llm.common import materialise, remove
+from deklara.llm.hashing import FACTORS, mixed, spans_hashed
 
 WIDTH = 5
 MANTISSA = 26
+#: Permutations, a power of two; ``bands * rows`` must be a multiple of it.
+REPLICAS = 16
 #: Chance that two different registers fold to one byte, and how far an estimate may err.
 CHANCE = 1 / 255
 DEVIATIONS = 6
-#: Odd 64-bit multipliers, one for each word of a shingle.
-_FACTORS = np.array([xxhash.xxh64_intdigest(b"word", i) | 1 for i in range(WIDTH)], dtype=np.uint64)
+#: Characters whose words are hashed at once.
+CHUNK = 1 << 19
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """A finaliser that spreads every bit of a 64-bit number over all bits."""
-    h = (h ^ (h >> np.uint64(31))) * _FACTORS[0]
-    h = (h ^ (h >> np.uint64(29))) * _FACTORS[1]
-    return h ^ (h >> np.uint64(32))
+@cache
+def _bytes() -> tuple[np.ndarray, np.ndarray]:
+    """Of every byte: a 64-bit value, and whether it belongs to a word."""
+    blank = np.zeros(256, bool)
+    blank[[0x20, *range(0x09, 0x0E)]] = True
+    return mixed(np.arange(1, 257, dtype=np.uint64)), ~blank
+
+
+def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= CHUNK or i + 1 == len(texts):
+            yield from _shingle_sets([t or "" for t in texts[first : i + 1]], width)
+            first, size = i + 1, 0
+
+
+def _shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
+    encoded = [t.encode() for t in texts]
+    codes = np.frombuffer(b"\n".join(encoded).lower(), np.uint8)
+    value, of_word = _bytes()
+    on = np.zeros(len(codes) + 2, bool)
+    np.take(of_word, codes, out=on[1:-1])
+    edges = np.flatnonzero(on[1:] != on[:-1])
+    words = spans_hashed(np.take(value, codes), edges[::2], edges[1::2])
+    whole = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for i in range(width):
+        whole += words[i : i + len(whole)] * FACTORS[i]
+    whole = mixed(whole + np.uint64(width))
+    bounds = np.searchsorted(edges[::2], np.cumsum([0, *(len(e) + 1 for e in encoded)]))
+    for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if last - first >= width:
+            yield np.unique(whole[first : last - width + 1])
+        else:  # the whole sequence is one shingle
+            few = words[first:last]
+            yield mixed((few * FACTORS[: len(few)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(few)))[: len(few)]
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1)
-    total = np.zeros(n, np.uint64)
-    for i in range(min(width, len(words))):
-        total += hashes[i : i + n] * _FACTORS[i]
-    return np.unique(_mixed(total + np.uint64(min(width, len(words)))))
+    return next(shingle_sets([text], width))
 
 
 def registers(shingles: np.ndarray, buckets: int) -> np.ndarray:
@@ -79,6 +113,29 @@ def registers(shingles: np.ndarray, buckets: int) -> np.ndarray:
     return out
 
 
+def replicated(shingles: np.ndarray) -> Iterator[np.ndarray]:
+    """The set under each of ``REPLICAS`` permutations, each in its own equal slice of the hash range, sorted: some
+    permutations at a time, so that long texts need little memory."""
+    bits = REPLICAS.bit_length() - 1
+    each = max(1, min(REPLICAS, (1 << 20) // max(1, len(shingles))))
+    for first in range(0, REPLICAS, each):
+        number = np.arange(first, min(first + each, REPLICAS), dtype=np.uint64)[:, None]
+        values = (shingles[None, :] ^ mixed(number + np.uint64(1))) * FACTORS[1]
+        values = (values ^ (values >> np.uint64(29))) * FACTORS[2]
+        values = (values ^ (values >> np.uint64(32))) >> np.uint64(bits)
+        values |= number << np.uint64(64 - bits)
+        values.sort(axis=1)
+        yield values.ravel()
+
+
+def sketch_of(shingles: np.ndarray, buckets: int) -> np.ndarray:
+    """The registers of a set: those of its replicas."""
+    out = np.zeros(buckets, np.uint64)
+    for values in replicated(shingles):
+        out = np.maximum(out, registers(values, buckets))  # each fills buckets of its own
+    return out
+
+
 @cache
 def _borders(buckets: int) -> np.ndarray:
     return np.array([-(-(i << 64) // buckets) for i in range(buckets)], dtype=np.uint64)
@@ -86,33 +143,45 @@ def _borders(buckets: int) -> np.ndarray:
 
 def folded(register: np.ndarray) -> np.ndarray:
     """Registers as one byte each, 0 for an empty one: what pairs are estimated from."""
-    return np.where(register > 0, 1 + _mixed(register) % np.uint64(255), 0).astype(np.uint8)
+    return np.where(register > 0, 1 + mixed(register) % np.uint64(255), 0).astype(np.uint8)
 
 
-def band_keys(register: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key for each band that is not empty."""
-    bands = register.reshape(-1, rows)
-    number = np.arange(1, len(bands) + 1, dtype=np.uint64)
-    total = _mixed(number)
+def band_keys(register: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every sketch (a row of registers) a 64-bit key for each band, and whether the band is not empty."""
+    bands = register.reshape(len(register), -1, rows)
+    total = np.broadcast_to(mixed(np.arange(1, bands.shape[1] + 1, dtype=np.uint64)), bands.shape[:2])
     for j in range(rows):
-        total = _mixed(total + bands[:, j] * _FACTORS[j % WIDTH])
-    return total[bands.any(axis=1)].view(np.int64)
+        total = mixed(total + bands[:, :, j] * FACTORS[j % WIDTH])
+    return total, bands.any(axis=2)
+
+
+def _listed(values: np.ndarray, chosen: np.ndarray) -> pa.ListArray:
+    """The chosen values of each row as a list of 64-bit numbers."""
+    offsets = np.concatenate(([0], np.cumsum(chosen.sum(axis=1)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[chosen].view(np.int64)))
 
 
 def _sketches(buckets: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, digests, sketches, keys = [], [], [], []
-        for text in batch.column(1):
-            shingles = shingle_set(text.as_py())
-            register = registers(shingles, buckets)
-            sizes.append(len(shingles))
-            digests.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
-            sketches.append(folded(register).view(np.int64))
-            keys.append(band_keys(register, rows))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "digest", "sketch", "keys"],
-        )
+        for first in range(0, batch.num_rows, 256):
+            part = batch.slice(first, 256)
+            sizes, digests, register = [], [], np.zeros((part.num_rows, buckets), np.uint64)
+            for i, shingles in enumerate(shingle_sets(part.column(2).to_pylist())):
+                register[i] = sketch_of(shingles, buckets)
+                sizes.append(len(shingles))
+                digests.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
+            sketches = folded(register).view(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    part.column(1),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(digests, pa.binary()),
+                    _listed(sketches, np.ones(sketches.shape, bool)),
+                    _listed(*band_keys(register, rows)),
+                ],
+                names=["doc_id", "mark", "n_shingles", "digest", "sketch", "keys"],
+            )
 
 
 def _empty_bytes(words: Column) -> Column:
@@ -134,14 +203,11 @@ def estimate(sketch: Column, other: Column) -> tuple[Column, Column]:
     return (equal / used - CHANCE) / (1 - CHANCE), used
 
 
-def alike(percent: int, size: Column, sketch: Column, other_size: Column, other: Column) -> Column:
-    """Whether the estimate lies at most ``DEVIATIONS`` standard errors under the threshold.  Registers
-    sample the union without replacement, which small sets exhaust."""
+def alike(percent: int, sketch: Column, other: Column) -> Column:
+    """Whether the estimate lies at most ``DEVIATIONS`` standard errors under the threshold."""
     least = percent / 100
     guess, used = estimate(sketch, other)
-    union = (size + other_size) / (1 + least)
-    error = F.sqrt(least * (1 - least) / used * F.greatest(1 - used / union, F.lit(0.1)))
-    return guess >= least - DEVIATIONS * error - 1 / used
+    return guess >= least - DEVIATIONS * F.sqrt(least * (1 - least) / used) - 1 / used
 
 
 def _linked(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,97 +234,102 @@ def _linked(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for first in range(0, len(ids), 256):
-            sets = [shingle_set(t.as_py()).view(np.int64) for t in texts[first : first + 256]]
-            nodes = np.repeat(np.array(ids[first : first + 256], np.int64), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets))], names=["node", "shingle"])
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = (shingle_set(t.as_py()) for t in batch.column("text"))
-        found = [xxhash.xxh3_128_digest(s.tobytes()).hex().upper() if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.string())], names=["row", "digest"])
-
-
-def with_digest(docs: DataFrame) -> DataFrame:
-    """(row, digest): the rows of ``docs`` and the name of each one's class, null for an empty set."""
-    return docs.select("text", row_of(docs)).mapInArrow(_digests, row_schema(docs, digest="string"))
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 64, rows: int = 5, digests: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and with ``digests`` the
-    class's digest.
+        nodes, texts = batch.column(0).to_pylist(), batch.column(1)
+        for first in range(0, len(nodes), 256):
+            sets = [s.view(np.int64) for s in shingle_sets(texts[first : first + 256].to_pylist())]
+            counts = [len(s) for s in sets]
+            columns = [np.repeat(np.array(nodes[first : first + 256], np.int64), counts), np.repeat(np.array(counts, np.int32), counts), np.concatenate(sets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "size", "shingle"])
+
+
+def possible_pairs(shingles: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """Every pair (a, b) of ``nodes`` (node, component, main) in two groups, one at least not ``main``, that can
+    reach the threshold by the order of their ``shingles`` (node, size, shingle), rarest first; and the
+    scratch tables that it reads."""
+    shingles, path = materialise(shingles, "shingles")
+    counts, counts_path = materialise(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingle-counts")
+    shared = shingles.join(counts, "shingle")
+    # Shingles of one node alone come first of all, and need not be looked at.
+    own = Window.partitionBy("node")
+    rank = F.row_number().over(own.orderBy("n", "shingle")) + F.col("size") - F.count("*").over(own)
+
+    def needed(size: Column, other: Column) -> Column:
+        return F.ceil(percent * (size + other) / (100 + percent) - 1e-9)
+
+    size = F.col("size")
+    least_other = F.ceil(size * percent / 100 - 1e-9)
+    first = shared.withColumn("rank", rank).where(F.col("rank") <= size - needed(size, least_other) + 1)
+    first, first_path = materialise(first.select("node", "size", "shingle", "rank").join(nodes, "node"), "rare-shingles")
+    other = first.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "rank", "component", "main")))
+    both = needed(size, F.col("other_size"))
+    apart = (F.col("component") != F.col("other_component")) & (F.col("other_main") | (F.col("node") < F.col("other_node")))
+    within = (F.col("rank") <= size - both + 1) & (F.col("other_rank") <= F.col("other_size") - both + 1)
+    pairs = first.where("not main").join(other, "shingle").where(apart & within)
+    return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b")), [path, counts_path, first_path]
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 64, rows: int = 5, marks: bool = False) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and with ``marks`` the
+    hash of the text, ``mark``, and the name of the class, ``digest``.
 
     ``component_id`` is the smallest doc_id that links reach; ``kept`` says that it is the row's own.
     ``bands * rows`` must divide by 8.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketches, _ = materialise(
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    sketches, sketches_path = materialise(
         docs.mapInArrow(
             partial(_sketches, bands * rows, rows),
-            "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>, keys array<bigint>",
+            "doc_id bigint, mark bigint, n_shingles bigint, digest binary, sketch array<bigint>, keys array<bigint>",
         ),
         "sketches",
     )
-    named = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    named, _ = materialise(named, "classes")
-    nodes = (
-        sketches.join(named, (sketches["digest"] == named["digest"]) & (sketches["doc_id"] == named["node"]))
-        .select("node", F.col("n_shingles").alias("size"), "sketch", "keys")
-        .dropDuplicates(["node"])
-    )
-    nodes, _ = materialise(nodes, "nodes")
-    keys = nodes.select("node", F.explode("keys").alias("key"))
+    named = sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    named, named_path = materialise(named.select("digest", F.col("first.doc_id").alias("node"), F.col("first.mark").alias("mark")), "classes")
+    # Of classes with one name the one with the smallest digest takes part.
+    taking, taking_path = materialise(named.groupBy("node").agg(F.min(F.struct("digest", "mark")).alias("own")).select("node", "own.*"), "names")
+    chosen = (sketches["digest"] == taking["digest"]) & (sketches["doc_id"] == taking["node"]) & (sketches["mark"] == taking["mark"])
+    nodes = sketches.join(taking, chosen)
+    nodes, nodes_path = materialise(nodes.select("node", taking["mark"], "sketch", "keys").dropDuplicates(["node"]), "nodes")
+    paths = [sketches_path, named_path, taking_path, nodes_path]
 
     def rule_for(candidates: DataFrame) -> linkage.Rule:
-        wanted = candidates.select(F.col("node").alias("doc_id"))
-        texts, _ = materialise(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        own, _ = materialise(nodes.join(candidates, "node", "left_semi"), "candidates")
+        own, own_path = materialise(nodes.join(candidates, "node", "left_semi").select("node", "mark", "sketch"), "candidates")
+        wanted = own.select(F.col("node").alias("doc_id"), "mark")
+        texts, texts_path = materialise(docs.join(wanted, ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]), "texts")
+        paths.extend([own_path, texts_path])
 
         def verify(pairs: DataFrame) -> DataFrame:
-            def sketch(s: str) -> DataFrame:
-                return own.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "sketch")))
+            def side(table: DataFrame, what: str, s: str) -> DataFrame:
+                return table.select(F.col("node").alias(s), F.col(what).alias(f"{what}_{s}"))
 
-            def text(s: str) -> DataFrame:
-                return texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
-
-            likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
-            likely = likely.where(alike(percent, *(F.col(c) for c in ("size_a", "sketch_a", "size_b", "sketch_b")))).select("a", "b")
-            both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+            likely = pairs.join(side(own, "sketch", "a"), "a").join(side(own, "sketch", "b"), "b")
+            likely = likely.where(alike(percent, F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
+            both = likely.join(side(texts, "text", "a"), "a").join(side(texts, "text", "b"), "b").select("a", "b", "text_a", "text_b")
             return both.mapInArrow(partial(_linked, percent), "a bigint, b bigint")
 
-        def weigh(nodes: DataFrame) -> DataFrame:
-            """Set sizes, and how many of a set's shingles another of the nodes holds too."""
-            asked = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-            alone = (
-                asked.mapInArrow(_shingles, "node bigint, shingle bigint")
-                .groupBy("shingle")
-                .agg(F.count("*").alias("n"), F.max("node").alias("node"))
-                .where("n = 1")
-                .groupBy("node")
-                .agg(F.count("*").alias("alone"))
-            )
-            return (
-                own.join(nodes, "node", "left_semi")
-                .join(alone, "node", "left")
-                .select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"), "sketch", "keys")
-            )
-
-        def possible(size: Column, common: Column, other_size: Column, other_common: Column) -> Column:
-            """100 * shared >= percent * (sizes - shared), with at most the smaller ``common`` shared."""
-            return (100 + percent) * F.least(common, other_common) >= percent * (size + other_size)
-
-        return linkage.Rule(verify, weigh, possible, partial(alike, percent))
-
-    members = linkage.groups(keys, rule_for)
-    placed = named.join(members, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("group"))
-    smallest = placed.groupBy("group").agg(F.min("node").alias("component"))
-    classes = placed.join(smallest, placed["group"].eqNullSafe(smallest["group"]), "left").select("digest", "component")
-    return (
-        sketches.select("doc_id", "n_shingles", "digest")
+        def rest(undecided: DataFrame) -> DataFrame:
+            # min() of a boolean: whether a node is in the largest group of each of its keys.
+            left, left_path = materialise(undecided.groupBy("node").agg(F.min("component").alias("component"), F.min("main").alias("main")), "left-nodes")
+            shingles = texts.join(left, "node", "left_semi").select("node", "text").mapInArrow(_shingles, "node bigint, size int, shingle bigint")
+            pairs, more = possible_pairs(shingles, left, percent)
+            paths.extend([left_path, *more])
+            return pairs
+
+        return linkage.Rule(verify, rest)
+
+    members = linkage.groups(nodes.select("node", F.explode("keys").alias("key")), rule_for)
+    joined = taking.select("digest", "node").join(members, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("group"))
+    joined, joined_path = materialise(joined, "grouped")
+    smallest, smallest_path = materialise(joined.groupBy("group").agg(F.min("node").alias("component")), "smallest")
+    components = joined.join(smallest, "group").select("digest", "component")
+    classes = named.join(components, "digest", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    classes, classes_path = materialise(classes, "components")
+    result = (
+        sketches.select("doc_id", "n_shingles", "mark", "digest")
         .join(classes, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *(["digest"] if digests else []))
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *(["mark", "digest"] if marks else []))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+    remove(spark, *(path for path in [*paths, joined_path, smallest_path] if path != sketches_path))
+    return result

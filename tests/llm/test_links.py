@@ -7,7 +7,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from deklara.llm import lines, linkage, minhash
+from deklara.llm import lineblocks, lines, linkage, minhash
 
 EDGE = [(901, None), (902, ""), (903, " \t\n"), (904, "one two"), (905, "One  two"), (906, "one"), (907, " "), (None, "only without an id at all here"), (908, "x " * 30000)]
 
@@ -109,7 +109,7 @@ def line_rows():
 
 def test_lines_against_brute_force(spark, line_rows):
     docs = {i: t for i, t in line_rows}
-    forms = {(i, n): form for i, t in docs.items() for n, form in enumerate(lines.forms(t))}
+    forms = {(i, n): form for i, t in docs.items() for n, form in enumerate(lineblocks.forms(t))}
     classes = sorted({" ".join(f) for f in forms.values() if f})
     blocks = dict(zip(classes, lines.simhashes([c.split(" ") for c in classes]).tolist(), strict=True))
     far = lambda a, b: sum(((x ^ y) & 0xFFFFFFFF).bit_count() for x, y in zip(blocks[a], blocks[b], strict=True)) > lines.MOST_BITS
@@ -150,7 +150,7 @@ def test_changed_words_against_pure_edit_distance(spark):
             at = rng.randrange(len(texts[-3]))
             texts.append(texts[-3][:at] + texts[-3][at + 1 :])
     texts += ["repeated " * 40, "repeated " * 39 + "repeatxd", "abc", "abd", "größe übel ähnlich", "größe übel ähnlixh"]
-    form = {i: " ".join(*lines.forms(t)) for i, t in enumerate(texts)}
+    form = {i: " ".join(*lineblocks.forms(t)) for i, t in enumerate(texts)}
     near = lambda a, b: abs(len(a) - len(b)) <= max(len(a), len(b)) * 0.1 and edit_distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)
     group = components(form, [(a, b) for a in form for b in form if a < b and near(form[a], form[b])])
     found = lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
@@ -166,7 +166,7 @@ def test_changed_words_against_pure_edit_distance(spark):
 
 def test_lines_against_pure_edit_distance(spark, line_rows):
     docs = {i: t for i, t in line_rows}
-    forms = {(i, n): " ".join(form) for i, t in docs.items() for n, form in enumerate(lines.forms(t)) if form}
+    forms = {(i, n): " ".join(form) for i, t in docs.items() for n, form in enumerate(lineblocks.forms(t)) if form}
     classes = sorted(set(forms.values()))
     near = lambda a, b: abs(len(a) - len(b)) <= max(len(a), len(b)) * 0.1 and edit_distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)
     group = components(classes, [(a, b) for a in classes for b in classes if a < b and near(a, b)])
