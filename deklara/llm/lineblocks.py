@@ -179,7 +179,8 @@ def _block_keys(n: int, owner: np.ndarray, features: np.ndarray, blocks: int, ea
     mark = mixed(found.astype(_U) + (at % blocks + 1).astype(_U) * _U(_BASE) + (_U(kind) << _U(56)))
     if each == 1:
         held = np.bincount(at // blocks, sizes, n).astype(np.int64)
-        needed = np.where(held < 2 * blocks, np.maximum(1, held // blocks), least)  # of lines that repeat few words
+        # Of lines that repeat few words, so that most blocks have one at most, smaller blocks count too.
+        needed = np.where(held < max(blocks, 2 * least), np.clip(held // 8, 1, least), least)
         full = sizes >= needed[at // blocks]
         return at[full] // blocks, mark[full]
     marks, counts = np.zeros(n * blocks, _U), np.zeros(n * blocks, np.int64)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deklara.llm import lineblocks, linkage
+from deklara.llm import edits, lineblocks, linkage
 from deklara.llm.common import materialise, remove, row_of, row_schema
 
 #: Line hashes that a task remembers at most.
@@ -75,6 +75,17 @@ def _wanted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(lines.node[found].view(np.int64)), pa.array(texts, pa.string())], names=["node", "form"])
 
 
+def _near(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs within the edit distance; what their characters' counts rule out is not looked at."""
+    for batch in batches:
+        keep = []
+        for one, two in zip(batch.column("form_a"), batch.column("form_b"), strict=True):
+            a, b = edits.codes_of(one.as_py()), edits.codes_of(two.as_py())
+            most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+            keep.append(edits.may_be_within(edits.counts_of(a), edits.counts_of(b), most) and edits.within(a, b, most))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def near_lengths(similarity: float, size: Column, other: Column) -> Column:
     """Lengths that are no further apart than the edits allowed."""
     return (size >= other * similarity - 1e-6) & (other >= size * similarity - 1e-6)
@@ -104,9 +115,8 @@ def removed_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
                 return forms.select(F.col("node").alias(s), F.col("form").alias(f"form_{s}"))
 
             both = pairs.join(side("a"), "a").join(side("b"), "b")
-            most = F.floor(F.greatest(F.length("form_a"), F.length("form_b")) * (1 - similarity) + 1e-9).cast("int")
-            near = both.where(near_lengths(similarity, F.length("form_a"), F.length("form_b"))).withColumn("most", most)
-            return near.where("levenshtein(form_a, form_b, most) >= 0").select("a", "b")
+            near = both.where(near_lengths(similarity, F.length("form_a"), F.length("form_b")))
+            return near.select("a", "b", "form_a", "form_b").mapInArrow(partial(_near, similarity), "a bigint, b bigint")
 
         def rest(rows: DataFrame) -> DataFrame:
             """Every pair that shares a key, lies in two groups, and has near lengths."""

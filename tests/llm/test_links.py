@@ -4,10 +4,11 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deklara.llm import lineblocks, lines, linkage, minhash
+from deklara.llm import edits, lineblocks, lines, linkage, minhash
 
 EDGE = [(901, None), (902, ""), (903, " \t\n"), (904, "one two"), (905, "One  two"), (906, "one"), (907, " "), (None, "only without an id at all here"), (908, "x " * 30000)]
 
@@ -107,32 +108,6 @@ def line_rows():
     return rows + [(100, None), (101, ""), (102, "---\n---"), (103, "a b c 2"), rows[3]]
 
 
-def test_lines_against_brute_force(spark, line_rows):
-    docs = {i: t for i, t in line_rows}
-    forms = {(i, n): form for i, t in docs.items() for n, form in enumerate(lineblocks.forms(t))}
-    classes = sorted({" ".join(f) for f in forms.values() if f})
-    blocks = dict(zip(classes, lines.simhashes([c.split(" ") for c in classes]).tolist(), strict=True))
-    far = lambda a, b: sum(((x ^ y) & 0xFFFFFFFF).bit_count() for x, y in zip(blocks[a], blocks[b], strict=True)) > lines.MOST_BITS
-    links = [
-        (a, b) for a in classes for b in classes
-        if a < b and not far(a, b) and any(x == y for x, y in zip(blocks[a], blocks[b], strict=True)) and edit_distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)
-    ]
-    group = components(classes, links)
-    seen, gone = set(), set()
-    for at in sorted(forms):
-        form = " ".join(forms[at])
-        if form:
-            (gone.add(at) if group[form] in seen else seen.add(group[form]))
-    assert gone and len(links) > 3
-    found = lines.deduplicated(spark.createDataFrame(line_rows, "doc_id bigint, text string")).collect()
-    assert len(found) == len(line_rows)
-    for r in found:
-        text = docs[r["doc_id"]]
-        left = None if text is None else "\n".join(line for n, line in enumerate(text.split("\n")) if (r["doc_id"], n) not in gone)
-        assert r["text"] == left, r["doc_id"]
-        assert r["n_removed"] == sum(1 for i, _ in gone if i == r["doc_id"])
-
-
 def test_changed_words_against_pure_edit_distance(spark):
     """Candidates are no condition here: all pairs within the promised distance are linked."""
     rng = random.Random(11)
@@ -155,13 +130,89 @@ def test_changed_words_against_pure_edit_distance(spark):
     group = components(form, [(a, b) for a in form for b in form if a < b and near(form[a], form[b])])
     found = lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
     assert {r["doc_id"] for r in found if not r["n_removed"]} == set(group.values())
-    long = "".join(rng.choice("abcde ") for _ in range(2000))
-    whole = lines.minima([long, "short"])
-    chunk, lines.CHUNK = lines.CHUNK, 300
-    try:
-        assert (lines.minima([long, "short"]) == whole).all()
-    finally:
-        lines.CHUNK = chunk
+
+
+def test_lines_are_those_of_the_plain_form():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab9ßÄ-_ \n. \t²١") for _ in range(rng.randint(0, 400))) for _ in range(60)] + [None, "", "\n", "x\n" * 40]
+    expected = [(row, n, " ".join(form)) for row, t in enumerate(texts) for n, form in enumerate(lineblocks.forms(t)) if form]
+    nodes, chunk = {}, lineblocks.CHUNK
+    for lineblocks.CHUNK in (50, 300, chunk):
+        found = []
+        for parts, rows, before in lineblocks.chunks(texts):
+            got, starts = lineblocks.read(parts)
+            for number, node, chars in zip(got.number.tolist(), got.node.tolist(), got.chars.tolist(), strict=True):
+                part = max(i for i, s in enumerate(starts) if s <= number)
+                found.append((rows[part], number - starts[part] + before[part], node, chars))
+        assert [f[:2] for f in found] == [e[:2] for e in expected]
+        for (_, _, node, chars), (_, _, form) in zip(found, expected, strict=True):
+            assert nodes.setdefault(form, node) == node and chars == len(form)
+    assert len(set(nodes.values())) == len(nodes) and lineblocks.CHUNK == chunk
+
+
+def test_a_block_is_the_majority_of_its_features():
+    rng = np.random.default_rng(4)
+    block, features = rng.integers(0, 5, 2000), rng.integers(0, 1 << 64, 300, dtype=np.uint64)[rng.integers(0, 300, 2000)]
+    features[:700], block[:700] = rng.integers(0, 1 << 64, 700, dtype=np.uint64), 6  # more votes than a byte holds
+    at, found, sizes = lineblocks.simhash_blocks(block, features)
+    assert at.tolist() == sorted(set(block.tolist()))
+    for b, h, n in zip(at.tolist(), found.tolist(), sizes.tolist(), strict=True):
+        own = {f >> 24 for f in features[block == b].tolist()}
+        value = 0
+        for i in range(32):  # bit i of the result is bit i of the features
+            value |= (4 * sum(f >> i & 1 for f in own) - 2 * len(own) + (7 - i % 8) % 2 > 0) << i
+        assert (h, n) == (value, len(own))
+
+
+def test_fewer_changed_features_than_blocks_leave_a_key():
+    """The pigeonhole principle: each changed word disturbs the blocks of the old and the new word alone."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(5))
+    for _ in range(200):
+        base = [word() for _ in range(60)]
+        own = list(base)
+        for at in rng.sample(range(60), 3):
+            own[at] = word()
+        got, _ = lineblocks.read([" ".join(base), " ".join(own)])
+        owner, keys = lineblocks.band_keys(got, np.arange(2), 0.9)
+        assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+
+
+def test_edit_distance_is_the_plain_one():
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choice("abä") for _ in range(rng.randint(0, n)))
+    for _ in range(3000):
+        a = text(14)
+        b = text(14) if rng.random() < 0.5 else a[:4] + text(3) + a[5:]
+        d, x, y = edit_distance(a, b), edits.codes_of(a), edits.codes_of(b)
+        for most in range(max(0, d - 1), d + 2):
+            assert edits.within(x, y, most) == (d <= most)
+            assert edits.may_be_within(edits.counts_of(x), edits.counts_of(y), most) or d > most
+
+
+def test_recall_against_pure_edit_distance_on_real_lines():
+    """All pairs of near-equal lines of a table, found by brute force over lengths and counts: the share that
+    agrees in a key."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()
+    lines_of = sorted({" ".join(f) for t in texts for f in lineblocks.forms(t) if f}, key=len)
+    codes = [edits.codes_of(t) for t in lines_of]
+    counts, sizes = [edits.counts_of(c) for c in codes], [len(c) for c in codes]
+    got, _ = lineblocks.read(lines_of)
+    owner, keys = lineblocks.band_keys(got, np.arange(len(lines_of)), 0.9)
+    held = [set() for _ in lines_of]
+    for i, k in zip(owner.tolist(), keys.tolist(), strict=True):
+        held[i].add(k)
+    links = met = 0
+    for b, n in enumerate(sizes):
+        most, a = int(n * 0.1 + 1e-9), b - 1
+        while a >= 0 and sizes[a] >= n - most:
+            if edits.may_be_within(counts[a], counts[b], most) and edits.within(codes[a], codes[b], most):
+                links += 1
+                met += bool(held[a] & held[b])
+            a -= 1
+    assert links > 10 and met >= 0.95 * links, (links, met)
 
 
 def test_lines_against_pure_edit_distance(spark, line_rows):
