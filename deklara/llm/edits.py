@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Characters are counted by their code modulo this number.
-_BINS = 128
+#: Characters are counted by their code modulo this number; in tables modulo the other one.
+_BINS, FEW_BINS = 128, 32
 
 
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def counts_of(codes: np.ndarray) -> np.ndarray:
-    return np.bincount(codes % _BINS, minlength=_BINS)
+def counts_of(codes: np.ndarray, bins: int = _BINS) -> np.ndarray:
+    return np.bincount(codes % bins, minlength=bins)
 
 
 def may_be_within(counts: np.ndarray, other: np.ndarray, most: int) -> bool:

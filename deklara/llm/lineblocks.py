@@ -7,10 +7,10 @@ other, and the pigeonhole principle holds for features: a change that touches c
 two) leaves at least B - c blocks as they are.  ``B`` grows with the line, so that at every length about the
 same share of changed characters is survived, and about as many words stand behind a block.
 
-Each block that rests on enough features is a key; of forms under 100 characters, which have few words, the
-choices of two or three blocks are keys, and under 60 characters also the blocks of the runs of two characters.
-Two lines that agree in a key are candidates.  Lines whose length lies just above a border between two
-levels have the keys of both.
+A key is a block with the next one (of forms under 100 characters, which have few words, every choice of two
+or three blocks; under 60 characters also the blocks of the runs of two characters), if the two rest on enough
+features.  Two lines that agree in a key are candidates.  Lines whose length lies just above a border between
+two levels have the keys of both.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ _DIGIT = re.compile("[1-9]")
 _U = np.uint64
 #: From this length of the form on: blocks, blocks in a key, and distinct features that a key must rest on (one of
 #: fewer is shared by lines that have nothing else in common).  Above the last level blocks double with the length.
-LEVELS = ((0, 5, 3, 3), (60, 5, 2, 3), (100, 4, 1, 4), (140, 6, 1, 4), (200, 9, 1, 4))
+LEVELS = ((0, 5, 3, 3), (60, 5, 2, 4), (100, 6, 2, 5), (140, 8, 2, 6), (200, 12, 2, 6))
+#: Of more blocks only neighbours are put together, each with the next.
+ALL = 5
 #: Forms of fewer characters also have the blocks of their runs of two characters.
 SHORT, RUN_BLOCKS, RUN_LEAST = 60, 4, 5
 #: Characters that are read at once.
@@ -174,24 +176,21 @@ def _level_keys(lines: Lines, chosen: np.ndarray, level: int) -> tuple[np.ndarra
 
 
 def _block_keys(n: int, owner: np.ndarray, features: np.ndarray, blocks: int, each: int, least: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, key) for every choice of ``each`` of an owner's blocks."""
+    """(owner, key) for the choices of ``each`` of an owner's blocks."""
     at, found, sizes = simhash_blocks(owner * blocks + (features % _U(blocks)).astype(np.int64), features)
     mark = mixed(found.astype(_U) + (at % blocks + 1).astype(_U) * _U(_BASE) + (_U(kind) << _U(56)))
-    if each == 1:
-        held = np.bincount(at // blocks, sizes, n).astype(np.int64)
-        # Of lines that repeat few words, so that most blocks have one at most, smaller blocks count too.
-        needed = np.where(held < max(blocks, 2 * least), np.clip(held // 8, 1, least), least)
-        full = sizes >= needed[at // blocks]
-        return at[full] // blocks, mark[full]
     marks, counts = np.zeros(n * blocks, _U), np.zeros(n * blocks, np.int64)
     marks[at], counts[at] = mark, sizes
     marks, counts = marks.reshape(n, blocks), counts.reshape(n, blocks)
-    needed = np.minimum(least, np.maximum(2, counts.sum(axis=1) - 1))  # of three words two are enough
+    # Of three words two are enough; lines that repeat few words have smaller keys.
+    held = counts.sum(axis=1)
+    needed = np.minimum(least, np.where(held < 2 * least, np.maximum(2, held - 1), np.maximum(2, each * held // blocks)))
+    choices = itertools.combinations(range(blocks), each) if blocks <= ALL else ([(i + j) % blocks for j in range(each)] for i in range(blocks))
     owners, keys = [], []
-    for number, combination in enumerate(itertools.combinations(range(blocks), each)):
-        some = np.flatnonzero(counts[:, combination].sum(axis=1) >= needed)
+    for number, choice in enumerate(choices):
+        some = np.flatnonzero(counts[:, choice].sum(axis=1) >= needed)
         total = np.full(len(some), number + 1, _U)
-        for i in combination:
+        for i in choice:
             total = mixed(total + marks[some, i])
         owners.append(some)
         keys.append(total)

@@ -31,7 +31,7 @@ from deklara.llm.common import materialise, remove, row_of, row_schema
 
 #: Line hashes that a task remembers at most.
 MEMORY = 500_000
-LINES = "doc_id bigint, line int, node bigint, chars int, keys array<bigint>"
+LINES = "doc_id bigint, line int, node bigint, keys array<bigint>"
 
 
 def _lines(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,15 +55,14 @@ def _lines(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                     batch.column(0).take(pa.array(np.array(rows, np.int64)[part])),
                     pa.array((lines.number - starts[part] + np.array(before, np.int64)[part]).astype(np.int32)),
                     pa.array(lines.node.view(np.int64)),
-                    pa.array(lines.chars.astype(np.int32)),
                     listed,
                 ],
-                names=["doc_id", "line", "node", "chars", "keys"],
+                names=["doc_id", "line", "node", "keys"],
             )
 
 
 def _wanted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normal forms of the wanted lines of a document."""
+    """Normal forms of the wanted lines of a document, their lengths, and the counts of their characters."""
     for batch in batches:
         wanted = batch.column("wanted").to_pylist()
         for parts, rows, _ in lineblocks.chunks(batch.column("text").to_pylist()):
@@ -72,7 +71,11 @@ def _wanted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             found = np.flatnonzero(np.isin(lines.node, asked))
             at = "\n".join(parts).split("\n")
             texts = [" ".join(lineblocks.forms(at[n])[0]) for n in lines.number[found].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.node[found].view(np.int64)), pa.array(texts, pa.string())], names=["node", "form"])
+            counts = [edits.counts_of(edits.codes_of(t), edits.FEW_BINS) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lines.node[found].view(np.int64)), pa.array(texts, pa.string()), pa.array(lines.chars[found].astype(np.int32)), pa.array(counts, pa.list_(pa.int32()))],
+                names=["node", "form", "size", "counts"],
+            )
 
 
 def _near(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,23 +94,30 @@ def near_lengths(similarity: float, size: Column, other: Column) -> Column:
     return (size >= other * similarity - 1e-6) & (other >= size * similarity - 1e-6)
 
 
+def near_counts(similarity: float, size: Column, counts: Column, other_size: Column, other: Column) -> Column:
+    """Counts of characters that are no further apart than the edits allowed, each of which takes one character
+    away and gives one at most."""
+    more = F.aggregate(F.zip_with(counts, other, lambda a, b: F.greatest(a - b, F.lit(0))), F.lit(0), lambda total, n: total + n)
+    return more + F.greatest(other_size - size, F.lit(0)) <= F.floor(F.greatest(size, other_size) * (1 - similarity) + 1e-9)
+
+
 def removed_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
     """(doc_id, removed): the lines that go, as (line number, node), of each document that loses any."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     lines, lines_path = materialise(docs.mapInArrow(partial(_lines, similarity), LINES), "lines")
     classes = lines.groupBy("node").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"), F.min("chars").alias("size"), F.max("keys").alias("keys")
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"), F.max("keys").alias("keys")
     )
     classes, classes_path = materialise(classes, "line-classes")
     keys = classes.select("node", F.explode("keys").alias("key"))
     paths = [lines_path, classes_path]
 
     def rule_for(candidates: DataFrame) -> linkage.Rule:
-        own, own_path = materialise(classes.join(candidates, "node", "left_semi").select("node", "size", F.col("first.doc_id").alias("doc_id")), "candidate-lines")
+        own, own_path = materialise(classes.join(candidates, "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id")), "candidate-lines")
         wanted = own.groupBy("doc_id").agg(F.collect_set("node").alias("wanted"))
         texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted")
-        forms, forms_path = materialise(texts.mapInArrow(_wanted_forms, "node bigint, form string").dropDuplicates(["node"]), "forms")
+        forms, forms_path = materialise(texts.mapInArrow(_wanted_forms, "node bigint, form string, size int, counts array<int>").dropDuplicates(["node"]), "forms")
         paths.extend([own_path, forms_path])
 
         def verify(pairs: DataFrame) -> DataFrame:
@@ -115,15 +125,18 @@ def removed_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
                 return forms.select(F.col("node").alias(s), F.col("form").alias(f"form_{s}"))
 
             both = pairs.join(side("a"), "a").join(side("b"), "b")
-            near = both.where(near_lengths(similarity, F.length("form_a"), F.length("form_b")))
-            return near.select("a", "b", "form_a", "form_b").mapInArrow(partial(_near, similarity), "a bigint, b bigint")
+            return both.select("a", "b", "form_a", "form_b").mapInArrow(partial(_near, similarity), "a bigint, b bigint")
 
         def rest(rows: DataFrame) -> DataFrame:
-            """Every pair that shares a key, lies in two groups, and has near lengths."""
-            sized = rows.join(own.select("node", "size"), "node")
-            other = sized.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "main", "size")))
+            """Every pair that shares a key, lies in two groups, and has near lengths and counts of characters."""
+            # Of the keys that two lines share the smallest yields the pair.
+            own_keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
+            sized = rows.join(forms.select("node", "size", "counts").join(own_keys, "node"), "node")
+            other = sized.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "main", "size", "counts", "keys")))
+            once = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
             apart = (F.col("component") != F.col("other_component")) & (F.col("other_main") | (F.col("node") < F.col("other_node")))
-            pairs = sized.where("not main").join(other, "key").where(apart & near_lengths(similarity, F.col("size"), F.col("other_size")))
+            near = near_counts(similarity, F.col("size"), F.col("counts"), F.col("other_size"), F.col("other_counts"))
+            pairs = sized.where("not main").join(other, "key").where(apart & near_lengths(similarity, F.col("size"), F.col("other_size")) & near & once)
             return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
 
         return linkage.Rule(verify, rest)

@@ -21,25 +21,28 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
 from array import array
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+#: Letters, and signs behind them.
+_SIGNS = re.compile(r"(▁?[^\W\d_]+)([!-/:-@\[-`{-~]+)\Z")
 
 
 class _Words(dict):
-    """Word -> packed ids, filled on demand; bounded like ``subwords.WordIds``."""
+    """Word -> what ``encode`` makes of it, filled on demand; bounded like ``subwords.WordIds``."""
 
-    def __init__(self, encode: Callable[[str], bytes], max_words: int, max_word: int):
+    def __init__(self, encode: Callable[[str], object], max_words: int, max_word: int):
         super().__init__()
         self._encode, self._max_words, self._max_word = encode, max_words, max_word
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> object:
         ids = self._encode(word)
         if len(word) <= self._max_word:
             if len(self) >= self._max_words:
@@ -93,7 +96,9 @@ class Model:
             elif file.is_unknown(i):
                 self._surface[i] = " ⁇ ".encode()
         self._surface |= {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        self._piece_of = {i: t for t, i in self.ids.items()}
         self._words = _Words(self._word, max_words, max_word)
+        self._shown = _Words(self.shown, max_words, max_word)
         self._pairs: dict[tuple[str, str], bool] = {}
         self._halves: dict[str, tuple[str, str]] = {}
         self._alone: dict[str, bool] = {}
@@ -223,6 +228,16 @@ class Model:
         return [self.run_ids.get(s, self.ids[MARK]) for s in size if s]
 
     def _word(self, word: str) -> bytes:
+        """Packed ids of what is encoded apart.  Neighbours that are compatible need no more, so a word and the
+        signs behind it, which come again and again, are put together from what is known of the two."""
+        parts = _SIGNS.match(word)
+        if parts:
+            stem, signs = self._words[parts[1]], self._words[parts[2]]
+            last, first = self._piece_of.get(int.from_bytes(stem[-4:], sys.byteorder)), self._piece_of.get(int.from_bytes(signs[:4], sys.byteorder))
+            if last is not None and first is not None:
+                fits = self._pairs.get((last, first))
+                if fits or fits is None and self._compatible(last, first):
+                    return stem + signs
         marks = len(word) - len(word.lstrip(MARK))
         rest = word[marks - 1 :] if marks else word
         ids: list[int] = []
@@ -239,11 +254,25 @@ class Model:
             ids = self._run(marks - 1 + alone) + ids[alone:]
         return array("I", ids).tobytes()
 
+    def words(self, text: str | None) -> list[str]:
+        """What of a text is encoded apart."""
+        return self._cut.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def shown(self, word: str) -> tuple[bytes, bytes | None, bool]:
+        """Of a word its ids in decimal, each with a blank behind it; the bytes that they decode to, None if those
+        are no UTF-8 by themselves; and whether it begins with a blank that is no part of the text when it
+        stands first."""
+        ids = memoryview(self._words[word] if _SIGNS.match(word) is None else self._word(word)).cast("I").tolist()
+        surface = b"".join(map(self._surface.__getitem__, ids))
+        try:
+            surface.decode()
+        except UnicodeDecodeError:
+            surface = None
+        return b"".join([b"%d " % i for i in ids]), surface, bool(ids) and ids[0] in self._marked
+
     def encode(self, text: str | None) -> bytes:
         """Packed little-endian 32-bit ids of a whole text, without the end id."""
-        if not text:
-            return b""
-        return b"".join(map(self._words.__getitem__, self._cut.findall(MARK + text.replace(" ", MARK))))
+        return b"".join(map(self._words.__getitem__, self.words(text)))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes that are no UTF-8 each give U+FFFD; one leading space goes."""
@@ -283,21 +312,32 @@ class Model:
         return "".join(out)
 
 
+@cache
+def model_of(path: str) -> Model:
+    """The model of a worker, which serves all its tasks and remembers their words."""
+    return Model(path)
+
+
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 def _digests(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model = Model(path)
-    names = [str(i) for i in range(max(max(model.ids.values()), max(model.byte_ids), model.end_id) + 1)]
-    names += [str(i) for i in range(len(names), max([*model.run_ids.values(), 0]) + 1)]
-    end = array("I", [model.end_id]).tobytes()
+    model = model_of(path)
+    end = str(model.end_id).encode()
     for batch in batches:
         counts, digests, texts = [], [], []
         for text in batch.column(1):
-            ids = memoryview(model.encode(text.as_py()) + end).cast("I").tolist()
-            counts.append(len(ids))
-            digests.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-            texts.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
+            parts = list(map(model._shown.__getitem__, model.words(text.as_py())))
+            numbers = b"".join([p[0] for p in parts]) + end
+            # Bytes that are no UTF-8, and they alone, have no bytes of their own here.
+            whole = None if any(p[1] is None for p in parts) else b"".join([p[1] for p in parts])
+            if whole is None:
+                whole = model.decode(list(map(int, numbers.split()))).encode()
+            elif parts and parts[0][2]:
+                whole = whole[1:]
+            counts.append(numbers.count(b" ") + 1)
+            digests.append(hashlib.sha256(numbers).hexdigest())
+            texts.append(hashlib.sha256(whole).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -312,7 +352,7 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def _ids(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model = Model(path)
+    model = model_of(path)
     for batch in batches:
         ids = [[*memoryview(model.encode(t.as_py())).cast("I").tolist(), model.end_id] for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -326,7 +366,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def _texts(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model = Model(path)
+    model = model_of(path)
     for batch in batches:
         texts = [model.decode(i.as_py() or []) for i in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
