@@ -109,7 +109,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int,
 
     Rows whose crc32(doc_id) modulo ``folds`` is 0 are held out and never learned from.  The
     bound makes the sample's ids small enough to broadcast and its features small enough for the
-    driver, whatever the size of the corpus.
+    driver, whatever the size of the corpus.  Of rows that repeat an id one is taken, by a hash of its text.
     """
     ids = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("int").alias("label"))
@@ -122,9 +122,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int,
     rows = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         .join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
         .select("label", "text")
         .mapInArrow(_features, "label int, features array<double>")
-        .limit(2 * bound)
         .toPandas()
     )
     x = np.array(rows["features"].tolist(), np.float64).reshape(-1, len(FEATURES))

@@ -159,7 +159,9 @@ def fit(
         )
     )
     kind = "positive boolean, mark bigint, text string"
-    rows, path = materialise(rows.mapInArrow(_marked, kind).dropDuplicates(["positive", "mark"]), "toxicity-sample")
+    # Of near copies one is taken by a hash of its text, so that the model does not depend on the order of tasks.
+    one = F.min_by("text", F.xxhash64("text")).alias("text")
+    rows, path = materialise(rows.mapInArrow(_marked, kind).groupBy("positive", "mark").agg(one), "toxicity-sample")
     rows = rows.select("positive", "text")
     sizes = {r["positive"]: r["n"] for r in rows.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
