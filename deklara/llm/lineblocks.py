@@ -3,9 +3,10 @@
 A line's normal form is its letters and digits in lower case, the digits 1-9 as 0, every other run of
 characters as one blank.  Its features are its distinct words.  The SimHash has ``B`` blocks of 32 bits, and
 each feature votes in one block only, chosen by its hash.  So a changed feature disturbs its own block and no
-other, and the pigeonhole principle holds for features: a change that touches c features (a replaced word:
-two) leaves at least B - c blocks as they are.  ``B`` grows with the line, so that at every length about the
-same share of changed characters is survived, and about as many words stand behind a block.
+other, and the pigeonhole principle holds for features: a change that touches c features (a replaced word: two)
+leaves at least B - c blocks as they are, and two neighbours if c is under B / 2.  ``B`` grows with the line,
+so that at every length about the same share of changed characters is survived, and about as many words stand
+behind a block.
 
 A key is a block with the next one (of forms under 100 characters, which have few words, every choice of two
 or three blocks; under 60 characters also the blocks of the runs of two characters), if the two rest on enough
