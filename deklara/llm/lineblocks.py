@@ -183,9 +183,10 @@ def _block_keys(n: int, owner: np.ndarray, features: np.ndarray, blocks: int, ea
     marks, counts = np.zeros(n * blocks, _U), np.zeros(n * blocks, np.int64)
     marks[at], counts[at] = mark, sizes
     marks, counts = marks.reshape(n, blocks), counts.reshape(n, blocks)
-    # Of three words two are enough; lines that repeat few words have smaller keys.
-    held = counts.sum(axis=1)
-    needed = np.minimum(least, np.where(held < 2 * least, np.maximum(2, held - 1), np.maximum(2, each * held // blocks)))
+    # Of three words two are enough; lines that repeat few words have smaller keys, and long lines that repeat
+    # one or two words have keys of one.
+    held, fewest = counts.sum(axis=1), 1 if kind > 1 else 2
+    needed = np.minimum(least, np.where(held < 2 * least, np.maximum(fewest, held - 1), np.maximum(2, each * held // blocks)))
     choices = itertools.combinations(range(blocks), each) if blocks <= ALL else ([(i + j) % blocks for j in range(each)] for i in range(blocks))
     owners, keys = [], []
     for number, choice in enumerate(choices):
