@@ -108,6 +108,8 @@ class Rollup:
 
     def add(self, batch: str, rows: DataFrame) -> bool:
         """Add a batch of signed rows once; False if a batch of this name was committed before."""
+        if batch.startswith("base-"):
+            raise ValueError(f"names of this kind are those of compactions: {batch!r}")
         if self._committed(batch):
             return False
         attempt = f"sums/{batch}-{uuid.uuid4().hex}"
@@ -118,7 +120,9 @@ class Rollup:
         return sorted(b for b in self._commits() if not b.startswith("base-"))
 
     def totals(self) -> DataFrame:
-        commits = self._commits()
+        return self._totals(self._commits())
+
+    def _totals(self, commits: dict[str, str]) -> DataFrame:
         bases = sorted((b for b in commits if b.startswith("base-")), key=lambda b: int(b[5:]))
         folded: set[str] = set()
         parts = []
@@ -134,10 +138,11 @@ class Rollup:
         )
 
     def compact(self) -> None:
-        """Fold all committed batches into one base.  Batch names stay known, so none counts again."""
+        """Fold all committed batches into one base.  Batch names stay known, so none counts again.
+        What is added meanwhile is in neither the base's names nor its sums: both come from one listing."""
         commits = self._commits()
         names = sorted(b for b in commits if not b.startswith("base-"))
         number = 1 + max((int(b[5:]) for b in commits if b.startswith("base-")), default=-1)
         attempt = f"sums/base-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{self._root}/{attempt}")
+        self._totals(commits).write.parquet(f"{self._root}/{attempt}")
         self._commit(f"base-{number}", "\n".join([attempt, *names]))

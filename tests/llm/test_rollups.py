@@ -1,5 +1,7 @@
 """Rollups: rows without a language, and commits that a lost driver left empty."""
 
+import pytest
+
 from deklara.llm import queries, rollups
 
 
@@ -20,3 +22,22 @@ def test_an_empty_commit_is_none(spark, tmp_path):
     assert rollup.add("b", rows) and not rollup.add("b", rows) and rollup.batches() == ["b"]
     assert [r["tokens"] for r in rollup.totals().collect()] == [3]
     assert rollup._commit("c", "sums/x") and not rollup._commit("c", "sums/y") and rollup._commits()["c"] == "sums/x"
+
+
+def test_a_batch_added_during_compaction_counts_once(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([("w", "en", "words-1", n, 1)], "source string, lang string, tokenizer string, tokens bigint, sign int")
+    rollup = rollups.Rollup(spark, str(tmp_path))
+    assert rollup.add("first", rows(5))
+    listing, late = rollup._commits, []
+
+    def commits():
+        found = listing()
+        if not late:
+            late.append(rollup.add("second", rows(7)))
+        return found
+
+    rollup._commits = commits
+    rollup.compact()
+    assert late == [True] and [r["tokens"] for r in rollup.totals().collect()] == [12]
+    with pytest.raises(ValueError):
+        rollup.add("base-x", rows(1))
