@@ -20,8 +20,14 @@ from pyspark.sql import functions as F
 from deklara.layout import Layout
 from deklara.tables import written
 
-# Declared codepages and Java's names for them.
-CODEPAGES = {"ANSI": "windows-1252", "OEM": "IBM850", "Macintosh": "x-MacRoman", "UTF8": "UTF-8", "UTF16": "UTF-16LE"}
+# Declared codepages and Python's names for them.
+CODEPAGES = {"ANSI": "cp1252", "OEM": "cp850", "Macintosh": "mac_roman", "UTF8": "utf-8", "UTF16": "utf-16-le"}
+_UPPER = bytes(range(128, 256))
+
+
+def _upper(codepage: str) -> tuple[str, str]:
+    """The upper half of a single-byte codepage: as ISO 8859-1 reads it, and as it is meant."""
+    return _UPPER.decode("iso-8859-1"), _UPPER.decode(CODEPAGES[codepage], errors="replace")
 
 
 def entries(spark: SparkSession, root: str) -> DataFrame:
@@ -34,9 +40,9 @@ def lines(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     """The file's physical lines (path, block, at, value), where ``at`` orders the lines of one split; without
     the bytes that the layout skips."""
     charset = CODEPAGES[layout.codepage]
-    wide = charset.startswith("UTF-16")
+    wide = charset == "utf-16-le"
     reader = spark.read.option("lineSep", layout.record_delimiter)
-    text = (reader.option("encoding", charset) if wide else reader).text(path)
+    text = (reader.option("encoding", "UTF-16LE") if wide else reader).text(path)
     rows = text.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -53,8 +59,7 @@ def lines(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
 
 
 def _delimiter(layout: Layout) -> bytes:
-    charset = CODEPAGES[layout.codepage]
-    return layout.record_delimiter.encode("utf-16-le" if charset == "UTF-16LE" else "utf-8")
+    return layout.record_delimiter.encode("utf-16-le" if layout.codepage == "UTF16" else "utf-8")
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -99,10 +104,24 @@ def _aligned(rows: DataFrame, layout: Layout) -> DataFrame:
 
 
 def decoded(value: Column, layout: Layout) -> Column:
-    """Other codepages than UTF-8 are read split by split and decoded afterwards, as the text source keeps the
-    bytes; bytes that the codepage does not know become U+FFFD."""
-    charset = CODEPAGES[layout.codepage]
-    return value.cast("string") if charset == "UTF-8" else F.decode(value.cast("binary"), charset)
+    """Bytes as text, whatever the session's settings; bytes that the codepage does not know become U+FFFD.
+
+    A single-byte codepage is ISO 8859-1 with other characters in its upper half.  Of UTF-16 an odd last byte
+    becomes U+FFFD."""
+    value = value.cast("binary")
+    if layout.codepage == "UTF8":
+        return F.make_valid_utf8(value.cast("string"))
+    if layout.codepage == "UTF16":
+        odd = F.octet_length(value) % 2 == 1
+        text = F.decode(F.substring(value, F.lit(1), (F.octet_length(value) - F.octet_length(value) % 2).cast("int")), "UTF-16LE")
+        return F.when(odd, F.concat(text, F.lit("\ufffd"))).otherwise(text)
+    return F.translate(F.decode(value, "ISO-8859-1"), *_upper(layout.codepage))
+
+
+def encoded(text: Column, codepage: str) -> Column:
+    """Text as bytes of a single-byte codepage that has all its characters."""
+    bytes_, meant = _upper(codepage)
+    return F.encode(F.translate(text, meant, bytes_), "ISO-8859-1")
 
 
 def without_mark(value: Column, first: Column) -> Column:
