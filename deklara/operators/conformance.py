@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from deklara.functions import checks
 from deklara.functions.checks import defects
 from deklara.layout import Layout
+from deklara.operators import keys
 
 COLUMNS = ["code", "severity", "pass", "seq", "table", "_ordinal", "column_index", "column", "value", "expected"]
 DEFAULT_BOUND = 50
 # Severities by code, where they are not "error".
 SEVERITIES = {checks.STOPPED: "info", checks.KEY_UNCHECKED: "warning"}
+# Fixed value: how codes of the tool itself begin.
+TOOL = "9"
 RANKS = {"info": 1, "warning": 2, "error": 3}
 
 
@@ -26,7 +29,8 @@ def severity(code: int) -> str:
     return SEVERITIES.get(code, "error")
 
 
-def finding(code: int, table: str, step: int, ordinal: Column, column: int = -1, name: str = "", value: Column | None = None, expected: str = "", seq: int = 0) -> list[Column]:
+def finding(code: int, table: str | Column, step: int, ordinal: Column, column: int | Column = -1, name: str | Column = "", value: Column | None = None, expected: str | Column = "", seq: int = 0) -> list[Column]:
+    """The cells of a finding.  ``expected`` is what was declared; a repeated key's is the list of its records."""
     value = F.lit("") if value is None else value
     cells = [F.lit(str(code)), F.lit(severity(code)), F.lit(step), F.lit(seq), F.lit(table), ordinal.cast("bigint"), F.lit(column), F.lit(name), value, F.lit(expected)]
     return [c.alias(n) for c, n in zip(cells, COLUMNS, strict=True)]
@@ -34,16 +38,78 @@ def finding(code: int, table: str, step: int, ordinal: Column, column: int = -1,
 
 def value_findings(table: DataFrame, layout: Layout) -> DataFrame:
     """The defects of all columns from one scan: a record yields as many rows as it has defects."""
+    return _found(table, layout, _value_tests(layout))
+
+
+def record_findings(records: DataFrame, layout: Layout) -> DataFrame:
+    """4004-4007 of records as the scans give them: another number of values than declared, bytes that the
+    codepage does not know, a capsule that is never closed, a fixed record of another length."""
+    return _found(records, layout, _record_tests(records, layout))
+
+
+def conformance(records: DataFrame, layout: Layout) -> DataFrame:
+    """All defects of scanned records, of the record and of its columns, from one scan."""
+    return _found(records, layout, _record_tests(records, layout) + _value_tests(layout))
+
+
+def _value_tests(layout: Layout) -> list[Column]:
     found = []
     for i, c in enumerate(layout.columns):
         for code, test in defects(F.col(f"c{i}"), c, layout):
             cells = F.struct(*finding(code, layout.name, 1, F.col("_ordinal"), i, c.name, F.col(f"c{i}"), expected_of(c, code)))
             found.append(F.when(test, cells))
+    return found
+
+
+def _record_tests(records: DataFrame, layout: Layout) -> list[Column]:
+    n, at, there = len(layout.columns), F.col("_ordinal"), set(records.columns)
+    names = F.array(*(F.lit(c.name) for c in layout.columns))
+    named = lambda i: F.coalesce(F.get(names, i), F.lit(""))
+    odd = F.array_position(F.array(*(F.contains(f"c{i}", F.lit("\ufffd")) for i in range(n))), True).cast("int") - 1
+    tests = [(odd >= 0, finding(checks.UNDECODABLE, layout.name, 1, at, odd, named(odd), expected=layout.codepage))]
+    if "n_values" in there:
+        given = F.col("n_values")
+        tests.append((given != n, finding(checks.COLUMN_COUNT, layout.name, 1, at, value=given.cast("string"), expected=str(n))))
+    if "unterminated" in there:
+        last = F.col("n_values") - 1
+        tests.append((F.col("unterminated"), finding(checks.UNTERMINATED, layout.name, 1, at, last, named(last), expected=layout.encapsulator)))
+    if "n_chars" in there:
+        given = F.col("n_chars")
+        tests.append((given != layout.record_length, finding(checks.RECORD_LENGTH, layout.name, 1, at, value=given.cast("string"), expected=str(layout.record_length))))
+    return [F.when(test, F.struct(*cells)) for test, cells in tests]
+
+
+def _found(table: DataFrame, layout: Layout, found: list[Column]) -> DataFrame:
     if not found:
         return table.limit(0).select(*finding(checks.TYPE_MISMATCH, layout.name, 1, F.col("_ordinal")))
     return table.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.*")
 
 
+def permuted(names: Column, others: Column) -> Column:
+    """Whether two arrays hold the same names, each as often, in another order."""
+    return (F.sort_array(names) == F.sort_array(others)) & (names != others)
+
+
+def header_findings(records: DataFrame, layout: Layout) -> DataFrame:
+    """4009: the first record is no data and holds the declared names in another order.  4010: it holds them in
+    any order and counts as data.  ``records`` are all of the file's, whatever range is declared."""
+    names = F.array(*(F.lit(c.name) for c in layout.columns))
+    given = F.array(*(F.btrim(F.col(f"c{i}")) for i in range(len(layout.columns))))
+    first = records.where((F.col("_ordinal") == 1) & (F.col("n_values") == len(layout.columns)))
+    shown = F.array_join(given, ", ")
+    if layout.first_record <= 1:
+        cells = finding(checks.HEADER_UNDECLARED, layout.name, 0, F.col("_ordinal"), value=shown)
+        return first.where((names == given) | permuted(names, given)).select(*cells)
+    cells = finding(checks.HEADER_ORDER, layout.name, 0, F.col("_ordinal"), value=shown, expected=F.array_join(names, ", "))
+    return first.where(permuted(names, given)).select(*cells)
+
+
+def unreadable_findings(tables: DataFrame) -> DataFrame:
+    """4011 for each table (table, url, reason) whose declaration gives no reading: where ``reason`` is there."""
+    bad = tables.where("reason is not null")
+    return bad.select(*finding(checks.UNREADABLE, F.col("table"), 0, F.lit(None), value=F.col("url"), expected=F.col("reason")))
+
+
 def expected_of(column, code: int) -> str:
     """What a finding says was declared."""
     if code == checks.TOO_ACCURATE:
@@ -57,6 +123,29 @@ def key_findings(rows: DataFrame, code: int, layout: Layout, ordinal: str, value
     return rows.select(*finding(code, layout.name, 2, F.col(ordinal), value=value, seq=seq))
 
 
+def incomplete_key_findings(table: DataFrame, key: list[str], layout: Layout) -> DataFrame:
+    """5002 for each record whose key has an empty part."""
+    return key_findings(keys.incomplete(table, key), checks.KEY_INCOMPLETE, layout, "_ordinal", keys.quoted(key))
+
+
+def duplicate_key_findings(table: DataFrame, key: list[str], layout: Layout) -> DataFrame:
+    """5001 for each repeated key, at its first record, with the list of its records (lists of at most 10,000)."""
+    rows = keys.duplicates(table, key)
+    return rows.select(*finding(checks.KEY_DUPLICATE, layout.name, 2, F.col("first"), value=F.col("key"), expected=F.col("records"), seq=1))
+
+
+def reference_findings(child: DataFrame, columns: list[str], parent: DataFrame, key: list[str], layout: Layout, parent_name: str, seq: int = 2) -> DataFrame:
+    """5003 for each record whose reference names no record of the parent."""
+    lost = keys.unresolved(child, columns, parent, key)
+    return lost.select(*finding(checks.KEY_UNRESOLVED, layout.name, 2, F.col("_ordinal"), value=keys.quoted(columns), expected=parent_name, seq=seq))
+
+
+def unchecked_findings(fks: DataFrame, tables: DataFrame) -> DataFrame:
+    """5004 for each reference into a table that could not be read, with the delivery."""
+    rows = keys.unchecked(fks, tables)
+    return rows.select("delivery", *finding(checks.KEY_UNCHECKED, F.col("table"), 2, F.lit(None), value=F.col("parent"), seq=2))
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     """The findings of several passes."""
     return reduce(DataFrame.unionByName, parts)
@@ -91,11 +180,11 @@ def counts(findings: DataFrame, strict: bool = False) -> DataFrame:
     return row.select("*", F.when(bad, "not conformant").otherwise("conformant").alias("verdict"), (F.col("errors") + F.col("warnings") + F.col("notes") == 0).alias("clean"))
 
 
-def exit_class(findings: DataFrame) -> DataFrame:
-    """0 conformant, 1 warnings, 2 errors: the worst severity decides."""
-    ranks = F.create_map(*(F.lit(v) for pair in RANKS.items() for v in pair))
-    worst = F.coalesce(F.max(ranks[F.col("severity")]), F.lit(0))
-    return findings.agg(F.greatest(worst - 1, F.lit(0)).alias("exit_class"))
+def exit_class(findings: DataFrame, strict: bool = False) -> DataFrame:
+    """0 conformant, 1 warnings, 2 errors (of a strict run: warnings too), 3 the tool failed; the worst decides."""
+    error = F.col("severity") == "error"
+    rank = F.when(error & F.col("code").startswith(TOOL), 3).when(error, 2).when(F.col("severity") == "warning", 2 if strict else 1).otherwise(0)
+    return findings.agg(F.coalesce(F.max(rank), F.lit(0)).alias("exit_class"))
 
 
 def table_state(findings: DataFrame, records: DataFrame, bound: int = DEFAULT_BOUND) -> DataFrame:

@@ -57,6 +57,13 @@ def unresolved(child: DataFrame, columns: list[str], parent: DataFrame, key: lis
     return referring.join(parent_keys(parent, key, columns), columns, "left_anti")
 
 
+def unchecked(fks: DataFrame, tables: DataFrame) -> DataFrame:
+    """References (delivery, table, fk, parent) that cannot be compared: the parent is one table with a primary
+    key, but could not be read.  ``tables`` are (delivery, table, pk_count, ready)."""
+    one = tables.groupBy("delivery", F.col("table").alias("parent")).agg(F.count("*").alias("n"), F.max("pk_count").alias("keys"), F.bool_and("ready").alias("ready"))
+    return fks.join(one.where("n = 1 and keys > 0 and not ready").select("delivery", "parent"), ["delivery", "parent"], "left_semi")
+
+
 def unresolved_between(child: DataFrame, columns: list[str], parent: DataFrame, key: list[str], first: int, last: int) -> DataFrame:
     return unresolved(child.where(F.col("_ordinal").between(first, last)), columns, parent, key)
 

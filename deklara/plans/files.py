@@ -6,7 +6,9 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from deklara.functions import checks as K
 from deklara.layout import Column, Layout
+from deklara.operators import conformance as N
 from deklara.operators import views as V
 from deklara.plans import fixtures as X
 from deklara.plans.registry import query
@@ -76,9 +78,22 @@ def shape_to_declared(spark, sf_dir):
     return _ragged(spark, sf_dir).select("_ordinal", "c0", "c1", "c2")
 
 
-@query("check_column_count", "select o_orderkey + 1 as _ordinal, (o_orderkey + 1) % 4 + 1 as n_values from orders where (o_orderkey + 1) % 4 <> 2")
+def _told(found, code):
+    """The findings of one code."""
+    return found.where(F.col("code") == str(code)).select("code", "severity", "table", "_ordinal", "column_index", "column", "value", "expected")
+
+
+def _finding_sql(code, ordinal, rest, column_index="-1", column="''", value="''", expected="''", table="Plain"):
+    """A finding as SQL."""
+    return f"select '{code}' as code, 'error' as severity, '{table}' as \"table\", {ordinal} as _ordinal, {column_index} as column_index, {column} as \"column\", {value} as value, {expected} as expected from {rest}"
+
+
+_AT = "o_orderkey + 1"
+
+
+@query("check_column_count", _finding_sql(4004, _AT, f"orders where ({_AT}) % 4 <> 2", value=f"(({_AT}) % 4 + 1)::varchar", expected="'3'"))
 def check_column_count(spark, sf_dir):
-    return _ragged(spark, sf_dir).where("n_values <> 3").select("_ordinal", F.col("n_values").cast("bigint").alias("n_values"))
+    return _told(N.record_findings(_ragged(spark, sf_dir), PLAIN), K.COLUMN_COUNT)
 
 
 @query("stage_table", _SCAN)
@@ -105,35 +120,42 @@ def scan_fixed(spark, sf_dir):
     return _fixed(spark, sf_dir).select("_ordinal", "c0", "c1", "c2")
 
 
-@query("check_record_length", "select o_orderkey + 1 as _ordinal, 12 as n_chars from orders where (o_orderkey + 1) % 50 = 0")
+@query("check_record_length", _finding_sql(4007, _AT, f"orders where ({_AT}) % 50 = 0", value="'12'", expected="'24'", table="Fixed"))
 def check_record_length(spark, sf_dir):
-    return _fixed(spark, sf_dir).where("n_chars <> 24").select("_ordinal", F.col("n_chars").cast("int").alias("n_chars"))
+    return _told(N.record_findings(_fixed(spark, sf_dir), FIXED), K.RECORD_LENGTH)
+
+
+# The words of a file of parts, with umlauts that each codepage writes otherwise.
+_WORD = "Größe"
 
 
-def _encoded(spark, sf_dir, charset):
-    """Parts as a file of one single-byte codepage, umlauts included."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+def _encoded(spark, sf_dir, codepage):
+    """Parts as a file of one codepage, umlauts included."""
     words = V.query_view(X.part_text(spark, sf_dir), X.PARTS)
-    text = F.concat_ws(";", "c0", "q2", F.lit("Größe"))
+    text = F.concat_ws(";", "c0", "q2", F.lit(_WORD))
     path = scratch(spark, "file")
-    _write(words.select("_ordinal", F.encode(text, charset).cast("string").alias("value")), path)
+    if codepage == "UTF16":
+        parts = words.repartitionByRange("_ordinal").sortWithinPartitions("_ordinal")
+        parts.select(F.encode(text, "UTF-16LE").cast("string").alias("value")).write.option("lineSep", "\r\0\n\0").text(path)
+    else:
+        _write(words.select("_ordinal", S.encoded(text, codepage).cast("string").alias("value")), path)
     return path
 
 
-@query("scan_codepage", f"with {X.PARTS_SQL} select _ordinal, c0, q2 as c1, 'Größe' as c2 from p")
+@query("scan_codepage", f"with {X.PARTS_SQL} select codepage, _ordinal, c0, q2 as c1, '{_WORD}' as c2 from p, (values ('ANSI'), ('OEM'), ('Macintosh'), ('UTF16')) v(codepage)")
 def scan_codepage(spark, sf_dir):
-    return S.scan_delimited(spark, _encoded(spark, sf_dir, "windows-1252"), replace(PLAIN, codepage="ANSI")).select("_ordinal", "c0", "c1", "c2")
+    """The same parts from a file of each codepage."""
+    found = []
+    for codepage in ("ANSI", "OEM", "Macintosh", "UTF16"):
+        rows = S.scan_delimited(spark, _encoded(spark, sf_dir, codepage), replace(PLAIN, codepage=codepage))
+        found.append(rows.select(F.lit(codepage).alias("codepage"), "_ordinal", "c0", "c1", "c2"))
+    return N.union(found)
 
 
-@query("check_undecodable", f"with {X.PARTS_SQL} select _ordinal, case when q2 = 'Groß' then 1 else 2 end as column_index from p")
+@query("check_undecodable", f"with {X.PARTS_SQL} " + _finding_sql(4005, "_ordinal", "p", "case when q2 = 'Groß' then 1 else 2 end", "case when q2 = 'Groß' then 'Customer' else 'Note' end", expected="'UTF8'"))
 def check_undecodable(spark, sf_dir):
     """A file of one codepage read as UTF-8: the first column with a replacement character."""
-    path = _encoded(spark, sf_dir, "windows-1252")
-    raw = S.lines(spark, path, PLAIN).withColumn("value", F.decode(F.col("value").cast("binary"), "UTF-8"))
-    records = S.stitched(S.numbered_lines(raw, PLAIN), PLAIN)
-    found = S.undecodable(S.shaped(records, PLAIN, S.split_record(F.col("value"), PLAIN)), PLAIN)
-    return found.select("_ordinal", F.col("column_index").cast("int").alias("column_index"))
+    return _told(N.record_findings(S.scan_delimited(spark, _encoded(spark, sf_dir, "ANSI"), PLAIN), PLAIN), K.UNDECODABLE)
 
 
 @query("scan_bom", "select o_orderkey + 1 as _ordinal, o_orderkey::varchar as c0 from orders where o_orderkey < 3")
@@ -159,7 +181,7 @@ def scan_skip_bytes(spark, sf_dir):
     return S.scan_delimited(spark, path, replace(PLAIN, skip_bytes=6)).select("_ordinal", "c0", "c1")
 
 
-@query("check_unterminated", "select max(o_orderkey) + 1 as _ordinal, true as unterminated from orders")
+@query("check_unterminated", _finding_sql(4006, "max(o_orderkey) + 1", "orders", "2", "'Note'", expected="'\"'"))
 def check_unterminated(spark, sf_dir):
     """The last record opens a capsule that the file never closes."""
     rows = X.orders_text(spark, sf_dir)
@@ -167,7 +189,7 @@ def check_unterminated(spark, sf_dir):
     open_ = F.when(F.col("_ordinal") == F.col("last"), F.concat(F.lit('"'), F.col("c5"))).otherwise(F.col("c5"))
     path = scratch(spark, "file")
     _write(rows.crossJoin(F.broadcast(last)).select("_ordinal", F.concat_ws(";", F.col("c0"), F.col("c1"), open_).alias("value")), path)
-    return S.scan_delimited(spark, path, PLAIN).where("unterminated").select("_ordinal", "unterminated")
+    return _told(N.record_findings(S.scan_delimited(spark, path, PLAIN), PLAIN), K.UNTERMINATED)
 
 
 def _with_header(spark, sf_dir, names):
@@ -175,18 +197,29 @@ def _with_header(spark, sf_dir, names):
     rows = X.orders_text(spark, sf_dir).select("_ordinal", F.concat_ws(";", "c0", "c1", "c5").alias("value"))
     path = scratch(spark, "file")
     _write(head.unionAll(rows), path)
-    return S.header(S.scan_delimited(spark, path, PLAIN), PLAIN)
+    return S.scan_delimited(spark, path, PLAIN)
+
 
+_SOME = "(select count(*) as n from orders) where n > 0"
 
-@query("check_header_order", "select 1 as _ordinal, 'other order' as kind from (select count(*) as n from orders) where n > 0")
-@query("header_permutation", "select 1 as _ordinal, 'other order' as kind from (select count(*) as n from orders) where n > 0")
+
+@query("check_header_order", _finding_sql(4009, "1", _SOME, value="'Customer, Order, Note'", expected="'Order, Customer, Note'"))
 def check_header_order(spark, sf_dir):
-    return _with_header(spark, sf_dir, ["Customer", "Order", "Note"])
+    """The first record is declared to be no data, and names the columns in another order."""
+    return _told(N.header_findings(_with_header(spark, sf_dir, ["Customer", "Order", "Note"]), replace(PLAIN, first_record=2)), K.HEADER_ORDER)
 
 
-@query("check_header_undeclared", "select 1 as _ordinal, 'header' as kind from (select count(*) as n from orders) where n > 0")
+@query("check_header_undeclared", _finding_sql(4010, "1", _SOME, value="'Order, Customer, Note'"))
 def check_header_undeclared(spark, sf_dir):
-    return _with_header(spark, sf_dir, ["Order", "Customer", "Note"])
+    return _told(N.header_findings(_with_header(spark, sf_dir, ["Order", "Customer", "Note"]), PLAIN), K.HEADER_UNDECLARED)
+
+
+@query("header_permutation", "select p_partkey, list_sort(string_split(p_name, ' ')) = list_sort(string_split(p_type || ' ' || p_name, ' ')) or (len(string_split(p_name, ' ')) > 1 and list_reverse(string_split(p_name, ' ')) <> string_split(p_name, ' ')) as permuted from part")
+def header_permutation(spark, sf_dir):
+    """The words of each part's name against the same words backwards, and against one word more."""
+    words = F.split("p_name", " ")
+    back, more = F.reverse(words), F.concat(F.array("p_type"), words)
+    return X.load(spark, sf_dir, "part").select("p_partkey", (N.permuted(words, back) | N.permuted(words, more)).alias("permuted"))
 
 
 @query("list_entries")
@@ -196,23 +229,30 @@ def list_entries(spark, sf_dir):
 
 
 def _report(spark, sf_dir):
-    from deklara.operators import conformance as N
-
     return N.value_findings(X.orders_defective(spark, sf_dir), X.ORDERS)
 
 
-@query("sink_findings_json", f"with {X.DEFECTIVE_SQL} select code, _ordinal, value from f")
+@query("sink_findings_json", f"with {X.DEFECTIVE_SQL} select code, _ordinal, value from f union all select 'verdict', NULL, 'not conformant' union all select 'errors', NULL, count(*)::varchar from f union all select 'schema', NULL, '1'")
 def sink_findings_json(spark, sf_dir):
+    """The findings, and what the report's head says: its cells as rows."""
     path = scratch(spark, "json")
     sinks.json_report(_report(spark, sf_dir), path)
-    return spark.read.schema("code string, _ordinal bigint, value string").json(path)
-
-
-@query("sink_report_text", f"with {X.DEFECTIVE_SQL} select '  ' || rpad(severity, 8, ' ') || ' ' || code || '  ' || rpad(_ordinal::varchar, 8, ' ') || ' ' || value as line from f")
+    found = spark.read.schema("code string, _ordinal bigint, value string").json(f"{path}/findings")
+    head = spark.read.schema("schemaVersion int, verdict string, counts struct<error: bigint>").json(f"{path}/report")
+    cells = F.create_map(F.lit("verdict"), F.col("verdict"), F.lit("errors"), F.col("counts.error").cast("string"), F.lit("schema"), F.col("schemaVersion").cast("string"))
+    told = head.select(F.explode(cells).alias("code", "value"))
+    return found.unionByName(told.select("code", F.lit(None).cast("bigint").alias("_ordinal"), "value"))
+
+
+@query(
+    "sink_report_text",
+    f"with {X.DEFECTIVE_SQL} select '  ' || rpad(severity, 8, ' ') || ' ' || code || '  ' || rpad(_ordinal::varchar, 8, ' ') || ' ' || value as line from f"
+    " union all select unnest(['Validation: not conformant', 'Delivery: orders', 'Errors: ' || n || ', warnings: 0, notes: 0', '', 'Orders', '', 'File contents were examined.']) from (select count(*) as n from f)",
+)
 def sink_report_text(spark, sf_dir):
     path = scratch(spark, "report")
-    sinks.text_report(_report(spark, sf_dir), path)
-    return spark.read.text(path).where("value like '  %'").select(F.col("value").alias("line"))
+    sinks.text_report(_report(spark, sf_dir), path, "orders")
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("sink_records_tsv", f"with {X.ORDERS_SQL} select _ordinal, c0, c2, c3 from orders_text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deklara.functions import checks as K
+from deklara.layout import Column, Layout
 from deklara.operators import conformance as N
 from deklara.operators import keys as J
 from deklara.plans import fixtures as X
@@ -14,21 +15,34 @@ from deklara.plans.registry import query
 
 
 @query("agg_pk_duplicates", f"with {X.LINES_SQL} select c0 || '|' || c1 as key, count(*) as n, min(_ordinal) as first, string_agg(_ordinal::varchar, ', ' order by _ordinal) as records from l where c1 <> '' group by c0, c1 having count(*) > 1")
-@query("check_pk_duplicate", f"with {X.LINES_SQL} select c0 || '|' || c1 as key, count(*) as n, min(_ordinal) as first, string_agg(_ordinal::varchar, ', ' order by _ordinal) as records from l where c1 <> '' group by c0, c1 having count(*) > 1")
 def agg_pk_duplicates(spark, sf_dir):
     return J.duplicates(X.lineitem_keys(spark, sf_dir), ["c0", "c1"])
 
 
-@query("check_pk_incomplete", f"with {X.LINES_SQL} select c0, _ordinal from l where c0 = '' or c1 = ''")
+LINES = Layout("Lines", (Column("Order", primary_key=True), Column("Line", primary_key=True)))
+_KEY_CELLS = ("code", "severity", "table", "_ordinal", "value", "expected")
+
+
+@query("check_pk_duplicate", f"with {X.LINES_SQL} select '5001' as code, 'error' as severity, 'Lines' as \"table\", min(_ordinal) as _ordinal, c0 || '|' || c1 as value, string_agg(_ordinal::varchar, ', ' order by _ordinal) as expected from l where c1 <> '' group by c0, c1 having count(*) > 1")
+def check_pk_duplicate(spark, sf_dir):
+    return N.duplicate_key_findings(X.lineitem_keys(spark, sf_dir), ["c0", "c1"], LINES).select(*_KEY_CELLS)
+
+
+@query("check_pk_incomplete", f"with {X.LINES_SQL} select '5002' as code, 'error' as severity, 'Lines' as \"table\", _ordinal, c0 || '|' || c1 as value, '' as expected from l where c0 = '' or c1 = ''")
 def check_pk_incomplete(spark, sf_dir):
-    return J.incomplete(X.lineitem_keys(spark, sf_dir), ["c0", "c1"]).select("c0", "_ordinal")
+    return N.incomplete_key_findings(X.lineitem_keys(spark, sf_dir), ["c0", "c1"], LINES).select(*_KEY_CELLS)
 
 
 _LINES_FK = "select l_orderkey::varchar as c0, count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F') group by 1"
 
 
+@query("check_fk_unresolved", f"with {X.LINES_SQL} select '5003' as code, 'error' as severity, 'Lines' as \"table\", _ordinal, c0 as value, 'Orders' as expected from l where c0 <> '' and c0 not in (select o_orderkey::varchar from orders where o_orderstatus = 'F')")
+def check_fk_unresolved(spark, sf_dir):
+    child = X.lineitem_keys(spark, sf_dir).select("c0", "_ordinal")
+    return N.reference_findings(child, ["c0"], X.orders_partial(spark, sf_dir), ["c0"], LINES, "Orders").select(*_KEY_CELLS)
+
+
 @query("join_fk_unresolved", _LINES_FK)
-@query("check_fk_unresolved", _LINES_FK)
 def join_fk_unresolved(spark, sf_dir):
     child = X.lineitem_keys(spark, sf_dir).select("c0", "_ordinal")
     return J.unresolved(child, ["c0"], X.orders_partial(spark, sf_dir), ["c0"]).groupBy("c0").agg(F.count("*").alias("n"))
@@ -212,16 +226,24 @@ def check_gate(spark, sf_dir):
     return _state(spark, sf_dir).where("conforms").select("table", "records")
 
 
-@query("check_fk_unchecked", "select '5004' as code, 'warning' as severity, p_brand as parent, count(*) as n from part where p_size > 40 group by 3")
-@query("join_reference_unchecked", "select '5004' as code, 'warning' as severity, p_brand as parent, count(*) as n from part where p_size > 40 group by 3")
+def _links(spark, sf_dir):
+    """Each part is a delivery whose one key refers to its brand's table; tables of a size over 40 are not ready,
+    and those of a size that 7 divides have no key."""
+    p = X.load(spark, sf_dir, "part")
+    fks = p.select(F.col("p_partkey").alias("delivery"), F.lit("Parts").alias("table"), F.lit("f").alias("fk"), F.col("p_brand").alias("parent"))
+    tables = p.select(F.col("p_partkey").alias("delivery"), F.col("p_brand").alias("table"), F.when(F.col("p_size") % 7 == 0, 0).otherwise(1).alias("pk_count"), (F.col("p_size") <= 40).alias("ready"))
+    return fks, tables
+
+
+@query("check_fk_unchecked", "select p_partkey as delivery, '5004' as code, 'warning' as severity, 'Parts' as \"table\", p_brand as value from part where p_size > 40 and p_size % 7 <> 0")
+def check_fk_unchecked(spark, sf_dir):
+    return N.unchecked_findings(*_links(spark, sf_dir)).select("delivery", "code", "severity", "table", "value")
+
+
+@query("join_reference_unchecked", "select p_partkey as delivery, p_brand as parent, 'Parts' as \"table\", 'f' as fk from part where p_size > 40 and p_size % 7 <> 0")
 def join_reference_unchecked(spark, sf_dir):
-    """References into tables that could not be read: here each part names its brand's table, and tables
-    of a size over 40 are not ready."""
-    parts = X.load(spark, sf_dir, "part")
-    links = parts.select(F.col("p_brand").alias("parent"), F.col("p_partkey").alias("child"))
-    status = parts.select(F.col("p_partkey").alias("child"), (F.col("p_size") <= 40).alias("ready"))
-    lost = links.join(status.where("not ready"), "child", "left_semi")
-    return lost.groupBy("parent").agg(F.count("*").alias("n")).select(F.lit(str(K.KEY_UNCHECKED)).alias("code"), F.lit("warning").alias("severity"), "parent", "n")
+    """References into tables that could not be read."""
+    return J.unchecked(*_links(spark, sf_dir)).select("delivery", "parent", "table", "fk")
 
 
 @query("findings_by_table", _UNION + "select code, count(*) as n from a where \"table\" = 'Orders' group by 1")
