@@ -60,11 +60,8 @@ def figures(view: DataFrame, layout: Layout, wanted: list[tuple[int, str]], scal
     return row.select(F.explode(F.array(*rows)).alias("f")).select("f.*")
 
 
-def capabilities(view: DataFrame, layout: Layout) -> DataFrame:
-    """(column, kind, scale, unreadable, limitation) of every column, from one pass over the table.
-
-    A number column is measured: the decimals it needs give its scale, and one that needs more than 38
-    digits is turned off whole.  A time column counts the values it cannot read."""
+def _measures(layout: Layout) -> list[Column]:
+    """Aggregates of every number column (digits ``w``, decimals ``s``) and time column (unreadable values ``u``)."""
     parts: list[Column] = []
     for i, c in enumerate(layout.columns):
         stored = F.col(f"c{i}")
@@ -74,7 +71,29 @@ def capabilities(view: DataFrame, layout: Layout) -> DataFrame:
             parts.append(F.coalesce(F.max(F.length(F.split_part(digits, F.lit("."), F.lit(2)))), F.lit(0)).alias(f"s{i}"))
         elif c.query_kind == TIME:
             parts.append(F.count_if((stored != "") & F.col(f"q{i}").isNull()).alias(f"u{i}"))
-    row = view.agg(*parts, F.count("*").alias("records"))
+    return parts
+
+
+def measure(view: DataFrame, layout: Layout) -> DataFrame:
+    """(column, digits, decimals, unreadable) of the number and time columns, from one pass over the table."""
+    rows = []
+    for i, c in enumerate(layout.columns):
+        if c.query_kind in (NUMBER, TIME):
+            number = c.query_kind == NUMBER
+            width, scale = (F.col(f"w{i}"), F.col(f"s{i}")) if number else (F.lit(0), F.lit(0))
+            rows.append(F.struct(F.lit(c.name).alias("column"), width.alias("digits"), scale.alias("decimals"), (F.lit(0).cast("bigint") if number else F.col(f"u{i}")).alias("unreadable")))
+    if not rows:
+        return view.limit(0).select(F.lit("").alias("column"), F.lit(0).alias("digits"), F.lit(0).alias("decimals"), F.lit(0).cast("bigint").alias("unreadable"))
+    row = view.agg(*_measures(layout), F.count("*").alias("records"))
+    return row.select(F.explode(F.array(*rows)).alias("m")).select("m.*")
+
+
+def capabilities(view: DataFrame, layout: Layout) -> DataFrame:
+    """(column, kind, scale, unreadable, limitation) of every column, from one pass over the table.
+
+    A number column is measured: the decimals it needs give its scale, and one that needs more than 38
+    digits is turned off whole.  A time column counts the values it cannot read."""
+    row = view.agg(*_measures(layout), F.count("*").alias("records"))
     rows = []
     for i, c in enumerate(layout.columns):
         scale, unreadable, limit, kind = F.lit(None).cast("int"), F.lit(0).cast("bigint"), F.lit(None).cast("string"), F.lit(c.query_kind)

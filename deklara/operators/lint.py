@@ -3,8 +3,9 @@
 Catalog tables, each keyed by ``delivery``:
 
 * ``tables``: table, url, pk_count, decimal, grouping, column_delimiter, record_delimiter,
-  encapsulator, epoch, range_from, medium
-* ``columns``: table, pos, name, kind, is_pk, mask, span_from, span_to, map_from, map_to, description
+  encapsulator, skip_bytes, epoch, range_from, range_to, range_length, record_length, medium
+* ``columns``: table, pos, name, kind, is_pk, mask, span_from, span_to, description, accuracy, implied, max_length
+* ``maps``: table, name, kind, map_from, map_to
 * ``fks``: table, fk, parent · ``fk_columns``: table, fk, pos, name · ``aliases``: table, fk, source, target
 * ``media``: medium, accepted · ``entries``: name · ``extensions``: name · ``commands``: name
 
@@ -61,12 +62,21 @@ def arity(fks: DataFrame, fk_columns: DataFrame, tables: DataFrame) -> DataFrame
     return _found(_resolved(fks, tables).join(width, ["delivery", "table", "fk"]).where("pk_count > 0 and width <> pk_count"), 3005, "fk")
 
 
-def datatype(fks: DataFrame, fk_columns: DataFrame, columns: DataFrame) -> DataFrame:
-    """3006: a key's column and the parent's column of the same place are of different types."""
-    own = fk_columns.join(columns.select("delivery", "table", "name", F.col("kind").alias("own_kind")), ["delivery", "table", "name"])
+def datatype(fks: DataFrame, fk_columns: DataFrame, aliases: DataFrame, columns: DataFrame, tables: DataFrame) -> DataFrame:
+    """3006: a key's column and the one it maps to are of different types.  It maps to its alias if it has one,
+    else to the parent's key column of the same place; the parent must be one table.  Of columns or aliases that
+    repeat, the first counts."""
+    pair = aliases.groupBy("delivery", "table", "fk", F.col("source").alias("name")).agg(F.min("target").alias("target"))
     place = F.row_number().over(Window.partitionBy("delivery", "table").orderBy("pos"))
-    keys = columns.where("is_pk").select("delivery", F.col("table").alias("parent"), place.alias("pos"), F.col("kind").alias("parent_kind"))
-    return _found(own.join(fks, ["delivery", "table", "fk"]).join(keys, ["delivery", "parent", "pos"]).where("own_kind <> parent_kind"), 3006, "name")
+    keys = columns.where("is_pk").select("delivery", F.col("table").alias("parent"), place.alias("pos"), F.col("name").alias("key_name"))
+    links = fk_columns.join(_resolved(fks, tables).select("delivery", "table", "fk", "parent"), ["delivery", "table", "fk"])
+    mapped = links.join(pair, ["delivery", "table", "fk", "name"], "left").join(keys, ["delivery", "parent", "pos"], "left")
+    mapped = mapped.withColumn("target", F.coalesce("target", "key_name")).where("target is not null")
+    kinds = columns.groupBy("delivery", "table", "name").agg(F.min_by("kind", "pos").alias("kind"))
+    own = kinds.select("delivery", "table", "name", F.col("kind").alias("own_kind"))
+    other = kinds.select("delivery", F.col("table").alias("parent"), F.col("name").alias("target"), F.col("kind").alias("parent_kind"))
+    both = mapped.join(own, ["delivery", "table", "name"]).join(other, ["delivery", "parent", "target"])
+    return _found(both.where("own_kind <> parent_kind"), 3006, "name")
 
 
 def alias(aliases: DataFrame, fks: DataFrame, fk_columns: DataFrame, columns: DataFrame) -> DataFrame:
@@ -107,10 +117,24 @@ def spans(columns: DataFrame, lengths: DataFrame) -> DataFrame:
     return bad.unionAll(over).unionAll(_found(good.join(lengths, ["delivery", "table"]).where("b > record_length"), 3018, "name"))
 
 
-def scalars(tables: DataFrame) -> DataFrame:
-    """3019: a setting is no non-negative integer; 3023: a record range starts below 1."""
-    number = F.col("epoch").rlike(r"\A[0-9]+\z") & F.col("epoch").try_cast("int").isNotNull()
-    return _found(tables.where(~number), 3019, "table").unionAll(_found(tables.where("try_cast(range_from as int) < 1"), 3023, "table"))
+def _whole(c: Column, least: int = 0) -> Column:
+    """Whether a setting is an integer of plain digits, ``least`` or more."""
+    return F.coalesce(c.rlike(r"\A[0-9]+\z") & (c.try_cast("int") >= least), F.lit(False))
+
+
+def scalars(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """3019: a declared setting (skipped bytes, epoch, range, record length; a column's accuracy, implied decimals
+    or longest value) is no non-negative integer, or is 0 where that holds nothing.  3023: a record range does not
+    start at 1 or later.  The subject is the setting, behind the column's name."""
+    asked = [("SkipNumBytes", "skip_bytes", 0), ("Epoch", "epoch", 0), ("Range/To", "range_to", 0), ("Range/Length", "range_length", 0), ("Length", "record_length", 1)]
+    of_column = [("Accuracy", "accuracy", 0), ("ImpliedAccuracy", "implied", 0), ("MaxLength", "max_length", 1)]
+
+    def bad(rows: DataFrame, settings: list, subject) -> DataFrame:
+        faults = [F.when(F.col(c).isNotNull() & ~_whole(F.col(c), least), subject(name)) for name, c, least in settings]
+        return _found(rows.select("delivery", F.explode(F.array_compact(F.array(*faults))).alias("setting")), 3019, "setting")
+
+    found = bad(tables, asked, F.lit).unionAll(bad(columns, of_column, lambda name: F.concat(F.col("name"), F.lit(f"/{name}"))))
+    return found.unionAll(_found(tables.where(F.col("range_from").isNotNull() & ~_whole(F.col("range_from"), 1)), 3023, "table"))
 
 
 def symbols(tables: DataFrame) -> DataFrame:

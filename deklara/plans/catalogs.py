@@ -19,14 +19,16 @@ _SQL = {
     "tables": """
 select k as delivery, 'Kunden' as "table", 0 as pos, case when k % 7 = 0 then 'data/../kunden.csv' when k % 7 = 1 then '/kunden.csv' when k % 7 = 2 then '../kunden.csv' when k % 7 = 3 then 'KUNDEN.csv' when k % 7 = 4 then 'fehlt.csv' else 'kunden.csv' end as url,
   case when k % 13 = 0 then 0 else 1 end as pk_count, ',' as "decimal", case when k % 17 = 0 then ',' else '.' end as grouping, ';' as column_delimiter,
-  case when k % 19 = 0 then ';' else 'CRLF' end as record_delimiter, '"' as encapsulator, case when k % 11 = 0 then '-3' when k % 11 = 1 then 'x' else '30' end as epoch, case when k % 23 = 0 then '0' else '1' end as range_from, 'M1' as medium from d
-union all select k, case when k % 29 = 0 then 'Kunden' else 'Bestellungen' end, 1, case when k % 31 = 0 then 'kunden.csv' else 'b.csv' end, 0, ',', '.', ';', 'CRLF', '"', '30', '1', 'M1' from d""",
+  case when k % 19 = 0 then ';' else 'CRLF' end as record_delimiter, '"' as encapsulator, case when k % 11 = 0 then '-3' when k % 11 = 1 then 'x' else '30' end as epoch, case when k % 23 = 0 then '0' else '1' end as range_from, 'M1' as medium,
+  case when k % 37 = 0 then '-1' end as skip_bytes, case when k % 41 = 0 then '+5' end as range_to, case when k % 43 = 0 then '' end as range_length, case when k % 47 = 0 then '0' else '20' end as record_length from d
+union all select k, case when k % 29 = 0 then 'Kunden' else 'Bestellungen' end, 1, case when k % 31 = 0 then 'kunden.csv' else 'b.csv' end, 0, ',', '.', ';', 'CRLF', '"', '30', '1', 'M1', null, null, null, null from d""",
     "columns": """
 select k as delivery, 'Kunden' as "table", 0 as pos, 'Code' as name, case when k % 5 = 0 then 'number' else 'text' end as kind, k % 13 <> 0 as is_pk, cast(null as varchar(99)) as mask, '1' as span_from, case when k % 9 = 0 then 'x' else '8' end as span_to,
-  case when k % 6 = 0 then 'HHMMSS' end as map_from, case when k % 6 = 0 then case when k % 12 = 0 then 'HHMM' else 'HHMMSS' end end as map_to, 'key' as description from d
-union all select k, 'Kunden', 1, case when k % 8 = 0 then 'Code' when k % 8 = 1 then 'Na/me' else 'Name' end, 'text', false, null, case when k % 4 = 0 then '7' when k % 4 = 1 then '12' else '9' end, '20', null, null, case when k % 10 = 0 then repeat('x', 256) else 'name' end from d
-union all select k, 'Bestellungen', 0, 'Kunde', 'text', false, null, null, null, null, null, '' from d
-union all select k, 'Bestellungen', 1, 'Tag', 'date', false, case when k % 3 = 0 then 'DD.MM.YYYY' when k % 3 = 1 then 'DD.MM' else 'YYYYMMDD' end, null, null, null, null, '' from d""",
+  case when k % 6 = 0 then 'HHMMSS' end as map_from, case when k % 6 = 0 then case when k % 12 = 0 then 'HHMM' else 'HHMMSS' end end as map_to, 'key' as description,
+  case when k % 36 = 0 then 'two' else '2' end as accuracy, case when k % 38 = 0 then '-1' end as implied, case when k % 39 = 0 then '0' else '8' end as max_length from d
+union all select k, 'Kunden', 1, case when k % 8 = 0 then 'Code' when k % 8 = 1 then 'Na/me' else 'Name' end, 'text', false, null, case when k % 4 = 0 then '7' when k % 4 = 1 then '12' else '9' end, '20', null, null, case when k % 10 = 0 then repeat('x', 256) else 'name' end, null, null, null from d
+union all select k, 'Bestellungen', 0, 'Kunde', 'text', false, null, null, null, null, null, '', null, null, null from d
+union all select k, 'Bestellungen', 1, 'Tag', 'date', false, case when k % 3 = 0 then 'DD.MM.YYYY' when k % 3 = 1 then 'DD.MM' else 'YYYYMMDD' end, null, null, null, null, '', null, null, null from d""",
     "fks": """select k as delivery, 'Bestellungen' as "table", 'f' as fk, case when k % 14 = 0 then 'Nirgends' else 'Kunden' end as parent from d""",
     "fk_columns": """
 select k as delivery, 'Bestellungen' as "table", 'f' as fk, 1 as pos, case when k % 15 = 0 then 'Fremd' else 'Kunde' end as name from d
@@ -67,7 +69,20 @@ _LINTS = {
     "lint_reference": (lambda c: L.references(c["fks"], c["tables"]), [_out(3002, "error", "parent", f"fks f where (select count(*) from tables t where t.delivery = f.delivery and t.{_T} = f.parent) = 0"), _out(3003, "error", "parent", f"fks f where (select count(*) from tables t where t.delivery = f.delivery and t.{_T} = f.parent) > 1")]),
     "lint_parent_pk": (lambda c: L.parent_key(c["fks"], c["tables"]), [_out(3004, "error", "parent", f"fks join {_UNIQUE} using (delivery, parent) where pk_count = 0")]),
     "lint_fk_arity": (lambda c: L.arity(c["fks"], c["fk_columns"], c["tables"]), [_out(3005, "error", "fk", f"fks join {_UNIQUE} using (delivery, parent) join {_WIDTH} using (delivery, {_T}, fk) where pk_count > 0 and width <> pk_count")]),
-    "lint_fk_datatype": (lambda c: L.datatype(c["fks"], c["fk_columns"], c["columns"]), [_out(3006, "error", "name", f"(select f.delivery, f.name from fk_columns f join columns o on o.delivery = f.delivery and o.{_T} = f.{_T} and o.name = f.name join fks k on k.delivery = f.delivery and k.parent = 'Kunden' join columns p on p.delivery = f.delivery and p.{_T} = 'Kunden' and p.is_pk where f.pos = 1 and o.kind <> p.kind)")]),
+    "lint_fk_datatype": (
+        lambda c: L.datatype(c["fks"], c["fk_columns"], c["aliases"], c["columns"], c["tables"]),
+        [
+            _out(
+                3006, "error", "name",
+                f"(select f.delivery, f.name from fk_columns f join fks k using (delivery, {_T}, fk) join {_UNIQUE} on u.delivery = k.delivery and u.parent = k.parent"
+                f" left join (select delivery, {_T}, fk, source, min(target) as target from aliases group by 1, 2, 3, 4) a on a.delivery = f.delivery and a.{_T} = f.{_T} and a.fk = f.fk and a.source = f.name"
+                f" left join (select delivery, {_T}, name, row_number() over (partition by delivery, {_T} order by pos) as pos from columns where is_pk) y on y.delivery = f.delivery and y.{_T} = k.parent and y.pos = f.pos"
+                f" join (select delivery, {_T}, name, arg_min(kind, pos) as kind from columns group by 1, 2, 3) o on o.delivery = f.delivery and o.{_T} = f.{_T} and o.name = f.name"
+                f" join (select delivery, {_T}, name, arg_min(kind, pos) as kind from columns group by 1, 2, 3) p on p.delivery = f.delivery and p.{_T} = k.parent and p.name = coalesce(a.target, y.name)"
+                " where o.kind <> p.kind)",
+            )
+        ],
+    ),
     "lint_alias": (
         lambda c: L.alias(c["aliases"], c["fks"], c["fk_columns"], c["columns"]),
         [
@@ -88,7 +103,14 @@ _LINTS = {
         ],
     ),
     "lint_span_neighbours": (lambda c: L.spans(c["columns"], c["lengths"]).where("code in ('3016', '3017')"), [_out(3016, "warning", "name", "s where a <= before"), _out(3017, "info", "name", "s where a > before + 1")]),
-    "lint_scalar": (lambda c: L.scalars(c["tables"]), [_out(3019, "error", _T, "tables where not regexp_full_match(epoch, '[0-9]+')"), _out(3023, "error", _T, "tables where range_from::int < 1")]),
+    "lint_scalar": (
+        lambda c: L.scalars(c["tables"], c["columns"]),
+        [
+            *(_out(3019, "error", f"'{element}'", f"tables where {c} is not null and not coalesce(regexp_full_match({c}, '[0-9]+') and try_cast({c} as int) >= {least}, false)") for element, c, least in (("SkipNumBytes", "skip_bytes", 0), ("Epoch", "epoch", 0), ("Range/To", "range_to", 0), ("Range/Length", "range_length", 0), ("Length", "record_length", 1))),
+            *(_out(3019, "error", f"name || '/{element}'", f"columns where {c} is not null and not coalesce(regexp_full_match({c}, '[0-9]+') and try_cast({c} as int) >= {least}, false)") for element, c, least in (("Accuracy", "accuracy", 0), ("ImpliedAccuracy", "implied", 0), ("MaxLength", "max_length", 1))),
+            _out(3023, "error", _T, "tables where not coalesce(regexp_full_match(range_from, '[0-9]+') and try_cast(range_from as int) >= 1, range_from is null)"),
+        ],
+    ),
     "lint_symbols": (lambda c: L.symbols(c["tables"]), [_out(3020, "error", _T, "tables where \"decimal\" = grouping"), _out(3021, "error", _T, "tables where column_delimiter = record_delimiter or column_delimiter = encapsulator or record_delimiter = encapsulator")]),
     "lint_date_mask": (lambda c: L.date_masks(c["columns"]), [_out(3022, "error", "name", "columns where mask = 'DD.MM'")]),
     "lint_identity": (

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deklara.functions import readings as R
-from deklara.layout import DATE, NUMBER, TEXT, TIME
+from deklara.layout import DATE, NUMBER, TEXT, TIME, Column, Layout
+from deklara.operators import conformance as N
 from deklara.operators import figures as G
 from deklara.operators import views as V
 from deklara.operators.views import Filter, Sort
@@ -131,29 +132,47 @@ def limit_notices(spark, sf_dir):
 
 @query(
     "agg_measure",
-    f"with {X.DEFECTIVE_SQL}, m as (select trim(replace(c2, '.', ''), '+-') as d from n where is_number) select max(length(split_part(d, ',', 1))) as digits, max(length(split_part(d, ',', 2))) as decimals from m",
+    f"with {X.DEFECTIVE_SQL}, m as (select trim(replace(c2, '.', ''), '+-') as d from n where is_number), {X.EVENTS_SQL} select 'Amount' as \"column\", max(length(split_part(d, ',', 1))) as digits, max(length(split_part(d, ',', 2))) as decimals, 0 as unreadable from m"
+    " union all select 'Time', 0, 0, count(*) from e where c1 = 'keine Zeit'",
 )
 def agg_measure(spark, sf_dir):
-    c = F.col("c2")
-    d = F.when(c.rlike(R.number_pattern(X.ORDERS)), R.number_digits(c, X.ORDERS, X.ORDERS.columns[2]))
-    part = lambda i: F.max(F.length(F.split_part(d, F.lit("."), F.lit(i))))
-    return X.orders_defective(spark, sf_dir).agg(part(1).alias("digits"), part(2).alias("decimals"))
+    """All number and time columns of each table in one pass."""
+    amounts = G.measure(V.query_view(X.orders_defective(spark, sf_dir), X.ORDERS), X.ORDERS)
+    return amounts.unionAll(G.measure(events(spark, sf_dir), X.TIMES))
 
 
-@query("write_declared", f"with {X.ORDERS_SQL} select _ordinal, c2 as amount, c3 as day from orders_text")
+_CLOCK = Layout("Clock", (Column("Event"), Column("Time", maps=(("HH:MM:SS TT", "HH:MM:SS TT"),))))
+
+
+@query(
+    "write_declared",
+    f"with {X.ORDERS_SQL} select 'order' as kind, _ordinal, c2 as amount, c3 as at from orders_text"
+    " union all select 'event', event_id + 1, NULL, strftime(ts, '%I:%M:%S %p') from events",
+)
 def write_declared(spark, sf_dir):
-    view = orders(spark, sf_dir)
-    return view.select("_ordinal", R.write_number(F.col("q2"), X.ORDERS, 2).alias("amount"), R.write_date(F.col("q3"), "DD.MM.YYYY").alias("day"))
+    """Amounts and days of orders, and the clock times of events in twelve hours, written as declared."""
+    amount, day = X.ORDERS.columns[2:4]
+    done = orders(spark, sf_dir).select(F.lit("order").alias("kind"), "_ordinal", R.write_declared(F.col("q2"), amount, X.ORDERS, 2).alias("amount"), R.write_declared(F.col("q3"), day, X.ORDERS).alias("at"))
+    ts = X.load(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("_ordinal"), (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("q1"))
+    clock = ts.select(F.lit("event").alias("kind"), "_ordinal", F.lit(None).cast("string").alias("amount"), R.write_declared(F.col("q1"), _CLOCK.columns[1], _CLOCK).alias("at"))
+    return done.unionAll(clock)
 
 
 @query(
     "read_bound",
-    f"with {X.DEFECTIVE_SQL} select c3 as typed, (case when is_day then strptime(c3, '%d.%m.%Y')::date end)::varchar as bound, c3 <> '' and not is_day as refused from n",
+    f"with {X.DEFECTIVE_SQL} select 'date' as kind, c3 as typed, coalesce((case when is_day then strptime(c3, '%d.%m.%Y')::date end)::varchar, '') as bound, c3 <> '' and not is_day as refused, 'DD.MM.YYYY' as expected from n"
+    " union all select 'number', c2, case when is_number then case when c2 like '%-' or c2 like '-%' then '-' else '' end || replace(replace(trim(c2, '+-'), '.', ''), ',', '.') else '' end, c2 <> '' and not is_number, 'a number, decimals after '','', thousands grouped by ''.' || chr(39) from n"
+    " union all select 'text', c5, c5, false, 'text' from n"
+    " union all select 'time', t, case when t in ('', 'keine Zeit') then '' else substr(t, 1, 2) || ':' || substr(t, 3, 2) || ':' || substr(t, 5, 2) end, t = 'keine Zeit', 'HHMMSS' from (select case when event_id % 53 = 0 then 'keine Zeit' when event_id % 59 = 0 then '' else strftime(ts, '%H%M%S') end as t from events)",
 )
 def read_bound(spark, sf_dir):
-    day = R.reading(F.col("c3"), X.ORDERS.columns[3], X.ORDERS)
-    rows = X.orders_defective(spark, sf_dir)
-    return rows.select(F.col("c3").alias("typed"), day.cast("string").alias("bound"), ((F.col("c3") != "") & day.isNull()).alias("refused"))
+    """Each stored value taken as what a user typed for its column."""
+    rows, times = X.orders_defective(spark, sf_dir), X.events_time(spark, sf_dir)
+    found = []
+    for table, layout, i, kind in ((rows, X.ORDERS, 3, "date"), (rows, X.ORDERS, 2, "number"), (rows, X.ORDERS, 5, "text"), (times, X.TIMES, 1, "time")):
+        bound = R.read_bound(F.col(f"c{i}"), layout.columns[i], layout)
+        found.append(table.select(F.lit(kind).alias("kind"), F.col(f"c{i}").alias("typed"), bound.alias("b")).select("kind", "typed", "b.*"))
+    return N.union(found)
 
 
 @query("page_columns", f"with {X.ORDERS_SQL} select c0, c2 from orders_text where _ordinal = 42")

@@ -31,9 +31,10 @@ def _upper(codepage: str) -> tuple[str, str]:
 
 
 def entries(spark: SparkSession, root: str) -> DataFrame:
-    """Name and length of every file below a folder; contents are not opened."""
+    """Name (relative to the folder) and length of every file below a folder; contents are not opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    inner = F.regexp_extract("path", re.escape(root.rstrip("/").split(":", 1)[-1]) + "/(.+)$", 1)
+    return files.select(F.when(inner != "", inner).otherwise(F.element_at(F.split("path", "/"), -1)).alias("name"), "length")
 
 
 def lines(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
@@ -248,10 +249,63 @@ def scan_delimited(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
 
 
 def scan_fixed(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """A fixed-length file's records: values cut at the declared spans, and the record's length."""
-    raw = numbered_lines(lines(spark, path, _plain(layout)), _plain(layout))
+    """A fixed-length file's records: values cut at the declared spans, and the record's length.
+
+    Without a record delimiter a record ends after the declared length."""
+    if layout.record_delimiter:
+        raw = numbered_lines(lines(spark, path, _plain(layout)), _plain(layout)).select(F.col("record").alias("_ordinal"), without_mark(F.col("value"), F.col("record") == 1).alias("value"))
+    else:
+        raw = _undelimited(spark, path, layout)
     cells = (F.coalesce(F.substring("value", c.start, c.end - c.start + 1), F.lit("")).alias(f"c{i}") for i, c in enumerate(layout.columns))
-    return in_range(raw.select(F.col("record").alias("_ordinal"), *cells, F.length("value").alias("n_chars")), layout)
+    return in_range(raw.select("_ordinal", *cells, F.length("value").alias("n_chars")), layout)
+
+
+def _undelimited(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
+    """Records (_ordinal, value) of files that nothing but the declared length cuts.
+
+    If the records' bytes divide every file, Spark's reader of binary records takes them, file by file and split by
+    split.  Else each byte chunk that the text source ends at a line feed is split at the records' byte limits, and
+    the pieces of a record are joined; a chunk is one cell, so 2 GB without a line feed are too many.  Of a codepage whose characters differ in width, where bytes
+    do not tell records, each file is read whole (its size is bounded by a cell, 2 GB)."""
+    if layout.codepage == "UTF8":
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value"))
+        if layout.skip_bytes:
+            files = files.withColumn("value", F.substring("value", F.lit(layout.skip_bytes + 1), F.octet_length("value")))
+        text = files.select("path", without_mark(decoded(F.col("value"), layout), F.lit(True)).alias("text"))
+        n = F.ceil(F.length("text") / layout.record_length)
+        cut = text.where(n > 0).select("path", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("r"))
+        pieces = cut.select("path", "r", F.substring("text", (F.col("r") * layout.record_length + 1).cast("int"), F.lit(layout.record_length)).alias("value"))
+        records = written(pieces, "fixed")
+    else:
+        width = layout.record_length * (2 if layout.codepage == "UTF16" else 1)
+        files = spark.read.format("binaryFile").load(path).select("path", "length")
+        if not layout.skip_bytes and files.where(F.col("length") % width != 0).isEmpty():
+            paths = [r["path"] for r in files.where("length > 0").select("path").orderBy("path").collect()]  # one table's files
+            if not paths:
+                return spark.createDataFrame([], "_ordinal bigint, value string")
+            records = spark.sparkContext.binaryRecords(",".join(paths), width).zipWithIndex()
+            rows = spark.createDataFrame(records.map(lambda r: (r[1] + 1, bytes(r[0]))), "_ordinal bigint, value binary")
+            return rows.select("_ordinal", decoded(F.col("value"), layout).alias("value"))
+        raw = spark.read.option("lineSep", "\n").text(path).select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+            F.col("value").cast("binary").alias("value"), (F.octet_length("value") + 1).cast("bigint").alias("bytes"), F.col("_metadata.file_size").alias("size"),
+        )
+        rows = _placed(written(raw, "raw-chunks"))
+        # The line feed is a byte like any other, but for the one that the file's end lacks.
+        chunk = F.when(F.col("from") + F.col("bytes") <= F.col("size"), F.concat("value", F.lit(b"\n"))).otherwise(F.col("value"))
+        rows = rows.select("path", (F.col("from") - layout.skip_bytes).alias("from"), chunk.alias("value"))
+        rows = rows.select("path", F.greatest("from", F.lit(0)).alias("from"), F.substring("value", F.greatest(1 - F.col("from"), F.lit(1)).cast("int"), F.octet_length("value")).alias("value")).where(F.octet_length("value") > 0)
+        end = F.col("from") + F.octet_length("value")
+        split = rows.withColumn("r", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((end - 1) / width))))
+        start = F.greatest(F.col("r") * width - F.col("from"), F.lit(0))
+        stop = F.least((F.col("r") + 1) * width, end) - F.col("from")
+        pieces = split.select("path", "r", F.col("from").alias("at"), F.substring("value", (start + 1).cast("int"), (stop - start).cast("int")).alias("value"))
+        joined = pieces.groupBy("path", "r").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("p"))
+        value = F.aggregate("p.value", F.lit(b""), lambda t, v: F.concat(t, v))
+        records = written(joined.select("path", "r", decoded(value, layout).alias("value")), "fixed")
+    delivery = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    before = records.groupBy("path").agg((F.max("r") + 1).alias("n")).select("path", F.coalesce(F.sum("n").over(delivery), F.lit(0)).alias("before"))
+    return records.join(before, "path").select((F.col("before") + F.col("r") + 1).alias("_ordinal"), "value")
 
 
 def _plain(layout: Layout) -> Layout:
