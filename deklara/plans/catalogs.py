@@ -159,13 +159,12 @@ _LAYOUTS = {
     "no format": replace(X.ORDERS, columns=()),
     "codepage": replace(X.ORDERS, codepage="UTF7"),
     "empty delimiter": replace(X.ORDERS, column_delimiter=""),
-    "zero length": replace(X.ORDERS, record_length=0),
+    "zero length": replace(X.ORDERS, record_length=0, record_delimiter=""),
     "bad span": Layout("Fixed", (Column("A", start=3, end=1),), record_length=9),
 }
 
 
 @query("layout_usable", "select p_type as kind, case p_size % 6 when 0 then 'no format' when 1 then 'codepage' when 2 then 'empty delimiter' when 3 then 'zero length' when 4 then 'bad span' end as reason, count(*) as n from part group by 1, 2")
-@query("check_table_unreadable", "select p_type as kind, case p_size % 6 when 0 then 'no format' when 1 then 'codepage' when 2 then 'empty delimiter' when 3 then 'zero length' when 4 then 'bad span' end as reason, count(*) as n from part group by 1, 2")
 def layout_usable(spark, sf_dir):
     """Parts stand for tables; their size decides which declaration they have."""
     reasons = [S.unusable(layout) for layout in (*_LAYOUTS.values(), X.ORDERS)]
@@ -173,27 +172,89 @@ def layout_usable(spark, sf_dir):
     return X.load(spark, sf_dir, "part").groupBy(F.col("p_type").alias("kind"), named.alias("reason")).agg(F.count("*").alias("n"))
 
 
-COLUMNS = "array<struct<Name: string>>"
-DECLARATION = f"Media array<struct<Table: array<struct<URL: string, Name: string, VariableLength: struct<VariablePrimaryKey: {COLUMNS}, VariableColumn: {COLUMNS}>>>>>"
+def _tag(name, *inner):
+    return F.concat(F.lit(f"<{name}>"), *(i if not isinstance(i, str) else F.lit(i) for i in inner), F.lit(f"</{name}>"))
 
 
-def declared_tables(texts: DataFrame) -> DataFrame:
-    """The tables of delivery descriptions, one XML text in each row: key columns come before the others
-    by the format, so the two arrays joined are the declared order."""
-    tables = texts.select(F.explode(F.flatten(F.from_xml("value", DECLARATION)["Media"]["Table"])).alias("t"))
-    names = F.concat(F.col("t.VariableLength.VariablePrimaryKey.Name"), F.col("t.VariableLength.VariableColumn.Name"))
-    return tables.select(F.col("t.URL").cast("bigint").alias("delivery"), F.col("t.Name").alias("name"), F.array_join(names, ",").alias("columns"))
-
-
-@query("load_catalog", "select c_custkey as delivery, 'T' || c_custkey::varchar as name, 'Code,Name,' || c_mktsegment as columns from customer")
+@query(
+    "load_catalog",
+    "select c_custkey as delivery, 'M' as medium, 'T' || c_custkey as \"table\", 'data/' || c_custkey || '.csv' as url, 1 as pk_count, case when c_custkey % 2 = 0 then 'UTF8' end as codepage,"
+    " case when c_custkey % 3 = 0 then '.' end as \"decimal\", c_nationkey::varchar as skip_bytes, '2' as range_from, n.\"column\","
+    " n.name, n.kind, n.is_pk, n.setting, case when n.pos = 1 then 'B:K' end as map, case when n.pos = 0 then 'P' || c_nationkey end as parent, case when n.pos = 0 then 'Home' end as target"
+    " from customer, lateral (select 0 as pos, 'c0' as \"column\", 'Code' as name, 'text' as kind, true as is_pk, '8' as setting union all select 1, 'c1', c_mktsegment, 'text', false, NULL"
+    " union all select 2, 'c2', 'Amount', 'number', false, (c_custkey % 5)::varchar union all select 3, 'c3', 'Day', 'date', false, case when c_custkey % 7 = 0 then 'YYYYMMDD' else 'DD.MM.YYYY' end) n",
+)
 def load_catalog(spark, sf_dir):
-    """Descriptions as XML, one for each customer, written and read back."""
+    """Descriptions as XML, one for each customer, written, read back, and joined into one row for each column."""
+    from deklara.sources.catalog import catalog as read
     from deklara.tables import scratch
 
     c = X.load(spark, sf_dir, "customer")
-    column = lambda tag, name: F.concat(F.lit(f"<{tag}><Name>"), name, F.lit(f"</Name></{tag}>"))
-    key = F.col("c_custkey").cast("string")
-    xml = F.concat(F.lit("<Table><URL>"), key, F.lit("</URL><Name>T"), key, F.lit("</Name><VariableLength>"), column("VariablePrimaryKey", F.lit("Code")), column("VariableColumn", F.lit("Name")), column("VariableColumn", F.col("c_mktsegment")), F.lit("</VariableLength></Table>"))
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    mask = F.when(F.col("c_custkey") % 7 == 0, "<Date><Format>YYYYMMDD</Format></Date>").otherwise("<Date/>")
+    columns = [
+        _tag("VariablePrimaryKey", "<Name>Code</Name><AlphaNumeric/><MaxLength>8</MaxLength>"),
+        _tag("VariableColumn", _tag("Name", F.col("c_mktsegment")), "<AlphaNumeric/><Map><From>B</From><To>K</To></Map>"),
+        _tag("VariableColumn", "<Name>Amount</Name>", _tag("Numeric", _tag("Accuracy", (F.col("c_custkey") % 5).cast("string")))),
+        _tag("VariableColumn", "<Name>Day</Name>", mask),
+        _tag("ForeignKey", "<Name>Code</Name>", _tag("References", "P", nation), "<Alias><From>Code</From><To>Home</To></Alias>"),
+    ]
+    table = [
+        _tag("URL", "data/", key, ".csv"), _tag("Name", "T", key), F.when(F.col("c_custkey") % 2 == 0, "<UTF8/>").otherwise(""),
+        F.when(F.col("c_custkey") % 3 == 0, "<DecimalSymbol>.</DecimalSymbol>").otherwise(""), _tag("SkipNumBytes", nation), "<Range><From>2</From></Range>", _tag("VariableLength", *columns),
+    ]
+    xml = _tag("DataSet", "<Version>1</Version>", _tag("Media", "<Name>M</Name>", _tag("Table", *table)))
     path = scratch(spark, "catalog")
-    c.select(F.concat(F.lit("<DataSet><Media>"), xml, F.lit("</Media></DataSet>")).alias("value")).write.text(path)
-    return declared_tables(spark.read.text(path))
+    c.select(F.col("c_custkey").alias("delivery"), xml.alias("value")).write.parquet(path)
+    found = read(spark.read.parquet(path))
+    tables = found["tables"].select("delivery", "table", "medium", "url", "pk_count", "codepage", "decimal", "skip_bytes", "range_from")
+    maps = found["maps"].select("delivery", "table", "name", F.concat_ws(":", "map_from", "map_to").alias("map"))
+    links = found["fk_columns"].join(found["fks"], ["delivery", "table", "fk"]).join(found["aliases"].withColumnRenamed("source", "name"), ["delivery", "table", "fk", "name"])
+    setting = F.coalesce("max_length", "accuracy", "mask")
+    rows = found["columns"].select("delivery", "table", F.concat(F.lit("c"), F.col("pos").cast("string")).alias("column"), "name", "kind", "is_pk", setting.alias("setting"))
+    rows = rows.join(tables, ["delivery", "table"]).join(maps, ["delivery", "table", "name"], "left")
+    return rows.join(links.select("delivery", "table", "name", "parent", "target"), ["delivery", "table", "name"], "left")
+
+
+@query("check_table_unreadable", "select '4011' as code, 'error' as severity, p_partkey::varchar as \"table\", p_name as value, case p_size % 6 when 0 then 'no format' when 1 then 'codepage' when 2 then 'empty delimiter' when 3 then 'zero length' else 'bad span' end as expected from part where p_size % 6 <> 5")
+def check_table_unreadable(spark, sf_dir):
+    """Each part is a table; its size decides which declaration it has."""
+    from deklara.operators import conformance as N
+
+    reasons = [S.unusable(layout) for layout in (*_LAYOUTS.values(), X.ORDERS)]
+    named = F.element_at(F.array(*map(F.lit, reasons)), (F.col("p_size") % 6 + 1).cast("int"))
+    tables = X.load(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("table"), F.col("p_name").alias("url"), named.alias("reason"))
+    return N.unreadable_findings(tables).select("code", "severity", "table", "value", "expected")
+
+
+_DELIVERY = """<?xml version="1.0" encoding="utf-8"?>
+<DataSet><Version>1.0</Version><Media><Name>M1</Name>
+<Table><URL>customers.csv</URL><Name>Customers</Name><UTF8/><VariableLength>
+<VariablePrimaryKey><Name>Code</Name><AlphaNumeric/></VariablePrimaryKey><VariableColumn><Name>Name</Name><AlphaNumeric/></VariableColumn></VariableLength></Table>
+<Table><URL>orders.csv</URL><Name>Orders</Name><UTF8/><VariableLength>
+<VariablePrimaryKey><Name>Order</Name><AlphaNumeric/></VariablePrimaryKey><VariableColumn><Name>Customer</Name><AlphaNumeric/></VariableColumn>
+<VariableColumn><Name>Amount</Name><Numeric><Accuracy>2</Accuracy></Numeric></VariableColumn><VariableColumn><Name>Day</Name><Date/></VariableColumn>
+<VariableColumn><Name>Status</Name><AlphaNumeric/></VariableColumn><VariableColumn><Name>Priority</Name><AlphaNumeric/><MaxLength>10</MaxLength></VariableColumn>
+<ForeignKey><Name>Customer</Name><References>Customers</References></ForeignKey></VariableLength></Table>
+<Table><URL>archive.csv</URL><Name>Archive</Name><UTF7/><VariableLength><VariableColumn><Name>Code</Name><AlphaNumeric/></VariableColumn></VariableLength></Table>
+</Media></DataSet>"""
+
+
+@query(
+    "validate_delivery",
+    f"with {X.DEFECTIVE_SQL} select code, \"column\", _ordinal, value, 'Orders' as \"table\" from f"
+    " union all select '5003', '', _ordinal, c1, 'Orders' from n where c1::bigint % 10 = 0 union all select '1003', '', NULL, 'archive.csv', '' from (select count(*) as n from orders) where n > 0"
+    " union all select '4011', '', NULL, 'archive.csv', 'Archive' from (select count(*) as n from orders) where n > 0",
+)
+def validate_delivery(spark, sf_dir):
+    """Orders and customers written as a delivery with its description, and validated: every tenth customer is
+    left out, and one declared table is absent and of a codepage that gives no reading."""
+    from deklara.delivery import validate
+    from deklara.tables import scratch
+
+    root = scratch(spark, "delivery")
+    spark.createDataFrame([(_DELIVERY,)], "value string").coalesce(1).write.text(f"{root}/index.xml")
+    for name, rows, n in (("orders", X.orders_defective(spark, sf_dir), 6), ("customers", X.customer_text(spark, sf_dir).where("c0 % 10 <> 0"), 2)):
+        parts = rows.repartitionByRange("_ordinal").sortWithinPartitions("_ordinal")
+        parts.select(F.concat_ws(";", *(f"c{i}" for i in range(n))).alias("value")).write.option("lineSep", "\r\n").text(f"{root}/{name}.csv")
+    return validate(spark, root).select("code", "column", "_ordinal", "value", "table")

@@ -334,9 +334,9 @@ def unusable(layout: Layout) -> str | None:
         return "no format"
     if layout.codepage not in CODEPAGES:
         return "codepage"
-    if layout.record_length is None and not layout.column_delimiter:
+    if layout.record_length is None and not (layout.column_delimiter and layout.record_delimiter):
         return "empty delimiter"
-    if layout.record_length is not None and layout.record_length <= 0:
+    if layout.record_length is not None and layout.record_length <= 0 and not layout.record_delimiter:
         return "zero length"
     if layout.record_length is not None and any(c.start is None or c.end is None or not 1 <= c.start <= c.end for c in layout.columns):
         return "bad span"
