@@ -241,9 +241,9 @@ def sort_typed(spark, sf_dir):
     return V.view(parts(spark, sf_dir), X.PARTS, sorts=[Sort(3, True)]).select("_ordinal", "pos")
 
 
-@query("sort_text_de", _sorted_sql(X.DOCUMENTS_SQL, "t", "c2 = '', c2 collate de desc, substr(c1, 1, 40) collate de"))
+@query("sort_text_de", _sorted_sql(X.DOCUMENTS_SQL, "t", "c2 = '', c2 collate de desc, c1 collate de"))
 def sort_text_de(spark, sf_dir):
-    """By the whole text; the SQL twin knows its first 40 characters alone."""
+    """By the whole text."""
     return V.view(V.query_view(X.documents_text(spark, sf_dir), X.DOCUMENTS), X.DOCUMENTS, sorts=[Sort(2, True), Sort(1)]).select("_ordinal", "pos")
 
 
@@ -405,9 +405,9 @@ def fn_row_tuple(spark, sf_dir):
     return X.lineitem_keys(spark, sf_dir).agg(F.count_distinct(F.struct("c0", "c1")).alias("keys"))
 
 
-@query("fn_collate_de", "select doc_id, row_number() over (order by substr(text, 1, 12) collate de, doc_id) as place from documents")
+@query("fn_collate_de", "select doc_id, row_number() over (order by text collate de, doc_id) as place from documents")
 def fn_collate_de(spark, sf_dir):
-    """By the whole text; the SQL twin knows its first 12 characters alone."""
+    """By the whole text."""
     from deklara.tables import numbered
 
     rows = X.load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
