@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deklara.llm import additive_quality, boosted_rules, languages, lines, media, minhash, packing, pieces, rollups, toxicity
+from deklara.llm import (
+    additive_quality, alignment, binary_packing, boosted_rules, languages, lines, media, minhash, packing, pieces, rollups, toxicity, whitening,
+)
 from deklara.llm.common import materialise, scratch_path, table
 
 
@@ -75,6 +77,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op12_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "sequences")
+    binary_packing.store(binary_packing.decompose(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), path)
+    return binary_packing.placed(binary_packing.read(spark, path))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -86,6 +103,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_binary_packing": op12_binary_packing,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 #: Words are runs of anything but ASCII white space; lower() folds A-Z alone.
