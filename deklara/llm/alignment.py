@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from functools import cache, partial
 from typing import NamedTuple
@@ -50,17 +51,18 @@ def _shown_bytes() -> dict[str, int]:
 
 
 class Span(NamedTuple):
-    """A window's alignment: its bytes (None if the sides differ), links as packed pairs, groups as text."""
+    """A window's alignment: its bytes (None if the sides differ), links as packed pairs, groups as text, their number."""
 
     surface: bytes | None
     links: bytes
     groups: bytes
+    number: int
 
 
 class Aligner:
     """Two tokenizers and the windows met so far; both what is remembered of windows and their length are bounded."""
 
-    def __init__(self, byte_path: str, piece_path: str, max_windows: int = 250_000, max_window: int = 64):
+    def __init__(self, byte_path: str, piece_path: str, max_windows: int = 200_000, max_window: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         import tiktoken
@@ -84,7 +86,10 @@ class Aligner:
         self._bytes = (a, b)
         self._lengths = tuple(np.array([len(t) for t in side], np.int64) for side in (a, b))
         self._spaced = tuple(np.array([t[:1] == b" " for t in side]) for side in (a, b))
+        self._sizes = tuple(x.tolist() for x in self._lengths)
+        self._shown = tuple([str(i) for i in range(len(side))] for side in (a, b))
         self._windows: dict[tuple[bytes, bytes], Span] = {}
+        self._older: dict[tuple[bytes, bytes], Span] = {}
         self._max_windows, self._max_bytes = max_windows, 4 * max_window
 
     def _piece_bytes(self, i: int) -> bytes:
@@ -101,55 +106,65 @@ class Aligner:
         return [np.array(ids, np.uint32) for ids in self._pieces.encode(texts, num_threads=1)]
 
     def _aligned(self, a: bytes, b: bytes) -> Span:
-        ids = [memoryview(x).cast("I").tolist() for x in (a, b)]
-        tokens = [[side[i] for i in own] for side, own in zip(self._bytes, ids, strict=True)]
-        surface = b"".join(tokens[0])
-        ends = [np.cumsum([len(t) for t in own]) for own in tokens]
-        shared = np.intersect1d(*ends)
-        stops = [np.searchsorted(e, shared, side="right").tolist() for e in ends]
-        groups, links, i, j = [], [], 0, 0
-        for m, n in zip(*stops, strict=True):
-            groups.append(",".join(map(str, ids[0][i:m])) + "|" + ",".join(map(str, ids[1][j:n])))
-            links.append(ids[0][m - 1] << _SIDE | ids[1][n - 1])
-            i, j = m, n
-        return Span(surface if surface == b"".join(tokens[1]) else None, np.array(links, np.int64).tobytes(), ";".join(groups).encode())
-
-    def windows(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """The alignment of two sides of equal length in bytes: where both end, a group ends."""
+        one, two = memoryview(a).cast("I").tolist(), memoryview(b).cast("I").tolist()
+        sizes, others = self._sizes
+        shown, others_shown = self._shown
+        groups, links = [], []
+        i, j, first, second, end, other = 0, 0, 0, 0, 0, 0
+        for token in one:
+            end += sizes[token]
+            i += 1
+            while other < end:
+                other += others[two[j]]
+                j += 1
+            if other == end:
+                last = two[j - 1]
+                left = shown[token] if i - first == 1 else ",".join([shown[t] for t in one[first:i]])
+                groups.append(left + "|" + (others_shown[last] if j - second == 1 else ",".join([others_shown[t] for t in two[second:j]])))
+                links.append(token << _SIDE | last)
+                first, second = i, j
+        surface = b"".join([self._bytes[0][t] for t in one])
+        same = surface == b"".join([self._bytes[1][t] for t in two])
+        return Span(surface if same else None, array("q", links).tobytes(), ";".join(groups).encode(), len(links))
+
+    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
         """The ids between anchors, packed.  The two sides have the same number of bytes in all."""
         nexts = [np.flatnonzero(spaced[x[1:]]) for spaced, x in zip(self._spaced, (a, b), strict=True)]
         ends = [np.cumsum(lengths[x]) for lengths, x in zip(self._lengths, (a, b), strict=True)]
         left, right = ends[0][nexts[0]], ends[1][nexts[1]]
+        cuts, others = [], []
         if len(right):
             at = np.searchsorted(right, left)
             at[at == len(right)] = 0
             hit = right[at] == left
-            cuts = zip(((nexts[0][hit] + 1) * 4).tolist(), ((nexts[1][at[hit]] + 1) * 4).tolist(), strict=True)
-        else:
-            cuts = iter(())
-        packed, other, i, j = a.tobytes(), b.tobytes(), 0, 0
-        for m, n in cuts:
-            yield packed[i:m], other[j:n]
-            i, j = m, n
-        yield packed[i:], other[j:]
+            cuts, others = ((nexts[0][hit] + 1) * 4).tolist(), ((nexts[1][at[hit]] + 1) * 4).tolist()
+        packed, other = a.tobytes(), b.tobytes()
+        return list(zip(
+            map(packed.__getitem__, map(slice, [0, *cuts], [*cuts, len(packed)])), map(other.__getitem__, map(slice, [0, *others], [*others, len(other)])), strict=True
+        ))
+
+    def _met(self, key: tuple[bytes, bytes]) -> Span:
+        """A window that is not among the latest: it is remembered with them.  When these are many they become the older
+        ones, and what were the older ones are forgotten, so windows that come again and again stay."""
+        window = self._older.get(key) or self._aligned(*key)
+        if len(key[0]) + len(key[1]) <= 2 * self._max_bytes:
+            if len(self._windows) >= self._max_windows:
+                self._older, self._windows = self._windows, {}
+            self._windows[key] = window
+        return window
 
     def document(self, text: str, a: np.ndarray, b: np.ndarray) -> list[Span] | None:
         """The windows of a text, None if the tokens' bytes are not a space and the text."""
         whole = b" " + text.encode()
         if int(self._lengths[0][a].sum()) != len(whole) or int(self._lengths[1][b].sum()) != len(whole):
             return None
-        found, known = [], self._windows
-        for key in self.windows(a, b):
-            window = known.get(key)
-            if window is None:
-                window = self._aligned(*key)
-                if len(key[0]) + len(key[1]) <= 2 * self._max_bytes:
-                    if len(known) >= self._max_windows:
-                        known.clear()
-                    known[key] = window
-            if window.surface is None:
-                return None
-            found.append(window)
-        return found if b"".join([w.surface for w in found]) == whole else None
+        keys = self.windows(a, b)
+        found = list(map(self._windows.get, keys))
+        for i in [i for i, window in enumerate(found) if window is None]:
+            found[i] = self._windows.get(keys[i]) or self._met(keys[i])
+        surfaces = [w[0] for w in found]
+        return found if None not in surfaces and b"".join(surfaces) == whole else None
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int, list[Span]]]:
         """Of each text the numbers of tokens and the windows; zeros and none as defined."""
@@ -220,7 +235,7 @@ def _blocks(byte_path: str, piece_path: str, entries: int, batches: Iterator[pa.
         found = aligner.documents(batch.column(1).to_pylist())
         for doc_id, (n_a, n_b, windows) in zip(batch.column(0).to_pylist(), found, strict=True):
             links = np.frombuffer(b"".join([w.links for w in windows]), np.int64)
-            n_groups = sum(w.groups.count(b"|") for w in windows)
+            n_groups = sum([w.number for w in windows])
             digest = hashlib.sha256(b";".join([w.groups for w in windows])).hexdigest() if windows else ""
             codes, times = np.unique(links, return_counts=True)
             held.append((doc_id, n_a, n_b, n_groups, len(links), digest, codes, times))
