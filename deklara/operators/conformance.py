@@ -15,6 +15,7 @@ from deklara.functions import checks
 from deklara.functions.checks import defects
 from deklara.layout import Layout
 from deklara.operators import keys
+from deklara.tables import numbered, written
 
 COLUMNS = ["code", "severity", "pass", "seq", "table", "_ordinal", "column_index", "column", "value", "expected"]
 DEFAULT_BOUND = 50
@@ -38,7 +39,7 @@ def finding(code: int, table: str | Column, step: int, ordinal: Column, column:
 
 def value_findings(table: DataFrame, layout: Layout) -> DataFrame:
     """The defects of all columns from one scan: a record yields as many rows as it has defects."""
-    return _found(table, layout, _value_tests(layout))
+    return _found(table, layout, _value_tests(table, layout))
 
 
 def record_findings(records: DataFrame, layout: Layout) -> DataFrame:
@@ -49,40 +50,50 @@ def record_findings(records: DataFrame, layout: Layout) -> DataFrame:
 
 def conformance(records: DataFrame, layout: Layout) -> DataFrame:
     """All defects of scanned records, of the record and of its columns, from one scan."""
-    return _found(records, layout, _record_tests(records, layout) + _value_tests(layout))
+    return _found(records, layout, _record_tests(records, layout) + _value_tests(records, layout))
 
 
-def _value_tests(layout: Layout) -> list[Column]:
+def _called(records: DataFrame, layout: Layout) -> str | Column:
+    """What the table of each record is called: records of many tables have it with them."""
+    return F.col("table") if "table_id" in records.columns else layout.name
+
+
+def _with_delivery(records: DataFrame) -> list[str]:
+    return ["delivery"] if "table_id" in records.columns else []
+
+
+def _value_tests(records: DataFrame, layout: Layout) -> list[Column]:
     found = []
+    name = _called(records, layout)
     for i, c in enumerate(layout.columns):
         for code, test in defects(F.col(f"c{i}"), c, layout):
-            cells = F.struct(*finding(code, layout.name, 1, F.col("_ordinal"), i, c.name, F.col(f"c{i}"), expected_of(c, code)))
+            cells = F.struct(*finding(code, name, 1, F.col("_ordinal"), i, c.name, F.col(f"c{i}"), expected_of(c, code)))
             found.append(F.when(test, cells))
     return found
 
 
 def _record_tests(records: DataFrame, layout: Layout) -> list[Column]:
-    n, at, there = len(layout.columns), F.col("_ordinal"), set(records.columns)
+    n, at, there, table = len(layout.columns), F.col("_ordinal"), set(records.columns), _called(records, layout)
     names = F.array(*(F.lit(c.name) for c in layout.columns))
     named = lambda i: F.coalesce(F.get(names, i), F.lit(""))
     odd = F.array_position(F.array(*(F.contains(f"c{i}", F.lit("\ufffd")) for i in range(n))), True).cast("int") - 1
-    tests = [(odd >= 0, finding(checks.UNDECODABLE, layout.name, 1, at, odd, named(odd), expected=layout.codepage))]
+    tests = [(odd >= 0, finding(checks.UNDECODABLE, table, 1, at, odd, named(odd), expected=layout.codepage))]
     if "n_values" in there:
         given = F.col("n_values")
-        tests.append((given != n, finding(checks.COLUMN_COUNT, layout.name, 1, at, value=given.cast("string"), expected=str(n))))
+        tests.append((given != n, finding(checks.COLUMN_COUNT, table, 1, at, value=given.cast("string"), expected=str(n))))
     if "unterminated" in there:
         last = F.col("n_values") - 1
-        tests.append((F.col("unterminated"), finding(checks.UNTERMINATED, layout.name, 1, at, last, named(last), expected=layout.encapsulator)))
+        tests.append((F.col("unterminated"), finding(checks.UNTERMINATED, table, 1, at, last, named(last), expected=layout.encapsulator)))
     if "n_chars" in there:
         given = F.col("n_chars")
-        tests.append((given != layout.record_length, finding(checks.RECORD_LENGTH, layout.name, 1, at, value=given.cast("string"), expected=str(layout.record_length))))
+        tests.append((given != layout.record_length, finding(checks.RECORD_LENGTH, table, 1, at, value=given.cast("string"), expected=str(layout.record_length))))
     return [F.when(test, F.struct(*cells)) for test, cells in tests]
 
 
 def _found(table: DataFrame, layout: Layout, found: list[Column]) -> DataFrame:
     if not found:
-        return table.limit(0).select(*finding(checks.TYPE_MISMATCH, layout.name, 1, F.col("_ordinal")))
-    return table.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.*")
+        return table.limit(0).select(*_with_delivery(table), *finding(checks.TYPE_MISMATCH, _called(table, layout), 1, F.col("_ordinal")))
+    return table.select(*_with_delivery(table), F.explode(F.array_compact(F.array(*found))).alias("f")).select(*_with_delivery(table), "f.*")
 
 
 def permuted(names: Column, others: Column) -> Column:
@@ -96,18 +107,19 @@ def header_findings(records: DataFrame, layout: Layout) -> DataFrame:
     names = F.array(*(F.lit(c.name) for c in layout.columns))
     given = F.array(*(F.btrim(F.col(f"c{i}")) for i in range(len(layout.columns))))
     first = records.where((F.col("_ordinal") == 1) & (F.col("n_values") == len(layout.columns)))
-    shown = F.array_join(given, ", ")
+    shown, table, who = F.array_join(given, ", "), _called(records, layout), _with_delivery(records)
     if layout.first_record <= 1:
-        cells = finding(checks.HEADER_UNDECLARED, layout.name, 0, F.col("_ordinal"), value=shown)
-        return first.where((names == given) | permuted(names, given)).select(*cells)
-    cells = finding(checks.HEADER_ORDER, layout.name, 0, F.col("_ordinal"), value=shown, expected=F.array_join(names, ", "))
-    return first.where(permuted(names, given)).select(*cells)
+        cells = finding(checks.HEADER_UNDECLARED, table, 0, F.col("_ordinal"), value=shown)
+        return first.where((names == given) | permuted(names, given)).select(*who, *cells)
+    cells = finding(checks.HEADER_ORDER, table, 0, F.col("_ordinal"), value=shown, expected=F.array_join(names, ", "))
+    return first.where(permuted(names, given)).select(*who, *cells)
 
 
 def unreadable_findings(tables: DataFrame) -> DataFrame:
-    """4011 for each table (table, url, reason) whose declaration gives no reading: where ``reason`` is there."""
+    """4011 for each table (table, url, reason; with delivery, if it is there) whose declaration gives no reading:
+    where ``reason`` is there."""
     bad = tables.where("reason is not null")
-    return bad.select(*finding(checks.UNREADABLE, F.col("table"), 0, F.lit(None), value=F.col("url"), expected=F.col("reason")))
+    return bad.select(*(c for c in ("delivery",) if c in tables.columns), *finding(checks.UNREADABLE, F.col("table"), 0, F.lit(None), value=F.col("url"), expected=F.col("reason")))
 
 
 def expected_of(column, code: int) -> str:
@@ -140,6 +152,30 @@ def reference_findings(child: DataFrame, columns: list[str], parent: DataFrame,
     return lost.select(*finding(checks.KEY_UNRESOLVED, layout.name, 2, F.col("_ordinal"), value=keys.quoted(columns), expected=parent_name, seq=seq))
 
 
+def key_value_findings(values: DataFrame, most: int = 10_000) -> list[DataFrame]:
+    """5001, 5002 and 5003 of the key values of all tables (``keys.key_values``), with their delivery.
+
+    All keys and references go through one aggregation, which adds up within tasks first, so a key that a third of the records
+    refer to is a few rows of the shuffle.  It leaves the keys that are at fault; records are joined with those alone."""
+    own, whole = F.col("fk") == -1, F.forall("key", lambda v: v != "")
+    key = ["delivery", "target_id", "key"]
+    judged = values.groupBy(*key).agg(
+        F.count_if(own & whole).alias("n"), F.count_if(~own).alias("references"), F.min(F.when(own, F.col("_ordinal"))).alias("first")
+    )
+    judged = written(judged.where("n > 1 or (n = 0 and references > 0)").select(*key, "n", "first"), "keys-at-fault")
+    quoted_key = F.array_join("key", "|")
+    partial = values.where(own & ~whole)
+    repeated = judged.where("n > 1")
+    rows = values.where(own & whole).select(*key, "table", F.col("_ordinal").alias("_record")).join(repeated, key)
+    lists = keys.listed(rows, repeated, [*key, "table"], most)
+    lost = values.where(~own).join(judged.where("n = 0"), key)
+    return [
+        partial.select("delivery", *finding(checks.KEY_INCOMPLETE, F.col("table"), 2, F.col("_ordinal"), value=quoted_key)),
+        lists.select("delivery", *finding(checks.KEY_DUPLICATE, F.col("table"), 2, F.col("first"), value=quoted_key, expected=F.col("records"), seq=1)),
+        lost.select("delivery", *finding(checks.KEY_UNRESOLVED, F.col("table"), 2, F.col("_ordinal"), value=quoted_key, expected=F.col("target"), seq=2)),
+    ]
+
+
 def unchecked_findings(fks: DataFrame, tables: DataFrame) -> DataFrame:
     """5004 for each reference into a table that could not be read, with the delivery."""
     rows = keys.unchecked(fks, tables)
@@ -160,11 +196,12 @@ def bounded(findings: DataFrame, bound: int = DEFAULT_BOUND) -> DataFrame:
 
     The window carries its rank limit, so each task keeps ``bound + 1`` rows of a table before the
     shuffle and no task sees a table's findings whole."""
-    place = F.row_number().over(Window.partitionBy("table").orderBy(*ORDER))
+    who = [c for c in ("delivery",) if c in findings.columns]
+    place = F.row_number().over(Window.partitionBy(*who, "table").orderBy(*ORDER))
     first = findings.withColumn("place", place).where(F.col("place") <= bound + 1)
     stopped = [F.lit(str(checks.STOPPED)), F.lit("info"), F.lit(9), F.lit(0), F.col("table"), F.lit(None).cast("bigint"), F.lit(-1), F.lit(""), F.lit(""), F.lit(str(bound))]
     over = first.where(F.col("place") > bound)
-    notice = over.select(*(c.alias(n) for c, n in zip(stopped, COLUMNS, strict=True)), "place")
+    notice = over.select(*who, *(c.alias(n) for c, n in zip(stopped, COLUMNS, strict=True)), "place")
     return first.where(F.col("place") <= bound).unionByName(notice)
 
 
@@ -173,8 +210,18 @@ def first_defects(findings: DataFrame, bound: int) -> DataFrame:
     return findings.orderBy(*ORDER).limit(bound + 1)
 
 
+def verdicts(findings: DataFrame, deliveries: DataFrame, strict: bool = False) -> DataFrame:
+    """Errors, warnings, notes and the verdict of each delivery, those without findings included."""
+    every = deliveries.select("delivery").distinct().join(findings, "delivery", "left")
+    return _counted(every.groupBy("delivery"), strict)
+
+
 def counts(findings: DataFrame, strict: bool = False) -> DataFrame:
     """Errors, warnings, notes and the verdict: one row."""
+    return _counted(findings.groupBy(), strict)
+
+
+def _counted(findings, strict: bool) -> DataFrame:
     row = findings.agg(*(F.count_if(F.col("severity") == s).alias(n) for s, n in (("error", "errors"), ("warning", "warnings"), ("info", "notes"))))
     bad = (F.col("errors") > 0) | (F.col("warnings") > 0) if strict else F.col("errors") > 0
     return row.select("*", F.when(bad, "not conformant").otherwise("conformant").alias("verdict"), (F.col("errors") + F.col("warnings") + F.col("notes") == 0).alias("clean"))
@@ -202,6 +249,4 @@ def report_order(findings: DataFrame) -> DataFrame:
     worst = findings.groupBy("table").agg(F.max(rank).alias("worst"))
     joined = findings.join(worst, "table")
     keys = [(F.col("table") != "").asc(), F.desc("worst"), F.asc("table"), rank.desc(), F.asc("code"), F.asc("_ordinal"), F.asc("column_index")]
-    from deklara.tables import numbered
-
     return numbered(joined, keys, "place", 1).drop("worst")

@@ -27,16 +27,19 @@ def average(total: Column, n: Column, scale: int) -> Column:
 def figures(view: DataFrame, layout: Layout, wanted: list[tuple[int, str]], scale: int = 2) -> DataFrame:
     """One row (column, figure, value, missing, counted, exact) for each figure, from one aggregation.
 
-    A sum too wide for 38 digits is no error: its value is null and ``exact`` false, and the other
+    Distinct values of several columns are counted apart: rows (column, value) lose their repeats within each task, so the
+    shuffle is of distinct values, and no row is carried once for each of the columns.  A sum too wide for 38 digits is no error: its value is null and ``exact`` false, and the other
     figures stand."""
     for i, name in wanted:
         if name not in FIGURES[layout.columns[i].query_kind]:
             raise ValueError(f"{name} is no figure of a {layout.columns[i].query_kind} column")
+    apart = sorted({i for i, name in wanted if name == "distinct"})
+    apart = apart if len(apart) > 1 else []
     parts: dict[str, Column] = {}
     for i, name in wanted:
         q, there = F.col(f"q{i}"), present(layout, i)
         parts[f"n{i}"], parts[f"m{i}"] = F.count_if(there), F.count_if(~there)
-        if name == "distinct":
+        if name == "distinct" and i not in apart:
             parts[f"distinct{i}"] = F.count_distinct(F.when(there, q))
         elif name in ("sum", "avg"):
             parts[f"sum{i}"] = F.try_sum(q)
@@ -53,11 +56,26 @@ def figures(view: DataFrame, layout: Layout, wanted: list[tuple[int, str]], scal
         elif name == "avg":
             total = F.col(f"sum{i}")
             value, exact = F.when(n > 0, average(total, n, scale)), total.isNotNull() | (n == 0)
+        elif name == "distinct" and i in apart:
+            value = F.lit(None)
         else:
             value = F.col(f"{name}{i}")
             exact = value.isNotNull() | (n == 0) if name == "sum" else exact
         rows.append(F.struct(F.lit(i).alias("column"), F.lit(name).alias("figure"), value.cast("string").alias("value"), m.alias("missing"), n.alias("counted"), exact.alias("exact")))
-    return row.select(F.explode(F.array(*rows)).alias("f")).select("f.*")
+    found = row.select(F.explode(F.array(*rows)).alias("f")).select("f.*")
+    if not apart:
+        return found
+    counts = distinct_counts(view, layout, apart)
+    value = F.when(F.col("figure") == "distinct", F.coalesce("_n", F.lit(0)).cast("string")).otherwise(F.col("value"))
+    return found.join(counts, "column", "left").withColumn("value", value).drop("_n")
+
+
+def distinct_counts(view: DataFrame, layout: Layout, columns: list[int]) -> DataFrame:
+    """(column, _n): how many values each of several columns has, absent ones aside.  A text that stands for a value stands for
+    no other of its column."""
+    cells = F.array(*(F.when(present(layout, i), F.struct(F.lit(i).alias("column"), F.col(f"q{i}").cast("string").alias("v"))) for i in columns))
+    values = view.select(F.explode(F.array_compact(cells)).alias("c")).select("c.*").distinct()
+    return values.groupBy("column").agg(F.count("*").alias("_n"))
 
 
 def _measures(layout: Layout) -> list[Column]:

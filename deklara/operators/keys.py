@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deklara.tables import numbered
+from deklara.operators import lint
+from deklara.tables import numbered, written
 
 
 def _all(columns: list[Column]) -> Column:
@@ -32,18 +33,57 @@ def duplicates(table: DataFrame, key: list[str], ordinal: str = "_ordinal", most
     """Complete keys that more than one record carries: key, n, first record, all records in order.  A key of
     more than ``most`` records has a row for each list of ``most``.
 
-    Only the records of repeated keys are gathered into lists: the keys are counted first.  The places
-    within a key come from a range-partitioned numbering, so no task holds all records of a key."""
+    The keys are counted first, and only the records of repeated keys are gathered into lists.  The places of records
+    within keys of over ``most`` come from a range-partitioned numbering, so no task holds all records of a key."""
     whole = table.where(_all([F.col(c) != "" for c in key]))
-    repeated = whole.groupBy(*key).agg(F.count("*").alias("n"), F.min(ordinal).alias("first")).where("n > 1")
-    rows = numbered(whole.select(*key, F.col(ordinal).alias("_record")).join(repeated, key), [*(F.col(c) for c in key), F.col("_record")], "_pos")
-    starts = rows.groupBy(*key).agg(F.min("_pos").alias("_start"))
-    return (
-        rows.join(starts, key)
-        .groupBy(*key, F.floor((F.col("_pos") - F.col("_start")) / most).alias("_list"))
-        .agg(F.max("n").alias("n"), F.max("first").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list("_record")), lambda o: o.cast("string")), ", ").alias("records"))
-        .select(quoted(key).alias("key"), "n", "first", "records")
-    )
+    repeated = written(whole.groupBy(*key).agg(F.count("*").alias("n"), F.min(ordinal).alias("first")).where("n > 1"), "repeated-keys")
+    rows = whole.select(*key, F.col(ordinal).alias("_record")).join(repeated, key)
+    return listed(rows, repeated, key, most).select(quoted(key).alias("key"), "n", "first", "records")
+
+
+def listed(rows: DataFrame, repeated: DataFrame, key: list[str], most: int = 10_000) -> DataFrame:
+    """``rows`` (key columns, _record, n, first) as lists of the keys' records: key columns, n, first, records."""
+    told = F.array_join(F.transform(F.sort_array(F.collect_list("_record")), lambda o: o.cast("string")), ", ").alias("records")
+    cells = [F.max("n").alias("n"), F.max("first").alias("first"), told]
+    found = rows.where(F.col("n") <= most).groupBy(*key).agg(*cells)
+    if repeated.where(F.col("n") > most).isEmpty():
+        return found
+    large = numbered(rows.where(F.col("n") > most), [*(F.col(c) for c in key), F.col("_record")], "_pos")
+    starts = large.groupBy(*key).agg(F.min("_pos").alias("_start"))
+    place = F.floor((F.col("_pos") - F.col("_start")) / most).alias("_list")
+    return found.unionByName(large.join(starts, key).groupBy(*key, place).agg(*cells).drop("_list"))
+
+
+# The keys of many tables at once
+
+
+def links(c: dict[str, DataFrame]) -> DataFrame:
+    """What of each table is a key: (delivery, table_id, fk, target_id, target, positions).  ``fk`` -1 is its own primary
+    key; the others are its foreign keys that map onto the whole key of one table, with the positions of
+    their columns in the order of that key.  Of columns that repeat, the first counts; of two that map to one
+    key column, the last."""
+    keys = lint.key_columns(c["columns"])
+    of_key = c["columns"].where("is_pk").groupBy(*lint.TABLE).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    own = c["tables"].join(of_key, lint.TABLE).select(*lint.TABLE, F.lit(-1).alias("fk"), F.col("table_id").alias("target_id"), F.col("table").alias("target"), "positions")
+    mapped = lint.mapped(c["fks"], c["fk_columns"], c["aliases"], c["columns"], c["tables"])
+    last = mapped.groupBy(*lint.KEY, "parent", "parent_id", "parent_keys", F.col("target").alias("key_name")).agg(F.max_by("name", "pos").alias("name"))
+    first = c["columns"].groupBy(*lint.TABLE, "name").agg(F.min("pos").alias("pos"))
+    placed = last.join(keys, ["delivery", "parent_id", "key_name"]).join(first, [*lint.TABLE, "name"])
+    whole = placed.groupBy(*lint.KEY, "parent", "parent_id", "parent_keys").agg(F.sort_array(F.collect_list(F.struct("at", "pos"))).alias("p"))
+    foreign = whole.where(F.size("p") == F.col("parent_keys")).select(*lint.KEY, F.col("parent_id").alias("target_id"), F.col("parent").alias("target"), F.col("p.pos").alias("positions"))
+    return own.unionByName(foreign)
+
+
+def key_values(records: DataFrame, links: DataFrame, columns: int) -> DataFrame:
+    """The values of all keys of scanned records (delivery, table_id, table, _ordinal, c0..), one row for each record and key:
+    (delivery, target_id, key, fk, table, target, _ordinal).  References whose parts are all empty are none."""
+    cells = F.array(*(F.col(f"c{i}") for i in range(columns))) if columns else F.array().cast("array<string>")
+    asked = links.groupBy(*lint.TABLE).agg(F.collect_list(F.struct("fk", "target_id", "target", "positions")).alias("links"))
+    rows = records.select(*lint.TABLE, "table", "_ordinal", cells.alias("cells")).join(asked, lint.TABLE)
+    rows = rows.select("delivery", "table", "_ordinal", "cells", F.explode("links").alias("k"))
+    key = F.transform("k.positions", lambda p: F.get("cells", p))
+    rows = rows.select("delivery", F.col("k.target_id").alias("target_id"), key.alias("key"), F.col("k.fk").alias("fk"), "table", F.col("k.target").alias("target"), "_ordinal")
+    return rows.where((F.col("fk") == -1) | F.exists("key", lambda v: v != ""))
 
 
 def parent_keys(parent: DataFrame, key: list[str], names: list[str]) -> DataFrame:
@@ -58,10 +98,11 @@ def unresolved(child: DataFrame, columns: list[str], parent: DataFrame, key: lis
 
 
 def unchecked(fks: DataFrame, tables: DataFrame) -> DataFrame:
-    """References (delivery, table, fk, parent) that cannot be compared: the parent is one table with a primary
-    key, but could not be read.  ``tables`` are (delivery, table, pk_count, ready)."""
-    one = tables.groupBy("delivery", F.col("table").alias("parent")).agg(F.count("*").alias("n"), F.max("pk_count").alias("keys"), F.bool_and("ready").alias("ready"))
-    return fks.join(one.where("n = 1 and keys > 0 and not ready").select("delivery", "parent"), ["delivery", "parent"], "left_semi")
+    """References (delivery, table_id, table, fk, parent) that cannot be compared: the parent is one table with a primary
+    key, but could not be read.  ``tables`` are (delivery, table_id, table, pk_count, ready)."""
+    shut = tables.where("not ready").select("delivery", F.col("table_id").alias("parent_id"))
+    one = lint.resolved(fks, tables).where("matches = 1 and parent_keys > 0").join(shut, ["delivery", "parent_id"], "left_semi")
+    return one.select(*fks.columns)
 
 
 def unresolved_between(child: DataFrame, columns: list[str], parent: DataFrame, key: list[str], first: int, last: int) -> DataFrame:

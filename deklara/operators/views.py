@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from deklara.functions.readings import reading
 from deklara.layout import DATE, NUMBER, TEXT, TIME, Layout
-from deklara.tables import numbered
+from deklara.tables import Sorted, stored_in_order
 
 # The comparisons, and the kinds each is for.
 _ANY = {"eq", "ne", "one_of", "empty", "not_empty"}
@@ -50,6 +50,14 @@ def query_view(stored: DataFrame, layout: Layout, scales: dict[int, int] | None
     return stored.select("*", *(reading(F.col(f"c{i}"), c, layout, scales.get(i)).alias(f"q{i}") for i, c in enumerate(layout.columns)))
 
 
+def stage(records: DataFrame, layout: Layout, scales: dict[int, int] | None = None) -> DataFrame:
+    """Records stored with their queryable columns, each read once, in the order of their ordinals.
+
+    Ordinals of a file are a range of their own, so the statistics of files and row groups let a page or a range of
+    records open only what holds it, and filters skip row groups whose values they rule out."""
+    return stored_in_order(query_view(records, layout, scales), "_ordinal", "stage")
+
+
 def _literal(value: str, kind: str) -> Column:
     if kind == NUMBER:
         return F.lit(Decimal(value))
@@ -118,9 +126,14 @@ def order(layout: Layout, sorts: list[Sort]) -> list[Column]:
     return [*keys, F.col("_ordinal").asc()]
 
 
+def stored_view(table: DataFrame, layout: Layout, filters: list[Filter] = (), sorts: list[Sort] = ()) -> Sorted:
+    """The filtered and sorted rows, stored with the index by which pages find their files; positions count from 0."""
+    return Sorted(filtered(table, layout, list(filters)), order(layout, list(sorts)))
+
+
 def view(table: DataFrame, layout: Layout, filters: list[Filter] = (), sorts: list[Sort] = ()) -> DataFrame:
     """The filtered and sorted rows with their position ``pos`` from 0: a written copy."""
-    return numbered(filtered(table, layout, list(filters)), order(layout, list(sorts)))
+    return stored_view(table, layout, filters, sorts).rows
 
 
 def page(rows: DataFrame, first: int, count: int, by: str = "pos") -> DataFrame:

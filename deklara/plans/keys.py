@@ -230,8 +230,8 @@ def _links(spark, sf_dir):
     """Each part is a delivery whose one key refers to its brand's table; tables of a size over 40 are not ready,
     and those of a size that 7 divides have no key."""
     p = X.load(spark, sf_dir, "part")
-    fks = p.select(F.col("p_partkey").alias("delivery"), F.lit("Parts").alias("table"), F.lit("f").alias("fk"), F.col("p_brand").alias("parent"))
-    tables = p.select(F.col("p_partkey").alias("delivery"), F.col("p_brand").alias("table"), F.when(F.col("p_size") % 7 == 0, 0).otherwise(1).alias("pk_count"), (F.col("p_size") <= 40).alias("ready"))
+    fks = p.select(F.col("p_partkey").alias("delivery"), F.lit(0).alias("table_id"), F.lit("Parts").alias("table"), F.lit("f").alias("fk"), F.col("p_brand").alias("parent"))
+    tables = p.select(F.col("p_partkey").alias("delivery"), F.lit(1).alias("table_id"), F.col("p_brand").alias("table"), F.when(F.col("p_size") % 7 == 0, 0).otherwise(1).alias("pk_count"), (F.col("p_size") <= 40).alias("ready"))
     return fks, tables
 
 

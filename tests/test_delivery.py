@@ -126,10 +126,11 @@ INDEX = """<?xml version="1.0" encoding="utf-8"?>
 
 def test_layouts(spark):
     found = layouts(catalog(spark.createDataFrame([("d", INDEX)], "delivery string, value string")))
-    assert found["Kunden"][0] == "data/k.csv" and found["Kunden"][1] == Layout("Kunden", (Column("Nr", primary_key=True), Column("Name")), first_record=2)
+    found = {d.table: d for d in found.values()}
+    assert found["Kunden"].url == "data/k.csv" and found["Kunden"].layout == Layout("Kunden", (Column("Nr", primary_key=True), Column("Name")), first_record=2)
     links = (ForeignKey(("Kunde",), "Kunden", (("Kunde", "Nr"),)), ForeignKey(("Kunde",), "Alt"))
     columns = (Column("Beleg", primary_key=True, start=1, end=2), Column("Kunde", NUMBER, accuracy=0, start=3, end=6))
-    assert found["Belege"][1] == Layout("Belege", columns, record_delimiter="", encapsulator="", decimal=".", record_length=6, foreign_keys=links)
+    assert found["Belege"].layout == Layout("Belege", columns, record_delimiter="", encapsulator="", decimal=".", record_length=6, foreign_keys=links)
 
 
 def test_delivery(spark, tmp_path):
@@ -140,7 +141,7 @@ def test_delivery(spark, tmp_path):
     (tmp_path / "alt.csv").write_bytes(b"1\r\n")
     found = sorted((r["code"], r["table"], r["_ordinal"] or 0, r["value"]) for r in validate(spark, str(tmp_path)).collect())
     assert found == [
-        ("3006", "", 0, "Kunde"), ("3019", "", 0, "Name/MaxLength"), ("3029", "", 0, "run me"),
+        ("3006", "Belege", 0, "Kunde"), ("3019", "Kunden", 0, "Name/MaxLength"), ("3029", "", 0, "run me"),
         ("4001", "Belege", 3, "ab"), ("4004", "Kunden", 3, "3"), ("4007", "Belege", 3, "4"), ("4009", "Kunden", 1, "Name, Nr"), ("4011", "Alt", 0, "alt.csv"),
         ("5001", "Kunden", 2, "0001"), ("5003", "Belege", 2, "0002"), ("5003", "Belege", 3, "ab"), ("5004", "Belege", 0, "Alt"),
     ]
@@ -155,11 +156,119 @@ def test_delivery_without_description(spark, tmp_path):
 
 def test_types_of_aliased_keys(spark):
     frame = lambda cells, schema: spark.createDataFrame(cells, schema)
-    columns = frame([("d", "A", 0, "x", "text", False), ("d", "P", 0, "k", "text", True), ("d", "P", 1, "n", "number", True)], "delivery string, `table` string, pos int, name string, kind string, is_pk boolean")
-    fks, names = frame([("d", "A", "f", "P")], "delivery string, `table` string, fk string, parent string"), frame([("d", "A", "f", 1, "x")], "delivery string, `table` string, fk string, pos int, name string")
-    tables = frame([("d", "A", 0), ("d", "P", 2)], "delivery string, `table` string, pk_count int")
-    pairs = "delivery string, `table` string, fk string, source string, target string"
+    columns = frame([("d", 1, "A", 0, "x", "text", False), ("d", 2, "P", 0, "k", "text", True), ("d", 2, "P", 1, "n", "number", True)], "delivery string, table_id int, `table` string, pos int, name string, kind string, is_pk boolean")
+    fks, names = frame([("d", 1, "A", 0, "P")], "delivery string, table_id int, `table` string, fk int, parent string"), frame([("d", 1, "A", 0, 1, "x")], "delivery string, table_id int, `table` string, fk int, pos int, name string")
+    tables = frame([("d", 1, "A", 0), ("d", 2, "P", 2)], "delivery string, table_id int, `table` string, pk_count int")
+    pairs = "delivery string, table_id int, `table` string, fk int, pos int, source string, target string"
     assert rows(L.datatype(fks, names, frame([], pairs), columns, tables), "subject") == []
-    assert rows(L.datatype(fks, names, frame([("d", "A", "f", "x", "n")], pairs), columns, tables), "subject") == [("x",)]
-    twice = tables.unionAll(frame([("d", "P", 2)], tables.schema))
-    assert rows(L.datatype(fks, names, frame([("d", "A", "f", "x", "n")], pairs), columns, twice), "subject") == []
+    assert rows(L.datatype(fks, names, frame([("d", 1, "A", 0, 0, "x", "n"), ("d", 1, "A", 0, 1, "x", "k")], pairs), columns, tables), "subject") == [("x",)]
+    twice = tables.unionAll(frame([("d", 3, "P", 2)], tables.schema))
+    assert rows(L.datatype(fks, names, frame([("d", 1, "A", 0, 0, "x", "n")], pairs), columns, twice), "subject") == []
+
+
+def table(name, url, columns, more=""):
+    named = f"<Name>{name}</Name>" if name else ""
+    return f"<Table><URL>{url}</URL>{named}<VariableLength>{columns}{more}</VariableLength></Table>"
+
+
+KEY, NUMBER_COLUMN = "<VariablePrimaryKey><Name>K</Name><AlphaNumeric/></VariablePrimaryKey>", "<VariableColumn><Name>N</Name><Numeric/></VariableColumn>"
+REFERENCE = "<VariableColumn><Name>R</Name><AlphaNumeric/></VariableColumn>", "<ForeignKey><Name>R</Name><References>T</References></ForeignKey>"
+
+
+def delivery(folder, tables, files, extra=""):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / "index.xml").write_text(f"<DataSet>{extra}<Version>1</Version><Media><Name>M</Name>{''.join(tables)}</Media></DataSet>")
+    for name, text in files.items():
+        (folder / name).write_bytes(text.replace("\n", "\r\n").encode("cp1252"))
+
+
+def told(found):
+    return sorted((r["code"], r["table"], r["_ordinal"] or 0, r["value"]) for r in found.collect())
+
+
+def test_two_tables_of_one_name(spark, tmp_path):
+    """Both files are read, each under its own declaration; a reference to the name is ambiguous and not followed."""
+    twins = [table("T", "a.csv", KEY + NUMBER_COLUMN), table("T", "b.csv", KEY + NUMBER_COLUMN)]
+    files = {"a.csv": "x;1\ny;xx\n", "b.csv": "x;1\nx;2\n"}
+    delivery(tmp_path / "one", twins, files)
+    found = validate(spark, str(tmp_path / "one")).collect()
+    assert sorted((r["code"], r["severity"], r["table"], r["_ordinal"], r["value"]) for r in found) == [
+        ("3024", "warning", "", None, "T"), ("4001", "error", "T", 2, "xx"), ("5001", "error", "T", 1, "x"),
+    ]
+    delivery(tmp_path / "two", [*twins, table("C", "c.csv", KEY + REFERENCE[0], REFERENCE[1])], files | {"c.csv": "1;nowhere\n"})
+    found = validate(spark, str(tmp_path / "two")).collect()
+    assert sorted((r["code"], r["severity"], r["table"]) for r in found) == [("3003", "error", "C"), ("3024", "error", ""), ("4001", "error", "T"), ("5001", "error", "T")]
+
+
+def test_tables_without_a_name_go_by_their_location(spark, tmp_path):
+    """Their references resolve; one location declared twice is reported once, and is no repeated name."""
+    unnamed = [table("", "T", KEY), table("", "T", KEY + NUMBER_COLUMN), table("C", "c.csv", KEY + REFERENCE[0], REFERENCE[1].replace(">T<", ">p.csv<")), table("", "p.csv", KEY)]
+    delivery(tmp_path, unnamed, {"T": "x\n", "c.csv": "1;a\n2;b\n", "p.csv": "a\n"})
+    assert told(validate(spark, str(tmp_path))) == [("3025", "", 0, "T"), ("4004", "T", 1, "1"), ("5003", "C", 2, "b")]
+
+
+def test_extensions_and_collisions(spark, tmp_path):
+    delivery(tmp_path, [table("T", "t.csv", KEY)], {"t.csv": "x\n", "plan.bin": ""}, "<Extension><Name>E</Name><URL>x/../plan.bin</URL></Extension><Extension><Name>F</Name><URL>gone.bin</URL></Extension>")
+    assert told(validate(spark, str(tmp_path))) == [("3030", "", 0, "E"), ("3030", "", 0, "F"), ("3031", "", 0, "F")]
+    entries = spark.createDataFrame([("d", "a\\b"), ("d", "/a/b"), ("d", "a/./b")], "delivery string, name string")
+    assert rows(L.entry_collision(entries), "code", "subject") == [("1007", "a/b")]
+
+
+def test_many_deliveries_have_the_plan_of_few(spark, tmp_path):
+    """What is found is what each delivery alone gives, and the plan does not grow with their number."""
+    wide = [table("T", "t.csv", KEY + NUMBER_COLUMN), table("C", "c.csv", KEY + REFERENCE[0], REFERENCE[1])]
+    for root, n in (("few", 2), ("many", 30)):
+        for i in range(n):
+            delivery(tmp_path / root / f"d{i}", wide, {"t.csv": f"x;1\ny;x{i}\n" + "z;2\nz;3\n" * (i % 2), "c.csv": f"1;x\n2;u{i}\n3;\n"} if i % 7 else {"t.csv": "x;1\n"})
+    (tmp_path / "many" / "empty").mkdir()
+    (tmp_path / "many" / "empty" / "note.txt").write_text("x")
+    found = {root: validate(spark, str(tmp_path / root), many=True) for root in ("few", "many")}
+    sizes = [len(f._jdf.queryExecution().optimizedPlan().toString()) for f in found.values()]
+    assert sizes[1] < 1.1 * sizes[0]
+    by_delivery = {}
+    for r in found["many"].collect():
+        by_delivery.setdefault(r["delivery"], []).append((r["code"], r["table"], r["_ordinal"] or 0, r["value"]))
+    assert sorted(by_delivery.pop("empty")) == [("1001", "", 0, "index.xml")]
+    for i in (1, 29):
+        assert sorted(by_delivery[f"d{i}"]) == told(validate(spark, str(tmp_path / "many" / f"d{i}")))
+    assert len(by_delivery) == 30 and ("5003", "C", 2, "u29") in by_delivery["d29"] and ("1003", "C", 0, "c.csv") in by_delivery["d7"]
+    outcome = N.verdicts(found["few"], spark.createDataFrame([("d0",), ("d1",), ("d9",)], "delivery string")).collect()
+    assert {r["delivery"]: (r["errors"], r["verdict"]) for r in outcome} == {"d0": (1, "not conformant"), "d1": (3, "not conformant"), "d9": (0, "conformant")}
+
+
+def test_lists_of_many_records(spark):
+    """A key of more records than a list holds has several lists; the others one each, in file order."""
+    from deklara.operators import keys
+
+    t = spark.createDataFrame([(i, "k" if i % 3 else f"s{i % 2}") for i in range(1, 41)], "_ordinal bigint, c0 string")
+    found = sorted((r["key"], r["n"], r["first"], r["records"]) for r in keys.duplicates(t, ["c0"], most=10).collect())
+    hot = [str(i) for i in range(1, 41) if i % 3]
+    assert [f for f in found if f[0] == "k"] == sorted(("k", 27, 1, ", ".join(hot[i : i + 10])) for i in (0, 10, 20))
+    assert [f for f in found if f[0] != "k"] == [(f"s{b}", len(own), own[0], ", ".join(map(str, own))) for b in (0, 1) for own in [[i for i in range(3, 41, 3) if i % 2 == b]]]
+
+
+def test_entries(spark, tmp_path):
+    (tmp_path / "sub dir").mkdir()
+    (tmp_path / "ä+b.csv").write_bytes(b"12345")
+    (tmp_path / "sub dir" / "c.csv").write_bytes(b"")
+    found = scan.entries(spark, str(tmp_path))
+    assert sorted(rows(found, "name", "length")) == [("sub dir/c.csv", 0), ("ä+b.csv", 5)]
+    assert sorted(rows(found, "file")) == [(f"file://{tmp_path}/sub dir/c.csv",), (f"file://{tmp_path}/ä+b.csv",)]
+
+
+def test_pages_open_only_their_files(spark):
+    from deklara.tables import Sorted, scope
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    with scope(spark):
+        df = spark.range(0, 1000, 1, 7).select((F.lit(999) - F.col("id")).alias("v"), F.col("id"))
+        stored = Sorted(df, [F.col("v").asc()], "pos", 1)
+        assert [(r["v"], r["pos"]) for r in stored.rows.orderBy("pos").collect()] == [(i, i + 1) for i in range(1000)]
+        files = stored.index.count()
+        assert files >= 3
+        for first, count in ((1, 5), (300, 50), (996, 50), (1, 1000), (2000, 5)):
+            page = stored.page(first, count)
+            assert sorted(r["v"] for r in page.collect()) == [i - 1 for i in range(first, min(first + count, 1001))]
+            opened = [f for f in page.inputFiles() if "/sorted-" in f and "/sorted-index" not in f]
+            assert len(opened) < files or count == 1000 or first > 1000
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
