@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from array import array
 from collections.abc import Iterator
 from functools import cache, partial
 from typing import NamedTuple
@@ -35,12 +34,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deklara.llm.common import column, materialise
+from deklara.llm.hashing import BASE, mixed, spans_hashed
 from deklara.llm.pieces import MARK
 
 #: How byte-level vocabularies split text before their merges.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts beyond this many characters go to the library of the vocabulary file, whose matching never gives up.
 _LONG = 200_000
+#: Characters whose windows are looked at together.
+_PART = 400_000
 _SIDE = 32  # bits of a pair's second id
 
 
@@ -50,6 +52,25 @@ def _shown_bytes() -> dict[str, int]:
     return {chr(b): b for b in range(256) if b not in hidden} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Aligned(NamedTuple):
+    """A document's alignment: numbers of tokens and groups, links as packed pairs, groups as text."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    links: bytes
+    groups: bytes
+
+
+_NOTHING = Aligned(0, 0, 0, b"", b"")
+
+
+def _objects(values: list[bytes]) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
 class Span(NamedTuple):
     """A window's alignment: its bytes (None if the sides differ), links as packed pairs, groups as text, their number."""
 
@@ -62,7 +83,7 @@ class Span(NamedTuple):
 class Aligner:
     """Two tokenizers and the windows met so far; both what is remembered of windows and their length are bounded."""
 
-    def __init__(self, byte_path: str, piece_path: str, max_windows: int = 200_000, max_window: int = 64):
+    def __init__(self, byte_path: str, piece_path: str, max_windows: int = 300_000, max_window: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         import tiktoken
@@ -83,11 +104,11 @@ class Aligner:
         for t, i in ranks.items():
             a[i] = t
         b = [self._piece_bytes(i) for i in range(self._pieces.get_piece_size())]
-        self._bytes = (a, b)
+        self._bytes = tuple(_objects(side) for side in (a, b))
         self._lengths = tuple(np.array([len(t) for t in side], np.int64) for side in (a, b))
         self._spaced = tuple(np.array([t[:1] == b" " for t in side]) for side in (a, b))
-        self._sizes = tuple(x.tolist() for x in self._lengths)
-        self._shown = tuple([str(i) for i in range(len(side))] for side in (a, b))
+        self._texts = tuple(tuple(_objects([b"%d%s" % (i, mark) for i in range(len(side))]) for mark in marks) for side, marks in ((a, (b",", b"|")), (b, (b",", b";"))))
+        self._text_sizes = tuple(np.array([len(t) for t in texts[0]], np.int64) for texts in self._texts)
         self._windows: dict[tuple[bytes, bytes], Span] = {}
         self._older: dict[tuple[bytes, bytes], Span] = {}
         self._max_windows, self._max_bytes = max_windows, 4 * max_window
@@ -100,80 +121,130 @@ class Aligner:
         text = " " + text
         if len(text) > _LONG:
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self._fast.encode_ordinary(text), np.uint32)
+        return self._fast.encode_to_numpy(text, disallowed_special=())
 
     def second_ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(ids, np.uint32) for ids in self._pieces.encode(texts, num_threads=1)]
 
-    def _aligned(self, a: bytes, b: bytes) -> Span:
-        """The alignment of two sides of equal length in bytes: where both end, a group ends."""
-        one, two = memoryview(a).cast("I").tolist(), memoryview(b).cast("I").tolist()
-        sizes, others = self._sizes
-        shown, others_shown = self._shown
-        groups, links = [], []
-        i, j, first, second, end, other = 0, 0, 0, 0, 0, 0
-        for token in one:
-            end += sizes[token]
-            i += 1
-            while other < end:
-                other += others[two[j]]
-                j += 1
-            if other == end:
-                last = two[j - 1]
-                left = shown[token] if i - first == 1 else ",".join([shown[t] for t in one[first:i]])
-                groups.append(left + "|" + (others_shown[last] if j - second == 1 else ",".join([others_shown[t] for t in two[second:j]])))
-                links.append(token << _SIDE | last)
-                first, second = i, j
-        surface = b"".join([self._bytes[0][t] for t in one])
-        same = surface == b"".join([self._bytes[1][t] for t in two])
-        return Span(surface if same else None, array("q", links).tobytes(), ";".join(groups).encode(), len(links))
-
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
-        """The ids between anchors, packed.  The two sides have the same number of bytes in all."""
-        nexts = [np.flatnonzero(spaced[x[1:]]) for spaced, x in zip(self._spaced, (a, b), strict=True)]
-        ends = [np.cumsum(lengths[x]) for lengths, x in zip(self._lengths, (a, b), strict=True)]
-        left, right = ends[0][nexts[0]], ends[1][nexts[1]]
-        cuts, others = [], []
-        if len(right):
-            at = np.searchsorted(right, left)
-            at[at == len(right)] = 0
-            hit = right[at] == left
-            cuts, others = ((nexts[0][hit] + 1) * 4).tolist(), ((nexts[1][at[hit]] + 1) * 4).tolist()
+    def _align(self, keys: list[tuple[bytes, bytes]]) -> list[Span]:
+        """The alignments of windows.  Their ids are put one after another: the two sides of a window have equally many bytes, so
+        ends that both sides share in the whole are those that they share in their windows."""
+        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), np.uint32) for side in (0, 1))
+        ends, others = np.cumsum(self._lengths[0][a]), np.cumsum(self._lengths[1][b])
+        second = np.searchsorted(others, ends)
+        shared = others[second] == ends
+        last, other = np.flatnonzero(shared), second[shared]  # the last tokens of each group
+        links = (a[last].astype(np.int64) << _SIDE) | b[other]
+        # Ids as text in the order of the groups: the first side's, a bar, the second side's, a semicolon.
+        text = np.empty(len(a) + len(b), object)
+        size = np.empty(len(text), np.int64)
+        before = np.concatenate(([0], other[:-1] + 1))[np.searchsorted(last, np.arange(len(a)))]
+        behind = (last + 1)[np.searchsorted(other, np.arange(len(b)))]
+        for ids, ends_of, place, (inner, final), sizes in ((a, last, np.arange(len(a)) + before, self._texts[0], self._text_sizes[0]), (b, other, np.arange(len(b)) + behind, self._texts[1], self._text_sizes[1])):
+            own = inner[ids]
+            own[ends_of] = final[ids[ends_of]]
+            text[place], size[place] = own, sizes[ids]
+        told, stops = b"".join(text.tolist()), np.cumsum(size)
+        tokens = [np.cumsum([len(k[side]) // 4 for k in keys]) for side in (0, 1)]
+        groups = np.searchsorted(last, tokens[0] - 1) + 1
+        surfaces = [b"".join(x.tolist()) for x in (self._bytes[0][a], self._bytes[1][b])]
+        bounds = zip(ends[tokens[0] - 1].tolist(), stops[tokens[0] + tokens[1] - 1].tolist(), groups.tolist(), strict=True)
+        packed, same, spans = links.tobytes(), surfaces[0] == surfaces[1], []
+        at, shown, n = 0, 0, 0
+        for end, stop, upto in bounds:
+            surface = surfaces[0][at:end]
+            fits = same or surface == surfaces[1][at:end]
+            spans.append(Span(surface if fits else None, packed[8 * n : 8 * upto], told[shown : stop - 1], upto - n))
+            at, shown, n = end, stop, upto
+        return spans
+
+    def _meet(self, keys: list[tuple[bytes, bytes]]) -> dict[tuple[bytes, bytes], Span]:
+        """Windows that are not among the latest: they are remembered with them.  When these are many they become the
+        older ones, and what were the older ones are forgotten, so windows that come again and again stay."""
+        found = list(map(self._older.get, keys))
+        fresh = [k for k, w in zip(keys, found, strict=True) if w is None]
+        made = iter(self._align(fresh) if fresh else ())
+        known = dict(zip(keys, [next(made) if w is None else w for w in found], strict=True))
+        if len(self._windows) + len(known) > self._max_windows:
+            self._older, self._windows = self._windows, {}
+        most = 2 * self._max_bytes
+        few = known.items() if len(known) <= self._max_windows else ()
+        self._windows.update([kw for kw in few if len(kw[0][0]) + len(kw[0][1]) <= most])
+        return known
+
+    def documents(self, texts: list[str | None]) -> Iterator[Aligned]:
+        """The alignments of texts; zeros and nothing as defined."""
+        first, size = 0, 0
+        for i, text in enumerate(texts):
+            size += len(text or "")
+            if size >= _PART or i + 1 == len(texts):
+                yield from self._part(texts[first : i + 1])
+                first, size = i + 1, 0
+
+    def _part(self, texts: list[str | None]) -> Iterator[Aligned]:
+        wholes = [b" " + t.encode() if t else b"" for t in texts]
+        second = self.second_ids([t or "" for t in texts])
+        sides = [(self.first_ids(t), b) if t else (b, b) for t, b in zip(texts, second, strict=True)]
+        sized = [i for i, ((a, b), w) in enumerate(zip(sides, wholes, strict=True)) if w and all(int(x[ids].sum()) == len(w) for x, ids in zip(self._lengths, (a, b), strict=True))]
+        rows: dict[int, Aligned] = {}
+        if sized:
+            spans, of, bounds = self._windowed([sides[i] for i in sized])
+            surfaces, links, groups = (_objects([s[k] for s in spans]) for k in range(3))
+            fits, numbers = np.array([s.surface is not None for s in spans]), np.array([s.number for s in spans])
+            for i, first, last in zip(sized, bounds[:-1], bounds[1:], strict=True):
+                own = of[first:last]
+                if fits[own].all() and b"".join(surfaces[own].tolist()) == wholes[i]:
+                    rows[i] = Aligned(len(sides[i][0]), len(sides[i][1]), int(numbers[own].sum()), b"".join(links[own].tolist()), b";".join(groups[own].tolist()))
+        for i in range(len(texts)):
+            yield rows.get(i, _NOTHING)
+
+    def _windowed(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[Span], np.ndarray, list[int]]:
+        """The different windows of documents whose two sides have equally many bytes; of each window in order which of them it is;
+        and the number of windows before each document, and in all."""
+        a, b = (np.concatenate([s[k] for s in sides]) for k in (0, 1))
+        ends, others = np.cumsum(self._lengths[0][a]), np.cumsum(self._lengths[1][b])
+        begins = [np.cumsum([0, *(len(s[k]) for s in sides)]) for k in (0, 1)]
+        first, second = np.flatnonzero(self._spaced[0][a[1:]]), np.flatnonzero(self._spaced[1][b[1:]])
+        at = np.minimum(np.searchsorted(others[second], ends[first]), max(0, len(second) - 1))
+        hit = others[second][at] == ends[first] if len(second) else np.zeros(len(first), bool)
+        starts, other_starts = (_places(len(x), cuts + 1, bounds) for x, cuts, bounds in ((a, first[hit], begins[0]), (b, second[at[hit]], begins[1])))
+        one, two = (starts[:-1], starts[1:]), (other_starts[:-1], other_starts[1:])
+        # Windows of one hash are taken for one another only if their ids are the same.
+        marks = mixed(spans_hashed(mixed(a.astype(np.uint64) + np.uint64(1)), *one) * np.uint64(BASE) + spans_hashed(mixed(b.astype(np.uint64) + np.uint64(1)), *two))
+        _, like, of = np.unique(marks, return_index=True, return_inverse=True)
+        same = _alike(a, *one, like[of]) & _alike(b, *two, like[of])
+        if not same.all():
+            odd = np.flatnonzero(~same)
+            of[odd] = len(like) + np.arange(len(odd))
+            like = np.concatenate((like, odd))
         packed, other = a.tobytes(), b.tobytes()
-        return list(zip(
-            map(packed.__getitem__, map(slice, [0, *cuts], [*cuts, len(packed)])), map(other.__getitem__, map(slice, [0, *others], [*others, len(other)])), strict=True
-        ))
-
-    def _met(self, key: tuple[bytes, bytes]) -> Span:
-        """A window that is not among the latest: it is remembered with them.  When these are many they become the older
-        ones, and what were the older ones are forgotten, so windows that come again and again stay."""
-        window = self._older.get(key) or self._aligned(*key)
-        if len(key[0]) + len(key[1]) <= 2 * self._max_bytes:
-            if len(self._windows) >= self._max_windows:
-                self._older, self._windows = self._windows, {}
-            self._windows[key] = window
-        return window
-
-    def document(self, text: str, a: np.ndarray, b: np.ndarray) -> list[Span] | None:
-        """The windows of a text, None if the tokens' bytes are not a space and the text."""
-        whole = b" " + text.encode()
-        if int(self._lengths[0][a].sum()) != len(whole) or int(self._lengths[1][b].sum()) != len(whole):
-            return None
-        keys = self.windows(a, b)
-        found = list(map(self._windows.get, keys))
-        for i in [i for i, window in enumerate(found) if window is None]:
-            found[i] = self._windows.get(keys[i]) or self._met(keys[i])
-        surfaces = [w[0] for w in found]
-        return found if None not in surfaces and b"".join(surfaces) == whole else None
-
-    def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int, list[Span]]]:
-        """Of each text the numbers of tokens and the windows; zeros and none as defined."""
-        for at in range(0, len(texts), 64):
-            part = texts[at : at + 64]
-            for text, b in zip(part, self.second_ids([t or "" for t in part]), strict=True):
-                a = self.first_ids(text) if text else b
-                found = self.document(text, a, b) if text else None
-                yield (0, 0, []) if found is None else (len(a), len(b), found)
+        keys = [(packed[4 * i : 4 * m], other[4 * j : 4 * n]) for i, m, j, n in zip(*(x[like].tolist() for x in (*one, *two)), strict=True)]
+        spans = list(map(self._windows.get, keys))
+        lost = [k for k, s in zip(keys, spans, strict=True) if s is None]
+        if lost:
+            met = self._meet(lost)
+            spans = [met[k] if s is None else s for k, s in zip(keys, spans, strict=True)]
+        return spans, of, np.searchsorted(starts, begins[0]).tolist()
+
+
+def _places(size: int, *places: np.ndarray) -> np.ndarray:
+    """The places named, each once, in order."""
+    there = np.zeros(size + 1, bool)
+    for p in places:
+        there[p] = True
+    return np.flatnonzero(there)
+
+
+def _alike(ids: np.ndarray, first: np.ndarray, last: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Whether each span of ids is the same as the one that ``like`` names."""
+    sizes = last - first
+    same = sizes == sizes[like]
+    sizes = np.where(same, sizes, 0)
+    at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    equal = ids[np.repeat(first, sizes) + at] == ids[np.repeat(first[like], sizes) + at]
+    odd = np.repeat(np.arange(len(first)), sizes)[~equal]
+    same[odd] = False
+    return same
 
 
 @cache
@@ -185,7 +256,7 @@ def aligner_of(byte_path: str, piece_path: str) -> Aligner:
 def _groups(byte_path: str, piece_path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     aligner = aligner_of(byte_path, piece_path)
     for batch in batches:
-        texts = [b";".join([w.groups for w in found]).decode() for _, _, found in aligner.documents(batch.column(1).to_pylist())]
+        texts = [found.groups.decode() for found in aligner.documents(batch.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "groups"])
 
 
@@ -233,12 +304,11 @@ def _blocks(byte_path: str, piece_path: str, entries: int, batches: Iterator[pa.
     size = 0
     for batch in batches:
         found = aligner.documents(batch.column(1).to_pylist())
-        for doc_id, (n_a, n_b, windows) in zip(batch.column(0).to_pylist(), found, strict=True):
-            links = np.frombuffer(b"".join([w.links for w in windows]), np.int64)
-            n_groups = sum([w.number for w in windows])
-            digest = hashlib.sha256(b";".join([w.groups for w in windows])).hexdigest() if windows else ""
+        for doc_id, own in zip(batch.column(0).to_pylist(), found, strict=True):
+            links = np.frombuffer(own.links, np.int64)
+            digest = hashlib.sha256(own.groups).hexdigest() if own.n_a else ""
             codes, times = np.unique(links, return_counts=True)
-            held.append((doc_id, n_a, n_b, n_groups, len(links), digest, codes, times))
+            held.append((doc_id, own.n_a, own.n_b, own.n_groups, len(links), digest, codes, times))
             size += len(codes) + 1
             if size >= entries:
                 yield from _block(number, held)
