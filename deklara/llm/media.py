@@ -1,7 +1,8 @@
 """Operator 3: media columns as content-defined chunks.
 
-A text's bytes, with spaces up to a positive multiple of ``UNIT``, are its payload.  A gear hash
-rolls over the payload and cuts where its top bits are zero, so equal passages give equal chunks
+A text's bytes, with spaces up to a positive multiple of ``UNIT``, are its payload.  Its media file, which is what is
+stored, holds the payload as samples of 8 bits, and behind them their number (64 bits, little-endian) and ``SMP8``.  A gear hash
+rolls over the file and cuts where its top bits are zero, so equal passages give equal chunks
 wherever they stand.  Three tables hold the corpus:
 
 * ``recipes``: one row per document with the ordered digests and lengths of its chunks, and the
@@ -13,13 +14,11 @@ wherever they stand.  Three tables hold the corpus:
   unique chunks are never shuffled, and a body that many documents hold is stored once.
 
 Reading back joins the shared chunks to the recipes by digest, puts the chunks in order, verifies
-each against its digest, and yields the payload.  A document's media file, for those who want one,
-is ``CDC1``, the payload's length and the number of chunks, the lengths and digests of the chunks,
-and their bodies; every unit is one byte.
+each against its digest, and yields the file as it was stored, whose samples are the payload.
 
 Defined results: a null text is an empty one, and an empty payload is one unit of spaces.  Repeated
 rows each have their row.  An empty table gives an empty result.  A chunk whose bytes do not match
-its digest raises an error.
+its digest raises an error, and so does a file whose end does not tell the number of its samples.
 """
 
 from __future__ import annotations
@@ -38,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNIT = 192
+MARK = b"SMP8"
 LEAST, MOST, TOP_BITS = 256, 8192, 10
 PROBES = 4
 _GEAR = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -48,6 +48,19 @@ def payload_of(text: str | None) -> bytes:
     return body + b" " * (-len(body) % UNIT if body else UNIT)
 
 
+def media_file(payload: bytes) -> bytes:
+    """The stored form of a payload."""
+    return payload + struct.pack("<Q", len(payload)) + MARK
+
+
+def samples_of(media: bytes) -> bytes:
+    """The payload of a media file."""
+    payload = media[: -8 - len(MARK)]
+    if media != media_file(payload):
+        raise ValueError("not a media file of 8-bit samples")
+    return payload
+
+
 def cuts(payload: bytes) -> list[int]:
     """Ends of the chunks: after a byte whose 32-byte window hashes to ``TOP_BITS`` zeros, not
     under ``LEAST`` bytes and at ``MOST`` bytes at the latest."""
@@ -80,7 +93,7 @@ def chunks(payload: bytes) -> list[tuple[bytes, bytes]]:
 
 def _digest_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = Counter(d for text in batch.column(0) for d, _ in chunks(payload_of(text.as_py())))
+        found = Counter(d for text in batch.column(0) for d, _ in chunks(media_file(payload_of(text.as_py()))))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["digest", "n"]
         )
@@ -125,8 +138,7 @@ def _recipes(filter_: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     for batch in batches:
         digests, lengths, flags, own, sizes = [], [], [], [], []
         for text in batch.column(1):
-            payload = payload_of(text.as_py())
-            parts = chunks(payload)
+            parts = chunks(media_file(payload_of(text.as_py())))
             shared = _is_shared([d for d, _ in parts], words)
             digests.append(b"".join(d for d, _ in parts))
             lengths.append([len(b) for _, b in parts])
@@ -151,7 +163,7 @@ def _shared_bodies(filter_: object, batches: Iterator[pa.RecordBatch]) -> Iterat
     for batch in batches:
         found: dict[bytes, bytes] = {}
         for text in batch.column(0):
-            parts = chunks(payload_of(text.as_py()))
+            parts = chunks(media_file(payload_of(text.as_py())))
             for (d, b), s in zip(parts, _is_shared([d for d, _ in parts], words), strict=True):
                 if s and d not in found:
                     found[d] = press.compress(b)
@@ -195,7 +207,7 @@ def restored(recipes: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def assemble(digests: bytes, lengths: list[int], shared: list[bool], own: bytes, bodies: list[bytes]) -> bytes:
-    """The payload of one recipe; raises if a chunk is not what its digest says."""
+    """The file of one recipe; raises if a chunk is not what its digest says."""
     rest, at, others, parts = own, 0, iter(bodies), []
     for i, (length, other) in enumerate(zip(lengths, shared, strict=True)):
         if other:
@@ -208,11 +220,6 @@ def assemble(digests: bytes, lengths: list[int], shared: list[bool], own: bytes,
     return b"".join(parts)
 
 
-def media_file(payload: bytes, digests: bytes, lengths: list[int]) -> bytes:
-    table = b"".join(struct.pack("<I", n) + digests[32 * i : 32 * i + 32] for i, n in enumerate(lengths))
-    return b"CDC1" + struct.pack("<QI", len(payload), len(lengths)) + table + payload
-
-
 def feature(payload: bytes, lengths: list[int]) -> str:
     """Chunks, sum of the samples, largest sample, and the samples by their top three bits."""
     samples = np.frombuffer(payload, np.uint8)
@@ -223,20 +230,20 @@ def feature(payload: bytes, lengths: list[int]) -> str:
 DIGESTS = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list[int]]]:
-    """(payload, digests, lengths) of each row of a batch of ``restored``."""
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[int]]]:
+    """(media file, lengths of its chunks) of each row of a batch of ``restored``."""
     press = zstandard.ZstdDecompressor()
     for digests, lengths, shared, own, bodies in zip(*(batch.column(c) for c in ("digests", "lengths", "shared", "own", "bodies")), strict=True):
         digests, lengths = digests.as_py(), lengths.as_py()
         others = [press.decompress(b) for b in bodies.as_py() or []]
-        yield assemble(digests, lengths, shared.as_py(), press.decompress(own.as_py()), others), digests, lengths
+        yield assemble(digests, lengths, shared.as_py(), press.decompress(own.as_py()), others), lengths
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for payload, digests, lengths in _unpacked(batch):
-            media = media_file(payload, digests, lengths)
+        for media, lengths in _unpacked(batch):
+            payload = samples_of(media)
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, lengths)))
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -259,7 +266,7 @@ def digests(spark: SparkSession, root: str) -> DataFrame:
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(p, media_file(p, d, n)) for p, d, n in _unpacked(batch)]
+        found = [(samples_of(m), m) for m, _ in _unpacked(batch)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("n_bytes"), pa.array([p for p, _ in found], pa.binary()), pa.array([m for _, m in found], pa.binary())],
             names=["doc_id", "n_bytes", "payload", "media"],

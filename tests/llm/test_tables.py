@@ -29,9 +29,21 @@ def test_media_round_trip(spark):
     assert shared.count() == shared.select("digest").distinct().count() and shared.count() >= 3
     own = sum(len(r["own"]) for r in spark.read.parquet(f"{root}/recipes").where("doc_id >= 10").collect())
     assert own < 20 * 5500  # the passage's chunks are not in the recipes
-    for r in media.digests(spark, root).where("doc_id = 4").collect():
-        p = media.payload_of("ä" * 40000)
+    found = media.digests(spark, root).collect()
+    by_id = {i: t for i, t in rows}
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media.read(spark, root).collect()}
+    for r in found:
+        p = media.payload_of(by_id[r["doc_id"]])
+        m = p + len(p).to_bytes(8, "little") + b"SMP8"
+        bands = [sum(b >> 5 == k for b in p) for k in range(8)]
+        assert stored[r["doc_id"]] == m and (r["media_bytes"], r["media_sha256"]) == (len(m), hashlib.sha256(m).hexdigest())
         assert (r["payload_sha256"], r["tail_crc32"], r["payload_bytes"]) == (hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(p))
+        assert r["feature"] == f"chunks={len(media.cuts(m))};sum={sum(p)};max={max(p)};bands={','.join(map(str, bands))}"
+    empty = scratch_path(spark, "media")
+    media.store(docs.limit(0), empty)
+    assert media.digests(spark, empty).count() == 0
+    with pytest.raises(ValueError):
+        media.samples_of(b"abc" + (4).to_bytes(8, "little") + b"SMP8")
 
 
 def test_media_cuts_follow_content():
