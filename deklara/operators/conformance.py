@@ -131,6 +131,13 @@ def expected_of(column, code: int) -> str:
     return column.mask if column.kind == "date" else column.kind
 
 
+def minimal_quotes(findings: DataFrame, records: DataFrame, layout: Layout) -> DataFrame:
+    """Findings of columns with ``only``: whether each quotes the value at fault, and no other of its record."""
+    cells = records.select("_ordinal", F.array(*(F.col(f"c{i}") for i in range(len(layout.columns)))).alias("_cells"))
+    quoted = findings.where("column_index >= 0").join(cells, "_ordinal", "left")
+    return quoted.withColumn("only", F.coalesce(F.col("value") == F.get("_cells", F.col("column_index")), F.lit(False))).drop("_cells")
+
+
 def key_findings(rows: DataFrame, code: int, layout: Layout, ordinal: str, value: Column, seq: int = 0) -> DataFrame:
     return rows.select(*finding(code, layout.name, 2, F.col(ordinal), value=value, seq=seq))
 

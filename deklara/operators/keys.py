@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deklara.operators import lint
@@ -41,6 +41,19 @@ def duplicates(table: DataFrame, key: list[str], ordinal: str = "_ordinal", most
     return listed(rows, repeated, key, most).select(quoted(key).alias("key"), "n", "first", "records")
 
 
+def first_duplicates(table: DataFrame, key: list[str], bound: int, ordinal: str = "_ordinal", most: int = 10_000) -> DataFrame:
+    """Of the keys that more than one record carries the ``bound`` whose first records come first (of keys of one
+    first record, the smaller), with their place: place, key, n, first, records.
+
+    Only the records of these keys are gathered, whatever the number of repeated keys."""
+    whole = table.where(_all([F.col(c) != "" for c in key]))
+    repeated = whole.groupBy(*key).agg(F.count("*").alias("n"), F.min(ordinal).alias("first")).where("n > 1")
+    some = repeated.orderBy("first", *key).limit(bound)
+    some = written(some.withColumn("place", F.row_number().over(Window.orderBy("first", *key))), "first-repeated-keys")  # ``bound`` rows
+    rows = whole.select(*key, F.col(ordinal).alias("_record")).join(some.drop("place"), key)
+    return listed(rows, some, key, most).join(some.select(*key, "place"), key).select("place", quoted(key).alias("key"), "n", "first", "records")
+
+
 def listed(rows: DataFrame, repeated: DataFrame, key: list[str], most: int = 10_000) -> DataFrame:
     """``rows`` (key columns, _record, n, first) as lists of the keys' records: key columns, n, first, records."""
     told = F.array_join(F.transform(F.sort_array(F.collect_list("_record")), lambda o: o.cast("string")), ", ").alias("records")
@@ -130,8 +143,6 @@ def follow_back(parent: DataFrame, key: list[str], child: DataFrame, columns: li
     if nth == 1:
         counts = counts.select(*key, "matches", F.col("lowest").alias("target"))
     else:
-        from pyspark.sql import Window
-
         place = F.row_number().over(Window.partitionBy(*key).orderBy("_ordinal"))
         at = referring.withColumn("place", place).where(F.col("place") <= nth).groupBy(*key).agg(F.max_by("_ordinal", "place").alias("target"))
         counts = counts.join(at, key).select(*key, "matches", "target")

@@ -125,6 +125,38 @@ def check_record_length(spark, sf_dir):
     return _told(N.record_findings(_fixed(spark, sf_dir), FIXED), K.RECORD_LENGTH)
 
 
+_BARE = replace(FIXED, record_delimiter="", record_length=25)
+_BARE_SQL = "select {at} as _ordinal, rpad(o_orderkey::varchar, 8, '#') as c0, case when o_orderkey % 3 = 0 then 'ß' else o_orderstatus end as c1, rpad(o_orderpriority, 15, chr(10)) as c2 from orders"
+
+
+def _undelimited(spark, sf_dir, codepage, files=5, tail=""):
+    """Orders as records of 25 characters that nothing but their length cuts, in several files; line feeds are among the
+    characters.  ``tail`` is an unfinished record behind the last."""
+    rows = X.orders_text(spark, sf_dir)
+    status = F.when(F.col("c0").cast("bigint") % 3 == 0, "ß").otherwise(F.col("c4"))
+    text = F.concat(F.rpad("c0", 8, "#"), status, F.rpad("c5", 15, "\n"))
+    rows = rows.select("_ordinal", (text if codepage == "UTF8" else S.encoded(text, codepage).cast("string")).alias("value"))
+    if tail:
+        rows = rows.unionByName(spark.range(1).select(F.lit(1 << 60).alias("_ordinal"), F.lit(tail).alias("value")))
+    path = scratch(spark, "file")
+    rows.repartitionByRange(files, "_ordinal").sortWithinPartitions("_ordinal").select("value").write.option("lineSep", "\n").text(path)
+    return S.scan_fixed(spark, path, replace(_BARE, codepage=codepage))
+
+
+@query("scan_fixed_undelimited", " union all ".join(f"select '{c}' as codepage, * from ({_BARE_SQL.format(at='o_orderkey + 1')})" for c in ("UTF8", "ANSI")))
+def scan_fixed_undelimited(spark, sf_dir):
+    """The same records with characters of several bytes, counted, and of one byte, read by their place.  The line feed
+    that ends each is its last character, and no column's."""
+    found = [_undelimited(spark, sf_dir, codepage).select(F.lit(codepage).alias("codepage"), "_ordinal", "c0", "c1", "c2") for codepage in ("UTF8", "ANSI")]
+    return N.union(found)
+
+
+@query("check_record_length_undelimited", _finding_sql(4007, "max(o_orderkey) + 2", "orders", value="'3'", expected="'25'", table="Fixed"))
+def check_record_length_undelimited(spark, sf_dir):
+    """The file ends in three characters of a record, of which a line feed is the last."""
+    return _told(N.record_findings(_undelimited(spark, sf_dir, "UTF8", 1, "xy"), replace(_BARE, codepage="UTF8")), K.RECORD_LENGTH)
+
+
 # The words of a file of parts, with umlauts that each codepage writes otherwise.
 _WORD = "Größe"
 
@@ -158,6 +190,27 @@ def check_undecodable(spark, sf_dir):
     return _told(N.record_findings(S.scan_delimited(spark, _encoded(spark, sf_dir, "ANSI"), PLAIN), PLAIN), K.UNDECODABLE)
 
 
+@query(
+    "check_undecodable_utf16",
+    f"with {X.PARTS_SQL} select _ordinal, case when p_partkey % 7 = 0 then c0 || chr(65533) else c0 end as c0, case when p_partkey % 5 = 0 then chr(65533) || q2 || chr(128512) else q2 end as c1,"
+    " case when p_partkey % 7 = 0 then 0 when p_partkey % 5 = 0 then 1 end as column_index from p join part on p_partkey = c0::bigint",
+)
+def check_undecodable_utf16(spark, sf_dir):
+    """A UTF-16 file in which halves of surrogate pairs stand alone: they are replaced, reported, and nothing else is lost."""
+    words = V.query_view(X.part_text(spark, sf_dir), X.PARTS)
+    k, wide = F.col("c0").cast("bigint"), lambda c: F.encode(c, "UTF-16LE")
+    half = lambda test, code: F.when(test, F.unhex(F.lit(code))).otherwise(F.lit(b""))
+    whole = F.when(k % 5 == 0, wide(F.lit("😀"))).otherwise(F.lit(b""))
+    value = F.concat(wide(F.col("c0")), half(k % 7 == 0, "00D8"), wide(F.lit(";")), half(k % 5 == 0, "00DC"), wide(F.col("q2")), whole, wide(F.lit(";ßØ")))
+    path = scratch(spark, "file")
+    parts = words.repartitionByRange("_ordinal").sortWithinPartitions("_ordinal")
+    parts.select(value.cast("string").alias("value")).write.option("lineSep", "\r\0\n\0").text(path)
+    layout = replace(PLAIN, codepage="UTF16")
+    read = S.scan_delimited(spark, path, layout)
+    found = N.record_findings(read, layout).where(F.col("code") == str(K.UNDECODABLE)).select("_ordinal", "column_index")
+    return read.select("_ordinal", "c0", "c1").join(found, "_ordinal", "left")
+
+
 @query("scan_bom", "select o_orderkey + 1 as _ordinal, o_orderkey::varchar as c0 from orders")
 def scan_bom(spark, sf_dir):
     """Every record of a file that begins with a mark."""
@@ -192,6 +245,24 @@ def check_unterminated(spark, sf_dir):
     return _told(N.record_findings(S.scan_delimited(spark, path, PLAIN), PLAIN), K.UNTERMINATED)
 
 
+@query(
+    "stitch_bounded",
+    "with t as (select max(o_orderkey) + 1 as last, sum(length(o_orderkey::varchar || ';' || o_custkey::varchar || ';' || o_orderpriority) + 2) + 1 as size from orders)"
+    " select 1 as _ordinal, true as cut, true as unterminated, 2 as n_values, (select size from t) as chars, true as bounded",
+)
+def stitch_bounded(spark, sf_dir):
+    """A capsule opened in the first record is never closed: one record holds the whole file, in parts of bounded size."""
+    rows = X.orders_text(spark, sf_dir)
+    rest = F.concat(F.when(F.col("_ordinal") == 1, F.lit('"')).otherwise(F.lit("")), F.col("c1"), F.lit(";"), F.col("c5"))
+    path, most = scratch(spark, "file"), 20_000
+    rows.repartitionByRange(1, "_ordinal").sortWithinPartitions("_ordinal").select(F.concat("c0", F.lit(";"), rest).alias("value")).write.option("lineSep", "\r\n").text(path)
+    numbered = S.numbered_lines(S.lines(spark, path, PLAIN), PLAIN)
+    record = S.scan_delimited(spark, path, PLAIN, most=most).select("_ordinal", "cut", "unterminated", "n_values")
+    length = F.length("value")
+    parts = S.record_parts(numbered, PLAIN, most).groupBy("_ordinal").agg(F.sum(length).alias("chars"), (F.max(length) <= most + 100).alias("bounded"))
+    return record.join(parts, "_ordinal")
+
+
 def _with_header(spark, sf_dir, names):
     head = spark.range(1).select(F.lit(0).cast("bigint").alias("_ordinal"), F.lit(";".join(names)).alias("value"))
     rows = X.orders_text(spark, sf_dir).select("_ordinal", F.concat_ws(";", "c0", "c1", "c5").alias("value"))

@@ -10,6 +10,7 @@ from deklara.operators import conformance as N
 from deklara.operators import keys as J
 from deklara.plans import fixtures as X
 from deklara.plans.registry import query
+from deklara.tables import written
 
 # Keys
 
@@ -19,6 +20,15 @@ def agg_pk_duplicates(spark, sf_dir):
     return J.duplicates(X.lineitem_keys(spark, sf_dir), ["c0", "c1"])
 
 
+@query(
+    "agg_pk_duplicates_first",
+    f"with {X.LINES_SQL} select row_number() over (order by first, c0, c1) as place, c0 || '|' || c1 as key, n, first, records from (select c0, c1, count(*) as n, min(_ordinal) as first, string_agg(_ordinal::varchar, ', ' order by _ordinal) as records from l where c1 <> '' group by c0, c1 having count(*) > 1) order by first, c0, c1 limit 50",
+)
+def agg_pk_duplicates_first(spark, sf_dir):
+    """The bounded report: keys in order of their first records."""
+    return J.first_duplicates(X.lineitem_keys(spark, sf_dir), ["c0", "c1"], 50)
+
+
 LINES = Layout("Lines", (Column("Order", primary_key=True), Column("Line", primary_key=True)))
 _KEY_CELLS = ("code", "severity", "table", "_ordinal", "value", "expected")
 
@@ -116,6 +126,46 @@ def join_mark_cells(spark, sf_dir):
     return J.marks(child, [(["c1"], X.customer_text(spark, sf_dir), ["c0"]), (["c4"], states, ["state"])])
 
 
+_CATALOG = (
+    "<Table><URL>l</URL><Name>Lines</Name><VariableLength><VariablePrimaryKey><Name>Order</Name><AlphaNumeric/></VariablePrimaryKey><VariablePrimaryKey><Name>Line</Name><AlphaNumeric/></VariablePrimaryKey>"
+    "<VariableColumn><Name>Part</Name><AlphaNumeric/></VariableColumn><VariableColumn><Name>Supplier</Name><AlphaNumeric/></VariableColumn>"
+    "<ForeignKey><Name>Order</Name><References>Orders</References></ForeignKey><ForeignKey><Name>Part</Name><References>Parts</References><Alias><From>Part</From><To>Code</To></Alias></ForeignKey>"
+    "<ForeignKey><Name>Supplier</Name><References>Suppliers</References></ForeignKey></VariableLength></Table>"
+    + "".join(f"<Table><URL>{n}</URL><Name>{n}</Name><VariableLength><VariablePrimaryKey><Name>Code</Name><AlphaNumeric/></VariablePrimaryKey></VariableLength></Table>" for n in ("Orders", "Parts", "Suppliers"))
+)
+
+
+@query(
+    "check_keys_together",
+    "with l as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as _ordinal, l_orderkey::varchar as o, case when l_orderkey % 17 = 0 then '' else l_linenumber::varchar end as n,"
+    " l_partkey::varchar as p, case when l_linenumber % 5 = 0 then '' else l_suppkey::varchar end as s from lineitem)"
+    " select '5001' as code, o || '|' || n as value, 'Lines' as \"table\", '' as target, count(*) as n from l where n <> '' group by o, n having count(*) > 1"
+    " union all select '5002', o || '|' || n, 'Lines', '', count(*) from l where n = '' group by o, n"
+    " union all select '5003', o, 'Lines', 'Orders', count(*) from l where o not in (select o_orderkey::varchar from orders where o_orderstatus = 'F') group by o"
+    " union all select '5003', p, 'Lines', 'Parts', count(*) from l where p not in (select p_partkey::varchar from part where p_size < 25) group by p"
+    " union all select '5003', s, 'Lines', 'Suppliers', count(*) from l where s <> '' and s not in (select s_suppkey::varchar from supplier where s_suppkey % 3 <> 0) group by s",
+)
+def check_keys_together(spark, sf_dir):
+    """A table with a primary key and three foreign keys, read once: all key values go through one aggregation."""
+    from deklara.sources.catalog import catalog
+
+    text = spark.createDataFrame([("d", f"<DataSet><Media><Name>M</Name>{_CATALOG}</Media></DataSet>")], "delivery string, value string")
+    links = J.links(catalog(text))
+    line = F.when(F.col("l_orderkey") % 17 == 0, "").otherwise(F.col("l_linenumber").cast("string"))
+    supplier = F.when(F.col("l_linenumber") % 5 == 0, "").otherwise(F.col("l_suppkey").cast("string"))
+    tables = {0: ("Lines", X.load(spark, sf_dir, "lineitem"), [F.col("l_orderkey").cast("string"), line, F.col("l_partkey").cast("string"), supplier])}
+    for i, (name, rows, key) in enumerate((("Orders", X.load(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), "o_orderkey"), ("Parts", X.load(spark, sf_dir, "part").where("p_size < 25"), "p_partkey"), ("Suppliers", X.load(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0"), "s_suppkey")), 1):
+        tables[i] = (name, rows, [F.col(key).cast("string")])
+    values = []
+    for i, (name, rows, own) in tables.items():
+        records = rows.select(F.lit("d").alias("delivery"), F.lit(i).cast("bigint").alias("table_id"), F.lit(name).alias("table"), F.monotonically_increasing_id().alias("_ordinal"), *(c.alias(f"c{n}") for n, c in enumerate(own)))
+        values.append(J.key_values(records, links, len(own)))
+    found = N.key_value_findings(written(N.union(values), "keys"))
+    repeated = F.when(F.col("code") == str(K.KEY_DUPLICATE), F.size(F.split("expected", ", "))).otherwise(1)
+    target = F.when(F.col("code") == str(K.KEY_UNRESOLVED), F.col("expected")).otherwise("")
+    return N.union(found).groupBy("code", "value", "table", target.alias("target")).agg(F.sum(repeated).alias("n"))
+
+
 # Conformance
 
 _COLS = 'code, severity, _ordinal, column_index, "column", value, expected'
@@ -146,9 +196,11 @@ def check_max_length(spark, sf_dir):
     return found.select("_ordinal", F.length("value").cast("bigint").alias("length"))
 
 
-@query("check_minimal_quote", f"with {X.DEFECTIVE_SQL} select distinct code, value from f")
+@query("check_minimal_quote", f"with {X.DEFECTIVE_SQL} select code, _ordinal, column_index, value, true as only from f")
 def check_minimal_quote(spark, sf_dir):
-    return _findings(spark, sf_dir).select("code", "value").distinct()
+    """Every finding's value against the record it was found in."""
+    found = N.minimal_quotes(_findings(spark, sf_dir), X.orders_defective(spark, sf_dir), X.ORDERS)
+    return found.select("code", "_ordinal", "column_index", "value", "only")
 
 
 @query("check_order", f"with {X.DEFECTIVE_SQL} select code, _ordinal, column_index, row_number() over (order by _ordinal, column_index, code) as place from f")

@@ -60,6 +60,14 @@ def entries(spark: SparkSession, root: str) -> DataFrame:
     return listed.join(lengths, "file", "left").select(name.alias("name"), F.coalesce("length", F.lit(0).cast("bigint")).alias("length"), "file")
 
 
+_PATTERN = re.compile(r"([][{}*?\\])")
+
+
+def _literal(paths: str | list[str]) -> str | list[str]:
+    """Names of files as Spark's readers take them: one path may be a pattern, those of a list are names."""
+    return paths if isinstance(paths, str) else [_PATTERN.sub(r"\\\1", p) for p in paths]
+
+
 def _owners(rows: DataFrame) -> list[str]:
     return [c for c in OWNER if c in rows.columns]
 
@@ -67,7 +75,7 @@ def _owners(rows: DataFrame) -> list[str]:
 def _raw(spark: SparkSession, paths: str | list[str], delimiter: str, wide: bool) -> DataFrame:
     """The physical lines of files (path, block, at, value, bytes, size), where ``at`` orders the lines of one split."""
     reader = spark.read.option("lineSep", delimiter)
-    text = (reader.option("encoding", "UTF-16LE") if wide else reader).text(paths)
+    text = (reader.option("encoding", "UTF-16LE") if wide else reader).text(_literal(paths))
     mark = len(delimiter.encode("utf-16-le" if wide else "utf-8"))
     return text.select(
         plain_path(F.col("_metadata.file_path")).alias("path"),
@@ -179,11 +187,17 @@ def without_mark(value: Column, first: Column) -> Column:
     return F.when(first, F.regexp_replace(value, "^﻿", "")).otherwise(value)
 
 
+def _but(mark: str) -> str:
+    """A pattern of any characters up to a mark of one or more characters."""
+    return f"[^{re.escape(mark)}]*+" if len(mark) == 1 else f"(?:(?!{re.escape(mark)}).)*+"
+
+
 def _field(layout: Layout) -> tuple[str, str, str]:
     """Patterns of the rest of an encapsulated value, of any value, and of what follows one."""
     q, s = re.escape(layout.encapsulator), re.escape(layout.column_delimiter)
-    rest = f"[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}(?:(?!{s}).)*+"
-    value = f"(?:{q}{rest}|(?!{q})(?:(?!{s}).)*+)"
+    body, bare = _but(layout.encapsulator), _but(layout.column_delimiter)
+    rest = f"{body}(?:{q}{q}{body})*+{q}{bare}"
+    value = f"(?:{q}{rest}|(?!{q}){bare})"
     return rest, value, f"(?:{s}{value})*+"
 
 
@@ -318,14 +332,15 @@ def split_record(value: Column, layout: Layout) -> Column:
         return F.split(value, re.escape(layout.column_delimiter), -1)
     q, s = re.escape(layout.encapsulator), re.escape(layout.column_delimiter)
     rest, one, _ = _field(layout)
-    open_end = f"{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+\\z"
+    body = _but(layout.encapsulator)
+    open_end = f"{q}{body}(?:{q}{q}{body})*+\\z"
     found = F.regexp_extract_all(F.concat(F.lit(layout.column_delimiter), value), F.lit(f"(?s){s}({open_end}|{one})"), F.lit(1))
-    body = rf"(?s)\A{q}([^{q}]*+(?:{q}{q}[^{q}]*+)*+)(?:{q}(.*))?\z"
+    whole = rf"(?s)\A{q}({body}(?:{q}{q}{body})*+)(?:{q}(.*))?\z"
     twice = layout.encapsulator * 2
 
     def plain(v: Column) -> Column:
-        inner = F.replace(F.regexp_extract(v, body, 1), F.lit(twice), F.lit(layout.encapsulator))
-        return F.when(v.startswith(layout.encapsulator), F.concat(inner, F.regexp_extract(v, body, 2))).otherwise(v)
+        inner = F.replace(F.regexp_extract(v, whole, 1), F.lit(twice), F.lit(layout.encapsulator))
+        return F.when(v.startswith(layout.encapsulator), F.concat(inner, F.regexp_extract(v, whole, 2))).otherwise(v)
 
     return F.transform(found, plain)
 
@@ -375,8 +390,9 @@ def _undelimited(spark: SparkSession, paths: str | list[str], layout: Layout, ta
     A chunk is one cell, so a file of over 2 GB that holds no line feed cannot be read in this way."""
     chars = layout.codepage == "UTF8"
     width = layout.record_length * (2 if layout.codepage == "UTF16" else 1)
-    files = spark.read.format("binaryFile").load(paths).select(plain_path(F.col("_metadata.file_path")).alias("path"), "length").where("length > 0")
-    if not chars and not layout.skip_bytes and files.where(F.col("length") % width != 0).isEmpty():
+    files = spark.read.format("binaryFile").load(_literal(paths)).select(plain_path(F.col("_metadata.file_path")).alias("path"), "length").where("length > 0")
+    odd = not isinstance(paths, str) and any(_PATTERN.search(p) or "," in p for p in paths)  # the reader of binary records takes one pattern
+    if not chars and not layout.skip_bytes and not odd and files.where(F.col("length") % width != 0).isEmpty():
         files = written(files.withColumn("n", F.floor(F.col("length") / width)), "fixed-files")
         rows = _binary_records(spark, [r["path"] for r in files.select("path").collect()], width)  # one layout's files
         records = rows.select("path", "r", decoded(F.col("value"), layout).alias("value"))

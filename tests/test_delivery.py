@@ -202,8 +202,8 @@ def test_two_tables_of_one_name(spark, tmp_path):
 
 def test_tables_without_a_name_go_by_their_location(spark, tmp_path):
     """Their references resolve; one location declared twice is reported once, and is no repeated name."""
-    unnamed = [table("", "T", KEY), table("", "T", KEY + NUMBER_COLUMN), table("C", "c.csv", KEY + REFERENCE[0], REFERENCE[1].replace(">T<", ">p.csv<")), table("", "p.csv", KEY)]
-    delivery(tmp_path, unnamed, {"T": "x\n", "c.csv": "1;a\n2;b\n", "p.csv": "a\n"})
+    unnamed = [table("", "T", KEY), table("", "T", KEY + NUMBER_COLUMN), table("C", "c [1],{+}.csv", KEY + REFERENCE[0], REFERENCE[1].replace(">T<", ">p.csv<")), table("", "p.csv", KEY)]
+    delivery(tmp_path, unnamed, {"T": "x\n", "c [1],{+}.csv": "1;a\n2;b\n", "p.csv": "a\n"})
     assert told(validate(spark, str(tmp_path))) == [("3025", "", 0, "T"), ("4004", "T", 1, "1"), ("5003", "C", 2, "b")]
 
 

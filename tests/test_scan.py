@@ -117,6 +117,12 @@ def test_skipped_bytes_of_several_files(spark, tmp_path, skip):
         assert scanned(spark, tmp_path, replace(LAYOUT, record_delimiter="\r\n", skip_bytes=skip), block) == shaped(expected)
 
 
+def test_marks_of_several_characters(spark, tmp_path):
+    layout = replace(LAYOUT, encapsulator="<<", column_delimiter="||")
+    (tmp_path / "m.txt").write_text("a<b||<<x||y\n<<<<z<<||c\n<<q<<||<||<<<<\n")
+    assert scanned(spark, tmp_path / "m.txt", layout) == [["a<b", "x||y\n<<z", "c"], ["q", "<", ""]]
+
+
 @pytest.mark.parametrize("delimiter", ["\n", "\r\n"])
 @pytest.mark.parametrize("block", [None, 13])
 def test_utf16(spark, tmp_path, delimiter, block):
