@@ -109,6 +109,7 @@ class Aligner:
         self._spaced = tuple(np.array([t[:1] == b" " for t in side]) for side in (a, b))
         self._texts = tuple(tuple(_objects([b"%d%s" % (i, mark) for i in range(len(side))]) for mark in marks) for side, marks in ((a, (b",", b"|")), (b, (b",", b";"))))
         self._text_sizes = tuple(np.array([len(t) for t in texts[0]], np.int64) for texts in self._texts)
+        self._marks = tuple(mixed(np.arange(1, len(side) + 1, dtype=np.uint64)) for side in (a, b))
         self._windows: dict[tuple[bytes, bytes], Span] = {}
         self._older: dict[tuple[bytes, bytes], Span] = {}
         self._max_windows, self._max_bytes = max_windows, 4 * max_window
@@ -121,7 +122,7 @@ class Aligner:
         text = " " + text
         if len(text) > _LONG:
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self._fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self._fast.encode_ordinary(text), np.uint32)
 
     def second_ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(ids, np.uint32) for ids in self._pieces.encode(texts, num_threads=1)]
@@ -210,7 +211,7 @@ class Aligner:
         starts, other_starts = (_places(len(x), cuts + 1, bounds) for x, cuts, bounds in ((a, first[hit], begins[0]), (b, second[at[hit]], begins[1])))
         one, two = (starts[:-1], starts[1:]), (other_starts[:-1], other_starts[1:])
         # Windows of one hash are taken for one another only if their ids are the same.
-        marks = mixed(spans_hashed(mixed(a.astype(np.uint64) + np.uint64(1)), *one) * np.uint64(BASE) + spans_hashed(mixed(b.astype(np.uint64) + np.uint64(1)), *two))
+        marks = mixed(spans_hashed(self._marks[0][a], *one) * np.uint64(BASE) + spans_hashed(self._marks[1][b], *two))
         _, like, of = np.unique(marks, return_index=True, return_inverse=True)
         same = _alike(a, *one, like[of]) & _alike(b, *two, like[of])
         if not same.all():
