@@ -222,8 +222,10 @@ def test_one_exchange_of_lines(spark, tmp_path):
 FIXED = Layout("F", (Column("A", start=1, end=3), Column("B", start=4, end=7)), record_delimiter="", codepage="UTF8", record_length=7)
 
 
-@pytest.mark.parametrize("codepage, charset", [("UTF8", "utf-8"), ("ANSI", "cp1252"), ("UTF16", "utf-16-le")])
-@pytest.mark.parametrize("skip, tail", [(0, ""), (0, "zz"), (6, ""), (6, "\n")])
+@pytest.mark.parametrize(
+    "codepage, charset, skip, tail",
+    [("UTF8", "utf-8", 0, ""), ("UTF8", "utf-8", 0, "zz"), ("UTF8", "utf-8", 6, "\n"), ("ANSI", "cp1252", 0, ""), ("ANSI", "cp1252", 6, "zz"), ("UTF16", "utf-16-le", 0, "\n"), ("UTF16", "utf-16-le", 6, "")],
+)
 def test_fixed_over_many_splits(spark, tmp_path, codepage, charset, skip, tail):
     """Records that nothing but their length cuts, from several files in splits of a few bytes, line feeds in them."""
     rng = random.Random(3)
