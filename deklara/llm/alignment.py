@@ -151,27 +151,29 @@ class Aligner:
         surfaces = [b"".join(x.tolist()) for x in (self._bytes[0][a], self._bytes[1][b])]
         bounds = zip(ends[tokens[0] - 1].tolist(), stops[tokens[0] + tokens[1] - 1].tolist(), groups.tolist(), strict=True)
         packed, same, spans = links.tobytes(), surfaces[0] == surfaces[1], []
-        at, shown, n = 0, 0, 0
+        at, shown, n, made = 0, 0, 0, partial(tuple.__new__, Span)
         for end, stop, upto in bounds:
             surface = surfaces[0][at:end]
             fits = same or surface == surfaces[1][at:end]
-            spans.append(Span(surface if fits else None, packed[8 * n : 8 * upto], told[shown : stop - 1], upto - n))
+            spans.append(made((surface if fits else None, packed[8 * n : 8 * upto], told[shown : stop - 1], upto - n)))
             at, shown, n = end, stop, upto
         return spans
 
-    def _meet(self, keys: list[tuple[bytes, bytes]]) -> dict[tuple[bytes, bytes], Span]:
+    def _meet(self, keys: list[tuple[bytes, bytes]]) -> list[Span]:
         """Windows that are not among the latest: they are remembered with them.  When these are many they become the
         older ones, and what were the older ones are forgotten, so windows that come again and again stay."""
         found = list(map(self._older.get, keys))
         fresh = [k for k, w in zip(keys, found, strict=True) if w is None]
-        made = iter(self._align(fresh) if fresh else ())
-        known = dict(zip(keys, [next(made) if w is None else w for w in found], strict=True))
-        if len(self._windows) + len(known) > self._max_windows:
+        if fresh:
+            made = iter(self._align(fresh))
+            found = [next(made) if w is None else w for w in found]
+        if len(self._windows) + len(keys) > self._max_windows:
             self._older, self._windows = self._windows, {}
-        most = 2 * self._max_bytes
-        few = known.items() if len(known) <= self._max_windows else ()
-        self._windows.update([kw for kw in few if len(kw[0][0]) + len(kw[0][1]) <= most])
-        return known
+        if len(keys) <= self._max_windows:
+            self._windows.update(zip(keys, found, strict=True))
+            for key in [k for k in keys if len(k[0]) > self._max_bytes or len(k[1]) > self._max_bytes]:
+                del self._windows[key]
+        return found
 
     def documents(self, texts: list[str | None]) -> Iterator[Aligned]:
         """The alignments of texts; zeros and nothing as defined."""
@@ -191,7 +193,7 @@ class Aligner:
         if sized:
             spans, of, bounds = self._windowed([sides[i] for i in sized])
             surfaces, links, groups = (_objects([s[k] for s in spans]) for k in range(3))
-            fits, numbers = np.array([s.surface is not None for s in spans]), np.array([s.number for s in spans])
+            fits, numbers = np.array([s[0] is not None for s in spans]), np.array([s[3] for s in spans])
             for i, first, last in zip(sized, bounds[:-1], bounds[1:], strict=True):
                 own = of[first:last]
                 if fits[own].all() and b"".join(surfaces[own].tolist()) == wholes[i]:
@@ -223,8 +225,8 @@ class Aligner:
         spans = list(map(self._windows.get, keys))
         lost = [k for k, s in zip(keys, spans, strict=True) if s is None]
         if lost:
-            met = self._meet(lost)
-            spans = [met[k] if s is None else s for k, s in zip(keys, spans, strict=True)]
+            met = iter(self._meet(lost))
+            spans = [next(met) if s is None else s for s in spans]
         return spans, of, np.searchsorted(starts, begins[0]).tolist()
 
 
