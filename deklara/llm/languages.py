@@ -5,9 +5,10 @@ first rotated twice and the second once; a text is the bundle (sum) of its trigr
 prototype is the bundle of its documents, each scaled to length one.  A text is given the language
 whose prototype has the largest cosine with it.
 
-Texts are lower-cased; anything that is no letter is one blank, runs of blanks are one.  The letters
-a-z have a vector each, all other letters share ``SYMBOLS - 27`` vectors by their code point.  The
-trigrams of a batch are counted once per document and bundled by one matrix product.
+Texts are lower-cased; anything that is no letter is one blank, runs of blanks are one.  Every letter of
+every script has a vector of its own, drawn by a hash from its code point, so that none is stored.  The
+distinct trigrams of a block of texts are counted per text and bundled by one matrix product; a long
+text is bundled block by block.
 
 Learned from the texts and non-null languages of documents whose crc32(doc_id) modulo ``folds`` is
 not ``held``: about ``per_language`` documents of each language, by a hash of the id, or all if there
@@ -15,7 +16,8 @@ are fewer.  The number of languages is bounded by ``max_languages``.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is every
 text if no language was learned.  Equal cosines go to the first language in alphabetical order.
-Repeated rows each have their row.
+Repeated rows each have their row.  An empty table gives an empty result.  Further columns are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,73 +31,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deklara.llm.common import crc_fold, hash_share
+from deklara.llm.hashing import BASE, mixed
 
-SYMBOLS = 96
-#: Documents and letters whose trigrams are counted at once.
-_BLOCK_DOCS, _BLOCK_CHARS = 64, 400_000
+#: Texts and trigrams that are counted at once.
+_BLOCK_TEXTS, _BLOCK_TRIGRAMS = 64, 200_000
+#: Up to so many possible trigrams of a block their places are looked up in a table; beyond it they are sorted.
+_TABLE = 1 << 22
 
 
 @cache
-def _symbol_table() -> np.ndarray:
-    """Code point -> symbol: 0 for no letter, 1-26 for a-z, and a share of the rest for the others."""
-    table = np.zeros(0x110000, np.uint8)
-    for code in range(0x110000):
-        if chr(code).isalpha():
-            table[code] = 27 + (code * 0x9E3779B1 >> 7) % (SYMBOLS - 27)
-    table[97:123] = np.arange(1, 27)
-    return table
+def _is_letter() -> np.ndarray:
+    """Of every code point, whether it is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
 
-@cache
-def _letters(dimensions: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(20)).choice(np.array([-1, 1], np.int8), (SYMBOLS, dimensions))
-
+def letter_vectors(codes: np.ndarray, dimensions: int) -> np.ndarray:
+    """[codes, dimensions]: the vector of +1 and -1 of each code point, 0 standing for the blank."""
+    words = np.arange(-(-dimensions // 64), dtype=np.uint64) * np.uint64(BASE)
+    bits = mixed(mixed(codes.astype(np.uint64) + np.uint64(1))[:, None] + words)
+    return (np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1)[:, :dimensions].astype(np.int8) << 1) - np.int8(1)
 
-def _bound(trigrams: np.ndarray, dimensions: int) -> np.ndarray:
-    """The vectors of trigram numbers."""
-    letters = _letters(dimensions)
-    a, b, c = trigrams // SYMBOLS**2, trigrams // SYMBOLS % SYMBOLS, trigrams % SYMBOLS
-    return (np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]).astype(np.float32)
 
-
-def trigrams(text: str | None) -> np.ndarray:
-    """Trigram numbers of one text, one for each place; empty if it has no letter."""
+def letters(text: str | None) -> np.ndarray:
+    """The code points of a text's letters in lower case, 0 for what stands between them and at both ends."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-    symbols = np.concatenate(([0], _symbol_table()[codes], [0])).astype(np.int32)
-    symbols = symbols[(symbols > 0) | (np.concatenate(([1], symbols[:-1])) > 0)]
-    if len(symbols) < 3:
-        return np.empty(0, np.int32)
-    return (symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:]
+    codes = np.concatenate(([0], np.where(_is_letter()[codes], codes, 0), [0])).astype(np.int32)
+    return codes[(codes > 0) | (np.concatenate(([1], codes[:-1])) > 0)]
+
+
+def _bundle(parts: list[np.ndarray], dimensions: int) -> np.ndarray:
+    """The sums of the trigram vectors of each part, a run of letters."""
+    joined = np.concatenate(parts)
+    seen = np.zeros(0x110000, bool)
+    seen[joined] = True
+    codes = np.flatnonzero(seen)
+    place = np.zeros(0x110000, np.int64)
+    place[codes] = np.arange(len(codes))
+    n = len(codes)
+    runs = [place[p] for p in parts]
+    numbers = np.concatenate([(r[:-2] * n + r[1:-1]) * n + r[2:] for r in runs])
+    if n**3 <= _TABLE:
+        used = np.zeros(n**3, bool)
+        used[numbers] = True
+        distinct = np.flatnonzero(used)
+        at = np.empty(n**3, np.int32)
+        at[distinct] = np.arange(len(distinct))
+        at = at[numbers]
+    else:
+        distinct, at = np.unique(numbers, return_inverse=True)
+    cells = np.repeat(np.arange(len(parts)), [len(p) - 2 for p in parts]) * len(distinct) + at
+    counts = np.bincount(cells, minlength=len(parts) * len(distinct)).astype(np.float32).reshape(len(parts), -1)
+    vectors = letter_vectors(codes, dimensions)
+    first, second, out = np.roll(vectors, 2, axis=1), np.roll(vectors, 1, axis=1), np.zeros((len(parts), dimensions), np.float32)
+    for k in range(0, len(distinct), 4096):
+        some = distinct[k : k + 4096]
+        bound = first[some // n**2] * second[some // n % n] * vectors[some % n]
+        out += counts[:, k : k + 4096] @ bound.astype(np.float32)
+    return out
 
 
 def bundles(texts: list[str | None], dimensions: int) -> np.ndarray:
     """[texts, dimensions]: the sum of each text's trigram vectors."""
     out = np.zeros((len(texts), dimensions), np.float32)
-    block: list[np.ndarray] = []
-    first = 0
-
-    def bundle() -> None:
-        lengths = [len(t) for t in block]
-        joined = np.concatenate(block)
-        used = np.zeros(SYMBOLS**3, bool)
-        used[joined] = True
-        distinct = np.flatnonzero(used)
-        at = np.empty(SYMBOLS**3, np.int32)
-        at[distinct] = np.arange(len(distinct))
-        cells = np.repeat(np.arange(len(block)), lengths) * len(distinct) + at[joined]
-        counts = np.bincount(cells, minlength=len(block) * len(distinct)).astype(np.float32)
-        for k in range(0, len(distinct), 4096):
-            part = counts.reshape(len(block), -1)[:, k : k + 4096]
-            out[first : first + len(block)] += part @ _bound(distinct[k : k + 4096], dimensions)
-
-    chars = 0
-    for i, text in enumerate(texts):
-        block.append(trigrams(text))
-        chars += len(block[-1])
-        if len(block) == _BLOCK_DOCS or chars >= _BLOCK_CHARS or i + 1 == len(texts):
-            if chars:
-                bundle()
-            first, block, chars = i + 1, [], 0
+    rows: list[int] = []
+    parts: list[np.ndarray] = []
+    size = 0
+
+    def close() -> None:
+        nonlocal size
+        if parts:
+            np.add.at(out, rows, _bundle(parts, dimensions))
+        rows.clear()
+        parts.clear()
+        size = 0
+
+    for row, text in enumerate(texts):
+        own = letters(text)
+        for at in range(0, len(own) - 2, _BLOCK_TRIGRAMS):
+            rows.append(row)
+            parts.append(own[at : at + _BLOCK_TRIGRAMS + 2])
+            size += len(parts[-1])
+            if len(parts) >= _BLOCK_TEXTS or size >= _BLOCK_TRIGRAMS:
+                close()
+    close()
     return out
 
 

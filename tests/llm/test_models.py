@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -109,14 +110,62 @@ def test_languages(spark):
 
 
 def test_bundles_are_sums_of_bound_letters():
-    letters = languages._letters(64)
-    a, b, blank = letters[1].astype(int), letters[2].astype(int), letters[0].astype(int)
+    a, b, blank = languages.letter_vectors(np.array([97, 98, 0]), 64).astype(int)
     bind = lambda x, y, z: np.roll(x, 2) * np.roll(y, 1) * z
     expected = bind(blank, a, b) + bind(a, b, blank)
     assert (languages.bundles(["AB"], 64)[0] == expected).all()
     assert (languages.bundles(["ab", "1 2", "ab  ab"], 64)[1] == 0).all()
 
 
+def test_letters_of_all_scripts_have_vectors_of_their_own():
+    codes = np.array([c for c in range(0x110000) if chr(c).isalpha()][::7])
+    assert len(np.unique(np.packbits(languages.letter_vectors(codes, 128) > 0, axis=1), axis=0)) == len(codes)
+
+
+def test_languages_against_brute_force(spark):
+    """Predictions and scores by plain sums over each place of a text, in scripts of many and of few letters."""
+    rng = random.Random(8)
+    scripts = {"aa": "abcde fgh", "el": "αβγδ εζη", "zh": [chr(c) for c in range(0x4E00, 0x5200)], "xx": "abαβ 中文"}
+    make = lambda lang, n: "".join(rng.choice(scripts[lang]) for _ in range(n))
+    rows = [(i, make(lang, rng.choice([0, 1, 5, 40, 300])), lang) for i, lang in enumerate([*scripts] * 30)]
+    rows += [(500, make("zh", 3000) * 150, "zh"), (501, None, "aa"), (502, "12 3", None), (502, "ÀB", None), (None, "abc", "el")]
+    vector = cache(lambda c: languages.letter_vectors(np.array([c]), 256)[0].astype(float))
+    known = {}
+
+    def plain(text):
+        letters = [0]
+        for c in (text or "").lower() + " ":
+            if c.isalpha() or letters[-1]:
+                letters.append(ord(c) if c.isalpha() else 0)
+        total = np.zeros(256)
+        for x, y, z in zip(letters, letters[1:], letters[2:]):
+            if (x, y, z) not in known:
+                known[x, y, z] = np.roll(vector(x), 2) * np.roll(vector(y), 1) * vector(z)
+            total += known[x, y, z]
+        return total
+
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    sums = [plain(t) for _, t, _ in rows]
+    learned = {}
+    for (i, text, lang), v in zip(rows, sums, strict=True):
+        if i is not None and lang and text is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            learned[lang] = learned.get(lang, 0) + unit(v)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("score", F.lit("x"))
+    langs, prototypes = languages.fit(docs, dimensions=256)
+    assert langs == sorted(learned)
+    got = sorted((r["doc_id"] or -1, r["lang_pred"], r["score"]) for r in languages.identify(docs, langs, prototypes).collect())
+    expected = []
+    for (i, _, _), v in zip(rows, sums, strict=True):
+        cosines = {lang: float(unit(v) @ unit(learned[lang])) for lang in langs}
+        best = max(langs, key=cosines.get)
+        expected.append((i or -1, best, max(0, cosines[best])) if v.any() else (i or -1, "und", 0.0))
+    for g, e in zip(got, sorted(expected), strict=True):
+        assert g[:2] == e[:2] and abs(g[2] - e[2]) < 1e-4
+    nothing = languages.fit(docs.limit(0))
+    assert nothing[0] == [] and languages.identify(docs.limit(0), langs, prototypes).count() == 0
+    assert {r["lang_pred"] for r in languages.identify(docs, *nothing).collect()} == {"und"}
+
+
 def test_non_negative_risk_finds_hidden_positives():
     rng = np.random.default_rng(3)
     make = lambda n, toxic: (rng.random((n, 30)) < np.where(np.arange(30) < 5, 0.5 if toxic else 0.01, 0.2)).astype(np.float32)
