@@ -9,10 +9,16 @@ look their own pieces up in it by binary search.
 Reduction.  Take the largest size ``w`` and the room ``r = capacity - w`` it leaves.  Let ``k`` be
 the largest size present that fits into ``r``.  The set {w, k} dominates every other set with w
 if no two or more pieces that fit into ``r`` together exceed ``k`` (``k = r`` included): in any
-packing those pieces and k can change places.  Such sets are fixed for good, as often as both
-sizes last, and the instance shrinks.  Whether two or more pieces can exceed ``k`` is decided on a
-bit set of reachable sums with unlimited copies, a superset of the true sums, so what it proves
-holds.
+packing those pieces and k can change places.  Where no three pieces fit into ``r``, let ``b`` be the
+largest size that fits beside ``k``: {w, k, b} dominates if two pieces that both exceed ``b`` and fit into
+``r`` never exceed ``k`` together, as of any other two the smaller takes b's place and the larger
+k's.  Such sets are fixed for good, as often as their sizes last, and the instance shrinks.  What sums
+pieces can have is decided on bit sets of reachable sums with unlimited copies, supersets of the true
+sums, so what it proves holds.
+
+Ranks.  The task that cuts a document numbers its pieces of each size, and its pieces are written with
+these numbers and the task's.  Counts by task and size, added up along the tasks, make them ranks among
+all pieces of a size.  So no size, however frequent, is ever gathered or sorted.
 
 Defined results: a null or empty text is one piece of the end id alone.  Repeated rows are packed
 each on their own.  An empty table gives an empty result.  A null doc_id is kept as null.
@@ -21,12 +27,13 @@ each on their own.  An empty table gives an empty result.  A null doc_id is kept
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,26 +44,30 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
-    """One row per piece: the document's ids and the end id, cut only where over ``capacity``."""
+    """One row per piece: the document's ids and the end id, cut only where over ``capacity``.  ``part`` is the
+    number of the task and ``own`` the piece's among those of its size there: write them once, and read them."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        partial(_cut, tokenizer_path, capacity, end_id), PIECES
+        partial(_cut, tokenizer_path, capacity, end_id), f"{PIECES}, part bigint, own bigint"
     )
 
 
 def _cut(path: str, capacity: int, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, end, width = WordIds(path, stems=True), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+    part, seen = TaskContext.get().partitionId(), Counter()
     for batch in batches:
         rows: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids = words.of(text.as_py()) + end
             for piece, at in enumerate(range(0, len(ids), width)):
                 own = ids[at : at + width]
-                rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                size = len(own) // 4
+                rows.append((doc_id, piece, at // 4, size, zlib.crc32(own), part, seen[size]))
+                seen[size] += 1
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            names=["doc_id", "piece", "start", "length", "ids_crc32"],
+            names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "own"],
         )
 
 
@@ -83,6 +94,20 @@ def _largest(bits: int, limit: int) -> int:
     return max(0, (bits & ((1 << (limit + 1)) - 1)).bit_length() - 1) if limit > 0 else 0
 
 
+def _third(left: dict[int, int], w: int, k: int, room: int) -> int:
+    """The size that with ``w`` and ``k`` dominates all sets with ``w``, of which no other piece leaves more than
+    ``room``; 0 if none is proved to."""
+    if 3 * min(left) <= room:
+        return 0
+    used = Counter((w, k))
+    b = max((s for s, n in left.items() if s <= room - k and n > used[s]), default=0)
+    over = [s for s in left if b < s <= room]
+    present, pairs = sum(1 << s for s in over), 0
+    for s in over:
+        pairs |= present << s
+    return b if _largest(pairs, room) <= k else 0
+
+
 def dominance_reduction(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Sets fixed for good, each with how often, and what remains of ``counts``."""
     left, fixed, changed = {s: n for s, n in counts.items() if n > 0}, [], True
@@ -94,12 +119,17 @@ def dominance_reduction(counts: dict[int, int], capacity: int) -> tuple[list[tup
             while left.get(w):
                 others = present if left[w] > 1 else present & ~(1 << w)
                 k = _largest(others, capacity - w)
+                content = (w, k) if k else (w,)
                 if k and _largest(several, capacity - w) > k:
-                    break
-                times = left[w] if not k else left[w] // 2 if k == w else min(left[w], left[k])
-                fixed.append(((w, k) if k else (w,), times))
-                for s in (w, k) if k else (w,):
-                    left[s] -= times
+                    b = _third(left, w, k, capacity - w)
+                    if not b:
+                        break
+                    content = (w, k, b)
+                needed = Counter(content)
+                times = min(left[s] // n for s, n in needed.items())
+                fixed.append((content, times))
+                for s, n in needed.items():
+                    left[s] -= times * n
                     if not left[s]:
                         del left[s]
                         present &= ~(1 << s)
@@ -174,30 +204,20 @@ def _place(runs: dict[int, np.ndarray], batches: Iterator[pa.RecordBatch]) -> It
         )
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with the sequence and the place each one gets.
 
-    Ranks within a size are counted in ``salts`` parts per size, so that a size that a third of
-    all pieces share is never one task's.  What goes to the driver and what is broadcast are
-    counts by size, and by size and part: at most ``capacity * salts`` numbers for any input.
+    What goes to the driver are counts by size, at most ``capacity`` numbers for any input.  Counts by task and
+    size are joined; Spark broadcasts them if their table is small.
     """
     spark = docs.sparkSession
     pieces, _ = materialise(cut_documents(docs, tokenizer_path, capacity), "pieces")
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("part")
-    counts = pieces.groupBy("length", part).count()
-    counts, path = materialise(counts, "piece-counts")
+    counts, path = materialise(pieces.groupBy("part", "length").count(), "piece-counts")
     runs = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = spark.createDataFrame(
-        counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")).collect(),
-        "length bigint, part bigint, first bigint",
-    )
+    firsts, _ = materialise(counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")), "first-ranks")
     remove(spark, path)
-    own = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
-    ranked = (
-        pieces.withColumn("part", part)
-        .withColumn("own", F.row_number().over(own))
-        .join(F.broadcast(starts), ["length", "part"])
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("own") - 1).alias("rank"))
+    ranked = pieces.join(firsts, ["part", "length"]).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("own")).alias("rank")
     )
     return ranked.mapInArrow(partial(_place, runs), f"{PIECES}, sequence_id bigint, offset bigint")

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -110,11 +111,27 @@ def test_reduction_keeps_an_optimum():
         assert total == counts
 
 
+def test_reduction_fixes_three_pieces():
+    assert packing.dominance_reduction({12: 2, 5: 2, 3: 2}, 20) == ([((12, 5, 3), 2)], {})
+    # Two of 4 exceed 5 together, and both exceed 3: nothing is proved of 12 there.
+    assert packing.dominance_reduction({12: 1, 5: 1, 4: 2, 3: 1}, 20)[0] == []
+    found, rng = 0, random.Random(9)
+    for _ in range(150):
+        sizes = [rng.randint(4, 16) for _ in range(8)]
+        counts = {s: sizes.count(s) for s in sizes}
+        fixed, left = packing.dominance_reduction(counts, 20)
+        found += any(len(content) == 3 for content, _ in fixed)
+        rest = sorted((s for s, n in left.items() for _ in range(n)), reverse=True)
+        assert sum(n for _, n in fixed) + best(rest, 20) == best(sorted(sizes, reverse=True), 20)
+    assert found
+
+
 def test_packing_is_gapless_and_whole(spark):
     rng = random.Random(4)
     rows = EDGE + [(100 + i, " ".join(rng.choice(["alpha", "beta,", "gamma."]) for _ in range(rng.randint(0, 900)))) for i in range(80)]
     path = public_tokenizers.path("word_bpe_49k.json")
-    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), path, 512, 4).collect()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).withColumn("part", F.lit("x")).withColumn("own", F.lit(1))
+    got = packing.pack(docs, path, 512).collect()
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
