@@ -20,12 +20,14 @@ first, two sets that share ``n`` of their ``a`` and ``b`` shingles have one in c
 and ``b - n + 1``.  The much changed members of a large group of copies, whose rare shingles are their own, so
 meet none of it, and nothing that could be linked is left out.
 
-Texts with equal sets are one class and one node; copies are never expanded into pairs.
-
-Defined results: null, empty and blank texts have an empty set, no link, and stand alone.  Repeated
-rows are rows of one document; of different texts under one doc_id one takes part, and the others
-are linked to their exact copies alone.  Rows with a null doc_id join their class but give no class its
-name; a class of only such rows is linked to nothing.  An empty table gives an empty result.
+Texts with equal sets are one class and one node, whatever their ids; copies are never expanded into pairs.
+Nodes are numbered when the classes are written, so that no two can be taken for one another.
+
+Defined results: null, empty and blank texts have an empty set, no link, and stand alone.  Rows are linked by
+their own texts: of different texts under one doc_id each takes part, and rows without a doc_id like
+others.  A group is named by its smallest doc_id; one of rows without any has a null component_id, and its
+rows count as kept (``near_duplicate_stage`` of the pipeline keeps one).  Two groups may have one name if a doc_id
+has unlike texts.  An empty table gives an empty result.  Further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -270,7 +272,7 @@ def possible_pairs(shingles: DataFrame, nodes: DataFrame, percent: int) -> tuple
 
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 64, rows: int = 5, marks: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and with ``marks`` the
-    hash of the text, ``mark``, and the name of the class, ``digest``.
+    hash of the text, ``mark``, and the number of the row's group, ``group`` (null for an empty set).
 
     ``component_id`` is the smallest doc_id that links reach; ``kept`` says that it is the row's own.
     ``bands * rows`` must divide by 8.
@@ -284,19 +286,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 64, rows: i
         ),
         "sketches",
     )
-    named = sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
-    named, named_path = materialise(named.select("digest", F.col("first.doc_id").alias("node"), F.col("first.mark").alias("mark")), "classes")
-    # Of classes with one name the one with the smallest digest takes part.
-    taking, taking_path = materialise(named.groupBy("node").agg(F.min(F.struct("digest", "mark")).alias("own")).select("node", "own.*"), "names")
-    chosen = (sketches["digest"] == taking["digest"]) & (sketches["doc_id"] == taking["node"]) & (sketches["mark"] == taking["mark"])
-    nodes = sketches.join(taking, chosen)
-    nodes, nodes_path = materialise(nodes.select("node", taking["mark"], "sketch", "keys").dropDuplicates(["node"]), "nodes")
-    paths = [sketches_path, named_path, taking_path, nodes_path]
+    # One row stands for its class: where there is one with an id, the one with the smallest.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("first")
+    classes = sketches.where("digest is not null").groupBy("digest").agg(first)
+    classes = classes.select("digest", "first.doc_id", "first.mark", F.monotonically_increasing_id().alias("node"))
+    classes, classes_path = materialise(classes, "classes")
+    chosen = (sketches["digest"] == classes["digest"]) & sketches["doc_id"].eqNullSafe(classes["doc_id"]) & (sketches["mark"] == classes["mark"])
+    nodes = sketches.join(classes, chosen).select("node", classes["doc_id"], classes["mark"], "sketch", "keys")
+    nodes, nodes_path = materialise(nodes.dropDuplicates(["node"]), "nodes")
+    paths = [classes_path, nodes_path]
 
     def rule_for(candidates: DataFrame) -> linkage.Rule:
-        own, own_path = materialise(nodes.join(candidates, "node", "left_semi").select("node", "mark", "sketch"), "candidates")
-        wanted = own.select(F.col("node").alias("doc_id"), "mark")
-        texts, texts_path = materialise(docs.join(wanted, ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]), "texts")
+        own, own_path = materialise(nodes.join(candidates, "node", "left_semi").select("node", "doc_id", "mark", "sketch"), "candidates")
+        wanted = own.select("node", F.col("doc_id").alias("at"), F.col("mark").alias("marked"))
+        found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["at"]) & (docs["mark"] == wanted["marked"]))
+        texts, texts_path = materialise(found.select("node", "text").dropDuplicates(["node"]), "texts")
         paths.extend([own_path, texts_path])
 
         def verify(pairs: DataFrame) -> DataFrame:
@@ -319,17 +323,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 64, rows: i
         return linkage.Rule(verify, rest)
 
     members = linkage.groups(nodes.select("node", F.explode("keys").alias("key")), rule_for)
-    joined = taking.select("digest", "node").join(members, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("group"))
+    joined = classes.join(members, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("group"))
     joined, joined_path = materialise(joined, "grouped")
-    smallest, smallest_path = materialise(joined.groupBy("group").agg(F.min("node").alias("component")), "smallest")
-    components = joined.join(smallest, "group").select("digest", "component")
-    classes = named.join(components, "digest", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    classes, classes_path = materialise(classes, "components")
+    smallest, smallest_path = materialise(joined.groupBy("group").agg(F.min("doc_id").alias("component")), "smallest")
+    named, _ = materialise(joined.join(smallest, "group").select("digest", "group", "component"), "components")
     result = (
         sketches.select("doc_id", "n_shingles", "mark", "digest")
-        .join(classes, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *(["mark", "digest"] if marks else []))
+        .join(named, "digest", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *(["mark", "group"] if marks else []))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
-    remove(spark, *(path for path in [*paths, joined_path, smallest_path] if path != sketches_path))
+    remove(spark, *paths, joined_path, smallest_path)
     return result

@@ -66,6 +66,37 @@ def test_near_duplicates_against_brute_force(spark):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_repeated_and_missing_ids_lose_no_link(spark):
+    """Rows are linked by their own texts, whatever their ids; the pipeline keeps one row of each group."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(6))
+    texts = [[word() for _ in range(60)] for _ in range(14)]
+    near = lambda t: " ".join([*t[:-1], word()])
+    a, b, c, d = (" ".join(t) for t in texts[:4])
+    rows = [(1, a), (1, b), (2, near(texts[1])), (None, c), (None, near(texts[2])), (None, c), (None, d), (7, near(texts[3])), (8, near(texts[3]))]
+    rows += [(None, None), (None, " "), (4, ""), (4, "")]
+    for i, t in enumerate(texts[4:]):
+        rows += [(rng.choice([None, 20 + i, 40, 41]), near(t) if rng.random() < 0.7 else " ".join(t)) for _ in range(4)]
+    sets = [shingles(t) for _, t in rows]
+    linked = [(x, y) for x in range(len(rows)) for y in range(x) if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])]
+    group = components(range(len(rows)), linked)
+    name = {g: min((rows[x][0] for x in group if group[x] == g and rows[x][0] is not None), default=None) for g in group.values()}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("group", F.lit("x")).withColumn("node", F.lit(1))
+    got = minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    order = lambda rows: sorted([tuple(-1 if v is None else v for v in r) for r in rows])
+    assert order(got) == order([(rows[x][0], len(sets[x]), name[group[x]]) for x in range(len(rows))])
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    texts_of = [set() for _ in rows]
+    for x, (_, t) in enumerate(rows):
+        texts_of[group[x]].add(t)
+    stay = [[r for r in kept if r["text"] in own] for own in texts_of if own - {None, "", " "}]
+    assert [len(own) for own in stay] == [1] * len(stay)
+    assert sorted(str(r["text"]) for r in kept if not (r["text"] or "").strip()) == ["", " ", "None"]
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_empty_table_and_extra_columns(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, node string, key int")
     assert minhash.near_duplicates(empty).count() == 0
