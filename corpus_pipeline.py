@@ -35,15 +35,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; rows that repeat its id and text are the same document.
-    Rows without an id repeat each other if their sets of shingles are equal; those with an empty set all stay."""
-    found, path = materialise(minhash.near_duplicates(docs, marks=True).where("kept").select("doc_id", "mark", "digest"), "kept")
-    named = found.where("doc_id is not null").select("doc_id", "mark")
-    # Of a class without a name one text stays; the mark tells which.
-    unnamed = found.where("doc_id is null and digest is not null").groupBy("digest").agg(F.min("mark").alias("mark"))
-    unnamed = found.where("doc_id is null").join(unnamed, ["digest", "mark"], "left_semi").select("doc_id", "mark")
-    staying = named.unionByName(unnamed).groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
-    staying, staying_path = materialise(staying.select(F.col("doc_id").alias("at"), F.col("mark").alias("marked"), "n"), "staying")
+    """One document of each group of near copies stays, with or without an id; rows that repeat its id and text are
+    the same document.  Those with an empty set all stay, but for such repeats of one id."""
+    found, path = materialise(minhash.near_duplicates(docs, marks=True).where("kept").select("doc_id", "mark", "group"), "kept")
+    counted = found.groupBy("group", "doc_id", "mark").agg(F.count("*").alias("n"))
+    grouped = counted.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "mark", "n")).alias("first")).select("first.*")
+    blank = counted.where("group is null and doc_id is not null").select("doc_id", "mark", "n")
+    staying = grouped.unionByName(blank).select(F.col("doc_id").alias("at"), F.col("mark").alias("marked"), "n")
+    staying, _ = materialise(staying, "staying")
     remove(spark, path)
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("mark"), row_of(docs))
     kept = keyed.join(staying, keyed["id"].eqNullSafe(staying["at"]) & (keyed["mark"] == staying["marked"]))
