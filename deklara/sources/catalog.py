@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from deklara.layout import DATE, DEFAULT_DATE_MASK, DEFAULT_EPOCH, NUMBER, TEXT, Column, ForeignKey, Layout
 from deklara.operators.lint import KEY, TABLE, normal_path
+from deklara.tables import written
 
 # The elements that name a codepage.
 CODEPAGES = ("ANSI", "Macintosh", "OEM", "UTF16", "UTF7", "UTF8")
@@ -51,8 +52,9 @@ _OF_COLUMN = ["pos", "name", "kind", "is_pk", "mask", "span_from", "span_to", "a
 def catalog(texts: DataFrame) -> dict[str, DataFrame]:
     """The catalog tables of descriptions (delivery, value), one XML text each.
 
+    Each text is parsed once, for all tables, and dealt to all tasks before: parsing takes longer than reading it.
     Key columns come before the others by the format, so the two lists joined are the declared order."""
-    data = texts.select("delivery", F.from_xml("value", DESCRIPTION).alias("d"))
+    data = written(texts.repartition("delivery").select("delivery", F.from_xml("value", DESCRIPTION).alias("d")), "descriptions")
     media = data.select("delivery", F.posexplode("d.Media").alias("medium_id", "m"))
     placed = media.select("delivery", "medium_id", F.col("m.Name").alias("medium"), F.posexplode("m.Table").alias("table_pos", "t"))
     v, x, t = F.col("t.VariableLength"), F.col("t.FixedLength"), F.col("t")
