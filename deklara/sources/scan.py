@@ -5,7 +5,8 @@ encapsulated value does not end a record, so lines must be stitched; whether a l
 a value depends on all lines before it, but only through one bit.  A line is a function of that bit, told
 by two patterns: where it ends if entered outside, and if entered inside a value.  Functions compose.
 
-Lines are shuffled once, by split.  There each gets what it is under either bit of its split's begin: whether it is
+Lines are shuffled once, by pieces of splits, which are some thousand lines each and called splits from here on.  There each
+gets what it is under either bit of its split's begin: whether it is
 inside a value, how many records begin up to it, and where its own record begins.  So they are written.  A split is then one
 row: where it ends under either bit, its lines, bytes and records.  Going through these rows in order gives each split's
 own bit and the numbers that it begins at; joined with the written lines they make the records' numbers.  Only rows of splits
@@ -36,6 +37,9 @@ _UPPER = bytes(range(128, 256))
 OWNER = ["delivery", "table_id", "table"]
 #: Bytes of a record beyond which it is kept in parts.
 RECORD_BYTES = 16 << 20
+#: A split is taken in pieces of 2 ** PIECE lines, so that no task holds a split's lines at once.  A piece is known by its
+#: split's first byte and its number in one ``block``; a split has fewer than 2 ** 33 lines.
+PIECE = 14
 
 
 def _upper(codepage: str) -> tuple[str, str]:
@@ -73,14 +77,16 @@ def _owners(rows: DataFrame) -> list[str]:
 
 
 def _raw(spark: SparkSession, paths: str | list[str], delimiter: str, wide: bool) -> DataFrame:
-    """The physical lines of files (path, block, at, value, bytes, size), where ``at`` orders the lines of one split."""
+    """The physical lines of files (path, block, at, value, bytes, size), where ``block`` is a piece of a split and ``at``
+    orders its lines.  The path is as the source has it: ``plain_path`` is for fewer rows than lines."""
     reader = spark.read.option("lineSep", delimiter)
     text = (reader.option("encoding", "UTF-16LE") if wide else reader).text(_literal(paths))
     mark = len(delimiter.encode("utf-16-le" if wide else "utf-8"))
+    text = text.withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROWS)))
     return text.select(
-        plain_path(F.col("_metadata.file_path")).alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit(_ROWS)).alias("at"),
+        F.col("_metadata.file_path").alias("path"),
+        (F.shiftleft("_metadata.file_block_start", 33 - PIECE) + F.shiftright("at", PIECE)).alias("block"),
+        "at",
         F.col("value").cast("binary").alias("value"),
         (F.octet_length("value") + mark).cast("bigint").alias("bytes"),
         F.col("_metadata.file_size").alias("size"),
@@ -92,23 +98,23 @@ def _delimiter(layout: Layout) -> bytes:
 
 
 def _split() -> WindowSpec:
-    """The lines of a split in order."""
+    """The lines of a piece of a split in order."""
     return Window.partitionBy("path", "block").orderBy("at")
 
 
 def _earlier() -> WindowSpec:
-    """The split's lines before this one."""
+    """The piece's lines before this one."""
     return _split().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _file() -> WindowSpec:
-    """The file's splits before this one."""
+    """The file's pieces before this one."""
     return Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _placed(rows: DataFrame, units: Column | None = None) -> DataFrame:
     """Lines with the byte of the file that they begin at (``from``).  What lies before a split comes from a pass over
-    the files that keeps one row for each split."""
+    the files that keeps one row for each piece."""
     amount = F.col("bytes") if units is None else units
     blocks = rows.groupBy("path", "block").agg(F.sum(amount).alias("n"))
     blocks = written(blocks.select("path", "block", F.coalesce(F.sum("n").over(_file()), F.lit(0)).alias("before")), "split-bytes")
@@ -258,12 +264,13 @@ def _splits(raw: DataFrame, tables: DataFrame | None) -> DataFrame:
     splits = splits.withColumn("entry", entry.cast("int")).withColumn("before", F.coalesce(F.sum("bytes").over(_file()), F.lit(0)))
     splits = splits.withColumn("starts", _by_bit("starts0", "starts1", F.col("entry"))).withColumn("head", F.col("before") + _by_bit("head0", "head1", F.col("entry")))
     splits = splits.withColumn("total", F.sum("bytes").over(Window.partitionBy("path"))).withColumn("earlier_head", F.max("head").over(_file()))
+    splits = splits.withColumn("file", plain_path(F.col("path")))
     if tables is not None:  # a file that two tables declare is read for both
-        splits = splits.join(tables.select(F.col("file").alias("path"), *OWNER), "path")
+        splits = splits.join(tables.select("file", *OWNER), "file")
     who = [c for c in OWNER[:2] if c in splits.columns]
-    table = Window.partitionBy(*who).orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    table = Window.partitionBy(*who).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
     return splits.select(
-        "path", "block", *_owners(splits), "entry", "before", (F.col("total") == F.col("size")).alias("ends"), "total", "earlier_head",
+        "path", "block", "file", *_owners(splits), "entry", "before", (F.col("total") == F.col("size")).alias("ends"), "total", "earlier_head",
         F.coalesce(F.sum("n").over(table), F.lit(0)).alias("first_line"), F.coalesce(F.sum("starts").over(table), F.lit(0)).alias("first_record"),
     )
 
@@ -277,7 +284,7 @@ def numbered_lines(raw: DataFrame, layout: Layout, tables: DataFrame | None = No
     pick = lambda name: _by_bit(f"{name}0", f"{name}1", F.col("entry"))
     at = F.col("before") + F.col("within")
     return rows.select(
-        *_owners(rows), "path", (F.col("first_record") + pick("starts")).alias("record"), (F.col("first_line") + F.col("n")).alias("line"),
+        *_owners(rows), F.col("file").alias("path"), (F.col("first_record") + pick("starts")).alias("record"), (F.col("first_line") + F.col("n")).alias("line"),
         (pick("in") == 1).alias("inside"), (pick("out") == 1).alias("leaves"), "ends", (at + F.col("bytes") >= F.col("total")).alias("final"),
         (at - F.coalesce(F.col("before") + pick("head"), F.col("earlier_head"), F.lit(0))).alias("offset"), "bytes", "value",
     )
@@ -385,9 +392,10 @@ def _undelimited(spark: SparkSession, paths: str | list[str], layout: Layout, ta
     """Records (_ordinal, value) of files that nothing but the declared length cuts.
 
     Characters of one width: if the records' bytes divide every file, Spark's reader of binary records takes them, split by
-    split, and a record's number follows from its place.  Else the text source ends chunks at line feeds, which are characters
-    like others; how many bytes (of UTF-8: characters) lie before a chunk tells which records it holds parts of.
-    A chunk is one cell, so a file of over 2 GB that holds no line feed cannot be read in this way."""
+    split, and a record's number follows from its place.  Else the text source ends lines at line feeds, which are characters
+    like others; the lines of a piece are put together again to one chunk, and how many bytes (of UTF-8: characters) lie
+    before a chunk tells which records it holds parts of.
+    A line is one cell, so a file of over 2 GB that holds no line feed cannot be read in this way."""
     chars = layout.codepage == "UTF8"
     width = layout.record_length * (2 if layout.codepage == "UTF16" else 1)
     files = spark.read.format("binaryFile").load(_literal(paths)).select(plain_path(F.col("_metadata.file_path")).alias("path"), "length").where("length > 0")
@@ -397,7 +405,7 @@ def _undelimited(spark: SparkSession, paths: str | list[str], layout: Layout, ta
         rows = _binary_records(spark, [r["path"] for r in files.select("path").collect()], width)  # one layout's files
         records = rows.select("path", "r", decoded(F.col("value"), layout).alias("value"))
         return _by_file(records, files, tables)
-    raw = _raw(spark, paths, "\n", False)
+    raw = _chunks(spark, paths)
     # The line feed is a byte like any other, but for the one that the file's end lacks; bytes are counted with it.
     if layout.skip_bytes:
         rows = _placed(raw)
@@ -405,14 +413,14 @@ def _undelimited(spark: SparkSession, paths: str | list[str], layout: Layout, ta
         cut = F.greatest(F.lit(layout.skip_bytes) - F.col("from"), F.lit(0)).cast("int")
         rows = rows.select("path", "block", "at", F.substring(chunk, cut + 1, F.octet_length("value") + 1).alias("value"))
     else:
-        ends = written(raw.groupBy("path").agg((F.sum("bytes") == F.max("size")).alias("ends"), F.max(F.struct("block", "at")).alias("last")), "file-ends")
-        rows = with_small(raw, ends, ["path"])
-        final = (F.struct("block", "at") == F.col("last")) & ~F.col("ends")
-        rows = rows.select("path", "block", "at", F.when(final, F.col("value")).otherwise(F.concat("value", F.lit(b"\n"))).alias("value"))
+        cells = [(F.sum("bytes") == F.max("size")).alias("ends"), F.min("block").alias("first"), F.max("block").alias("last")]
+        rows = with_small(raw, written(raw.groupBy("path").agg(*cells), "file-ends"), ["path"])
+        final = (F.col("block") == F.col("last")) & ~F.col("ends")
+        value = F.when(final, F.col("value")).otherwise(F.concat("value", F.lit(b"\n")))
+        rows = rows.select("path", "block", "at", value.alias("value"), (F.col("block") == F.col("first")).alias("opens"))
     if chars:
         rows = rows.withColumn("value", decoded(F.col("value"), layout))
-        first = (F.col("block") == 0) & (F.col("at") == 0)
-        rows = rows.withColumn("value", without_mark(F.col("value"), first & F.lit(not layout.skip_bytes)))
+        rows = rows if layout.skip_bytes else rows.withColumn("value", without_mark(F.col("value"), F.col("opens")))
     size = F.length if chars else F.octet_length
     rows = _placed(rows.where(size("value") > 0).withColumn("units", size("value").cast("bigint")), F.col("units"))
     # What completes an earlier record, the records that begin here, and their places.
@@ -437,6 +445,15 @@ def _undelimited(spark: SparkSession, paths: str | list[str], layout: Layout, ta
     return _by_file(records, written(records.groupBy("path").agg((F.max("r") + 1).alias("n")), "fixed-files"), tables)
 
 
+def _chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The files in rows of ``_raw``, one for each piece of a split: its lines with the line feeds between them."""
+    rows = _raw(spark, paths, "\n", False)
+    lines = F.sort_array(F.collect_list(F.struct("at", F.col("value").cast("string").alias("value"))))
+    rows = rows.groupBy("path", "block").agg(lines.alias("lines"), F.sum("bytes").alias("bytes"), F.max("size").alias("size"))
+    value = F.array_join("lines.value", "\n").cast("binary").alias("value")
+    return written(rows.select(plain_path(F.col("path")).alias("path"), "block", F.lit(0).cast("bigint").alias("at"), value, "bytes", "size"), "chunks")
+
+
 def _binary_records(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
     """(path, r, value): records of ``width`` bytes with their number in the file, from 0.  Splits begin at records."""
     context = spark.sparkContext
