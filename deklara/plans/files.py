@@ -146,7 +146,10 @@ def _undelimited(spark, sf_dir, codepage, files=5, tail=""):
     if tail:
         rows = rows.unionByName(spark.range(1).select(F.lit(1 << 60).alias("_ordinal"), F.lit(tail).alias("value")))
     path = scratch(spark, "file")
-    rows.repartitionByRange(files, "_ordinal").sortWithinPartitions("_ordinal").select("value").write.option("lineSep", "\n").text(path)
+    if files == 1:
+        _write_one(rows, path, "\n")
+    else:
+        rows.repartitionByRange(files, "_ordinal").sortWithinPartitions("_ordinal").select("value").write.option("lineSep", "\n").text(path)
     return S.scan_fixed(spark, path, replace(_BARE, codepage=codepage))
 
 
