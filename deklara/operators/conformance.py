@@ -164,7 +164,7 @@ def key_value_findings(values: DataFrame, most: int = 10_000) -> list[DataFrame]
 
     All keys and references go through one aggregation, which adds up within tasks first, so a key that a third of the records
     refer to is a few rows of the shuffle.  It leaves the keys that are at fault; records are joined with those alone."""
-    own, whole = F.col("fk") == -1, F.forall("key", lambda v: v != "")
+    own, whole = F.col("fk") == -1, ~F.array_contains("key", "")
     key = ["delivery", "target_id", "key"]
     judged = values.groupBy(*key).agg(
         F.count_if(own & whole).alias("n"), F.count_if(~own).alias("references"), F.min(F.when(own, F.col("_ordinal"))).alias("first")

@@ -56,7 +56,7 @@ def first_duplicates(table: DataFrame, key: list[str], bound: int, ordinal: str
 
 def listed(rows: DataFrame, repeated: DataFrame, key: list[str], most: int = 10_000) -> DataFrame:
     """``rows`` (key columns, _record, n, first) as lists of the keys' records: key columns, n, first, records."""
-    told = F.array_join(F.transform(F.sort_array(F.collect_list("_record")), lambda o: o.cast("string")), ", ").alias("records")
+    told = F.array_join(F.sort_array(F.collect_list("_record")).cast("array<string>"), ", ").alias("records")
     cells = [F.max("n").alias("n"), F.max("first").alias("first"), told]
     found = rows.where(F.col("n") <= most).groupBy(*key).agg(*cells)
     if repeated.where(F.col("n") > most).isEmpty():
@@ -94,9 +94,11 @@ def key_values(records: DataFrame, links: DataFrame, columns: int) -> DataFrame:
     asked = links.groupBy(*lint.TABLE).agg(F.collect_list(F.struct("fk", "target_id", "target", "positions")).alias("links"))
     rows = records.select(*lint.TABLE, "table", "_ordinal", cells.alias("cells")).join(asked, lint.TABLE)
     rows = rows.select("delivery", "table", "_ordinal", "cells", F.explode("links").alias("k"))
-    key = F.transform("k.positions", lambda p: F.get("cells", p))
+    # As many cells as the widest key has: functions of arrays that take lambdas are not compiled.
+    width = links.agg(F.max(F.size("positions"))).first()[0] or 0
+    key = F.slice(F.array(*(F.get("cells", F.get("k.positions", F.lit(i))) for i in range(width))), F.lit(1), F.size("k.positions")) if width else F.array().cast("array<string>")
     rows = rows.select("delivery", F.col("k.target_id").alias("target_id"), key.alias("key"), F.col("k.fk").alias("fk"), "table", F.col("k.target").alias("target"), "_ordinal")
-    return rows.where((F.col("fk") == -1) | F.exists("key", lambda v: v != ""))
+    return rows.where((F.col("fk") == -1) | (F.array_join("key", "") != ""))
 
 
 def parent_keys(parent: DataFrame, key: list[str], names: list[str]) -> DataFrame:

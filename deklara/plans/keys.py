@@ -150,7 +150,7 @@ def check_keys_together(spark, sf_dir):
     from deklara.sources.catalog import catalog
 
     text = spark.createDataFrame([("d", f"<DataSet><Media><Name>M</Name>{_CATALOG}</Media></DataSet>")], "delivery string, value string")
-    links = J.links(catalog(text))
+    links = written(J.links(catalog(text)), "links")
     line = F.when(F.col("l_orderkey") % 17 == 0, "").otherwise(F.col("l_linenumber").cast("string"))
     supplier = F.when(F.col("l_linenumber") % 5 == 0, "").otherwise(F.col("l_suppkey").cast("string"))
     tables = {0: ("Lines", X.load(spark, sf_dir, "lineitem"), [F.col("l_orderkey").cast("string"), line, F.col("l_partkey").cast("string"), supplier])}
