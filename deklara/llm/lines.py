@@ -31,6 +31,8 @@ from deklara.llm.common import materialise, remove, row_of, row_schema
 
 #: Line hashes that a task remembers at most.
 MEMORY = 500_000
+#: Times that lines between groups are held against a few others before all that are left are paired.
+TURNS = 2
 LINES = "doc_id bigint, line int, node bigint, keys array<bigint>"
 
 
@@ -79,14 +81,17 @@ def _wanted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _near(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs within the edit distance; what their characters' counts rule out is not looked at."""
+    """The pairs within the edit distance."""
     for batch in batches:
-        keep = []
-        for one, two in zip(batch.column("form_a"), batch.column("form_b"), strict=True):
-            a, b = edits.codes_of(one.as_py()), edits.codes_of(two.as_py())
-            most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
-            keep.append(edits.may_be_within(edits.counts_of(a), edits.counts_of(b), most) and edits.within(a, b, most))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        codes: dict[str, np.ndarray] = {}
+        pairs = []
+        for one, two in zip(batch.column("form_a").to_pylist(), batch.column("form_b").to_pylist(), strict=True):
+            for form in (one, two):
+                if form not in codes:
+                    codes[form] = edits.codes_of(form)
+            pairs.append((codes[one], codes[two]))
+        keep = edits.all_within(pairs, [int(max(len(a), len(b)) * (1 - similarity) + 1e-9) for a, b in pairs])
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def near_lengths(similarity: float, size: Column, other: Column) -> Column:
@@ -127,19 +132,21 @@ def removed_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
             both = pairs.join(side("a"), "a").join(side("b"), "b")
             return both.select("a", "b", "form_a", "form_b").mapInArrow(partial(_near, similarity), "a bigint, b bigint")
 
-        def rest(rows: DataFrame) -> DataFrame:
-            """Every pair that shares a key, lies in two groups, and has near lengths and counts of characters."""
+        def rest(rows: DataFrame, large: bool) -> DataFrame:
+            """Every pair that shares a small key, or large keys alone, lies in two groups, and has near lengths and counts of characters."""
             # Of the keys that two lines share the smallest yields the pair.
-            own_keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
-            sized = rows.join(forms.select("node", "size", "counts").join(own_keys, "node"), "node")
-            other = sized.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "main", "size", "counts", "keys")))
-            once = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
+            sets = [F.collect_set(F.when(F.col("large") == kind, F.col("key"))).alias(name) for name, kind in (("few", False), ("many", True))]
+            own_keys = rows.groupBy("node").agg(*sets)
+            sized = rows.where(F.col("large") == large).join(forms.select("node", "size", "counts").join(own_keys, "node"), "node")
+            other = sized.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "main", "size", "counts", "few", "many")))
+            few, many = F.array_intersect("few", "other_few"), F.array_intersect("many", "other_many")
+            once = (F.size(few) == 0) & (F.array_min(many) == F.col("key")) if large else F.array_min(few) == F.col("key")
             apart = (F.col("component") != F.col("other_component")) & (F.col("other_main") | (F.col("node") < F.col("other_node")))
             near = near_counts(similarity, F.col("size"), F.col("counts"), F.col("other_size"), F.col("other_counts"))
             pairs = sized.where("not main").join(other, "key").where(apart & near_lengths(similarity, F.col("size"), F.col("other_size")) & near & once)
             return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
 
-        return linkage.Rule(verify, rest)
+        return linkage.Rule(verify, rest, turns=TURNS)
 
     members = linkage.groups(keys, rule_for)
     placed = (

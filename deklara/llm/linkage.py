@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from deklara.llm.common import materialise, remove
 
 
+#: Nodes of a small key.
+FEW = 32
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): one node of each component names it.
 
@@ -74,11 +78,14 @@ class Rule:
 
     ``verify`` takes pairs (a, b) with a < b and returns those that are linked.  ``rest`` takes the rows
     (key, node, component, main) of keys that hold more than one group, ``main`` for the key's largest, and
-    returns pairs (a, b) of nodes in two groups.
+    returns pairs (a, b) of nodes in two groups.  With ``turns`` the rows also have ``large``, for keys of more than ``FEW`` nodes, and
+    ``rest`` is asked twice, with False for the pairs that share a small key, and with True for those that share large ones
+    alone; between, at most a few pairs of each node are tried so often.
     """
 
     verify: Callable[[DataFrame], DataFrame]
-    rest: Callable[[DataFrame], DataFrame]
+    rest: Callable[..., DataFrame]
+    turns: int = 0
 
 
 def groups(keys: DataFrame, rule_for: Callable[[DataFrame], Rule]) -> DataFrame:
@@ -89,7 +96,10 @@ def groups(keys: DataFrame, rule_for: Callable[[DataFrame], Rule]) -> DataFrame:
 
     First each node is held against one other: of the nodes that share a key with it, the one that meets
     most others, which in a group of copies is among the least changed.  What is linked so is merged.
-    Then the rule's remaining pairs follow.
+    Then the rule's remaining pairs follow, all of them.  With turns the pairs of small keys come first, which are no more than
+    ``FEW`` for each row, and in large keys each node outside of the largest group is held against a few others that chance
+    picks.  What is linked so is merged before the large keys' pairs are made, for members of one group need not meet.
+    What is left there are nodes of different groups: these pairs grow with the square of their number in a key.
     """
     spark = keys.sparkSession
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -102,28 +112,69 @@ def groups(keys: DataFrame, rule_for: Callable[[DataFrame], Rule]) -> DataFrame:
     proposed = nearest.select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
     links, links_path = materialise(rule.verify(_canonical(proposed)), "links")
     members = connected(links)
-    rows, rows_path = materialise(_undecided(shared, members), "undecided")
-    paths = [shared_path, met_path, leaders_path, links_path, rows_path]
+    paths = [shared_path, met_path, leaders_path, links_path]
+
+    def left(rows: DataFrame) -> DataFrame:
+        found, path = materialise(_undecided(rows, members), "undecided")
+        paths.append(path)
+        return found
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        found, path = materialise(rule.verify(_canonical(pairs)), "links")
+        paths.append(path)
+        return found
+
+    rows = left(shared.withColumn("large", F.col("n") > FEW) if rule.turns else shared)
+    if rule.turns:
+        for turn in range(rule.turns + 1):
+            if rows.isEmpty():
+                break
+            found = linked(_picked(rows, turn) if turn else rule.rest(rows, False))
+            if not found.isEmpty():
+                members = _merged(members, found)
+                rows = left(rows)
     if not rows.isEmpty():
-        found, found_path = materialise(rule.verify(_canonical(rule.rest(rows))), "links")
-        paths.append(found_path)
-        members = _merged(members, found)
+        members = _merged(members, linked(rule.rest(rows, True) if rule.turns else rule.rest(rows)))
     remove(spark, *paths)
     return members
 
 
+def _picked(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) to try: each node outside of the largest group of a large key, with up to two nodes
+    of that group and two others.  Chance picks one of either sort for each key, and of a node's keys the two."""
+    chance = F.struct(F.xxhash64(F.lit(turn), "node").alias("chance"), "node", "component")
+    rows = rows.where("large")
+    picks = rows.groupBy("key").agg(F.max(F.when(F.col("main"), chance)).alias("inside"), F.max(F.when(~F.col("main"), chance)).alias("outside"))
+    met = rows.where("not main").select("key", "node", "component").join(picks, "key")
+    sides = []
+    for side in ("inside", "outside"):
+        other = F.when(F.col(f"{side}.component") != F.col("component"), F.col(side))
+        sides += [F.max(other).alias(f"{side}_max"), F.min(other).alias(f"{side}_min")]
+    tried = met.groupBy("node").agg(*sides)
+    tried = tried.select("node", F.explode(F.array(*(F.col(f"{side}_{end}.node") for side in ("inside", "outside") for end in ("max", "min")))).alias("other"))
+    return _canonical(tried.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+
+
 def _merged(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The groups after ``found`` has linked some: only these groups are put together anew."""
     if found.isEmpty():
         return members
-    stars = members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return connected(stars.unionAll(found))
+    own = {c: members.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")}
+    drawn = found.select("a", "b").join(own["a"], "a", "left").join(own["b"], "b", "left")
+    ends = connected(drawn.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    moved = ends.select(F.col("node").alias("component"), F.col("component").alias("end"))
+    fresh = ends.join(members.select("node"), "node", "left_anti")
+    before = members.join(moved, "component", "left").select("node", F.coalesce("end", "component").alias("component"))
+    after, _ = materialise(before.unionByName(fresh.select("node", "component")), "members")
+    return after
 
 
 def _undecided(rows: DataFrame, members: DataFrame) -> DataFrame:
     """The rows (key, node) of keys that hold more than one group, each with its group and whether
     that is the key's largest (``main``)."""
+    more = [c for c in rows.columns if c == "large"]
     own = (
-        rows.select("key", "node")
+        rows.select("key", "node", *more)
         .join(members, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
@@ -134,4 +185,4 @@ def _undecided(rows: DataFrame, members: DataFrame) -> DataFrame:
         .where("groups > 1")
         .select("key", F.col("top.component").alias("largest"))
     )
-    return own.join(main, "key").select("key", "node", "component", (F.col("component") == F.col("largest")).alias("main"))
+    return own.join(main, "key").select("key", "node", *more, "component", (F.col("component") == F.col("largest")).alias("main"))

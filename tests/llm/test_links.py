@@ -277,3 +277,43 @@ def test_the_estimate_misses_fewer_pairs_than_the_bands():
     least = 0.75 - minhash.DEVIATIONS * sqrt(0.75 * 0.25 / n) - 1 / n
     missed = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if (k / n - minhash.CHANCE) / (1 - minhash.CHANCE) < least)
     assert missed < (1 - 0.75**5) ** 64
+
+
+def test_edit_distances_side_by_side_are_those_of_single_pairs():
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choice("abcß€") for _ in range(rng.randint(0, n)))
+    pairs, most = [], []
+    for n in [60] * 400 + [2500] * 40:
+        a = text(n)
+        b = list(a)
+        for _ in range(rng.randint(0, n // 8)):
+            if b and rng.random() < 0.5:
+                del b[rng.randrange(len(b))]
+            else:
+                b.insert(rng.randint(0, len(b)), rng.choice("abcd"))
+        pairs.append((edits.codes_of(a), edits.codes_of("".join(b) if rng.random() < 0.9 else text(n))))
+        most.append(rng.randint(0, n // 10))
+    found = edits.all_within(pairs, most)
+    assert found.tolist() == [edits.within(a, b, k) for (a, b), k in zip(pairs, most, strict=True)] and 50 < found.sum() < 400
+    assert edits.all_within([], []).tolist() == []
+
+
+def test_members_of_one_group_do_not_meet_in_a_large_key(spark):
+    """A key that all share, and small keys that hold the links: no pair of a group is made once the group is known."""
+    n, tried = 120, []
+    keys = [(i, 0) for i in range(n)] + [(i, 1 + j) for j in range(n) for i in (j, j + 1) if i < n]
+
+    def verify(pairs):
+        tried.append(pairs.count())
+        return pairs.where("b - a = 1 and a % 40 <> 39")
+
+    def rest(rows, large=True):
+        own = rows.where(F.col("large") == large) if "large" in rows.columns else rows
+        other = own.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "main")))
+        met = own.where("not main").join(other, "key").where("component <> other_component and (other_main or node < other_node)")
+        return met.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+
+    table = spark.createDataFrame(keys, "node bigint, key bigint")
+    found = {r["node"]: r["component"] for r in linkage.groups(table, lambda _: linkage.Rule(verify, rest, turns=2)).collect()}
+    assert len({tuple(sorted(i for i in found if found[i] == c)) for c in found.values()}) == 3 and len(found) == n
+    assert max(tried[:-1]) <= n * 4 and tried[-1] <= 40 * 40 * 3  # three groups of 40: only pairs between groups are left
