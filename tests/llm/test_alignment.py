@@ -1,5 +1,6 @@
 """Binary packing and alignment against the libraries and brute force."""
 
+import gc
 import hashlib
 import json
 import random
@@ -128,6 +129,22 @@ def test_memory_of_windows_is_bounded():
     assert 0 < len(aligner._windows) <= 10 and len(aligner._older) <= 10
 
 
+def test_texts_without_runs_of_white_space_take_the_plain_pattern():
+    from tokenizers import Tokenizer
+
+    aligner, library = alignment.Aligner(BYTES, PIECES), Tokenizer.from_file(BYTES)
+    library.encode_special_tokens = True
+    odd = [a + space + b for space in (" ", "\n", "\r\n", "\u00a0", "\u3000 ", "\x1c", "\x85", "  ") for a in ("", "it's", "9") for b in ("", "x", "?!", alignment._UNUSED, "<|endoftext|>")]
+    for text in (t for t in [*odd, *odd_texts(200)] if t):
+        ids = library.encode(" " + text, add_special_tokens=False).ids
+        assert aligner.first_ids(text).tolist() == ids
+        if not alignment._RUNS.search(" " + text):
+            assert aligner._plain.encode_ordinary(" " + text) == ids
+    list(aligner.documents(odd))
+    gc.collect()
+    assert aligner._windows and not any(map(gc.is_tracked, aligner._windows.values()))
+
+
 def test_registered_queries_read_whole_tables(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
