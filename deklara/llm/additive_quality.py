@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deklara.llm.boosted_rules import bin_borders
-from deklara.llm.common import crc_fold, row_of, row_schema
+from deklara.llm.common import crc_fold, row_of, row_schema, texts_of
 from deklara.llm.docstats import batch_statistics, labelled_sample
 
 COARSE = 12
@@ -144,7 +144,7 @@ def train(x: np.ndarray, y: np.ndarray, cycles: int = 120, pair_cycles: int = 40
 
 def _scores(model: Additive, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        score = model.score(batch_statistics(batch.column("text"))[1])
+        score = model.score(batch_statistics(texts_of(batch))[1])
         own = [batch.column(i) for i in range(batch.num_columns)]
         yield pa.RecordBatch.from_arrays(
             [*own, pa.array(score), pa.array((score >= least).astype(np.int32))],
@@ -167,6 +167,6 @@ def score(docs: DataFrame, model: Additive, least: float = 0.3) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Additive, least: float = 0.3) -> DataFrame:
     """The documents that score ``least`` or more, with their own columns."""
-    own = docs.select(row_of(docs), "text")
-    kept = own.mapInArrow(partial(_scores, model, least), row_schema(docs, text="string", score="double", predicted="int"))
+    own = docs.select(row_of(docs))
+    kept = own.mapInArrow(partial(_scores, model, least), row_schema(docs, score="double", predicted="int"))
     return kept.where("predicted = 1").select("row.*")

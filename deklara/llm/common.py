@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -63,6 +64,11 @@ def row_of(df: DataFrame) -> Column:
     return F.struct(*(column(c) for c in df.columns)).alias("row")
 
 
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch: its column, or that of its ``row``, so that no text has to be sent twice."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+
+
 def row_schema(df: DataFrame, **more: str) -> StructType:
     """The schema of ``row`` and further columns, given by their types."""
     return StructType([StructField("row", df.schema), *(StructField(n, _KINDS[t]) for n, t in more.items())])

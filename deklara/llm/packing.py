@@ -52,7 +52,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: i
 
 
 def _cut(path: str, capacity: int, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, end, width = WordIds(path, stems=True), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+    words, end, width = WordIds(path, stems=True, once=False), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
     part, seen = TaskContext.get().partitionId(), Counter()
     for batch in batches:
         rows: list[tuple] = []

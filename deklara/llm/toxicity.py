@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deklara.llm.common import crc_fold, hash_share, materialise, remove, row_of, row_schema
+from deklara.llm.common import crc_fold, hash_share, materialise, remove, row_of, row_schema, texts_of
 from deklara.llm.minhash import shingle_set
 
 _WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 8
+#: Features counted at once; each further text adds its own.
+MOST = 50_000
 
 
 @dataclass
@@ -70,29 +72,35 @@ def parts(word: str) -> list[str]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each feature, the texts of a batch that hold it, by kind."""
+    """For each feature, the texts of a batch that hold it, by kind; a feature may come in several rows."""
     for batch in batches:
         found: dict[bool, Counter] = {True: Counter(), False: Counter()}
         for positive, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words = set(_WORD.findall((text.as_py() or "").lower()))
             found[positive].update({f for w in words for f in parts(w)})
-        both = list(found[True])  # a feature that no positive holds is of no use
-        rest = [f for f in found[False] if f not in found[True]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(both + rest, pa.string()),
-                pa.array([found[True][f] for f in both] + [0] * len(rest), pa.int64()),
-                pa.array([found[False][f] for f in both + rest], pa.int64()),
-            ],
-            names=["feature", "p", "u"],
-        )
+            if len(found[True]) + len(found[False]) >= MOST:
+                yield _counted(found)
+                found = {True: Counter(), False: Counter()}
+        yield _counted(found)
+
+
+def _counted(found: dict[bool, Counter]) -> pa.RecordBatch:
+    both = list(found[True])
+    rest = [f for f in found[False] if f not in found[True]]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(both + rest, pa.string()),
+            pa.array([found[True][f] for f in both] + [0] * len(rest), pa.int64()),
+            pa.array([found[False][f] for f in both + rest], pa.int64()),
+        ],
+        names=["feature", "p", "u"],
+    )
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds a text's smallest shingle hash, which most near copies share and other texts do not."""
     for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-        marks = pa.array([int(s[0].view(np.int64)) if len(s) else 0 for s in sets], pa.int64())
+        marks = pa.array((int(s[0].view(np.int64)) if len(s) else 0 for s in (shingle_set(t.as_py()) for t in batch.column(1))), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), marks, batch.column(1)], names=["positive", "mark", "text"])
 
 
@@ -192,7 +200,7 @@ def fit(
 
 def _scores(model: Scorer, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        score = np.array([model.score(t.as_py()) for t in batch.column("text")], np.float64)
+        score = np.array([model.score(t.as_py()) for t in texts_of(batch)], np.float64)
         own = [batch.column(i) for i in range(batch.num_columns)]
         yield pa.RecordBatch.from_arrays(
             [*own, pa.array(score), pa.array((score >= least).astype(np.int32))],
@@ -211,6 +219,6 @@ def score(docs: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
     """The documents that score under ``least``, with their own columns."""
-    own = docs.select(row_of(docs), "text")
-    kept = own.mapInArrow(partial(_scores, model, least), row_schema(docs, text="string", score="double", predicted="int"))
+    own = docs.select(row_of(docs))
+    kept = own.mapInArrow(partial(_scores, model, least), row_schema(docs, score="double", predicted="int"))
     return kept.where("predicted = 0").select("row.*")

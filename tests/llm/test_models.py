@@ -182,3 +182,26 @@ def test_toxicity_on_held_out_documents(spark):
     toxic = [r["predicted"] for r in rows if truth[r["doc_id"]]]
     clean = [r["predicted"] for r in rows if not truth[r["doc_id"]]]
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.04
+
+
+def test_stages_take_each_text_once():
+    """The stages that accept documents are given rows alone; features of many texts are counted in parts."""
+    import pyarrow as pa
+
+    rows = [{"text": "plain words here", "n": 1}, {"text": None, "n": 2}]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows)], names=["row"])
+    for scores, model in ((toxicity._scores, toxicity.Scorer({"wor": 0}, np.array([60.0]))), (additive_quality._scores, additive_quality.Additive(3.0))):
+        got = pa.Table.from_batches(scores(model, 0.5, [batch]))
+        assert got.column_names == ["row", "score", "predicted"] and got.column("row").to_pylist() == rows
+    texts = [f"alpha{i:x} beta" for i in range(40)]
+    texts = ["".join(chr(97 + int(c)) if c.isdigit() else c for c in t) for t in texts]
+    one = pa.RecordBatch.from_arrays([pa.array([i % 3 == 0 for i in range(40)]), pa.array(texts)], names=["positive", "text"])
+    whole = list(toxicity._counts([one]))
+    before, toxicity.MOST = toxicity.MOST, 20
+    try:
+        parts = list(toxicity._counts([one]))
+    finally:
+        toxicity.MOST = before
+    assert len(whole) == 1 and len(parts) > 1 and max(p.num_rows for p in parts) < whole[0].num_rows
+    total = [pa.Table.from_batches(b).group_by("feature").aggregate([("p", "sum"), ("u", "sum")]).sort_by("feature").to_pylist() for b in (whole, parts)]
+    assert total[0] == total[1]

@@ -164,6 +164,15 @@ def test_words_alone_give_the_tokenizers_ids():
         assert np.frombuffer(words.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_are_kept_from_the_second_time_on():
+    words = subwords.WordIds(public_tokenizers.path("word_bpe_49k.json"), True, once=False)
+    first = words.of("some words, once")
+    assert not words and words.of("some words, once") == first and len(words) >= 3
+    assert words.of("some words, once") == first
+    every = subwords.WordIds(public_tokenizers.path("word_bpe_49k.json"), True)
+    assert every.of("some words, once") == first and len(every) >= 3
+
+
 def test_pieces_are_the_librarys(spark):
     import sentencepiece
 
