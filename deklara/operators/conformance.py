@@ -93,6 +93,8 @@ def _record_tests(records: DataFrame, layout: Layout) -> list[Column]:
 def _found(table: DataFrame, layout: Layout, found: list[Column]) -> DataFrame:
     if not found:
         return table.limit(0).select(*_with_delivery(table), *finding(checks.TYPE_MISMATCH, _called(table, layout), 1, F.col("_ordinal")))
+    # Most records have no defect.  They are left out first, for what makes the rows of findings is not compiled.
+    table = table.where(reduce(Column.__or__, (f.isNotNull() for f in found)))
     return table.select(*_with_delivery(table), F.explode(F.array_compact(F.array(*found))).alias("f")).select(*_with_delivery(table), "f.*")
 
 

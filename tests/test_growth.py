@@ -92,3 +92,14 @@ def test_key_values_are_written_once(spark, tmp_path, monkeypatch):
     found = [(str(r["code"]), r["value"]) for r in delivery.validate(spark, str(tmp_path)).collect()]
     assert [f for f in found if f[0].startswith("5")] == [("5001", "1")], found
     assert "table" in names and "keys" not in names
+
+
+def test_records_without_defects_are_left_out_before_findings_are_made(spark):
+    from deklara.operators import conformance
+    from deklara.plans import fixtures
+
+    rows = fixtures.orders_defective(spark, "/root/testdata/sf0.001")
+    found = conformance.value_findings(rows, fixtures.ORDERS)
+    plan = found._jdf.queryExecution().analyzed().toString().lower()
+    assert "filter" in plan.split("generate explode")[1]
+    assert 0 < found.select("_ordinal").distinct().count() < rows.count()
