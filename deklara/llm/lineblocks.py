@@ -46,6 +46,11 @@ def forms(text: str | None) -> list[list[str]]:
     return [_WORD.findall(line) for line in _DIGIT.sub("0", (text or "").lower()).split("\n")]
 
 
+def count(text: str | None) -> int:
+    """Lines with a normal form."""
+    return sum(_WORD.search(line) is not None for line in (text or "").split("\n"))
+
+
 def level_of(size: np.ndarray) -> np.ndarray:
     """The level of forms of so many characters."""
     top = len(LEVELS) - 1
@@ -187,9 +192,16 @@ def _block_keys(n: int, owner: np.ndarray, features: np.ndarray, blocks: int, ea
     # one or two words have keys of one.
     held, fewest = counts.sum(axis=1), 1 if kind > 1 else 2
     needed = np.minimum(least, np.where(held < 2 * least, np.maximum(fewest, held - 1), np.maximum(2, each * held // blocks)))
-    choices = itertools.combinations(range(blocks), each) if blocks <= ALL else ([(i + j) % blocks for j in range(each)] for i in range(blocks))
+    if blocks > ALL:
+        # All choices of neighbours at once: long lines have thousands of blocks.
+        total, all_held = np.arange(1, blocks + 1, dtype=_U) + np.zeros((n, 1), _U), np.zeros((n, blocks), np.int64)
+        for i in range(each):
+            total = mixed(total + np.roll(marks, -i, axis=1))
+            all_held += np.roll(counts, -i, axis=1)
+        owner, number = np.nonzero(all_held >= needed[:, None])
+        return owner, total[owner, number]
     owners, keys = [], []
-    for number, choice in enumerate(choices):
+    for number, choice in enumerate(itertools.combinations(range(blocks), each)):
         some = np.flatnonzero(counts[:, choice].sum(axis=1) >= needed)
         total = np.full(len(some), number + 1, _U)
         for i in choice:

@@ -63,16 +63,27 @@ def _lines(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             )
 
 
+def _chosen(texts: list[str | None], numbers: list[list[int]]) -> Iterator[tuple[lineblocks.Lines, np.ndarray, np.ndarray, list[list[str]]]]:
+    """Of each text the lines of these numbers, if they have a normal form: text and place in its list of each line, and the
+    lines of the whole list.  No other line is hashed."""
+    chosen = []
+    for text, wanted in zip(texts, numbers, strict=True):
+        found = (text or "").split("\n") if wanted else []
+        chosen.append([found[n] if n < len(found) else "" for n in wanted])
+    for parts, rows, before in lineblocks.chunks(["\n".join(c) for c in chosen]):
+        lines, starts = lineblocks.read(parts)
+        part = np.searchsorted(starts, lines.number, "right") - 1
+        yield lines, np.array(rows, np.int64)[part], lines.number - starts[part] + np.array(before, np.int64)[part], chosen
+
+
 def _wanted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Normal forms of the wanted lines of a document, their lengths, and the counts of their characters."""
     for batch in batches:
         wanted = batch.column("wanted").to_pylist()
-        for parts, rows, _ in lineblocks.chunks(batch.column("text").to_pylist()):
-            lines, starts = lineblocks.read(parts)
-            asked = np.unique(np.concatenate([np.array(wanted[row], np.int64) for row in dict.fromkeys(rows)])).view(np.uint64)
-            found = np.flatnonzero(np.isin(lines.node, asked))
-            at = "\n".join(parts).split("\n")
-            texts = [" ".join(lineblocks.forms(at[n])[0]) for n in lines.number[found].tolist()]
+        for lines, row, place, chosen in _chosen(batch.column("text").to_pylist(), [[w["line"] for w in some] for some in wanted]):
+            nodes = lines.node.view(np.int64).tolist()
+            found = [i for i, (r, n) in enumerate(zip(row.tolist(), place.tolist(), strict=True)) if wanted[r][n]["node"] == nodes[i]]
+            texts = [" ".join(lineblocks.forms(chosen[row[i]][place[i]])[0]) for i in found]
             counts = [edits.counts_of(edits.codes_of(t), edits.FEW_BINS) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(lines.node[found].view(np.int64)), pa.array(texts, pa.string()), pa.array(lines.chars[found].astype(np.int32)), pa.array(counts, pa.list_(pa.int32()))],
@@ -111,16 +122,17 @@ def removed_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     lines, lines_path = materialise(docs.mapInArrow(partial(_lines, similarity), LINES), "lines")
-    classes = lines.groupBy("node").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"), F.max("keys").alias("keys")
-    )
+    classes = lines.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
     classes, classes_path = materialise(classes, "line-classes")
-    keys = classes.select("node", F.explode("keys").alias("key"))
-    paths = [lines_path, classes_path]
+    # Most keys are those of one class: they go before classes are put together, as tasks may repeat a class.
+    every = lines.select("node", F.explode("keys").alias("key"))
+    several = every.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
+    keys, keys_path = materialise(every.join(several.hint("shuffle_hash"), "key", "left_semi").distinct(), "line-keys")
+    paths = [lines_path, classes_path, keys_path]
 
     def rule_for(candidates: DataFrame) -> linkage.Rule:
-        own, own_path = materialise(classes.join(candidates, "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id")), "candidate-lines")
-        wanted = own.groupBy("doc_id").agg(F.collect_set("node").alias("wanted"))
+        own, own_path = materialise(classes.join(candidates, "node", "left_semi").select("node", "first.*"), "candidate-lines")
+        wanted = own.groupBy("doc_id").agg(F.collect_list(F.struct("line", "node")).alias("wanted"))
         texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted")
         forms, forms_path = materialise(texts.mapInArrow(_wanted_forms, "node bigint, form string, size int, counts array<int>").dropDuplicates(["node"]), "forms")
         paths.extend([own_path, forms_path])
@@ -172,21 +184,17 @@ def removed_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, gone = batch.column("row").field("text").to_pylist(), batch.column("removed").to_pylist()
-        counts, drop = np.zeros(len(texts), np.int64), [set() for _ in texts]
-        for parts, rows, before in lineblocks.chunks(texts):
-            lines, starts = lineblocks.read(parts)
-            part = np.searchsorted(starts, lines.number, "right") - 1
-            row, number = np.array(rows, np.int64)[part], lines.number - starts[part] + np.array(before, np.int64)[part]
-            counts += np.bincount(row, minlength=len(texts))
-            bounds, nodes = np.searchsorted(row, np.arange(len(texts) + 1)), lines.node.view(np.int64)
-            for i in dict.fromkeys(rows):
-                if gone[i]:
-                    here = dict(zip(number[bounds[i] : bounds[i + 1]].tolist(), nodes[bounds[i] : bounds[i + 1]].tolist(), strict=True))
-                    drop[i].update(r["line"] for r in gone[i] if here.get(r["line"]) == r["node"])
+        texts = batch.column("row").field("text").to_pylist()
+        gone = [some or [] for some in batch.column("removed").to_pylist()]
+        drop = [set() for _ in texts]
+        # Rows that repeat an id may have other lines there.
+        for lines, row, place, _ in _chosen(texts, [[r["line"] for r in some] for some in gone]):
+            for i, n, node in zip(row.tolist(), place.tolist(), lines.node.view(np.int64).tolist(), strict=True):
+                if gone[i][n]["node"] == node:
+                    drop[i].add(gone[i][n]["line"])
         clean = [text if not out else "\n".join(line for n, line in enumerate(text.split("\n")) if n not in out) for text, out in zip(texts, drop, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(clean, pa.string()), pa.array(counts), pa.array([len(out) for out in drop], pa.int64())],
+            [batch.column("row"), pa.array(clean, pa.string()), pa.array([lineblocks.count(t) for t in texts], pa.int64()), pa.array([len(out) for out in drop], pa.int64())],
             names=["row", "clean", "n_lines", "n_removed"],
         )
 

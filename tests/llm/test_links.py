@@ -317,3 +317,38 @@ def test_members_of_one_group_do_not_meet_in_a_large_key(spark):
     found = {r["node"]: r["component"] for r in linkage.groups(table, lambda _: linkage.Rule(verify, rest, turns=2)).collect()}
     assert len({tuple(sorted(i for i in found if found[i] == c)) for c in found.values()}) == 3 and len(found) == n
     assert max(tried[:-1]) <= n * 4 and tried[-1] <= 40 * 40 * 3  # three groups of 40: only pairs between groups are left
+
+
+def test_keys_of_a_long_line_are_made_at_once(monkeypatch):
+    """Lines have more blocks the longer they are: the steps of making keys must not grow with them."""
+    rng = random.Random(21)
+    steps, mixed = [], lineblocks.mixed
+    monkeypatch.setattr(lineblocks, "mixed", lambda h: steps.append(len(h)) or mixed(h))
+    found = []
+    for n in (100, 20_000):
+        got, _ = lineblocks.read([" ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(n))])
+        steps.clear()
+        owner, keys = lineblocks.band_keys(got, np.arange(1), 0.9)
+        found.append((len(steps), len(set(keys.tolist()))))
+    (few, short), (many, long) = found
+    assert long > 50 * short and many <= 2 * few
+
+
+def test_only_the_lines_asked_for_are_hashed_again(monkeypatch):
+    """Wanted and removed lines are known by their numbers; a row that repeats an id with another text has other lines there."""
+    import pyarrow as pa
+
+    texts = ["one two\n--\nthree\nfour", "other\n\nthree\nfour", None, "five"]
+    nodes = {form: lineblocks.read([form])[0].node.view(np.int64)[0].item() for form in ("one two", "three", "four")}
+    seen, read = [], lineblocks.read
+    monkeypatch.setattr(lineblocks, "read", lambda parts: seen.extend("\n".join(parts).split("\n")) or read(parts))
+    asked = [{"line": 0, "node": nodes["one two"]}, {"line": 2, "node": nodes["three"]}, {"line": 9, "node": nodes["four"]}]
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("node", pa.int64())]))
+    given = pa.array([asked, asked, asked, None], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), given.slice(0, 3).take(pa.array([0, 1, 2, 2]))], names=["text", "wanted"])
+    forms = [r for b in lines._wanted_forms(iter([batch.slice(0, 3)])) for r in b.to_pylist()]
+    assert sorted((r["node"], r["form"], r["size"]) for r in forms) == sorted([(nodes["one two"], "one two", 7), (nodes["three"], "three", 5), (nodes["three"], "three", 5)])
+    batch = pa.RecordBatch.from_arrays([pa.array([{"text": t} for t in texts]), given], names=["row", "removed"])
+    (out,) = [b.to_pylist() for b in lines._without(iter([batch]))]
+    assert [(r["clean"], r["n_lines"], r["n_removed"]) for r in out] == [("--\nfour", 3, 2), ("other\n\nfour", 3, 1), (None, 0, 0), ("five", 1, 0)]
+    assert set(seen) <= {"one two", "three", "other", ""}
