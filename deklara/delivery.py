@@ -18,7 +18,7 @@ from deklara.operators import conformance as N
 from deklara.operators import keys as J
 from deklara.operators import lint as L
 from deklara.sources import scan as S
-from deklara.sources.catalog import catalog, layout_of, signatures
+from deklara.sources.catalog import described, layout_of, signatures
 from deklara.tables import all_written, scratch, written
 
 INDEX = "index.xml"
@@ -76,7 +76,7 @@ def validate(spark: SparkSession, root: str, many: bool = False) -> DataFrame:
         return N.union(found)
     texts = spark.read.text(f"{root}/*/{INDEX}" if many else f"{root}/{INDEX}", wholetext=True)
     texts = texts.select(S.plain_path(F.col("_metadata.file_path")).alias("file"), "value").join(indexes.select("delivery", "file"), "file")
-    c = all_written(catalog(texts.select("delivery", "value")) | {"entries": _named(entries)}, "catalog")
+    c = all_written(described(texts.select("delivery", "value")) | {"entries": _named(entries)}, "catalog")
     found.append(_as_findings(lint(c)))
     declared = written(signatures(c), "signatures")
     pieces = entries.select("delivery", F.explode(F.array(L.entry_name(F.col("name")), _parent(L.entry_name(F.col("name"))))).alias("path"), "file").where("path <> ''")

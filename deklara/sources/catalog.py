@@ -50,7 +50,15 @@ _OF_COLUMN = ["pos", "name", "kind", "is_pk", "mask", "span_from", "span_to", "a
 
 
 def catalog(texts: DataFrame) -> dict[str, DataFrame]:
-    """The catalog tables of descriptions (delivery, value), one XML text each.
+    """The catalog tables of descriptions (delivery, value), one XML text each, ready to be joined.
+
+    Their joins are merges, whatever the optimizer makes of their sizes: it takes a table for a part of the descriptions'
+    file, where the rows of a list are a few bytes each, and would send millions of rows by way of the driver to every task."""
+    return {name: table.hint("merge") for name, table in described(texts).items()}
+
+
+def described(texts: DataFrame) -> dict[str, DataFrame]:
+    """What ``catalog`` returns, to be written first: joins of these tables are left to the optimizer.
 
     Each text is parsed once, for all tables, and dealt to all tasks before: parsing takes longer than reading it.
     Key columns come before the others by the format, so the two lists joined are the declared order."""
